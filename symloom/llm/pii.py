@@ -108,7 +108,7 @@ _OPEN, _SHUT = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _AT, _DOT = r"(?:at|arroba|arobase)", r"(?:dot|punkt|point|punto)"
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 #: Digits and digit words in a row, seven or more, at least one of them spelled.
-_SPELLED = re.compile(rf"(?<!\w)(?i:(?:plus[\s-]{{1,3}}|\+\s{{0,3}})?(?:(?:{_WORD}|[0-9])(?:[\s,.-]{{1,3}}|\s?(?i:{_DOT})\s|(?=[0-9]))){{6,}}+(?:{_WORD}|[0-9]))(?!\w)")
+_SPELLED = re.compile(rf"(?<!\w)(?i:(?:plus[\s-]{{1,3}}|\+\s{{0,3}})?(?:(?:{_WORD}|[0-9])(?:\s?(?i:{_DOT})\s|[\s,.()-]{{1,3}}|(?=[0-9]))){{6,}}(?:{_WORD}|[0-9]))(?!\w)")
 _TOKEN = re.compile(rf"(?i:{_WORD})(?!\w)|[0-9]|(?i:plus)(?!\w)|\+|(?i:{_DOT})(?!\w)")
 _MARKS = re.compile(
     rf"(?P<at>\s{{0,3}}{_OPEN}(?i:{_AT}|@){_SHUT}\s{{0,3}})|(?P<dot>\s{{0,3}}{_OPEN}(?i:{_DOT}|\.){_SHUT}\s{{0,3}})"
@@ -118,7 +118,7 @@ _MARKS = re.compile(
 )
 #: A text without any of these characters or words has no disguise.
 _HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?i:{_AT}|{_DOT}|@|\.)\s{{0,3}}[\])}}>]|\s(?i:{_DOT})\s|\s@\s")
-_DIGIT_HINT = re.compile(rf"(?<!\w)(?i:{_WORD})[\s,.-]{{1,3}}(?i:{_WORD}|[0-9])(?!\w)")
+_DIGIT_HINT = re.compile(rf"(?<!\w)(?i:{_WORD})[\s,.()-]{{1,3}}(?i:{_WORD}|[0-9])(?!\w)")
 
 
 @lru_cache(maxsize=1)
@@ -222,7 +222,7 @@ def _scan(batches):
         for text in b.column(1):
             base, more = find(text.as_py() or "")
             every = sorted(base + more)
-            counts = [sum(k == n for k, _, _ in every) for n in range(len(KINDS))]
+            counts = [sum(k == n for k, _, _ in base) for n in range(len(KINDS))]
             rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), joined(more)))
         columns = list(zip(*rows, strict=True)) or [[]] * 7
         kinds = [pa.int64()] * 4 + [pa.string()] * 3
@@ -230,6 +230,6 @@ def _scan(batches):
 
 
 def decisions(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (all spans), base_sha256, spans and added (those that the method found)."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all) and added (those that the method found)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(_scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, added string")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from symloom.llm import exact_dedup, quality_rules, simhash
+from symloom.llm import exact_dedup, license_scan, mixing, packing, pii, quality_rules, simhash
 from symloom.llm.common import table
 
 
+def op2_license_scan(spark, sf_dir):
+    return license_scan.decisions(table(spark, sf_dir, "documents"))
+
+
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_neardup(spark, sf_dir):
     return simhash.decisions(table(spark, sf_dir, "documents"))
 
@@ -14,6 +22,14 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules.decisions(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark, sf_dir):
+    return pii.decisions(table(spark, sf_dir, "documents"))
+
+
+def op9_source_mixing(spark, sf_dir):
+    return mixing.decisions(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
