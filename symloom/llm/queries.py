@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from symloom.llm import exact_dedup, license_scan, mixing, packing, pii, quality_rules, simhash
+from symloom.llm import exact_dedup, license_scan, mixing, packing, pii, quality_model, quality_rules, simhash, toxicity
 from symloom.llm.common import table
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.decisions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_license_scan(spark, sf_dir):
     return license_scan.decisions(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op4_simhash_neardup(spark, sf_dir):
     return simhash.decisions(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark, sf_dir):
+    return quality_model.decisions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality_rules.decisions(table(spark, sf_dir, "documents"))
 
