@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symloom.llm import exact_dedup, license_scan, mixing, packing, pii, quality_model, quality_rules, simhash, toxicity
+from symloom.llm import context_tree, exact_dedup, license_scan, mixing, packing, pii, quality_model, quality_rules, simhash, toxicity
 from symloom.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules.decisions(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark, sf_dir):
+    return context_tree.decisions(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark, sf_dir):
     return pii.decisions(table(spark, sf_dir, "documents"))
 
