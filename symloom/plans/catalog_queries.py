@@ -159,7 +159,7 @@ FAM = """fam AS (SELECT '{f}' AS family, p_name AS semantic_path, '/ws/' || p_br
    CASE WHEN p_size % 2 = 0 THEN 'method_declaration' ELSE 'class_declaration' END AS node_kind FROM part),
 c AS (SELECT *, count(*) OVER (PARTITION BY semantic_path) AS a, count(*) OVER (PARTITION BY file_path, semantic_path) AS h, row_number() OVER (PARTITION BY file_path, semantic_path ORDER BY start_byte, end_byte) AS nth,
    row_number() OVER (PARTITION BY file_path, semantic_path, is_overload ORDER BY start_byte, end_byte) AS onth, count(*) OVER (PARTITION BY file_path, semantic_path, is_overload) AS oc,
-   bool_or(is_overload) OVER (PARTITION BY file_path, semantic_path) AS some, bool_and(node_kind = 'method_declaration') OVER (PARTITION BY file_path, semantic_path) AS callables FROM fam)
+   bool_or(is_overload) OVER (PARTITION BY file_path, semantic_path) AS any_over, bool_and(node_kind = 'method_declaration') OVER (PARTITION BY file_path, semantic_path) AS callables FROM fam)
 SELECT file_path, start_byte, CASE WHEN a = 1 THEN semantic_path WHEN h = 1 THEN file_path || '::' || semantic_path ELSE file_path || '::' || semantic_path || '#' || {tag} END AS symbol_id FROM c"""
 
 
@@ -171,7 +171,7 @@ def _family(spark, sf, family):
     )
 
 
-@registered(FAM.replace("{f}", "python").replace("{tag}", "CASE WHEN is_overload THEN 'overload' WHEN some THEN 'implementation' ELSE 'definition' END || CASE WHEN NOT is_overload AND some AND oc = 1 THEN '' ELSE '[' || onth || ']' END"))
+@registered(FAM.replace("{f}", "python").replace("{tag}", "CASE WHEN is_overload THEN 'overload' WHEN any_over THEN 'implementation' ELSE 'definition' END || CASE WHEN NOT is_overload AND any_over AND oc = 1 THEN '' ELSE '[' || onth || ']' END"))
 def symbol_ids_python(spark, sf):
     return identity.assigned(_family(spark, sf, "python")).select("file_path", "start_byte", "symbol_id")
 
@@ -379,9 +379,9 @@ def import_unique(spark, sf):
     return resolve.unique_imports(i)
 
 
-@registered("SELECT p_name AS directory, min(p_brand) AS package FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = 1", False)
+@registered("SELECT p_name || '/' || p_size AS directory, min(p_brand) AS package FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1", False)
 def unique_package(spark, sf):
-    return resolve.package_names(C.read(spark, sf, "part").select(F.col("p_name").alias("directory"), F.col("p_brand").alias("package")))
+    return resolve.package_names(C.read(spark, sf, "part").select(F.concat("p_name", F.lit("/"), F.col("p_size").cast("string")).alias("directory"), F.col("p_brand").alias("package")))
 
 
 @registered("""c AS (SELECT p_partkey AS id, p_size % 4 AS n, CASE p_size % 5 WHEN 0 THEN ['void'] WHEN 1 THEN ['int a', 'int b = 1'] WHEN 2 THEN ['int a', '...'] WHEN 3 THEN ['int a', 'int b', 'int c'] ELSE [] END AS ps, p_size % 5 AS k FROM part)
@@ -611,7 +611,7 @@ def json_columns(spark, sf):
 
 PATCH = """pt AS (SELECT o_orderkey AS patch_id, CASE WHEN o_orderkey % 23 = 0 THEN 1 ELSE 0 END AS syntax_errors, o_orderkey % 4 = 0 AS bypass FROM orders),
 rf AS (SELECT l_orderkey AS patch_id, 'n' || l_linenumber AS name FROM lineitem),
-cand AS (SELECT l_orderkey AS patch_id, 'n' || (l_linenumber % 3 + 1) AS name, 's' || l_partkey AS candidate, (l_quantity // 10)::BIGINT AS rank, l_returnflag = 'R' AS suppressing FROM lineitem),
+cand AS (SELECT l_orderkey AS patch_id, 'n' || (l_linenumber % 3 + 1) AS name, 's' || l_partkey AS candidate, CAST(floor(l_quantity / 10) AS BIGINT) AS rank, l_returnflag = 'R' AS suppressing FROM lineitem),
 op AS (SELECT * FROM (SELECT *, max(CASE WHEN suppressing THEN rank END) OVER (PARTITION BY patch_id, name) AS shade FROM cand) WHERE NOT suppressing AND (shade IS NULL OR rank >= shade)),
 best AS (SELECT * FROM op QUALIFY rank = max(rank) OVER (PARTITION BY patch_id, name)),
 cn AS (SELECT patch_id, name, count(*) AS n, min(candidate) AS candidate FROM best GROUP BY ALL),

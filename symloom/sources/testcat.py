@@ -124,4 +124,4 @@ file_deps AS (SELECT a.file_path AS importer, b.file_path AS imported FROM files
 
 
 def sql(body: str) -> str:
-    return f"WITH RECURSIVE {SQL.strip()}{',' if not body.lstrip().upper().startswith('SELECT') else ''}\n{body}"
+    return f"WITH RECURSIVE {SQL.strip()}{',' if not body.lstrip().upper().startswith('SELECT ') else ''}\n{body}"
