@@ -104,7 +104,7 @@ def gram_hashes(words: list[bytes], k: int = K) -> np.ndarray:
 
 def _gram_rows(k: int):
     def rows(batches):
-        for b in batches:
+        for b in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):  # small batches of hashes
             grams = [gram_hashes(words_of(t.as_buffer().to_pybytes()), k).view(np.int64) for t in b.column(2)]
             offsets = np.cumsum([0, *map(len, grams)]).astype(np.int32)
             values = pa.array(np.concatenate(grams) if grams else np.empty(0, np.int64))
