@@ -9,12 +9,22 @@ from symloom.llm.common import id_bucket, text_of
 
 #: Rows whose crc32(doc_id as text) mod FOLDS is 0 are held out.
 FOLDS = 5
+SPARE, RANGE = 1.5, 1 << 40
 
 
 def held_out(column: str = "doc_id"):
     return id_bucket(column, FOLDS) == 0
 
 
+def _smallest(known: DataFrame, rows: int) -> DataFrame:
+    """The rows with the smallest hash.  Of many, a bound on the hash leaves about SPARE times as many as are asked for, so
+    that the last step doesn't get ``rows`` rows from every partition of the label table."""
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(RANGE))
+    n = known.count()
+    few = known if n <= SPARE * rows else known.filter(order < int(RANGE * SPARE * rows / n))
+    return few.orderBy(order, "doc_id").limit(rows)
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, per_class: bool, prepare, kind: str) -> list:
     """Rows (doc_id, lang, label, x) with x = prepare(text as bytes): at most ``rows`` of them, for each class
     if per_class, those with the smallest hash of their id.  The choice is made on the label table and is
@@ -22,9 +32,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, per_class:
     an id the largest counts; null labels and ids don't count."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    order = F.xxhash64("doc_id")
     parts = [known.filter(F.col("y") == c) for c in (0, 1)] if per_class else [known]
-    chosen = [p.orderBy(order, "doc_id").limit(rows) for p in parts]
+    chosen = [_smallest(p, rows) for p in parts]
     ids = chosen[0].unionAll(chosen[1]) if per_class else chosen[0]
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows_ = docs.select("doc_id", lang.alias("lang"), text_of().alias("text")).join(F.broadcast(ids), "doc_id")
