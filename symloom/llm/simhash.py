@@ -61,14 +61,15 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches):
     for b in batches:
-        texts = b.column(1)
+        texts = b.column(2)
         codes = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes.view(np.int64))], ["doc_id", "code"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes.view(np.int64))], ["doc_id", "mark", "code"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, code): code holds the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_fingerprints, "doc_id long, code long")
+    """(doc_id, mark, code): mark is a hash of the text, code holds the 64 bits as a signed long."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, mark long, code long")
 
 
 def blocks_for(n: int, max_bits: int) -> int:
@@ -215,29 +216,33 @@ def links(codes: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> Dat
     return tasks.repartition(*task).sortWithinPartitions(*task).mapInArrow(_links(blocks, max_bits), "a long, b long")
 
 
-def classes(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, code, component_id) for every row of docs."""
+def classes(docs: DataFrame, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, code) for every row of docs, and (code, first) for every code: first is the row that stands for the
+    component, the one with the smallest id, null ids last, as (no_id, doc_id, mark)."""
     marked = materialize(fingerprints(docs), "fingerprints")
-    codes = materialize(marked.groupBy("code").agg(F.min("doc_id").alias("least")), "codes")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    codes = materialize(marked.groupBy("code").agg(F.min(first).alias("least")), "codes")
     of = components(materialize(links(codes, max_bits).distinct(), "fingerprint-links"))
     # fingerprints without a link are their own component
     named = codes.join(of, codes["code"] == of["node"], "left").select("code", "least", F.coalesce("component", "code").alias("component"))
     named = materialize(named, "code-components")
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    verdict = materialize(named.join(ids, "component").select("code", "component_id"), "component-ids")
-    return marked.join(verdict.hint("merge"), "code").select("doc_id", "code", "component_id")
+    ids = named.groupBy("component").agg(F.min("least").alias("first"))
+    return marked, materialize(named.join(ids, "component").select("code", "first"), "component-ids")
 
 
 def decisions(docs: DataFrame) -> DataFrame:
-    return classes(docs).select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
+    marked, verdict = classes(docs)
+    met = marked.join(verdict.hint("merge"), "code")
+    return met.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each component: the one with the smallest id, and of rows that repeat an id, one.  All
-    columns of docs."""
-    stay = classes(docs, max_bits).select(F.col("component_id").alias("id")).distinct()
+    """One document of each component: the one with the smallest id, null ids last; of rows that repeat id and text, one.
+    All columns of docs."""
     as_key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
-    rows = packed(docs).select("row", as_key("row.doc_id").alias("id"))
-    kept = rows.join(stay.select(as_key("id").alias("id")), "id", "left_semi")
-    order = F.xxhash64(F.col("row.text"))
-    return unpacked(kept.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(order))).filter("nth = 1"), docs)
+    _, verdict = classes(docs, max_bits)
+    stay = verdict.select(as_key("first.doc_id").alias("id"), F.col("first.mark").alias("mark")).distinct()
+    rows = packed(docs).select("row", as_key("row.doc_id").alias("id"), F.xxhash64(text_of(F.col("row.text"))).alias("mark"))
+    kept = rows.join(stay, ["id", "mark"], "left_semi")
+    once = Window.partitionBy("id", "mark").orderBy("id")
+    return unpacked(kept.withColumn("nth", F.row_number().over(once)).filter("nth = 1"), docs)

@@ -177,6 +177,12 @@ def test_trie_pairs(seed):
     assert got == {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
 
 
+def test_simhash_keeps_documents_without_ids(spark):
+    rows = [(None, "alpha beta gamma delta"), (None, "one two three four five"), (3, "one two three four five"), (None, "red green blue black"), (None, "red green blue black")]
+    kept = listed(simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "alpha beta gamma delta"), (0, "red green blue black"), (3, "one two three four five")]
+
+
 def test_simhash_hot_nodes_are_salted(spark):
     rng = random.Random(4)
     center = rng.getrandbits(64)
