@@ -137,3 +137,39 @@ def re_exports(direct: DataFrame, named: DataFrame, star: DataFrame, max_rounds:
         found = materialize(found.unionByName(frontier), "re-exports")
     one = found.groupBy("module", "name").agg(F.count_distinct("definer").alias("n"), F.min("definer").alias("definer"))
     return one.filter("n = 1").drop("n")
+
+
+def unique_parents(parents: DataFrame) -> DataFrame:
+    """(node, parent) where a node has exactly one parent; with several, none is taken."""
+    one = parents.groupBy("node").agg(F.count_distinct("parent").alias("n"), F.min("parent").alias("parent"))
+    return one.filter("n = 1").drop("n")
+
+
+def inherited(calls: DataFrame, parents: DataFrame, providers: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """calls: (call_id, node, name); providers: (node, name, symbol_id).  Up the unique chain of parents, the first node that
+    provides the name; nothing if it provides several.  call_id, symbol_id, hops."""
+    chain = unique_parents(parents)
+    offer = providers.groupBy("node", "name").agg(F.count_distinct("symbol_id").alias("n"), F.min("symbol_id").alias("symbol_id"))
+    open_, done = calls, None
+    for hops in range(max_rounds):
+        met = open_.join(offer, ["node", "name"])
+        found = met.filter("n = 1").select("call_id", "symbol_id", F.lit(hops).alias("hops"))
+        done = found if done is None else done.unionByName(found)
+        rest = open_.join(offer, ["node", "name"], "left_anti").join(chain, "node").select("call_id", F.col("parent").alias("node"), "name")
+        open_ = materialize(rest, "inherited")
+        if open_.isEmpty():
+            break
+    return done
+
+
+def module_chains(parents: DataFrame) -> DataFrame:
+    """parents: (node, parent).  node, ancestors: how many modules are above; modules that lie on a cycle, or below one, have no chain."""
+    up = closure(parents.select(F.col("node").alias("root"), F.col("parent").alias("node")), parents.select(F.col("node").alias("src"), F.col("parent").alias("dst")))
+    cyclic = up.filter("root = node").select(F.col("node").alias("bad")).distinct()
+    lost = up.join(cyclic, F.col("node") == F.col("bad"), "left_semi").select("root").union(cyclic).distinct()
+    return up.join(lost, "root", "left_anti").groupBy(F.col("root").alias("node")).agg(F.count(F.lit(1)).alias("ancestors"))
+
+
+def first_edges(found: DataFrame) -> DataFrame:
+    """found: (src, dst, ordinal).  Edges once each, in the order in which they were found first."""
+    return found.groupBy("src", "dst").agg(F.min("ordinal").alias("ordinal"))

@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df and reads it again: loops keep a short lineage, and lost executors cost single tasks."""
-    spark = df.sparkSession
+def path_for(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, removed when the driver's JVM ends."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -20,5 +19,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{where.rstrip('/')}/symloom-graph/{tag}-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Writes df and reads it again: loops keep a short lineage, and lost executors cost single tasks."""
+    path = path_for(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
