@@ -48,11 +48,10 @@ def scored(symbols: DataFrame, query: str) -> DataFrame:
 
 
 def _paged(rows: DataFrame, limit: int, order: list) -> DataFrame:
-    """The first rows in order, each with the total of all and whether some were left out.  The total is one
-    small aggregate, so ordering stays a top-k and no row is sent to a single task but the top ones."""
-    total = rows.agg(F.count(F.lit(1)).alias("total_matches"))
-    top = rows.orderBy(*order).limit(limit)
-    return top.join(F.broadcast(total)).withColumn("truncated", F.col("total_matches") > limit)
+    """The first rows in order, each with the total of all and whether some were left out.  The total is a
+    scalar subquery, so ordering stays a top-k and no row is sent to a single task but the top ones."""
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    return rows.orderBy(*order).limit(limit).withColumns({"total_matches": total, "truncated": total > limit})
 
 
 def search(symbols: DataFrame, query: str, limit: int = DEFAULT_SEARCH, file_path_contains: str | None = None, node_kind: str | None = None) -> DataFrame:

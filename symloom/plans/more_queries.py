@@ -208,7 +208,7 @@ def buffer_stream(spark, sf):
     from symloom.streaming import buffers
 
     schema = C.read(spark, sf, "conversations").schema
-    log = spark.readStream.schema(schema).parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").cast("long").alias("version"), F.col("text").alias("source"))
+    log = spark.readStream.schema(schema).parquet(f"{sf}/conversations.parquet*").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").cast("long").alias("version"), F.col("text").alias("source"))
     name, where = "symloom_buffers", path_for(spark, "stream")
     run = buffers.streamed(log.select("path", "version")).writeStream.outputMode("update").option("checkpointLocation", where)
     out = path_for(spark, "stream-out")
