@@ -62,8 +62,7 @@ def repeated_words(windows: Column, width: int = WINDOW) -> Column:
     )
 
 
-def line_fails(line: Column) -> Column:
-    words = F.split(F.btrim(line, F.lit(SPACE)), SPACES)
+def line_fails(line: Column, words: Column) -> Column:
     chars, n_words = F.length(line), F.size(words)
     symbols = chars - F.length(F.regexp_replace(line, LINE_SYMBOLS, ""))
     punctuation = symbols * 10 >= chars
@@ -79,12 +78,15 @@ def measure(docs: DataFrame) -> DataFrame:
     """All columns of docs in ``row``, and the counts, the verdict and the cleaned text."""
     text = F.col("text")
     rows = packed(docs).select("row", text_of(F.col("row.text")).alias("text"))
-    rows = rows.select("row", "text", words_of(text).alias("words"), F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0).alias("lines"))
+    # words never cross lines: each line is split once, and the text's words are those of its lines
+    parts = F.filter(F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), words_of(x).alias("words"))), lambda p: F.size(p["words"]) > 0)
+    rows = rows.select("row", "text", parts.alias("parts"))
+    rows = rows.select("row", "text", "parts", F.col("parts.line").alias("lines"), F.flatten("parts.words").alias("words"))
     n = F.size("words")
     windows = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))
     )
-    rows = rows.select("row", "text", "words", "lines", windows.alias("windows"), F.filter("lines", lambda x: ~line_fails(x)).alias("good"))
+    rows = rows.select("row", "text", "words", "lines", windows.alias("windows"), F.transform(F.filter("parts", lambda p: ~line_fails(p["line"], p["words"])), lambda p: p["line"]).alias("good"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + F.length(x))
     counted = rows.select(
         "row", "good",
