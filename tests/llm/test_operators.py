@@ -365,6 +365,10 @@ def test_pii_base_fuzz():
         ("іnfo@exаmple.com", "email", "іnfo@exаmple.com"),
         ("call plus one five five five zero one two three four five six ok", "phone", "plus one five five five zero one two three four five six"),
         ("ip 10 dot 0 dot 0 dot 1 x", "ip", "10 dot 0 dot 0 dot 1"),
+        ("mail hein.19 at mail5.example.com today", "email", "hein.19 at mail5.example.com"),
+        ("jane&#64;example&period;com", "email", "jane&#64;example&period;com"),
+        ("host 10[.]0[.]0[.]1", "ip", "10[.]0[.]0[.]1"),
+        ("card 4111.1111.1111.1111 end", "card", "4111.1111.1111.1111"),
         ("vier " + "eins " * 15, "card", "vier " + "eins " * 14 + "eins"),
     ],
 )
@@ -373,7 +377,7 @@ def test_pii_disguises(text, kind, found):
     assert [(pii.KINDS[k], text[a:b]) for k, a, b in more] == [(kind, found)] and base == []
 
 
-@pytest.mark.parametrize("text", ["", "we met at noon", "one two three go", "at the dot of ten", "see (at) dawn", "1" * 100000, "a" * 100000 + "@", "+" * 50000, "one " * 20000])
+@pytest.mark.parametrize("text", ["", "we met at noon", "one two three go", "at the dot of ten", "see (at) dawn", "look at example.com now", "the site. at example.com", "1234.5678.9012.3456", "1" * 100000, "a" * 100000 + "@", "+" * 50000, "one " * 20000])
 def test_pii_leaves_clean_text(text):
     assert pii.find(text) == ([], [])
 
