@@ -54,6 +54,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text that go to a Python worker at once.  Spark's own default, 10,000, is some 30 MB of short documents and
+#: far more of long ones, and both sides keep buffers of the largest batch.
+BATCH_ROWS, _BATCH_CONF = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's rows a batch to BATCH_ROWS if they are more."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(_BATCH_CONF, BATCH_ROWS)
+    return df
+
+
 def text_of(column: Column | str = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import id_bucket, materialize, text_of
+from symloom.llm.common import bounded_batches, id_bucket, materialize, text_of
 
 DEPTH, FOLDS, HELD_OUT = 4, 7, 2
 #: Bytes of text that a chunk holds about; bytes whose strings are sorted at once.
@@ -257,7 +257,7 @@ def _score(n_tokens: int):
 def decisions(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte for every row."""
     text = text_of()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_bucket("doc_id", FOLDS) != HELD_OUT).alias("learn"), text.alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (id_bucket("doc_id", FOLDS) != HELD_OUT).alias("learn"), text.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     chunks = -(-size // chunk_bytes) or 1
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import id_bucket, text_of
+from symloom.llm.common import bounded_batches, id_bucket, text_of
 
 #: Rows whose crc32(doc_id as text) mod FOLDS is 0 are held out.
 FOLDS = 5
@@ -36,7 +36,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, per_class:
     chosen = [_smallest(p, rows) for p in parts]
     ids = chosen[0].unionAll(chosen[1]) if per_class else chosen[0]
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows_ = docs.select("doc_id", lang.alias("lang"), text_of().alias("text")).join(F.broadcast(ids), "doc_id")
+    rows_ = bounded_batches(docs).select("doc_id", lang.alias("lang"), text_of().alias("text")).join(F.broadcast(ids), "doc_id")
     schema = f"doc_id long, lang string, y int, x {kind}"
 
     def run(batches):

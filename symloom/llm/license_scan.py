@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symloom.llm.common import materialize, text_of
+from symloom.llm.common import bounded_batches, materialize, text_of
 
 K, DRIFT, MIN_COVER = 4, 8, 0.8
 
@@ -123,7 +123,7 @@ def template_positions(spark, templates: dict[str, list[str]], k: int) -> DataFr
 def votes(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, k: int = K) -> DataFrame:
     """doc_id, mark, hits: for every document with a match, its diagonals with the positions that voted for them."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
     grams = rows.mapInArrow(_gram_rows(k), "doc_id long, mark long, grams array<long>").select("doc_id", "mark", F.posexplode("grams").alias("pos", "gram"))
     met = grams.join(F.broadcast(template_positions(spark, templates, k)), "gram")
     diagonal = met.groupBy("doc_id", "mark", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.array_sort(F.collect_set("pos")).alias("at"))
@@ -177,7 +177,7 @@ def phrase_places(words: list[bytes], phrases: dict[str, str]) -> tuple[list[int
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, k: int = K, drift: int = DRIFT, min_cover: float = MIN_COVER) -> DataFrame:
     """One row per document: counts and labels, and spans, an array of (label, start, end, cover) in words."""
     hits = materialize(votes(docs, templates, k), "license-votes")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
     same = rows["doc_id"].eqNullSafe(hits["doc_id"]) & (rows["mark"] == hits["mark"])
     # hits has few rows as a rule; Spark knows the written table's size and broadcasts it only if it is small
     met = rows.join(hits, same, "left").select(rows["doc_id"], rows["text"], hits["hits"])

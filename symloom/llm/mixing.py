@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.common import materialize, packed, text_of, unpacked
+from symloom.llm.common import bounded_batches, materialize, packed, text_of, unpacked
 
 WEIGHTS, CEILING, BLOCK, LANDING, SEED = (1, 2, 3), 3, 4000, 14, 17
 #: The table of sources, a dimension, is held by the driver and broadcast: this bounds it to some 100 MB.
@@ -38,7 +38,7 @@ def _measure(batches):
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and mark, a hash of the text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
     return rows.mapInArrow(_measure, "doc_id long, source string, size long, mark long")
 
 

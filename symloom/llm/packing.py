@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.common import materialize, text_of
+from symloom.llm.common import bounded_batches, materialize, text_of
 
 CAPACITY, END = 2048, 0
 #: Lengths above capacity / LARGE are grouped, for each LARGE; groups; rows that one salted part of a length has about.
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[str, str
             yield pa.RecordBatch.from_arrays(columns, list(out)[: len(columns)])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(tokenize, schema)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(tokenize, schema)
 
 
 def grouped(lengths: list[tuple[int, int]], groups: int) -> list[list[tuple[int, int]]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import packed, text_of, unpacked
+from symloom.llm.common import bounded_batches, packed, text_of, unpacked
 from symloom.llm.labelled import held_out, sample
 
 SAMPLE, ACCEPT = 20_000, 0.3
@@ -172,14 +172,14 @@ def decisions(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFra
             s = sent.value.scores(_table(b.column(2)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= ACCEPT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of().alias("text"))
+    columns = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of().alias("text"))
     return columns.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, accept: float = ACCEPT) -> DataFrame:
     """The rows of docs with a score of accept or more, with all their columns; no exchange."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
-    inside = packed(docs).select("row", text_of(F.col("row.text")).alias("text"))
+    inside = packed(bounded_batches(docs)).select("row", text_of(F.col("row.text")).alias("text"))
 
     def chosen(batches):
         for b in batches:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.common import materialize, packed, text_of, unpacked
+from symloom.llm.common import bounded_batches, materialize, packed, text_of, unpacked
 from symloom.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -68,7 +68,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, code): mark is a hash of the text, code holds the 64 bits as a signed long."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
     return rows.mapInArrow(_fingerprints, "doc_id long, mark long, code long")
 
 
