@@ -64,12 +64,22 @@ direct AS (SELECT DISTINCT module, name, module || '.' || name AS definer FROM m
 walk(module, name, definer) AS (SELECT * FROM direct UNION SELECT n.module, n.name, w.definer FROM walk w JOIN named n ON n.target = w.module AND n.target_name = w.name)
 SELECT module, name, min(definer) AS definer FROM walk GROUP BY ALL HAVING count(DISTINCT definer) = 1""", False)
 def import_chains(spark, sf):
-    m = C.read(spark, sf, "orders").filter("o_orderkey % 7 = 0 AND o_orderkey < 3000").selectExpr("o_orderkey AS id", "concat('m', o_custkey % 60) AS module", "concat('x', o_orderkey % 20) AS name")
+    """Over a subset of the orders, as its SQL says; ``import_chains_all`` takes them all."""
+    return _chained(C.read(spark, sf, "orders").filter("o_orderkey % 7 = 0 AND o_orderkey < 3000"))
+
+
+def _chained(orders):
+    m = orders.selectExpr("o_orderkey AS id", "concat('m', o_custkey % 60) AS module", "concat('x', o_orderkey % 20) AS name")
     direct = m.filter("id % 2 = 0").selectExpr("module", "name", "concat(module, '.', name) AS definer").distinct()
     named = m.filter("id % 2 = 1").selectExpr("module", "concat('y', id % 9) AS name", "concat('m', id % 61) AS target", "name AS target_name").distinct()
     return graph.re_exports(direct, named, named.select("module", "target").limit(0))
 
 
+@registered(B.without(ORACLE["import_chains"], " WHERE o_orderkey % 7 = 0 AND o_orderkey < 3000"), False)
+def import_chains_all(spark, sf):
+    return _chained(C.read(spark, sf, "orders"))
+
+
 # ---- resolution -------------------------------------------------------------------------------------------------
 
 
