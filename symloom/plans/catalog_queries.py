@@ -528,7 +528,13 @@ def scan_predicates(spark, sf):
 
 @registered("SELECT file_path FROM files UNION SELECT file_path || '.new' FROM overlay ORDER BY file_path LIMIT 300")
 def path_union_sorted(spark, sf):
-    return C.files(spark, sf).select("file_path").union(C.overlay(spark, sf).select(F.concat("file_path", F.lit(".new")))).distinct().orderBy("file_path").limit(300)
+    """The first 300 in order, as its SQL says; ``path_union_all`` returns them all."""
+    return path_union_all(spark, sf).orderBy("file_path").limit(300)
+
+
+@registered(without(ORACLE["path_union_sorted"], " ORDER BY file_path LIMIT 300"), False)
+def path_union_all(spark, sf):
+    return C.files(spark, sf).select("file_path").union(C.overlay(spark, sf).select(F.concat("file_path", F.lit(".new")))).distinct()
 
 
 @registered("""i AS (SELECT doc_id AS import_id, '/ws/' || source || '/' || lang || '/' || doc_id || '.py' AS file_path, CASE doc_id % 3 WHEN 0 THEN '.m' || (doc_id % 7) WHEN 1 THEN '..pkg' ELSE 'm' || (doc_id % 5) END AS module, source, lang FROM documents),

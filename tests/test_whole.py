@@ -46,3 +46,12 @@ def test_import_chains_of_all_orders(spark):
     direct = {(m, x, f"{m}.{x}") for i, m, x in rows if i % 2 == 0}
     want = spread(direct, {(m, f"y{i % 9}", f"m{i % 61}", x) for i, m, x in rows if i % 2}, set())
     assert {tuple(r) for r in entry.queries()["import_chains_all"](spark, SF).select("module", "name", "definer").collect()} == want and want
+
+
+def test_path_union_has_every_path(spark):
+    """More than 300 paths."""
+    sf = SF.replace("0.001", "0.01")
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "lang").collect()
+    paths = {r["doc_id"]: f"/ws/{r['source']}/{r['lang']}/{r['doc_id']}.txt" for r in d}
+    want = sorted({*paths.values(), *(p + ".new" for i, p in paths.items() if i % 50 == 0)})
+    assert sorted(r[0] for r in entry.queries()["path_union_all"](spark, sf).collect()) == want and len(want) > 300
