@@ -136,29 +136,59 @@ ranked AS (SELECT *, CASE WHEN file_path <> ctx_file AND contains(semantic_path,
 """
 
 
-def _contexts(spark, sf):
+def _contexts(spark, sf, callers="start_byte % 50 = 0"):
     s = C.symbols(spark, sf)
-    p = s.filter("node_kind = 'declaration' AND start_byte % 50 = 0").select(F.col("symbol_id").alias("caller"), F.col("file_path").alias("ctx_file"), F.col("scope_path").alias("ctx_scope"), "base_name")
+    p = s.filter("node_kind = 'declaration'").filter(callers).select(F.col("symbol_id").alias("caller"), F.col("file_path").alias("ctx_file"), F.col("scope_path").alias("ctx_scope"), "base_name")
     met = p.join(s, "base_name")
     return met.withColumns({"included": F.col("start_byte") % 30 == 0, "companion": F.col("start_byte") % 70 == 0})
 
 
 @registered(CONTEXT + "SELECT caller, symbol_id, r AS rank FROM ranked QUALIFY row_number() OVER (PARTITION BY caller ORDER BY r DESC, file_path, start_byte, end_byte, symbol_id) = 1")
 def context_rank_best(spark, sf):
+    """For a set of callers, against all symbols; ``context_rank_best_all`` takes every caller."""
+    return _context_best(_contexts(spark, sf))
+
+
+def _context_best(contexts):
     rank = query.context_rank(F.col("ctx_file"), F.col("included"), F.col("companion"))
-    return query.best_of(_contexts(spark, sf), ["caller"], rank).select("caller", "symbol_id", "rank")
+    return query.best_of(contexts, ["caller"], rank).select("caller", "symbol_id", "rank")
+
+
+@registered(without(ORACLE["context_rank_best"], " AND p.start_byte % 50 = 0"), False)
+def context_rank_best_all(spark, sf):
+    return _context_best(_contexts(spark, sf, "true"))
 
 
 @registered(CONTEXT + "SELECT caller, symbol_id, r + CASE WHEN scope_path = ctx_scope THEN 500 ELSE 0 END AS rank FROM ranked QUALIFY row_number() OVER (PARTITION BY caller ORDER BY r + CASE WHEN scope_path = ctx_scope THEN 500 ELSE 0 END DESC, file_path, start_byte, end_byte, symbol_id) = 1")
 def resolver_rank_best(spark, sf):
+    """For a set of callers, against all symbols; ``resolver_rank_best_all`` takes every caller."""
+    return _resolver_best(_contexts(spark, sf))
+
+
+def _resolver_best(contexts):
     rank = query.resolver_rank(F.col("ctx_file"), F.col("included"), F.col("companion"), F.col("ctx_scope"))
-    return query.best_of(_contexts(spark, sf), ["caller"], rank).select("caller", "symbol_id", "rank")
+    return query.best_of(contexts, ["caller"], rank).select("caller", "symbol_id", "rank")
+
+
+@registered(without(ORACLE["resolver_rank_best"], " AND p.start_byte % 50 = 0"), False)
+def resolver_rank_best_all(spark, sf):
+    return _resolver_best(_contexts(spark, sf, "true"))
 
 
 @registered(CONTEXT + ", t AS (SELECT *, max(r) OVER (PARTITION BY caller) AS m FROM ranked) SELECT caller, count(*) AS candidate_count, min(symbol_id) AS first_candidate FROM t WHERE r = m GROUP BY caller")
 def all_at_best_rank(spark, sf):
+    """For a set of callers, against all symbols; ``all_at_best_rank_all`` takes every caller."""
+    return _at_best(_contexts(spark, sf))
+
+
+def _at_best(contexts):
     rank = query.context_rank(F.col("ctx_file"), F.col("included"), F.col("companion"))
-    return query.all_best(_contexts(spark, sf), ["caller"], rank).groupBy("caller").agg(F.max("candidate_count").alias("candidate_count"), F.min("symbol_id").alias("first_candidate"))
+    return query.all_best(contexts, ["caller"], rank).groupBy("caller").agg(F.max("candidate_count").alias("candidate_count"), F.min("symbol_id").alias("first_candidate"))
+
+
+@registered(without(ORACLE["all_at_best_rank"], " AND p.start_byte % 50 = 0"), False)
+def all_at_best_rank_all(spark, sf):
+    return _at_best(_contexts(spark, sf, "true"))
 
 
 # ---- identity ---------------------------------------------------------------------------------------------------
@@ -233,6 +263,8 @@ ROOTS = "roots AS (SELECT symbol_id AS root_id FROM symbols WHERE node_kind IN (
 
 
 def _roots(spark, sf):
+    """The query set of traces and neighbourhoods: every 13th class or function by place.  Each root is answered from all
+    symbols and edges."""
     return C.symbols(spark, sf).filter("node_kind IN ('class_definition', 'function_definition') AND start_byte % 130 = 0").select(F.col("symbol_id").alias("root_id"))
 
 
@@ -350,17 +382,23 @@ top AS (SELECT * FROM met QUALIFY r = max(r) OVER (PARTITION BY src, name))
 """
 
 
-def _refs(spark, sf):
+def _refs(spark, sf, which="start_byte % 40 = 0"):
     s = C.symbols(spark, sf)
     p = C.read(spark, sf, "part")
-    return s.filter("node_kind = 'declaration' AND start_byte % 40 = 0").join(p, F.col("p_partkey") == F.expr("start_byte div 10")).select(F.col("symbol_id").alias("src"), F.col("file_path").alias("src_file"), F.lit("x").alias("family"), F.col("p_name").alias("name"))
+    return s.filter("node_kind = 'declaration'").filter(which).join(p, F.col("p_partkey") == F.expr("start_byte div 10")).select(F.col("symbol_id").alias("src"), F.col("file_path").alias("src_file"), F.lit("x").alias("family"), F.col("p_name").alias("name"))
 
 
 @registered(REFS + "SELECT DISTINCT src, min(dst) AS dst FROM top GROUP BY src, name HAVING count(DISTINCT dst) = 1")
 def resolve_edges(spark, sf):
+    """A quarter of the references, as its SQL says; ``resolve_edges_all`` resolves them all."""
     return resolve.edges(_refs(spark, sf), C.symbols(spark, sf).withColumn("family", F.lit("x")))
 
 
+@registered(without(ORACLE["resolve_edges"], " AND s.start_byte % 40 = 0"), False)
+def resolve_edges_all(spark, sf):
+    return resolve.edges(_refs(spark, sf, "true"), C.symbols(spark, sf).withColumn("family", F.lit("x")))
+
+
 @registered("""names AS (SELECT p_name AS name, min(p_partkey) AS ref_id FROM part GROUP BY p_name UNION ALL SELECT 'no ' || r_name, -r_regionkey - 1 FROM region UNION ALL SELECT n_name, -100 - n_nationkey FROM nation),
 met AS (SELECT ref_id, symbol_id, """ + RANK + """ AS r FROM names LEFT JOIN symbols ON base_name = name), best AS (SELECT * FROM met QUALIFY symbol_id IS NULL OR r = max(r) OVER (PARTITION BY ref_id))
 SELECT ref_id, count(symbol_id) AS candidates, CASE WHEN count(symbol_id) = 0 THEN 'unresolved' WHEN count(symbol_id) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM best GROUP BY ref_id""")
@@ -374,22 +412,41 @@ def reference_diagnostics(spark, sf):
 exact AS (SELECT ref_id, symbol_id, 'exact' AS step FROM refs JOIN symbols ON semantic_path = name)
 SELECT * FROM exact UNION ALL SELECT ref_id, symbol_id, 'template' FROM refs JOIN symbols ON semantic_path = regexp_replace(name, '<.*>$', '') WHERE contains(name, '<') AND ref_id NOT IN (SELECT ref_id FROM exact)""")
 def template_fallback(spark, sf):
-    p = C.read(spark, sf, "part").filter("p_partkey % 5 = 0")
-    refs = p.selectExpr("p_partkey AS ref_id", "CASE WHEN p_partkey % 3 = 0 THEN concat(p_brand, '::', p_name) ELSE concat(p_brand, '::', p_name, '<', p_type, '<int>>') END AS name")
-    return resolve.by_path(refs, C.symbols(spark, sf)).select("ref_id", F.col("dst").alias("symbol_id"), "step")
+    """A fifth of the references, as its SQL says; ``template_fallback_all`` resolves them all."""
+    return _by_path(C.read(spark, sf, "part").filter("p_partkey % 5 = 0"), C.symbols(spark, sf))
+
+
+def _by_path(parts, symbols):
+    refs = parts.selectExpr("p_partkey AS ref_id", "CASE WHEN p_partkey % 3 = 0 THEN concat(p_brand, '::', p_name) ELSE concat(p_brand, '::', p_name, '<', p_type, '<int>>') END AS name")
+    return resolve.by_path(refs, symbols).select("ref_id", F.col("dst").alias("symbol_id"), "step")
+
+
+@registered(without(ORACLE["template_fallback"], " WHERE p_partkey % 5 = 0"), False)
+def template_fallback_all(spark, sf):
+    return _by_path(C.read(spark, sf, "part"), C.symbols(spark, sf))
 
 
 @registered("""cand AS (SELECT a.symbol_id AS src, a.file_path AS src_file, a.start_byte AS at_byte, b.symbol_id AS dst, b.file_path AS dst_file, b.start_byte FROM symbols a JOIN symbols b USING (base_name) WHERE a.node_kind = 'declaration' AND a.start_byte % 60 = 0 AND a.symbol_id <> b.symbol_id),
 inc AS (SELECT DISTINCT '/ws/parts/' || p_brand || '.cpp' AS src_file, '/ws/parts/Brand#' || (p_size % 5 + 1) || (p_size % 3 + 1) || '.cpp' AS dst_file FROM part WHERE p_partkey % 20 = 0)
 SELECT src, dst, i.src_file IS NOT NULL AS included FROM cand c LEFT JOIN inc i USING (src_file, dst_file) WHERE (c.src_file = c.dst_file AND start_byte < at_byte) OR i.src_file IS NOT NULL""")
 def visible_before(spark, sf):
+    """Callers and includes of a subset, as its SQL says; ``visible_before_all`` takes them all."""
+    return _visible(spark, sf, "start_byte % 60 = 0", "p_partkey % 20 = 0")
+
+
+def _visible(spark, sf, callers, includes):
     s = C.symbols(spark, sf)
-    a = s.filter("node_kind = 'declaration' AND start_byte % 60 = 0").select(F.col("symbol_id").alias("src"), F.col("file_path").alias("src_file"), F.col("start_byte").alias("at_byte"), "base_name")
+    a = s.filter("node_kind = 'declaration'").filter(callers).select(F.col("symbol_id").alias("src"), F.col("file_path").alias("src_file"), F.col("start_byte").alias("at_byte"), "base_name")
     cand = a.join(s.select("base_name", F.col("symbol_id").alias("dst"), F.col("file_path").alias("dst_file"), "start_byte"), "base_name").filter("src <> dst")
-    inc = C.read(spark, sf, "part").filter("p_partkey % 20 = 0").selectExpr("concat('/ws/parts/', p_brand, '.cpp') AS root", "concat('/ws/parts/Brand#', p_size % 5 + 1, p_size % 3 + 1, '.cpp') AS node")
+    inc = C.read(spark, sf, "part").filter(includes).selectExpr("concat('/ws/parts/', p_brand, '.cpp') AS root", "concat('/ws/parts/Brand#', p_size % 5 + 1, p_size % 3 + 1, '.cpp') AS node")
     return resolve.visible_before(cand, inc).select("src", "dst", "included")
 
 
+@registered(without(ORACLE["visible_before"], " AND a.start_byte % 60 = 0", " WHERE p_partkey % 20 = 0"), False)
+def visible_before_all(spark, sf):
+    return _visible(spark, sf, "true", "true")
+
+
 @registered("""i AS (SELECT 'f' || (o_custkey % 200) AS file_path, 'n' || (o_orderkey % 60) AS local_name, o_orderpriority AS target FROM orders)
 SELECT file_path, local_name, target FROM i QUALIFY count(*) OVER (PARTITION BY file_path, local_name) = 1""", True)
 def import_unique(spark, sf):

@@ -85,13 +85,23 @@ def import_chains_all(spark, sf):
 
 @registered(B.REFS + "SELECT DISTINCT src, min(dst) AS dst FROM top GROUP BY src, name HAVING count(DISTINCT dst) = 1")
 def partial_resolution(spark, sf):
-    """Stored edges of untouched callers and new ones of impacted callers: equal to a full rebuild."""
-    refs, symbols = B._refs(spark, sf), C.symbols(spark, sf).withColumn("family", F.lit("x"))
+    """Stored edges of untouched callers and new ones of impacted callers: equal to a full rebuild.  A quarter of the
+    references, as its SQL says; ``partial_resolution_all`` takes them all."""
+    return _partly(spark, sf, B._refs(spark, sf))
+
+
+def _partly(spark, sf, refs):
+    symbols = C.symbols(spark, sf).withColumn("family", F.lit("x"))
     stored = materialize(resolve.edges(refs, symbols), "stored-edges")
     impacted = refs.filter("length(src) % 2 = 0").select("src").distinct()
     return stored.join(impacted, "src", "left_anti").unionByName(resolve.edges(refs.join(impacted, "src", "left_semi"), symbols))
 
 
+@registered(B.without(ORACLE["partial_resolution"], " AND s.start_byte % 40 = 0"), False)
+def partial_resolution_all(spark, sf):
+    return _partly(spark, sf, B._refs(spark, sf, "true"))
+
+
 @registered("SELECT l_orderkey AS symbol, 'f' || (l_linenumber % 3) AS name, string_agg(DISTINCT n::VARCHAR, ',' ORDER BY n::VARCHAR) AS arities FROM (SELECT *, CAST(floor(l_quantity) AS BIGINT) % 4 AS n FROM lineitem) GROUP BY ALL", False)
 def call_arities(spark, sf):
     li = C.read(spark, sf, "lineitem").selectExpr("l_orderkey AS symbol", "concat('f', l_linenumber % 3) AS name", "cast(floor(l_quantity) AS bigint) % 4 AS n")
@@ -102,11 +112,21 @@ def call_arities(spark, sf):
 f AS (SELECT symbol_id, base_name, (start_byte // 10) % 3 AS k FROM symbols WHERE node_kind = 'declaration' AND start_byte % 170 = 0)
 SELECT call_id, min(symbol_id) AS symbol_id FROM c JOIN f ON name = base_name AND k = n GROUP BY call_id HAVING count(DISTINCT symbol_id) = 1""")
 def arity_resolution(spark, sf):
-    f = C.symbols(spark, sf).filter("node_kind = 'declaration' AND start_byte % 170 = 0").withColumn("parameters", F.transform(F.expr("slice(array('int a', 'int b'), 1, cast((start_byte div 10) % 3 AS int))"), lambda x: x))
-    c = C.read(spark, sf, "part").filter("p_partkey % 4 = 0").selectExpr("p_partkey AS call_id", "p_name AS name", "p_size % 3 AS n")
+    """Calls and declarations of a subset, as its SQL says; ``arity_resolution_all`` takes them all."""
+    return _by_arity(spark, sf, "start_byte % 170 = 0", "p_partkey % 4 = 0")
+
+
+def _by_arity(spark, sf, declarations, calls):
+    f = C.symbols(spark, sf).filter("node_kind = 'declaration'").filter(declarations).withColumn("parameters", F.transform(F.expr("slice(array('int a', 'int b'), 1, cast((start_byte div 10) % 3 AS int))"), lambda x: x))
+    c = C.read(spark, sf, "part").filter(calls).selectExpr("p_partkey AS call_id", "p_name AS name", "p_size % 3 AS n")
     return resolve.by_arity(c, f.select("symbol_id", "base_name", "parameters"))
 
 
+@registered(B.without(ORACLE["arity_resolution"], " WHERE p_partkey % 4 = 0", " AND start_byte % 170 = 0"), False)
+def arity_resolution_all(spark, sf):
+    return _by_arity(spark, sf, "true", "true")
+
+
 @registered("SELECT l_partkey AS src, l_suppkey AS dst, min(l_orderkey * 10 + l_linenumber) AS ordinal FROM lineitem GROUP BY ALL", False)
 def first_edge_wins(spark, sf):
     return graph.first_edges(C.read(spark, sf, "lineitem").selectExpr("l_partkey AS src", "l_suppkey AS dst", "l_orderkey * 10 + l_linenumber AS ordinal"))
@@ -155,7 +175,7 @@ def owners_by_family(spark, sf):
 nb AS (SELECT root_id, count(DISTINCT id) AS nodes FROM walk GROUP BY root_id), c AS (SELECT dst AS root_id, count(DISTINCT src) AS callers FROM edges GROUP BY dst), d AS (SELECT src AS root_id, count(DISTINCT dst) AS callees FROM edges GROUP BY src)
 SELECT root_id, coalesce(callers, 0) AS callers, coalesce(callees, 0) AS callees, nodes FROM roots LEFT JOIN c USING (root_id) LEFT JOIN d USING (root_id) JOIN nb USING (root_id)""")
 def discovery_context(spark, sf):
-    """Trace and neighbourhood of many roots at once."""
+    """Trace and neighbourhood of many roots at once: the query set of ``catalog_queries._roots``, against all symbols and edges."""
     s, e, roots = C.symbols(spark, sf), C.edges(spark, sf), B._roots(spark, sf)
     nodes, _ = graph.neighborhood(s, e, roots, "callees", 2, 10_000)
     near = nodes.groupBy("root_id").agg(F.count(F.lit(1)).alias("nodes"))
@@ -207,7 +227,7 @@ def name_coupling(spark, sf):
 
 @registered()
 def patch_sarif(spark, sf):
-    d = B._decided(spark, sf).filter("status <> 'resolved' AND patch_id % 50 = 0")
+    d = B._decided(spark, sf).filter("status <> 'resolved'")
     issues = d.select("patch_id", F.concat(F.lit("binding-"), "status").alias("rule"), F.when(F.col("status") == "unresolved", "error").otherwise("warning").alias("level"), F.col("name").alias("message"), F.concat(F.lit("/ws/"), F.col("patch_id").cast("string"), F.lit(".py")).alias("file_path"))
     return patch.sarif(issues.select("patch_id").distinct(), issues)
 

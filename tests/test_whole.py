@@ -55,3 +55,19 @@ def test_path_union_has_every_path(spark):
     paths = {r["doc_id"]: f"/ws/{r['source']}/{r['lang']}/{r['doc_id']}.txt" for r in d}
     want = sorted({*paths.values(), *(p + ".new" for i, p in paths.items() if i % 50 == 0)})
     assert sorted(r[0] for r in entry.queries()["path_union_all"](spark, sf).collect()) == want and len(want) > 300
+
+
+WHOLE = "resolve_edges partial_resolution arity_resolution template_fallback visible_before context_rank_best resolver_rank_best all_at_best_rank".split()
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_all_rows_are_fed(spark, name):
+    """A subset's answers aren't the whole's; the whole is compared with its SQL in test_queries."""
+    whole, part = (entry.queries()[n](spark, SF).count() for n in (f"{name}_all", name))
+    assert whole > part
+
+
+def test_every_blocked_patch_has_a_sarif_run(spark):
+    failed = {r["patch_id"] for r in entry.queries()["binding_decisions"](spark, SF).filter("status <> 'resolved'").collect()}
+    got = [r["patch_id"] for r in entry.queries()["patch_sarif"](spark, SF).collect()]
+    assert sorted(got) == sorted(failed) and any(i % 50 for i in got)
