@@ -107,9 +107,16 @@ DIGIT_WORDS = {
 _OPEN, _SHUT = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _AT, _DOT = r"(?:at|arroba|arobase)", r"(?:dot|punkt|point|punto)"
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-#: Digits and digit words in a row, seven or more, at least one of them spelled.
-_SPELLED = re.compile(rf"(?<!\w)(?i:(?:plus[\s-]{{1,3}}|\+\s{{0,3}})?(?:(?:{_WORD}|[0-9])(?:\s?(?i:{_DOT})\s|[\s,.()-]{{1,3}}|(?=[0-9]))){{6,}}(?:{_WORD}|[0-9]))(?!\w)")
+#: Four groups or more of one to three digits or digit words with plain or spelled dots between; or digits and digit words in a
+#: row, seven or more; at least one of them spelled.
+_DIGIT = rf"(?:(?:{_WORD})(?!\w)|[0-9])"
+_OCTET = rf"{_DIGIT}(?:[\s-]{{1,3}}{_DIGIT}|(?<=[0-9])[0-9]){{0,2}}"
+_SPELLED = re.compile(
+    rf"(?<![\w.])(?P<ip>(?i:{_OCTET}(?:(?:\.|\s{{1,3}}{_DOT}\s{{1,3}}){_OCTET}){{3,15}}))(?!\w)(?!(?i:\s{{1,3}}{_DOT}\s|[\s,.()-]{{1,3}})(?i:{_DIGIT}))"
+    rf"|(?<!\w)(?i:(?:plus[\s-]{{1,3}}|\+\s{{0,3}})?(?:(?:{_WORD}|[0-9])(?:\s?(?i:{_DOT})\s|[\s,.()-]{{1,3}}|(?=[0-9]))){{6,}}(?:{_WORD}|[0-9]))(?!\w)"
+)
 _TOKEN = re.compile(rf"(?i:{_WORD})(?!\w)|[0-9]|(?i:plus)(?!\w)|\+|(?i:{_DOT})(?!\w)")
+_IP_TOKEN = re.compile(rf"{_TOKEN.pattern}|\.")
 _MARKS = re.compile(
     rf"(?P<at>\s{{0,3}}{_OPEN}(?i:{_AT}|@){_SHUT}\s{{0,3}})|(?P<dot>\s{{0,3}}{_OPEN}(?i:{_DOT}|\.){_SHUT}\s{{0,3}})"
     rf"|(?P<bareat>\s{{1,3}}(?i:{_AT})\s{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:\s{{1,3}}(?i:{_DOT})\s{{1,3}}[A-Za-z0-9-]{{1,63}})))"
@@ -124,14 +131,18 @@ _HINT = re.compile(rf"&(?:#|commat|period)|(?<=[A-Za-z0-9])\s(?i:{_AT})\s{{1,3}}
 _MAILBOX = re.compile(r"[A-Za-z0-9]+(?:[._%+-][A-Za-z0-9]+)+\Z")
 #: Four groups of four digits with marks other than a card's between them.
 _GROUPS = re.compile(r"[0-9]{4}([._/|:])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
-_DIGIT_HINT = re.compile(rf"&(?:#|commat|period)|(?<=[A-Za-z0-9])\s(?i:{_AT})\s{{1,3}}[A-Za-z0-9-]{{1,63}}\.[A-Za-z0-9]|(?<!\w)(?i:{_WORD})[\s,.()-]{{1,3}}(?i:{_WORD}|[0-9])(?!\w)")
+#: A digit word beside another or a digit, as any run that ``_SPELLED`` takes and that has a word has it.
+_NEXT = rf"(?:\s{{0,3}}(?i:{_DOT})\s{{1,3}}|[\s,.()-]{{1,3}})"
+_SPELLED_HINT = rf"(?<!\w)(?i:{_WORD})(?:{_NEXT}(?:(?i:{_WORD})(?:(?![^\W\d])|(?=(?i:{_DOT})\s))|[0-9])|[0-9])|[0-9]{_NEXT}(?i:{_WORD})(?!\w)"
+_DIGIT_HINT = re.compile(rf"&(?:#|commat|period)|(?<=[A-Za-z0-9])\s(?i:{_AT})\s{{1,3}}[A-Za-z0-9-]{{1,63}}\.[A-Za-z0-9]|{_SPELLED_HINT}")
 
 #: Quick tests that let nearly every clean text pass without the slower patterns: characters outside of plain Latin; words
 #: for digits and dots; a bare "at" before a domain; brackets and codes.
 _ODD = re.compile("[\u00a0\u00ad\u0131\u0250-\U0010ffff]")
 _SOFT = re.compile(r"\s(?:[Aa][Tt]|[Aa]rroba|[Aa]robase|AROBASE|ARROBA)\s{1,3}[A-Za-z0-9-]{1,63}\.[A-Za-z0-9]")
 _SPOKEN = frozenset(w.encode() for w in [*DIGIT_WORDS, "dot", "punkt", "point", "punto"])
-_APART = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in ",.-()" else c for c in range(256))
+#: Only letters of these words, and digits, stay together.
+_APART = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c in "éü".encode() else 32 for c in range(256))
 
 
 @lru_cache(maxsize=1)
@@ -182,11 +193,11 @@ def plain_letters(t: Traced) -> Traced:
 
 
 def plain_digits(t: Traced) -> Traced:
-    """Each word of a run becomes its digit; what stands between goes with it, but a spelled dot stays a dot."""
+    """Each word of a run becomes its digit; what stands between goes with it, but a spelled dot stays a dot, and so do the plain dots of an address."""
 
     def edits():
         for run in _SPELLED.finditer(t.text):
-            tokens = list(_TOKEN.finditer(t.text, *run.span()))
+            tokens = list((_IP_TOKEN if run["ip"] else _TOKEN).finditer(t.text, *run.span()))
             if not any(x.group().lower() in DIGIT_WORDS for x in tokens):
                 continue
             for k, x in enumerate(tokens):
