@@ -125,8 +125,8 @@ _MARKS = re.compile(
     rf"|(?P<softat>\s{{1,3}}(?i:{_AT})\s{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}})+))"
     rf"|(?P<spaced>(?<=[A-Za-z0-9])\s{{1,2}}@\s{{1,2}}(?=[A-Za-z0-9-]{{1,63}}\.[A-Za-z]))"
 )
-#: A text without any of these characters or words has no disguise.
-_HINT = re.compile(rf"&(?:#|commat|period)|(?<=[A-Za-z0-9])\s(?i:{_AT})\s{{1,3}}[A-Za-z0-9-]{{1,63}}\.[A-Za-z0-9]|[\[({{<]\s{{0,3}}(?i:{_AT}|{_DOT}|@|\.)\s{{0,3}}[\])}}>]|\s(?i:{_DOT})\s|\s@\s")
+#: A text without any of these characters or words has no disguise: whatever ``_MARKS`` takes has one of them.
+_HINT = re.compile(rf"&(?:#|commat|period)|\s(?i:{_AT})\s{{1,3}}[A-Za-z0-9-]{{1,63}}\.[A-Za-z0-9-]|[\[({{<]\s{{0,3}}(?i:{_AT}|{_DOT}|@|\.)\s{{0,3}}[\])}}>]|\s(?i:{_DOT})\s|\s@\s")
 #: A name with an inner mark, as mailboxes have: before a bare "at" and a plain domain nothing else counts.
 _MAILBOX = re.compile(r"[A-Za-z0-9]+(?:[._%+-][A-Za-z0-9]+)+\Z")
 #: Four groups of four digits with marks other than a card's between them.
@@ -139,7 +139,7 @@ _DIGIT_HINT = re.compile(rf"&(?:#|commat|period)|(?<=[A-Za-z0-9])\s(?i:{_AT})\s{
 #: Quick tests that let nearly every clean text pass without the slower patterns: characters outside of plain Latin; words
 #: for digits and dots; a bare "at" before a domain; brackets and codes.
 _ODD = re.compile("[\u00a0\u00ad\u0131\u0250-\U0010ffff]")
-_SOFT = re.compile(r"\s(?:[Aa][Tt]|[Aa]rroba|[Aa]robase|AROBASE|ARROBA)\s{1,3}[A-Za-z0-9-]{1,63}\.[A-Za-z0-9]")
+_SOFT = re.compile(rf"\s(?i:{_AT})\s{{1,3}}[A-Za-z0-9-]{{1,63}}\.[A-Za-z0-9-]")
 _SPOKEN = frozenset(w.encode() for w in [*DIGIT_WORDS, "dot", "punkt", "point", "punto"])
 #: Only letters of these words, and digits, stay together.
 _APART = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c in "éü".encode() else 32 for c in range(256))

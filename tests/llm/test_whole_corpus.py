@@ -50,3 +50,15 @@ def test_digits_do_not_depend_on_quick_tests(monkeypatch):
     got = [pii.find(t) for t in texts]
     without_quick_tests(monkeypatch, ["_DIGIT_HINT", "_SPOKEN"])
     assert [(t, g) for t, g in zip(texts, got, strict=True) if pii.find(t) != g] == []
+
+
+@pytest.mark.parametrize("text", ["jane.doe  at example.com", "jane.doe \nat example.com", "jane.doe   ArrobA mail.example.com"])
+def test_spaces_before_at(text):
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.find(text)[1]] == [("email", text)]
+
+
+def test_no_verdict_depends_on_quick_tests(monkeypatch):
+    texts = [*fuzzed(2)]
+    got = [pii.find(t) for t in texts]
+    without_quick_tests(monkeypatch, ["_ODD", "_HINT", "_SOFT", "_DIGIT_HINT", "_SPOKEN"])
+    assert [(t, g) for t, g in zip(texts, got, strict=True) if pii.find(t) != g] == []
