@@ -5,7 +5,8 @@ rolling word k-grams of all documents are joined in Spark with the positions of
 fixed, small table, so it is broadcast).  Matches vote for a diagonal: position in the document minus position in
 the template.  Neighbouring diagonals that continue each other, as after a few inserted or missing words, are
 merged to one span, and a span is verified word by word against its template: it counts if the words that agree
-make up ``MIN_COVER`` of the template.
+make up ``MIN_COVER`` of the template.  Spans that fall short alone are chained in the template's order, as after longer
+insertions or replaced runs, and count together.
 
 Base phrases are counted exactly, wherever their words stand one after the other; their labels always stay.
 
@@ -16,6 +17,8 @@ whole texts are scanned at any length; an empty table gives an empty result.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -159,6 +162,40 @@ def verified(words: list[bytes], template: list[bytes], start: int, end: int, dr
     return a + blocks[0].a, a + blocks[-1].a + blocks[-1].size, sum(m.size for m in blocks) / len(template)
 
 
+def chained(words: list[bytes], template: list[bytes], pieces: list[tuple[int, int]], drift: int, k: int, min_cover: float) -> list[tuple[int, int, float]]:
+    """(first word, end word, cover) of what covers the template: pieces alone, and pieces that follow each other in the
+    document as in the template, whatever stands between them.  pieces: ordered by their first words.  Of the chains that
+    end at the same word of the template only the one that agrees most is kept, so a text's pieces cost the same each."""
+    spans: list[tuple[int, int, float]] = []
+    best: dict[int, tuple[int, list[tuple[int, int]]]] = {}  # end word in the template: words that agree, pieces
+    for start, end in pieces:
+        alone = verified(words, template, start, end, drift)
+        if alone[2] >= min_cover:
+            spans.append(alone)
+            continue
+        blocks = [m for m in SequenceMatcher(None, words[start:end], template, autojunk=False).get_matching_blocks() if m.size]
+        if not blocks:
+            continue
+        first, last, n = blocks[0].b, blocks[-1].b + blocks[-1].size, sum(m.size for m in blocks)
+        # grams at both sides of a gap may share words
+        before = [c for q, c in best.items() if q < last and q - first < k and c[1][-1][1] - start < k]
+        agree, chain = max(before, key=lambda c: (c[0], c[1][-1]), default=(0, []))
+        chain = [*chain, (start, end)]
+        if len(chain) > 1:
+            places: list[int] = []
+            for i, (a, b) in enumerate(chain):
+                stop = min(len(words), b + drift, chain[i + 1][0] if i + 1 < len(chain) else len(words))
+                places += range(max(0, a - drift, places[-1] + 1 if places else 0), stop)
+            s, e, cover = verified([words[at] for at in places], template, 0, len(places), 0)
+            if cover >= min_cover:
+                spans.append((places[s], places[e - 1] + 1, cover))
+                best = {}
+                continue
+        if last not in best or agree + n >= best[last][0]:
+            best[last] = agree + n, chain
+    return spans
+
+
 def phrase_places(words: list[bytes], phrases: dict[str, str]) -> tuple[list[int], set[str]]:
     found, labels = [], set()
     line = b" " + b" ".join(words) + b" "
@@ -195,10 +232,10 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases:
                 words = words_of(text.as_buffer().to_pybytes())
                 places, base = phrase_places(words, phrases)
                 spans = []
-                for t, start, end in merged(hit.as_py(), drift, k) if hit.is_valid else ():
+                pieces = merged(hit.as_py(), drift, k) if hit.is_valid else []
+                for t, own in groupby(sorted(pieces), key=itemgetter(0)):
                     label, template = flat[t]
-                    s, e, cover = verified(words, template, start, end, drift)
-                    if cover >= min_cover:
+                    for s, e, cover in chained(words, template, [(a, b) for _, a, b in own], drift, k, min_cover):
                         spans.append({"label": label, "start": s, "end": e, "cover": cover})
                 every = base | {s["label"] for s in spans}
                 score = max([float(bool(places)), *(s["cover"] for s in spans)])

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from symloom.llm import pii
+from symloom.llm import license_scan, pii
 
 
 @pytest.mark.parametrize(
@@ -62,3 +62,36 @@ def test_no_verdict_depends_on_quick_tests(monkeypatch):
     got = [pii.find(t) for t in texts]
     without_quick_tests(monkeypatch, ["_ODD", "_HINT", "_SOFT", "_DIGIT_HINT", "_SPOKEN"])
     assert [(t, g) for t, g in zip(texts, got, strict=True) if pii.find(t) != g] == []
+
+
+MIT = license_scan.TEMPLATES["mit"][0].split()
+
+
+@pytest.mark.parametrize("at", [20, 24, 27])
+@pytest.mark.parametrize("n", [9, 30, 400])
+def test_license_with_a_long_insertion(spark, at, n):
+    text = " ".join(["z"] * 30 + MIT[:at] + [f"y{i}" for i in range(n)] + MIT[at:] + ["z"] * 30)
+    (r,) = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r["labels"] == "mit" and [(s["start"], s["end"], s["cover"]) for s in r["spans"]] == [(30, 30 + len(MIT) + n, 1.0)]
+
+
+def cover_of(words):
+    words = [w.encode() for w in words]
+    template = [w.encode() for w in MIT]
+    at = {tuple(template[i : i + license_scan.K]): i for i in range(len(template) - license_scan.K + 1)}
+    hits = {}
+    for i in range(len(words)):
+        if (j := at.get(tuple(words[i : i + license_scan.K]))) is not None:
+            hits.setdefault(i - j, []).append(i)
+    pieces = license_scan.merged([{"template": 0, "diagonal": d, "at": x} for d, x in hits.items()], license_scan.DRIFT, license_scan.K)
+    return license_scan.chained(words, template, [(a, b) for _, a, b in pieces], license_scan.DRIFT, license_scan.K, license_scan.MIN_COVER)
+
+
+def test_license_pieces():
+    filler = [f"y{i}" for i in range(50)]
+    assert cover_of(MIT[:20] + filler[:9] + MIT[29:])[0][2] == pytest.approx(1 - 9 / len(MIT))  # a replaced run
+    assert cover_of(MIT[:15] + filler + MIT[15:30] + filler + MIT[30:])[0][2] == 1.0
+    assert cover_of(MIT[27:] + filler + MIT[:27]) == []  # out of order
+    assert cover_of(MIT[:20] + filler + MIT[35:]) == []  # too little of it
+    assert cover_of(MIT[:20] + filler + MIT[:20] + filler + MIT[:20]) == []
+    assert [x[2] for x in cover_of((MIT[:25] + filler + MIT[25:] + filler) * 3)] == [1.0] * 3
