@@ -120,14 +120,14 @@ def impact(before: DataFrame, after: DataFrame) -> DataFrame:
     return gone.unionByName(after.join(before, ["role", "symbol_id"], "left_anti").select(F.lit("added").alias("change"), "role", "symbol_id"))
 
 
-def re_exports(direct: DataFrame, named: DataFrame, star: DataFrame, max_rounds: int = 64) -> DataFrame:
+def re_exports(direct: DataFrame, named: DataFrame, star: DataFrame) -> DataFrame:
     """direct: (module, name, definer); named: (module, name, target, target_name); star: (module, target).  module, name,
     definer of every export with exactly one definer; a named export hides stars, ``default`` isn't passed by a star,
     cycles end in nothing."""
     own = direct.select("module", "name").unionByName(named.select("module", "name")).distinct()
     found = direct.select("module", "name", "definer").distinct()
     frontier = found
-    for _ in range(max_rounds):
+    while True:  # ends, as what is found only grows
         f = frontier.select(F.col("module").alias("target"), F.col("name").alias("target_name"), "definer")
         by_name = named.join(f, ["target", "target_name"]).select("module", "name", "definer")
         by_star = star.join(f, "target").filter("target_name <> 'default'").select("module", F.col("target_name").alias("name"), "definer").join(own, ["module", "name"], "left_anti")
@@ -145,18 +145,23 @@ def unique_parents(parents: DataFrame) -> DataFrame:
     return one.filter("n = 1").drop("n")
 
 
-def inherited(calls: DataFrame, parents: DataFrame, providers: DataFrame, max_rounds: int = 64) -> DataFrame:
+def inherited(calls: DataFrame, parents: DataFrame, providers: DataFrame) -> DataFrame:
     """calls: (call_id, node, name); providers: (node, name, symbol_id).  Up the unique chain of parents, the first node that
-    provides the name; nothing if it provides several.  call_id, symbol_id, hops."""
+    provides the name; nothing if it provides several, or if the chain comes back to where it was.  call_id, symbol_id, hops."""
     chain = unique_parents(parents)
     offer = providers.groupBy("node", "name").agg(F.count_distinct("symbol_id").alias("n"), F.min("symbol_id").alias("symbol_id"))
-    open_, done = calls, None
-    for hops in range(max_rounds):
+    open_, done, hops = calls.select("call_id", "node", "name", F.col("node").alias("mark")), None, 0
+    while True:
         met = open_.join(offer, ["node", "name"])
         found = met.filter("n = 1").select("call_id", "symbol_id", F.lit(hops).alias("hops"))
         done = found if done is None else done.unionByName(found)
-        rest = open_.join(offer, ["node", "name"], "left_anti").join(chain, "node").select("call_id", F.col("parent").alias("node"), "name")
-        open_ = materialize(rest, "inherited")
+        if hops % 32 == 31:  # a short plan for long chains
+            done = materialize(done, "inherited-found")
+        # the mark moves at powers of two, so each cycle comes back to it
+        mark = F.col("node") if hops & (hops - 1) == 0 else F.col("mark")
+        rest = open_.join(offer, ["node", "name"], "left_anti").withColumn("mark", mark).join(chain, "node")
+        rest = rest.filter("parent <> mark").select("call_id", F.col("parent").alias("node"), "name", "mark")
+        open_, hops = materialize(rest, "inherited"), hops + 1
         if open_.isEmpty():
             break
     return done

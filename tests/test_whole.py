@@ -71,3 +71,24 @@ def test_every_blocked_patch_has_a_sarif_run(spark):
     failed = {r["patch_id"] for r in entry.queries()["binding_decisions"](spark, SF).filter("status <> 'resolved'").collect()}
     got = [r["patch_id"] for r in entry.queries()["patch_sarif"](spark, SF).collect()]
     assert sorted(got) == sorted(failed) and any(i % 50 for i in got)
+
+
+def test_long_chains_end_where_they_end(spark):
+    from symloom.operators import graph
+
+    n = 70
+    calls = spark.createDataFrame([(1, 0, "f"), (2, 1000, "f"), (3, 2000, "f")], "call_id long, node long, name string")
+    cycle = [(1000, 1001), (1001, 1002), (1002, 1003), (1003, 1001), (2000, 2000)]
+    parents = spark.createDataFrame([(i, i + 1) for i in range(n)] + cycle, "node long, parent long")
+    got = graph.inherited(calls, parents, spark.createDataFrame([(n, "f", "s")], "node long, name string, symbol_id string"))
+    assert [tuple(r) for r in got.select("call_id", "symbol_id", "hops").collect()] == [(1, "s", n)]
+
+
+def test_re_exports_reach_far(spark):
+    from symloom.operators import graph
+
+    n = 66
+    direct = spark.createDataFrame([("m0", "x", "d")], "module string, name string, definer string")
+    named = spark.createDataFrame([(f"m{i + 1}", "x", f"m{i}", "x") for i in range(n)], "module string, name string, target string, target_name string")
+    star = spark.createDataFrame([], "module string, target string")
+    assert graph.re_exports(direct, named, star).count() == n + 1
