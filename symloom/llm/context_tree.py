@@ -32,9 +32,12 @@ from pyspark.sql import functions as F
 
 from symloom.llm.common import bounded_batches, id_bucket, materialize, text_of
 
-DEPTH, FOLDS, HELD_OUT = 4, 7, 2
+#: Seven bytes before and the byte itself fill the 64-bit key.
+DEPTH, FOLDS, HELD_OUT = 7, 7, 2
 #: Bytes of text that a chunk holds about; bytes whose strings are sorted at once.
-CHUNK, SLICE = 24_000_000, 2_000_000
+CHUNK, SLICE = 12_000_000, 2_000_000
+#: Strings of one suffix that are weighted at once; more are taken apart by the byte before.
+AT_ONCE = 1 << 16
 END_MARK, END_TOKEN = b"\xff", -1
 GRAM, TOKEN = 0, 1
 
@@ -132,16 +135,38 @@ def decisions_of(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node, (byte[:, None] >> (7 - k)) & 1
 
 
-def subtree(code: np.ndarray, n: np.ndarray):
-    """All contexts that end in the same two bytes.  Returns (bytes, 8) probabilities of the decisions given the
-    contexts of two bytes and more, and of the two-byte context by node: node, zeros, ones, log weighted probability."""
+def subtree(code: np.ndarray, n: np.ndarray, level: int = 2):
+    """All contexts that end in the same ``level`` bytes.  Returns (bytes, 8) probabilities of the decisions given the
+    contexts of these bytes and more, and of the context of these bytes by node: node, zeros, ones, log weighted probability."""
+    if len(code) <= AT_ONCE or level == DEPTH:
+        return _at_once(code, n, level)
+    before = ((code >> (8 * (level + 1))) & 255).astype(np.uint8)
+    order = np.argsort(before, kind="stable")
+    mixed = np.empty((len(code), 8), np.float32)
+    zeros, ones, below, seen = np.zeros(256), np.zeros(256), np.zeros(256), np.zeros(256, bool)
+    for part in np.split(order, np.flatnonzero(np.diff(before[order])) + 1):
+        mixed[part], (node, z, o, total) = subtree(code[part], n[part], level + 1)
+        zeros[node] += z
+        ones[node] += o
+        below[node] += total
+        seen[node] = True
+    total, own = weighted(zeros, ones, below)
+    p1 = (ones + 0.5) / (zeros + ones + 1)
+    for at in range(0, len(code), AT_ONCE):
+        node, bit = decisions_of(code[at : at + AT_ONCE] & 255)
+        mixed[at : at + AT_ONCE] = own[node] * np.where(bit == 1, p1[node], 1 - p1[node]) + (1 - own[node]) * mixed[at : at + AT_ONCE]
+    there = np.flatnonzero(seen)
+    return mixed, [there, zeros[there], ones[there], total[there]]
+
+
+def _at_once(code: np.ndarray, n: np.ndarray, level: int):
     byte = code & 255
     node, bit = decisions_of(byte)
     count = np.repeat(n[:, None], 8, axis=1).ravel().astype(float)
     flat_node, flat_bit = node.ravel(), bit.ravel()
     found, lam, levels = [], [], []
     children = None
-    for depth in range(DEPTH, 1, -1):
+    for depth in range(DEPTH, level - 1, -1):
         context = (code >> 8) & ((1 << (8 * depth)) - 1)
         key = (np.repeat(context, 8) << 8) | flat_node
         u, inverse = np.unique(key, return_inverse=True)

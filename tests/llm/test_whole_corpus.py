@@ -3,9 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from symloom.llm import license_scan, pii
+from symloom.llm import context_tree, license_scan, pii
 
 
 @pytest.mark.parametrize(
@@ -95,3 +96,20 @@ def test_license_pieces():
     assert cover_of(MIT[:20] + filler + MIT[35:]) == []  # too little of it
     assert cover_of(MIT[:20] + filler + MIT[:20] + filler + MIT[:20]) == []
     assert [x[2] for x in cover_of((MIT[:25] + filler + MIT[25:] + filler) * 3)] == [1.0] * 3
+
+
+def test_contexts_of_seven_bytes(monkeypatch):
+    """What follows depends on the seventh byte before, and taking strings apart by that byte changes nothing."""
+    rng = random.Random(3)
+    raw = b"".join((b"a" if (x := rng.random() < 0.5) else b"b") + b"______" + (b"1" if x else b"2") for _ in range(4000))
+    code, n = np.unique(context_tree.grams(raw), return_counts=True)
+    own = code[((code >> 8) & 0xFFFF) == int.from_bytes(b"__", "big")], n[((code >> 8) & 0xFFFF) == int.from_bytes(b"__", "big")]
+    mixed, nodes = context_tree.subtree(*own)
+    after = [i for i, c in enumerate(own[0]) if (int(c) & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") in (b"a______1", b"b______2")]
+    assert len(after) == 2
+    assert (mixed[after].prod(axis=1) > 0.9).all()
+    monkeypatch.setattr(context_tree, "AT_ONCE", 2)
+    apart, same = context_tree.subtree(*own)
+    assert np.allclose(mixed, apart, rtol=1e-5)
+    order = np.argsort(nodes[0])
+    assert all(np.allclose(a[order], b[np.argsort(same[0])]) for a, b in zip(nodes, same, strict=True))
