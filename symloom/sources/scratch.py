@@ -8,22 +8,45 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def path_for(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
+def delete_at_end(spark: SparkSession, path: str) -> str:
+    """Removes path when the driver's JVM ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def delete_now(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables.  Only a local session may fall back to a folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="symloom-")
+        where = delete_at_end(spark, "file://" + tempfile.mkdtemp(prefix="symloom-"))
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/symloom-graph/{tag}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+    return where.rstrip("/")
+
+
+def path_for(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, removed when the driver's JVM ends."""
+    return delete_at_end(spark, f"{shared_folder(spark)}/symloom/{tag}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df and reads it again: loops keep a short lineage, and lost executors cost single tasks."""
+    """Writes df and reads it again: cuts the lineage, and lost executors cost single tasks."""
     path = path_for(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Removes what materialize wrote, where nothing reads it any more: loops keep two rounds, not all of them."""
+    for t in tables:
+        if path := getattr(t, "scratch_path", None):
+            delete_now(t.sparkSession, path)
