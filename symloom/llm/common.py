@@ -13,12 +13,16 @@ Conventions that hold for every operator of this package:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import logging
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.sources.scratch import delete_now, forget, materialize
+from symloom.sources.scratch import path_for as scratch_path
+
+__all__ = ["delete_now", "forget", "materialize", "scratch_path"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,47 +30,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.  Only a local session may fall back to a folder of its own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="symloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{scratch_dir(spark)}/symloom/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of text that go to a Python worker at once.  Spark's own default, 10,000, is some 30 MB of short documents and
 #: far more of long ones, and both sides keep buffers of the largest batch.
 BATCH_ROWS, _BATCH_CONF = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Keys with over 1/HOT of all rows are dealt to several tasks: at most HOT keys, so their list may be broadcast.
+HOT = 256
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """Lowers the session's rows a batch to BATCH_ROWS if they are more."""
+    """Lowers the session's rows a batch to BATCH_ROWS if they are more, for all that the session runs later: plans take the
+    setting when they run, so it can't be set for one plan.  The change is logged."""
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        logging.getLogger("symloom").warning("%s is lowered to %d for this session", _BATCH_CONF, BATCH_ROWS)
         conf.set(_BATCH_CONF, BATCH_ROWS)
     return df
 
 
+def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, salt: Column) -> DataFrame:
+    """rows joined with facts, which are cheap to read, have one row per key (never null) and say in ``n`` how many of rows have
+    it.  A key with over 1/HOT of these rows is split by ``salt`` into as many parts as it has such shares, and its fact is
+    repeated for each part: at most 2 HOT more rows, whatever the input.  The columns of both."""
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    share = max(1, total // HOT)
+    parts = F.when(F.col(n) > share, F.ceil(F.col(n) / share)).otherwise(1).cast("int")
+    hot = facts.filter(F.col(n) > share).select(*keys, parts.alias("_parts"))
+    left = rows.join(F.broadcast(hot), keys, "left")
+    left = left.withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(salt, F.col("_parts"))).cast("int")).drop("_parts")
+    right = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.join(right.hint("merge"), [*keys, "_part"]).drop("_part")
+
+
+def one_of_each(docs: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """``row``, a struct of all columns of docs, and the keys, given in terms of ``row``: one row per key, whichever comes
+    first.  Repeats go before the shuffle already, so a key that many rows share costs one row per task."""
+    rows = packed(docs).select("row", *[c.alias(k) for k, c in keys.items()])
+    return rows.groupBy(*keys).agg(F.first("row").alias("row"))
+
+
 def text_of(column: Column | str = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
@@ -86,6 +87,12 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
 
 
+def row_hash(docs: DataFrame, column) -> Column:
+    """A hash of all columns of docs; column(name) gives each of them.  Maps, which Spark doesn't hash, count as JSON text."""
+    maps = {f.name for f in docs.schema.fields if "map<" in f.dataType.simpleString()}
+    return F.xxhash64(*[F.to_json(F.struct(column(c).alias("v"))) if c in maps else column(c) for c in docs.columns])
+
+
 def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col("row").getField(c).alias(c) for c in like.columns])
 
