@@ -25,10 +25,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import bounded_batches, materialize, packed, text_of, unpacked
+from symloom.llm.common import bounded_batches, materialize, one_of_each, salted_join, text_of, unpacked
 from symloom.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -205,7 +205,7 @@ def _links(blocks: int, max_bits: int):
 def links(codes: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> DataFrame:
     """codes: distinct ``code``.  Returns (a, b), a spanning forest of each task's links."""
     blocks = blocks_for(codes.count(), max_bits)
-    placed = codes.select("code").mapInArrow(_placed(blocks, max_bits), "layout int, node long, key long, code long")
+    placed = materialize(codes.select("code").mapInArrow(_placed(blocks, max_bits), "layout int, node long, key long, code long"), "placed")
     large = placed.groupBy("layout", "node").count().filter(F.col("count") > chunk)
     large = large.select("layout", "node", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
     salted = placed.join(large, ["layout", "node"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
@@ -217,22 +217,23 @@ def links(codes: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> Dat
 
 
 def classes(docs: DataFrame, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, mark, code) for every row of docs, and (code, first) for every code: first is the row that stands for the
-    component, the one with the smallest id, null ids last, as (no_id, doc_id, mark)."""
-    marked = materialize(fingerprints(docs), "fingerprints")
+    """(doc_id, mark, code, salt) for every row of docs, and (code, first, rows) for every code: first is the row that stands
+    for the component, the one with the smallest id, null ids last, as (no_id, doc_id, mark); rows have the code."""
+    marked = materialize(fingerprints(docs).withColumn("salt", F.monotonically_increasing_id()), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
-    codes = materialize(marked.groupBy("code").agg(F.min(first).alias("least")), "codes")
+    codes = materialize(marked.groupBy("code").agg(F.min(first).alias("least"), F.count(F.lit(1)).alias("rows")), "codes")
     of = components(materialize(links(codes, max_bits).distinct(), "fingerprint-links"))
     # fingerprints without a link are their own component
-    named = codes.join(of, codes["code"] == of["node"], "left").select("code", "least", F.coalesce("component", "code").alias("component"))
+    named = codes.join(of, codes["code"] == of["node"], "left").select("code", "least", "rows", F.coalesce("component", "code").alias("component"))
     named = materialize(named, "code-components")
-    ids = named.groupBy("component").agg(F.min("least").alias("first"))
-    return marked, materialize(named.join(ids, "component").select("code", "first"), "component-ids")
+    ids = materialize(named.groupBy("component").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("codes")), "component-firsts")
+    met = salted_join(named, ids, ["component"], "codes", F.xxhash64("code"))
+    return marked, materialize(met.select("code", "first", "rows"), "component-ids")
 
 
 def decisions(docs: DataFrame) -> DataFrame:
     marked, verdict = classes(docs)
-    met = marked.join(verdict.hint("merge"), "code")
+    met = salted_join(marked, verdict, ["code"], "rows", F.xxhash64("salt"))
     return met.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
@@ -242,7 +243,5 @@ def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     as_key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
     _, verdict = classes(docs, max_bits)
     stay = verdict.select(as_key("first.doc_id").alias("id"), F.col("first.mark").alias("mark")).distinct()
-    rows = packed(docs).select("row", as_key("row.doc_id").alias("id"), F.xxhash64(text_of(F.col("row.text"))).alias("mark"))
-    kept = rows.join(stay, ["id", "mark"], "left_semi")
-    once = Window.partitionBy("id", "mark").orderBy("id")
-    return unpacked(kept.withColumn("nth", F.row_number().over(once)).filter("nth = 1"), docs)
+    rows = one_of_each(docs, {"id": as_key("row.doc_id"), "mark": F.xxhash64(text_of(F.col("row.text")))})
+    return unpacked(rows.join(stay, ["id", "mark"], "left_semi"), docs)
