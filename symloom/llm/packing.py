@@ -10,12 +10,14 @@
    its rank among pieces of its length.  Ranks are counted in salted parts, so a length that a third of
    all pieces have is no hot group.
 
-Defined results: a null or empty text is the single end token; a document longer than a sequence is cut into full
+Defined results: a null or empty text is the single end token; the text of a special token is that token, as the tokenizers
+library reads it; pieces of equal length take their places by (doc_id, piece, ids_crc32); a document longer than a sequence is cut into full
 pieces with the shorter piece first; repeated rows are packed each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import logging
 import re
 import zlib
 from bisect import bisect_left
@@ -35,12 +37,13 @@ LARGE, GROUPS, PART = (2, 3, 4, 8), 48, 50_000
 
 @lru_cache(maxsize=4)
 def encoder(vocabulary: str, ranks: str | None):
-    """text -> numpy array of ids.  ``ranks`` is the same vocabulary in another format; the faster library reads it,
-    and is used where both are known to cut words alike: Latin text without endless words."""
+    """text -> numpy array of ids.  ``ranks`` is the same vocabulary in another format; the faster library reads it, and is used
+    where both cut words alike: texts whose characters all lie in U+0000-U+024F or U+2010-U+2027, without 2,000 characters in
+    a row that are all spaces or all no spaces, and without the text of a special token.  Any other text goes to the
+    tokenizers library as it is."""
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(vocabulary)
-    whole.encode_special_tokens = True
     slow = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
     if ranks is None:
         return slow
@@ -52,7 +55,8 @@ def encoder(vocabulary: str, ranks: str | None):
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("symloom", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    rare = re.compile(r"[^\x00-ɏ‐-‧]|[^\s]{2000}|\s{2000}")
+    special = "".join(f"|{re.escape(t.content)}" for t in whole.get_added_tokens_decoder().values())
+    rare = re.compile(r"[^\x00-ɏ‐-‧]|[^\s]{2000}|\s{2000}" + special)
     return lambda text: slow(text) if rare.search(text) else fast.encode_to_numpy(text)
 
 
@@ -69,11 +73,12 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[str, str | None] | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids: one row per piece."""
+    """doc_id, piece, start, length, ids_crc32, salt and, if asked for, ids: one row per piece.  salt counts the rows of a
+    task, so that pieces that repeat in all else can be told apart once this is written."""
     files = vocabulary or default_vocabulary()
 
     def tokenize(batches):
-        encode = encoder(*files)
+        encode, done = encoder(*files), 0
         for b in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -83,11 +88,14 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[str, str
                     for name, v in zip(out, (doc_id, k, at, n, zlib.crc32(part.tobytes()), part if with_ids else None), strict=True):
                         out[name].append(v)
             columns = [pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), *(pa.array(out[k], pa.int64()) for k in ("start", "length", "ids_crc32"))]
+            names = list(out)[:5] + ["salt"] + ["ids"] * with_ids
+            columns.append(pa.array(np.arange(done, done + len(out["piece"]))))
+            done += len(out["piece"])
             if with_ids:
                 columns.append(pa.array([x.tolist() for x in out["ids"]], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, list(out)[: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long" + ", ids array<int>" * with_ids
     return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(tokenize, schema)
 
 
@@ -129,7 +137,8 @@ def best_configuration(sizes: np.ndarray, value: np.ndarray, capacity: int) -> t
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
     """Column generation with a revised simplex: minimise the number of sequences that cover the demand.  Returns
-    configurations and how often each is used, rounded down; what that leaves over is packed best-fit."""
+    configurations and how often each is used, rounded down; what that leaves over is packed best-fit.  Every basis covers the
+    demand, so a stop after ``rounds`` steps, which is logged, costs some sequences and no document."""
     m = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
     for _ in range(rounds):
@@ -150,6 +159,8 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
         if not np.isfinite(ratio[out]):
             break
         basis[:, out] = column
+    else:
+        logging.getLogger("symloom").warning("column generation stopped after %d steps", rounds)
     x = np.linalg.solve(basis, demand.astype(float))
     return [(np.maximum(basis[:, k], 0).astype(np.int64), int(x[k] + 1e-6)) for k in range(m) if (basis[:, k] > 0).any() and x[k] >= 1]
 
@@ -253,14 +264,14 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS,
     count = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     sent = spark.sparkContext.broadcast(places(plan(count, capacity, groups, large)))
     parts = spark.createDataFrame([(n, -(-c // PART)) for n, c in count.items()], "length long, parts int")  # at most capacity rows
-    mine = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts")).cast("int")
+    mine = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.col("parts")).cast("int")
     salted = cut_pieces.join(F.broadcast(parts), "length").withColumn("part", mine)
     before = salted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("length", "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32", "salt")
     ranked = salted.withColumn("nth", F.row_number().over(order)).join(before, ["length", "part"])
-    ranked = ranked.select(*cut_pieces.columns, (F.col("before") + F.col("nth") - 1).alias("rank"))
+    ranked = ranked.select(*[c for c in cut_pieces.columns if c != "salt"], (F.col("before") + F.col("nth") - 1).alias("rank"))
     names, at = ranked.columns, ranked.columns.index
 
     def place(batches):
