@@ -12,6 +12,10 @@ Sizes are numbers of words ``[^\x20\x09-\x0D]+``.  Sources are sorted by code po
 repeating; targets share the sum of all sizes and stop at ``CEILING`` times the source's size, the excess being shared
 again by weight.  Choices depend on ids, texts and ``seed`` only, so reruns agree.
 
+Ties: blocks fly in the order of size (longest first), hash of the text, id; of landings that are equally near, the one with the
+nearest document total is taken, then the first in binary order over that order of documents.  The landing is the best of all
+outcomes of at most LANDING + 2 documents, not a random one, so these last choices aren't strictly unbiased.
+
 Defined results: null texts have size 0 and take part with no words; a source of size 0 has target 0; repeated rows
 are documents of their own; an empty table gives an empty result; more than MAX_SOURCES sources are an error.
 """
@@ -20,10 +24,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import bounded_batches, materialize, packed, text_of, unpacked
+from symloom.llm.common import bounded_batches, materialize, one_of_each, row_hash, text_of, unpacked
 
 WEIGHTS, CEILING, BLOCK, LANDING, SEED = (1, 2, 3), 3, 4000, 14, 17
 #: The table of sources, a dimension, is held by the driver and broadcast: this bounds it to some 100 MB.
@@ -36,10 +40,14 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), b.column(2)], ["doc_id", "source", "size", "mark"])
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and mark, a hash of the text."""
-    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
-    return rows.mapInArrow(_measure, "doc_id long, source string, size long, mark long")
+def measured(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
+    """doc_id, source, size, mark, a hash of the text or of the whole row, and nth, which tells rows apart that repeat all of
+    these.  Such rows are counted before they are shuffled, so a third of all rows may be one row repeated."""
+    mark = row_hash(docs, lambda c: docs[f"`{c}`"]) if whole_rows else F.xxhash64(text_of())
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), mark.alias("mark"), text_of().alias("text"))
+    rows = rows.mapInArrow(_measure, "doc_id long, source string, size long, mark long")
+    rows = rows.groupBy("doc_id", "source", "size", "mark").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, ceiling: float = CEILING) -> dict[str | None, float]:
@@ -102,8 +110,8 @@ def settle(p: list[float], size: list[int], rng: np.random.Generator, land: bool
 def _flight(seed: int, level: int):
     def fly(table: pa.Table) -> pa.Table:
         size, mark, p = (table.column(c).to_numpy() for c in ("size", "mark", "p"))
-        ids = table.column("doc_id").fill_null(-(2**63)).to_numpy()
-        order = np.lexsort((ids, mark, -size))  # long documents first: what is left over is short
+        ids, nth = table.column("doc_id").fill_null(-(2**63)).to_numpy(), table.column("nth").to_numpy()
+        order = np.lexsort((nth, ids, mark, -size))  # long documents first: what is left over is short
         source, block = table.column("source_no")[0].as_py(), table.column("block")[0].as_py()
         rng = np.random.default_rng([seed, level, source, block])
         done = np.empty(len(p))
@@ -113,10 +121,10 @@ def _flight(seed: int, level: int):
     return fly
 
 
-def decisions(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING, seed: int = SEED) -> DataFrame:
+def decisions(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING, seed: int = SEED, whole_rows: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, source, mark for every row."""
     spark = docs.sparkSession
-    rows = materialize(measured(docs), "sizes")
+    rows = materialize(measured(docs, whole_rows), "sizes")
     per = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(per) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
@@ -129,7 +137,7 @@ def decisions(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING, seed:
     left, level, settled = {k: count[s] for k, s in enumerate(names)}, 0, []
     while True:
         blocks = spark.createDataFrame([(k, -(-n // BLOCK)) for k, n in left.items() if n], "source_no int, blocks int")
-        state = state.join(F.broadcast(blocks), "source_no").withColumn("block", F.pmod(F.xxhash64("doc_id", "mark", F.lit(level)), F.col("blocks")).cast("int"))
+        state = state.join(F.broadcast(blocks), "source_no").withColumn("block", F.pmod(F.xxhash64("doc_id", "mark", "nth", F.lit(level)), F.col("blocks")).cast("int"))
         flown = materialize(state.groupBy("source_no", "block").applyInArrow(_flight(seed, level), state.schema), "flight").drop("block", "blocks")
         between = (F.col("p") > 0) & (F.col("p") < 1)
         settled.append(flown.filter(~between))
@@ -146,16 +154,12 @@ def decisions(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING, seed:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING, seed: int = SEED) -> DataFrame:
-    """The rows of docs as often as they are taken, with all their columns.  Rows that repeat id, source and
-    text share what their decisions add up to."""
+    """The rows of docs as often as they are taken, with all their columns.  Rows that repeat every column are
+    interchangeable: one of them stands for what their decisions add up to."""
     as_key = lambda c, kind: F.coalesce(F.col(c).cast(kind), F.lit(-(2**63) if kind == "long" else "\0"))
-    chosen = decisions(docs, weights, ceiling, seed)
-    chosen = chosen.groupBy(as_key("doc_id", "long").alias("id"), as_key("source", "string").alias("from"), "mark").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"))
+    chosen = decisions(docs, weights, ceiling, seed, True)
+    chosen = chosen.groupBy(as_key("doc_id", "long").alias("id"), as_key("source", "string").alias("from"), "mark").agg(F.sum("copies").alias("all"))
     chosen = materialize(chosen.filter("all > 0"), "copies")
-    text = text_of(F.col("row.text"))
-    rows = packed(docs).select("row", as_key("row.doc_id", "long").alias("id"), as_key("row.source", "string").alias("from"), F.xxhash64(text).alias("mark"))
+    rows = one_of_each(docs, {"id": as_key("row.doc_id", "long"), "from": as_key("row.source", "string"), "mark": row_hash(docs, lambda c: F.col("row").getField(c))})
     met = rows.join(chosen.hint("merge"), ["id", "from", "mark"])
-    nth = F.row_number().over(Window.partitionBy("id", "from", "mark").orderBy("id"))
-    mine = F.floor(F.col("all") / F.col("rows")) + (nth <= F.col("all") % F.col("rows")).cast("int")
-    met = met.withColumn("mine", mine.cast("int")).filter("mine > 0")
-    return unpacked(met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mine")))), docs)
+    return unpacked(met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("all")))), docs)
