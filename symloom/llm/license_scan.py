@@ -10,6 +10,10 @@ insertions or replaced runs, and count together.
 
 Base phrases are counted exactly, wherever their words stand one after the other; their labels always stay.
 
+The texts that are verified are those with a template's k-gram; only they travel to their votes, all other documents do with
+their counts alone.  Ties: of equally near diagonals a match continues the one that was opened first; of chains that agree
+equally the one with the later last piece goes on.
+
 Defined results: a null or empty text has no words and empty labels; rows that repeat id and text get equal results;
 whole texts are scanned at any length; an empty table gives an empty result.
 """
@@ -215,33 +219,47 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases:
     """One row per document: counts and labels, and spans, an array of (label, start, end, cover) in words."""
     hits = materialize(votes(docs, templates, k), "license-votes")
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
-    same = rows["doc_id"].eqNullSafe(hits["doc_id"]) & (rows["mark"] == hits["mark"])
+    known = np.unique(np.concatenate([gram_hashes(words_of(t.encode()), k) for texts in templates.values() for t in texts] or [np.empty(0, np.uint64)]))
+
+    def count(batches):
+        for b in batches:
+            out = []
+            for text in b.column(2):
+                raw = text.as_buffer().to_pybytes()
+                words = words_of(raw)
+                places, labels = phrase_places(words, phrases)
+                voted = bool(np.isin(gram_hashes(words, k), known).any())
+                out.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), raw if voted else None))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.string(), pa.binary()], strict=True))], ["doc_id", "mark", "n_words", "n_base", "first_word", "last_word", "base_labels", "raw"])
+
+    found = rows.mapInArrow(count, "doc_id long, mark long, n_words long, n_base long, first_word long, last_word long, base_labels string, raw binary")
+    same = found["doc_id"].eqNullSafe(hits["doc_id"]) & (found["mark"] == hits["mark"])
     # hits has few rows as a rule; Spark knows the written table's size and broadcasts it only if it is small
-    met = rows.join(hits, same, "left").select(rows["doc_id"], rows["text"], hits["hits"])
+    met = found.join(hits, same, "left").select(*[found[c] for c in found.columns if c != "mark"], hits["hits"])
     flat = [(label, words_of(text.encode())) for label, texts in templates.items() for text in texts]
     span = T.StructType().add("label", "string").add("start", "long").add("end", "long").add("cover", "double")
     schema = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_base", "long").add("first_word", "long").add("last_word", "long")
     schema = schema.add("base_labels", "string").add("labels", "string").add("score", "double").add("spans", T.ArrayType(span))
     names = schema.names
-    kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cover", pa.float64())]))]
+    kinds = [pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cover", pa.float64())]))]
 
     def verify(batches):
         for b in batches:
             out = []
-            for doc_id, text, hit in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                words = words_of(text.as_buffer().to_pybytes())
-                places, base = phrase_places(words, phrases)
+            for base, raw, hit in zip(b.column("base_labels").to_pylist(), b.column("raw"), b.column("hits"), strict=True):
                 spans = []
-                pieces = merged(hit.as_py(), drift, k) if hit.is_valid else []
-                for t, own in groupby(sorted(pieces), key=itemgetter(0)):
-                    label, template = flat[t]
-                    for s, e, cover in chained(words, template, [(a, b) for _, a, b in own], drift, k, min_cover):
-                        spans.append({"label": label, "start": s, "end": e, "cover": cover})
-                every = base | {s["label"] for s in spans}
-                score = max([float(bool(places)), *(s["cover"] for s in spans)])
-                out.append((doc_id, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(every)), score, spans))
-            columns = list(zip(*out, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
+                if hit.is_valid:
+                    words = words_of(raw.as_buffer().to_pybytes())
+                    for t, own in groupby(sorted(merged(hit.as_py(), drift, k)), key=itemgetter(0)):
+                        label, template = flat[t]
+                        for s, e, cover in chained(words, template, [(x, y) for _, x, y in own], drift, k, min_cover):
+                            spans.append({"label": label, "start": s, "end": e, "cover": cover})
+                every = {s["label"] for s in spans} | set(base.split(",") if base else ())
+                out.append((",".join(sorted(every)), max([float(base != ""), *(s["cover"] for s in spans)]), spans))
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            kept = [b.column(c) for c in names[:6]]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], names)
 
     return met.mapInArrow(verify, schema)
 
