@@ -7,20 +7,32 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# How much a declaration kind counts when candidates compete.
+# How much a declaration kind counts when candidates compete.  Other kinds count 0.
 KIND_RANK = {
-    3: ("function_definition", "class_definition", "function_item", "function_declaration", "struct_specifier", "union_specifier", "class_specifier"),
-    2: ("enum_specifier", "enumerator", "type_definition", "struct_item", "enum_item", "trait_item", "type_item", "const_item", "static_item", "mod_item"),
-    1: ("declaration", "field_declaration", "function_signature_item"),
+    3: ("function_definition", "function_item", "function_signature_item", "class_definition"),
+    2: (
+        "alias_declaration", "class_specifier", "concept_definition", "enum_specifier", "enumerator", "namespace_alias_definition", "struct_specifier", "template_instantiation", "type_definition",
+        "union_specifier", "using_declaration", "const_item", "enum_item", "mod_item", "static_item", "struct_item", "trait_item", "type_item",
+    ),
+    1: ("declaration", "field_declaration"),
 }
 
-# Extension to language, directories that scans skip, header extensions.
+# Language to extensions, directories that scans skip, header extensions.
 LANGUAGES = {
-    "python": "py pyi", "c": "c h", "cpp": "cc cpp cxx c++ tpp tcc ipp inl hpp hh hxx h++", "javascript": "js jsx mjs cjs", "typescript": "ts mts cts",
-    "tsx": "tsx", "rust": "rs", "go": "go", "java": "java", "kotlin": "kt kts", "csharp": "cs",
-}
-EXTENSION_LANGUAGE = {e: lang for lang, all_ in LANGUAGES.items() for e in all_.split()}
-SKIP_DIRECTORIES = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "target", "build", "dist", "__pycache__", ".mypy_cache", ".pytest_cache")
+    "python": ("py", "pyi"),
+    "c": ("c", "h"),
+    "cpp": ("cc", "cpp", "cxx", "c++", "tpp", "tcc", "ipp", "inl", "hpp", "hh", "hxx", "h++"),
+    "javascript": ("js", "jsx", "mjs", "cjs"),
+    "typescript": ("ts", "mts", "cts"),
+    "tsx": ("tsx",),
+    "rust": ("rs",),
+    "go": ("go",),
+    "java": ("java",),
+    "kotlin": ("kt", "kts"),
+    "csharp": ("cs",),
+}
+EXTENSION_LANGUAGE = {e: lang for lang, all_ in LANGUAGES.items() for e in all_}
+SKIP_DIRECTORIES = (".git", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "target", "venv")
 HEADER_EXTENSIONS = ("h", "hpp", "hh", "hxx", "h++")
 
 
@@ -28,6 +40,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(v) with value worked out once: a lambda's body would work a column out again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def kind_rank(kind: Column | str) -> Column:
     k = col(kind)
     return F.when(k.isin(*KIND_RANK[3]), 3).when(k.isin(*KIND_RANK[2]), 2).when(k.isin(*KIND_RANK[1]), 1).otherwise(0)
@@ -51,29 +68,42 @@ def evidence_key(symbol_id, file_path, node_kind, origin, start, end, signature)
 
 
 def key_without_origin(key: Column | str) -> Column:
-    """Drops the fourth of at most six parts."""
+    """Drops the fourth of the six parts; null for a key with fewer."""
     parts = F.split(col(key), r"\|", 6)
-    return F.array_join(F.filter(parts, lambda _, i: i != 3), "|")
+    return F.when(F.size(parts) == 6, F.array_join(F.filter(parts, lambda _, i: i != 3), "|"))
+
+
+def patch_scope(key: Column | str) -> Column:
+    """Whether a key stands for something declared in the patch itself: its origin is a local or module scope."""
+    return F.coalesce(F.get(F.split(col(key), r"\|"), F.lit(3)).isin("local_scope", "module_scope"), F.lit(False))
 
 
 def template_base(path: Column | str) -> Column:
-    """Without balanced <...> groups; null if that changes nothing or the brackets don't balance.  Angle brackets inside
-    round, square or curly ones stay."""
+    """Without balanced <...> groups and without round, square and curly brackets; null if that changes nothing or anything
+    stays open.  Angle brackets inside other brackets are text, and a > closes a group only at the end or before one of
+    ``> , ) ] } : .``, spaces aside."""
     p = col(path)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("angle"), F.lit(0).alias("other"), F.lit(True).alias("ok"))
-
-    def step(a: Column, c: Column) -> Column:
-        opens, shuts = c.isin("(", "[", "{"), c.isin(")", "]", "}")
-        less, more = (c == "<") & (a["other"] == 0), (c == ">") & (a["other"] == 0)
-        angle = a["angle"] + F.when(less, 1).when(more, -1).otherwise(0)
-        other = a["other"] + F.when(opens, 1).when(shuts, -1).otherwise(0)
-        keep = (a["angle"] == 0) & ~less & ~more
+    start = F.struct(*[F.lit(v).alias(k) for k, v in (("out", ""), ("angle", 0), ("round", 0), ("square", 0), ("curly", 0))])
+    # each letter with the first one after it that isn't a space
+    following = lambda all_, i: F.coalesce(F.get(F.filter(F.slice(all_, i + 2, F.size(all_)), lambda x: F.trim(x) != ""), F.lit(0)), F.lit(">"))
+    letters = F.filter(F.split(p, ""), lambda c: c != "")
+    after = let(letters, lambda all_: F.transform(all_, lambda c, i: F.struct(c.alias("c"), F.when(c == ">", following(all_, i)).alias("next"))))
+
+    def step(a: Column, e: Column) -> Column:
+        c = e["c"]
+        plain = (a["round"] == 0) & (a["square"] == 0) & (a["curly"] == 0)
+        opens = (c == "<") & plain
+        shuts = (c == ">") & plain & (a["angle"] > 0) & e["next"].isin(">", ",", ")", "]", "}", ":", ".")
+        bracket = c.isin("(", ")", "[", "]", "{", "}")
+        count = lambda name, o, s: F.when(c == o, a[name] + 1).when(c == s, F.greatest(a[name] - 1, F.lit(0))).otherwise(a[name]).alias(name)
         return F.struct(
-            F.when(keep, F.concat(a["out"], c)).otherwise(a["out"]).alias("out"), angle.alias("angle"), other.alias("other"), (a["ok"] & (angle >= 0)).alias("ok")
-        )
+            F.when((a["angle"] == 0) & ~opens & ~shuts & ~bracket, F.concat(a["out"], c)).otherwise(a["out"]).alias("out"),
+            (a["angle"] + F.when(opens, 1).when(shuts, -1).otherwise(0)).alias("angle"),
+            count("round", "(", ")"), count("square", "[", "]"), count("curly", "{", "}"),
+        )
 
-    letters = F.filter(F.split(p, ""), lambda c: c != "")
-    end = F.aggregate(letters, start, step, lambda a: F.when(a["ok"] & (a["angle"] == 0), a["out"]))
+    closed = lambda a: (a["angle"] == 0) & (a["round"] == 0) & (a["square"] == 0) & (a["curly"] == 0)
+    end = F.aggregate(after, start, step, lambda a: F.when(closed(a), a["out"]))
     return F.when(end != p, end)
 
 
@@ -82,15 +112,27 @@ def reference_base(name: Column | str) -> Column:
     return base_name(F.coalesce(template_base(n), n))
 
 
+def _without_brackets(text: Column) -> Column:
+    """What stands outside all round, square and curly brackets."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("round"), F.lit(0).alias("square"), F.lit(0).alias("curly"))
+
+    def step(a: Column, c: Column) -> Column:
+        count = lambda name, o, s: F.when(c == o, a[name] + 1).when(c == s, F.greatest(a[name] - 1, F.lit(0))).otherwise(a[name]).alias(name)
+        outside = (a["round"] == 0) & (a["square"] == 0) & (a["curly"] == 0)
+        return F.struct(F.when(outside, F.concat(a["out"], c)).otherwise(a["out"]).alias("out"), count("round", "(", ")"), count("square", "[", "]"), count("curly", "{", "}"))
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step, lambda a: a["out"])
+
+
 def accepts_arity(parameters: Column | str, n: Column) -> Column:
-    """Whether a callable with these parameter texts takes n arguments: void is none, a last ``...`` takes any more, a
-    top-level ``=`` makes the rest optional."""
+    """Whether a callable with these parameter texts takes n arguments: void is none, a last parameter ``...`` takes any more (a
+    parameter pack is an ordinary parameter), and a ``=`` outside brackets makes its parameter optional."""
     p = F.transform(col(parameters), lambda x: F.trim(x))
     p = F.when((F.size(p) == 1) & (F.element_at(p, 1) == "void"), F.array().cast("array<string>")).otherwise(p)
-    variadic = F.exists(p, lambda x: x.endswith("..."))
-    fixed = F.size(F.filter(p, lambda x: ~x.endswith("...")))
-    required = F.size(F.filter(p, lambda x: ~x.endswith("...") & ~x.contains("=")))
-    return (n >= required) & (variadic | (n <= fixed))
+    variadic = (F.size(p) > 0) & (F.try_element_at(p, F.lit(-1)) == "...")
+    fixed = F.when(variadic, F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p)
+    required = F.size(F.filter(fixed, lambda x: ~_without_brackets(x).contains("=")))
+    return (n >= required) & (variadic | (n <= F.size(fixed)))
 
 
 def qualifiers(signature: Column | str) -> Column:
@@ -152,12 +194,16 @@ def normalized_path(path: Column | str) -> Column:
 
 
 def path_uri(path: Column | str) -> Column:
-    """file:// with every byte that isn't unreserved percent-encoded."""
-    unreserved = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~/"
-    h = F.hex(F.encode(col(path), "UTF-8"))
+    """A file URI: backslashes become slashes, a missing first slash is added, every byte that is neither unreserved nor a
+    slash or colon is percent-encoded, and a path that begins with two slashes names its host."""
+    plain_bytes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~/:"
+    p = F.replace(col(path), F.lit("\\"), F.lit("/"))
+    p = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
+    h = F.hex(F.encode(p, "UTF-8"))
     codes = F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.substr(h, i, F.lit(2)))
-    plain = F.create_map(*[F.lit(x) for c in unreserved for x in (f"{ord(c):02X}", c)])
-    return F.concat(F.lit("file://"), F.array_join(F.transform(codes, lambda x: F.coalesce(F.try_element_at(plain, x), F.concat(F.lit("%"), x))), ""))
+    plain = F.create_map(*[F.lit(x) for c in plain_bytes for x in (f"{ord(c):02X}", c)])
+    encoded = F.array_join(F.transform(codes, lambda x: F.coalesce(F.try_element_at(plain, x), F.concat(F.lit("%"), x))), "")
+    return F.concat(F.when(encoded.startswith("//"), "file:").otherwise("file://"), encoded)
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from symloom.functions import expr as E
 from symloom.operators.query import best_of, context_rank
 from symloom.schema import MAX_DEPTH, MAX_NODES, RequestError, within
-from symloom.sources.scratch import materialize
+from symloom.sources.scratch import forget, materialize
 
 
 def inverted(edges: DataFrame) -> DataFrame:
@@ -36,13 +36,13 @@ def reciprocity(adjacent: DataFrame) -> DataFrame:
 
 
 def trace(symbols: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """roots: (root_id).  Root, callers and callees with the row that stands for each id; callees prefer the root's file."""
-    root = best_of(roots.join(symbols, F.col("root_id") == F.col("symbol_id")), ["root_id"], E.kind_rank("node_kind"))
-    files = root.select("root_id", F.col("file_path").alias("root_file"))
-    edges = edges.distinct()
-    near = edges.join(roots, F.col("dst") == F.col("root_id")).select("root_id", F.col("src").alias("id"), F.lit("caller").alias("role"))
-    near = near.unionByName(edges.join(roots, F.col("src") == F.col("root_id")).select("root_id", F.col("dst").alias("id"), F.lit("callee").alias("role")))
-    met = near.join(files, "root_id").join(symbols, F.col("id") == F.col("symbol_id"))
+    """roots: (root_id).  Root, callers and callees with the row that stands for each id; callees prefer the root's file.  Edges
+    and symbols are met once for both directions."""
+    roots = roots.distinct()
+    root = materialize(best_of(roots.join(symbols, F.col("root_id") == F.col("symbol_id")), ["root_id"], E.kind_rank("node_kind")), "roots")
+    ways = edges.select(F.explode(F.array(F.struct(F.col("dst").alias("at"), F.col("src").alias("id"), F.lit("caller").alias("role")), F.struct(F.col("src").alias("at"), F.col("dst").alias("id"), F.lit("callee").alias("role")))).alias("w")).select("w.*")
+    near = ways.join(root.select(F.col("root_id"), F.col("file_path").alias("root_file")), F.col("at") == F.col("root_id")).drop("at").distinct()
+    met = near.join(symbols, F.col("id") == F.col("symbol_id"))
     no = F.lit(False)
     ranked = F.when(F.col("role") == "callee", context_rank(F.col("root_file"), no, no)).otherwise(E.kind_rank("node_kind"))
     best = best_of(met, ["root_id", "role", "id"], ranked).drop("id", "root_file")
@@ -53,7 +53,8 @@ def _steps(edges: DataFrame, direction: str) -> DataFrame:
     """src, dst, place: neighbours in the order of the adjacency list, callers before callees."""
     if direction not in ("callers", "callees", "both"):
         raise RequestError(f"direction {direction!r}")
-    edges = edges.filter("src <> dst").distinct()
+    loop = F.raise_error(F.concat(F.lit("a symbol can't be its own neighbour: "), "src"))
+    edges = edges.withColumn("dst", F.when(F.col("src") == F.col("dst"), loop).otherwise(F.col("dst"))).distinct()
     views = []
     if direction in ("callers", "both"):
         views.append(edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(0).alias("side")))
@@ -70,7 +71,7 @@ def neighborhood(symbols: DataFrame, edges: DataFrame, roots: DataFrame, directi
     within("max_depth", max_depth, 0, MAX_DEPTH)
     within("max_nodes", max_nodes, 1, MAX_NODES)
     known = symbols.select(F.col("symbol_id").alias("to")).distinct()
-    steps = _steps(edges, direction).join(known, "to", "left_semi")
+    steps = materialize(_steps(edges, direction).join(known, "to", "left_semi"), "steps")
     accepted = roots.join(known.withColumnRenamed("to", "root_id"), "root_id", "left_semi").distinct()
     accepted = accepted.select("root_id", F.col("root_id").alias("id"), F.lit(0).cast("long").alias("ordinal"), F.lit(0).alias("depth"))
     cut = None
@@ -103,14 +104,15 @@ def neighborhood(symbols: DataFrame, edges: DataFrame, roots: DataFrame, directi
 def closure(starts: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """starts: (root, node), edges: (src, dst).  All (root, node) that edges lead to, cycles included, by rounds that
     only follow what the last round found."""
-    reached = starts.distinct()
-    frontier = reached
+    edges = materialize(edges.select("src", "dst").distinct(), "closure-edges")
+    reached = frontier = materialize(starts.distinct(), "closure-starts")
     for _ in range(max_rounds):
         step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        frontier = materialize(step.join(reached, ["root", "node"], "left_anti"), "closure-step")
+        last, frontier = frontier, materialize(step.join(reached, ["root", "node"], "left_anti"), "closure-step")
         if frontier.isEmpty():
             return reached
-        reached = materialize(reached.unionByName(frontier), "closure")
+        before, reached = reached, materialize(reached.unionByName(frontier), "closure")
+        forget(last, before)
     raise RuntimeError(f"no end after {max_rounds} rounds")
 
 
@@ -124,17 +126,18 @@ def re_exports(direct: DataFrame, named: DataFrame, star: DataFrame) -> DataFram
     """direct: (module, name, definer); named: (module, name, target, target_name); star: (module, target).  module, name,
     definer of every export with exactly one definer; a named export hides stars, ``default`` isn't passed by a star,
     cycles end in nothing."""
+    direct, named, star = (materialize(t.distinct(), "exports") for t in (direct.select("module", "name", "definer"), named.select("module", "name", "target", "target_name"), star.select("module", "target")))
     own = direct.select("module", "name").unionByName(named.select("module", "name")).distinct()
-    found = direct.select("module", "name", "definer").distinct()
-    frontier = found
+    found = frontier = direct
     while True:  # ends, as what is found only grows
         f = frontier.select(F.col("module").alias("target"), F.col("name").alias("target_name"), "definer")
         by_name = named.join(f, ["target", "target_name"]).select("module", "name", "definer")
         by_star = star.join(f, "target").filter("target_name <> 'default'").select("module", F.col("target_name").alias("name"), "definer").join(own, ["module", "name"], "left_anti")
-        frontier = materialize(by_name.unionByName(by_star).distinct().join(found, ["module", "name", "definer"], "left_anti"), "re-export-step")
+        last, frontier = frontier, materialize(by_name.unionByName(by_star).distinct().join(found, ["module", "name", "definer"], "left_anti"), "re-export-step")
         if frontier.isEmpty():
             break
-        found = materialize(found.unionByName(frontier), "re-exports")
+        before, found = found, materialize(found.unionByName(frontier), "re-exports")
+        forget(*(t for t in (last, before) if t is not direct))
     one = found.groupBy("module", "name").agg(F.count_distinct("definer").alias("n"), F.min("definer").alias("definer"))
     return one.filter("n = 1").drop("n")
 
@@ -148,8 +151,8 @@ def unique_parents(parents: DataFrame) -> DataFrame:
 def inherited(calls: DataFrame, parents: DataFrame, providers: DataFrame) -> DataFrame:
     """calls: (call_id, node, name); providers: (node, name, symbol_id).  Up the unique chain of parents, the first node that
     provides the name; nothing if it provides several, or if the chain comes back to where it was.  call_id, symbol_id, hops."""
-    chain = unique_parents(parents)
-    offer = providers.groupBy("node", "name").agg(F.count_distinct("symbol_id").alias("n"), F.min("symbol_id").alias("symbol_id"))
+    chain = materialize(unique_parents(parents), "parents")
+    offer = materialize(providers.groupBy("node", "name").agg(F.count_distinct("symbol_id").alias("n"), F.min("symbol_id").alias("symbol_id")), "offers")
     open_, done, hops = calls.select("call_id", "node", "name", F.col("node").alias("mark")), None, 0
     while True:
         met = open_.join(offer, ["node", "name"])

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from symloom.operators.skew import salted_join
+from symloom.sources.scratch import materialize
+
 # Kinds that count as callables in the families with overloads.
 CALLABLES = ("method_declaration", "constructor_declaration", "function_declaration", "method_definition", "function_definition")
 ORDER = ("file_path", "start_byte", "end_byte")
 
 
 def _repeated(symbols: DataFrame) -> DataFrame:
-    """_all: rows with the path in the family; _here: with the path in the file."""
-    return symbols.withColumns({
-        "_all": F.count(F.lit(1)).over(Window.partitionBy("family", "semantic_path")),
-        "_here": F.count(F.lit(1)).over(Window.partitionBy("family", "file_path", "semantic_path")),
-    })
+    """_all: rows with the path in the family; _here: with the path in the file.  Both are counted before they meet the rows, and
+    the rows meet their counts by file and path, so a path that every file declares has no task of its own."""
+    here = symbols.groupBy("family", "semantic_path", "file_path").agg(F.count(F.lit(1)).alias("_here"))
+    every = here.groupBy("family", "semantic_path").agg(F.sum("_here").alias("_all"), F.count(F.lit(1)).alias("_files"))
+    facts = materialize(every.filter("_all > 1"), "repeated-paths")
+    known = salted_join(here, facts, ["family", "semantic_path"], "_files", F.xxhash64("file_path")).drop("_files")
+    counts = ["family", "semantic_path", "file_path"]
+    met = symbols.join(known, counts, "left")
+    return met.withColumns({"_all": F.coalesce("_all", F.lit(1).cast("long")), "_here": F.coalesce("_here", F.lit(1).cast("long"))})
 
 
 def _single(symbols) -> F.Column:

@@ -86,40 +86,52 @@ def health(files: DataFrame, state: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Versions of the index tables below one folder.  A version is written whole and then named by the manifest, so a
-    reader sees the old version or the new one, and a job that dies leaves the old one standing."""
+    """Versions of the index tables below one folder.  A version is written whole and then named by a manifest of its own, with
+    the next number; readers take the manifest with the highest number.  Nothing that counts is deleted or replaced, so a
+    reader sees the old version or the new one, and a job that dies leaves the old one standing.  All but the newest
+    ``keep`` versions go once a new one counts."""
 
     TABLES = ("symbols", "edges", "file_state")
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, keep: int = 2):
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _manifests(self) -> list[tuple[int, str]]:
+        fs, p = self._fs(f"{self.root}/MANIFEST.*.json")
+        return sorted((int(str(s.getPath()).rsplit(".", 2)[1]), str(s.getPath())) for s in fs.globStatus(p) or [])
+
+    def _json(self, path: str) -> dict:
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(path).collect()))
+
     def manifest(self) -> dict | None:
-        fs, p = self._fs(f"{self.root}/MANIFEST.json")
-        if not fs.exists(p):
-            return None
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(str(p)).collect()))
+        found = self._manifests()
+        return self._json(found[-1][1]) if found else None
 
     def write(self, **tables: DataFrame) -> dict:
-        before = self.manifest()
-        if before and before.get("format") != "symloom":
+        before = self._manifests()
+        if before and self._json(before[-1][1]).get("format") != "symloom":
             raise IndexError_(f"{self.root} holds something else")
         version = uuid.uuid4().hex
         for name in self.TABLES:
             tables[name].write.parquet(f"{self.root}/{version}/{name}")
         made = {"format": "symloom", "schema_version": SCHEMA_VERSION, "provenance": PROVENANCE, "version": version}
-        fs, p = self._fs(f"{self.root}/MANIFEST.json")
-        _, fresh = self._fs(f"{self.root}/MANIFEST.{version}")
+        number = before[-1][0] + 1 if before else 1
+        fs, p = self._fs(f"{self.root}/MANIFEST.{number:08d}.json")
+        _, fresh = self._fs(f"{self.root}/_MANIFEST.{version}")
         out = fs.create(fresh, True)
         out.write(bytearray(json.dumps(made).encode()))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(fresh, p)
+        if not fs.rename(fresh, p):
+            raise IndexError_(f"{p} is there already: another writer was faster")
+        for _, path in before[: max(0, len(before) + 1 - self.keep)]:
+            old = self._json(path)
+            fs.delete(self._fs(path)[1], False)
+            if old.get("version"):
+                fs.delete(self._fs(f"{self.root}/{old['version']}")[1], True)
         return made
 
     def read(self, strict: bool = True) -> dict[str, DataFrame]:

@@ -45,25 +45,35 @@ def invariants(decided: DataFrame) -> DataFrame:
 
 
 def gates(patches: DataFrame, decided: DataFrame) -> DataFrame:
-    """patches: (patch_id, syntax_errors, bypass).  gate and the first reason: syntax, ambiguous, unresolved, invariant."""
+    """patches: (patch_id, syntax_errors, bypass).  gate and the first reason: syntax, ambiguous, unresolved, invariant.  A bypass
+    opens the gate whatever the reason, syntax errors included."""
     c = invariants(decided).groupBy("patch_id").agg(*[F.count_if(cond).alias(k) for k, cond in {
         "ambiguous": F.col("status") == "ambiguous", "unresolved": F.col("status") == "unresolved", "failed": F.col("invariant") == "failed",
     }.items()])
     m = patches.join(c, "patch_id", "left").fillna(0, ["ambiguous", "unresolved", "failed"])
     reason = F.when(F.col("syntax_errors") > 0, "syntax").when(F.col("ambiguous") > 0, "ambiguous").when(F.col("unresolved") > 0, "unresolved").when(F.col("failed") > 0, "invariant")
-    gate = F.when(reason.isNull(), "allowed").when(F.col("bypass") & (reason != "syntax"), "allowed_with_bypass").otherwise("rejected")
+    gate = F.when(reason.isNull(), "allowed").when(F.col("bypass"), "allowed_with_bypass").otherwise("rejected")
     return m.select("patch_id", "bypass", gate.alias("gate"), reason.alias("reason"))
 
 
-def replay(evidence: DataFrame, trace: DataFrame, patch_scope: DataFrame) -> DataFrame:
-    """evidence: (patch_id, evidence_key); trace: (patch_id, role, evidence_key); patch_scope: (patch_id, evidence_key).
-    Where each key is found: callee, caller, symbol, then without its origin, then in the patch itself."""
+# Where evidence is looked for, in this order, by the role that it has in a trace.
+SCOPES = {"callee": "callees", "caller": "callers", "trace_root": "symbol"}
+
+
+def replay(evidence: DataFrame, trace: DataFrame) -> DataFrame:
+    """evidence: (patch_id, name, evidence_key, invariant), a null key where nothing was selected; trace: (patch_id, role,
+    evidence_key).  Adds scope and status.  A key is looked for as it is among callees, callers and the symbol itself, then
+    there without its origin, then in the patch's own scopes; else the scope is none.  Passed evidence is matched or missing;
+    blocked evidence stays blocked, and all other fails."""
     order = F.when(F.col("role") == "callee", 0).when(F.col("role") == "caller", 1).otherwise(2)
     exact = trace.groupBy("patch_id", "evidence_key").agg(F.min_by("role", order).alias("exact"))
-    loose = trace.groupBy("patch_id", E.key_without_origin("evidence_key").alias("bare")).agg(F.min_by("role", order).alias("loose"))
-    own = patch_scope.select("patch_id", "evidence_key", F.lit("patch").alias("own")).distinct()
-    out = evidence.withColumn("bare", E.key_without_origin("evidence_key")).join(exact, ["patch_id", "evidence_key"], "left").join(loose, ["patch_id", "bare"], "left").join(own, ["patch_id", "evidence_key"], "left")
-    return out.select("patch_id", "evidence_key", F.coalesce("exact", "loose", "own").alias("found_in"))
+    bare = trace.withColumn("bare", E.key_without_origin("evidence_key")).filter("bare IS NOT NULL")
+    loose = bare.groupBy("patch_id", "bare").agg(F.min_by("role", order).alias("loose"))
+    out = evidence.withColumn("bare", E.key_without_origin("evidence_key")).join(exact, ["patch_id", "evidence_key"], "left").join(loose, ["patch_id", "bare"], "left")
+    scope = F.create_map(*[F.lit(x) for kv in SCOPES.items() for x in kv])[F.coalesce("exact", "loose")]
+    out = out.withColumn("scope", F.coalesce(scope, F.when(E.patch_scope("evidence_key"), "patch_scope"), F.lit("none")))
+    status = F.when(F.col("invariant") == "passed", F.when(F.col("scope") != "none", "matched").otherwise("missing")).when(F.col("invariant") == "blocked", "blocked").otherwise("failed")
+    return out.select("patch_id", "name", "evidence_key", "scope", status.alias("status"))
 
 
 # How bad a replay status is.
@@ -74,47 +84,101 @@ def replay_status(rows: DataFrame) -> DataFrame:
     """rows: (patch_id, status).  The worst status, and counts."""
     code = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])[F.col("status")]
     word = F.create_map(*[F.lit(x) for k, v in SEVERITY.items() for x in (v, k)])
-    out = rows.groupBy("patch_id").agg(F.max(code).alias("c"), F.count_if(F.col("status") == "matched").alias("matched"), F.count_if(F.col("status") == "blocked").alias("blocked"), F.min(F.col("status") == "matched").alias("consistent"))
+    out = rows.groupBy("patch_id").agg(F.max(code).alias("c"), F.count_if(F.col("status") == "matched").alias("matched"), F.count_if(F.col("status") == "blocked").alias("blocked"), F.min(F.col("status").isin("matched", "blocked")).alias("consistent"))
     return out.select("patch_id", word[F.col("c")].alias("status"), "matched", "blocked", "consistent")
 
 
 def commit_decision(gated: DataFrame, replayed: DataFrame) -> DataFrame:
+    """What gate and replay allow: blocked evidence needs a gate that a bypass has opened, and such a gate marks the result."""
     m = gated.join(replayed.select("patch_id", "status"), "patch_id", "left")
-    decision = (
-        F.when(F.col("gate") == "rejected", "rejected_by_patch_gate")
-        .when(F.col("status").isin("missing", "failed"), "rejected_by_trace_replay")
-        .when((F.col("status") == "blocked") & ~F.col("bypass"), "rejected")
-        .otherwise("allowed")
-    )
+    lost = F.col("status").isin("missing", "failed") | ((F.col("status") == "blocked") & (F.col("gate") != "allowed_with_bypass"))
+    decision = F.when(F.col("gate") == "rejected", "rejected_by_patch_gate").when(lost, "rejected_by_trace_replay").otherwise(F.col("gate"))
     return m.select("patch_id", decision.alias("decision"))
 
 
-def diff_hunk(before: Column, after: Column) -> Column:
-    """One hunk without context: what is between the common first and last lines; null if equal."""
-    a, b = F.split(before, "\n"), F.split(after, "\n")
+def lines_of(text: Column) -> Column:
+    """Lines without their ends, carriage returns included; a last line feed begins no further line."""
+    ended = text.endswith("\n")
+    parts = F.split(text, "\n")
+    last = F.when(ended | (text == ""), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    bare = lambda x: F.when(x.endswith("\r"), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x)
+    # a carriage return counts as an end of line only before a line feed
+    return E.let(F.struct(last.alias("l"), ended.alias("e")), lambda v: F.transform(v["l"], lambda x, i: F.when(v["e"] | (i < F.size(v["l"]) - 1), bare(x)).otherwise(x)))
+
+
+def _common(a: Column, b: Column) -> Column:
+    """How many elements two arrays have in common at their start."""
     n = F.least(F.size(a), F.size(b))
-    common = lambda x, y, m: F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0))), lambda i: ~F.get(x, i).eqNullSafe(F.get(y, i))), F.lit(0)), m)
-    head = common(a, b, n)
-    tail = F.least(common(F.reverse(a), F.reverse(b), n), n - head)
-    old, new = F.slice(a, head + 1, F.size(a) - head - tail), F.slice(b, head + 1, F.size(b) - head - tail)
-    at = lambda k: F.when(k == 0, head).otherwise(head + 1)
-    header = F.concat(F.lit("@@ -"), at(F.size(old)).cast("string"), F.lit(","), F.size(old).cast("string"), F.lit(" +"), at(F.size(new)).cast("string"), F.lit(","), F.size(new).cast("string"), F.lit(" @@"))
-    lines = F.concat(F.array(header), F.transform(old, lambda x: F.concat(F.lit("-"), x)), F.transform(new, lambda x: F.concat(F.lit("+"), x)))
-    return F.when(before != after, F.array_join(lines, "\n"))
+    differs = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: ~x.eqNullSafe(y))
+    at = F.array_position(differs, True)
+    return F.when(at > 0, at - 1).otherwise(n).cast("int")
+
+
+def unified_diff(path: Column, before: Column, after: Column) -> Column:
+    """One hunk without context for what is between the common first and last lines, with the two file lines before it;
+    empty for equal texts."""
+    name = F.regexp_replace(path, "^/+", "")
+
+    def hunk(v: Column) -> Column:
+        cut = lambda side: F.slice(v[side], v["head"] + 1, F.size(v[side]) - v["head"] - v["tail"])
+        size = lambda side: (F.size(v[side]) - v["head"] - v["tail"]).cast("string")
+        at = (v["head"] + 1).cast("string")
+        top = F.array(F.concat(F.lit("--- a/"), name), F.concat(F.lit("+++ b/"), name), F.concat(F.lit("@@ -"), at, F.lit(","), size("a"), F.lit(" +"), at, F.lit(","), size("b"), F.lit(" @@")))
+        lines = F.concat(top, F.transform(cut("a"), lambda x: F.concat(F.lit("-"), x)), F.transform(cut("b"), lambda x: F.concat(F.lit("+"), x)))
+        return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
+
+    both = F.struct(lines_of(before).alias("a"), lines_of(after).alias("b"))
+    headed = lambda v: F.struct(v["a"].alias("a"), v["b"].alias("b"), _common(v["a"], v["b"]).alias("head"), F.least(F.size(v["a"]), F.size(v["b"])).alias("n"))
+    tailed = lambda v: F.struct(v["a"].alias("a"), v["b"].alias("b"), v["head"].alias("head"), F.least(_common(F.reverse(v["a"]), F.reverse(v["b"])), v["n"] - v["head"]).alias("tail"))
+    return F.when(before == after, "").otherwise(E.let(E.let(E.let(both, headed), tailed), hunk))
 
 
 def indentation_issues(lines: DataFrame) -> DataFrame:
-    """lines: (file_path, row, line).  Code lines that should be deeper than the block header before them and aren't."""
-    code = lines.filter(F.trim("line") != "")
-    w = Window.partitionBy("file_path").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    indent = F.length("line") - F.length(F.ltrim("line"))
-    previous = F.last("line").over(w)
-    out = code.withColumns({"indent": indent, "header": F.when(F.rtrim(previous).endswith(":"), F.length(previous) - F.length(F.ltrim(previous)))})
-    return out.filter("header IS NOT NULL AND indent <= header").select("file_path", "row", "indent", "header")
+    """lines: (file_path, row, line).  Code lines that should be deeper than the block header before them and aren't: a header
+    waits until a deeper line or another header comes, so each line that fails to is an issue; blank lines and comments
+    don't count.  The lines of a file, which the limits of a scan bound, are folded in their order."""
+    text = F.regexp_replace("line", "[\r\n]+$", "")
+    code = lines.withColumn("line", text).filter((F.trim("line") != "") & ~F.ltrim("line").startswith("#") & ~F.col("line").rlike(r"^\s*(#|$)"))
+    indent = F.length(F.regexp_extract("line", "^[ \t]*", 0))
+    rows = code.select("file_path", F.struct("row", indent.alias("indent"), F.col("line").rlike(r":\s*$").alias("opens")).alias("r"))
+    folded = rows.groupBy("file_path").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    none = F.lit(None).cast("int")
+    start = F.struct(none.alias("waits"), F.array().cast("array<struct<row:bigint,indent:int,header:int>>").alias("issues"))
+
+    def step(a: Column, r: Column) -> Column:
+        bad = a["waits"].isNotNull() & (r["indent"] <= a["waits"])
+        issue = F.struct(r["row"].cast("long").alias("row"), r["indent"].alias("indent"), a["waits"].alias("header"))
+        waits = F.when(r["opens"], r["indent"]).when(bad, a["waits"])
+        return F.struct(waits.alias("waits"), F.when(bad, F.array_append(a["issues"], issue)).otherwise(a["issues"]).alias("issues"))
+
+    found = folded.select("file_path", F.explode(F.aggregate("rows", start, step, lambda a: a["issues"])).alias("i"))
+    return found.select("file_path", "i.row", "i.indent", "i.header")
+
+
+# Rules of a report by the word that their name ends with, with what they are called.
+SARIF_RULES = {
+    "syntax": ("syntax-error", "A syntax error."),
+    "binding": ("binding-validation", "A reference of a patch that can't be bound safely."),
+    "patch-gate": ("patch-commit-gate", "The decision of the patch gate."),
+}
+SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 
 
 def sarif(patches: DataFrame, issues: DataFrame) -> DataFrame:
-    """patch_id and a SARIF run as JSON text.  issues: (patch_id, rule, level, message, file_path)."""
-    result = F.struct(F.col("rule").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), E.path_uri("file_path").alias("uri"))
-    runs = issues.groupBy("patch_id").agg(F.array_sort(F.collect_set("rule")).alias("rules"), F.array_sort(F.collect_list(result)).alias("results"))
-    return patches.select("patch_id").join(runs, "patch_id", "left").select("patch_id", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct("rules", "results")).alias("runs"))).alias("sarif"))
+    """patch_id and its report as JSON text.  issues: (patch_id, ordinal, rule, level, message, file_path, start_row, start_column,
+    end_row, end_column); rows and columns, from 0, are null for issues without a place.  Rules are listed once each, in
+    order; results by ordinal."""
+    place = F.struct(F.struct(
+        F.struct(E.path_uri("file_path").alias("uri")).alias("artifactLocation"),
+        F.struct((F.col("start_row") + 1).alias("startLine"), (F.col("start_column") + 1).alias("startColumn"), (F.col("end_row") + 1).alias("endLine"), (F.col("end_column") + 1).alias("endColumn")).alias("region"),
+    ).alias("physicalLocation"))
+    result = F.struct("ordinal", F.struct(F.concat(F.lit("symloom."), "rule").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), F.when(F.col("start_row").isNotNull(), F.array(place)).alias("locations")).alias("r"))
+    family = F.regexp_extract("rule", r"^([^.]*)", 1)
+    told = F.create_map(*[F.lit(x) for k, v in SARIF_RULES.items() for x in (k, v[0])])
+    short = F.create_map(*[F.lit(x) for k, v in SARIF_RULES.items() for x in (k, v[1])])
+    rule = F.struct(F.concat(F.lit("symloom."), "rule").alias("id"), F.try_element_at(told, family).alias("name"), F.struct(F.try_element_at(short, family).alias("text")).alias("shortDescription"))
+    runs = issues.groupBy("patch_id").agg(F.array_sort(F.collect_set(rule)).alias("rules"), F.transform(F.array_sort(F.collect_list(result)), lambda x: x["r"]).alias("results"))
+    met = patches.select("patch_id").join(runs, "patch_id", "left").withColumns({"rules": F.coalesce("rules", F.array().cast(runs.schema["rules"].dataType)), "results": F.coalesce("results", F.array().cast(runs.schema["results"].dataType))})
+    driver = F.struct(F.struct(F.lit("symloom").alias("name"), "rules").alias("driver"))
+    run = F.struct(driver.alias("tool"), F.lit("utf8CodeUnits").alias("columnKind"), "results")
+    return met.select("patch_id", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.lit(SARIF_SCHEMA).alias("$schema"), F.array(run).alias("runs"))).alias("sarif"))

@@ -81,8 +81,9 @@ def context_rank(context: Column, included: Column, companion: Column) -> Column
 
 
 def resolver_rank(context: Column, included: Column, companion: Column, scope: Column) -> Column:
-    """context_rank, and 500 more where caller and candidate share a scope."""
-    return context_rank(context, included, companion) + F.when(scope.isNotNull() & (scope == F.col("scope_path")), 500).otherwise(0)
+    """context_rank, and 500 more where a C++ caller and the candidate share a scope."""
+    same = (E.language(context) == "cpp") & scope.isNotNull() & (scope == F.col("scope_path"))
+    return context_rank(context, included, companion) + F.when(same, 500).otherwise(0)
 
 
 def all_best(candidates: DataFrame, keys: list[str], rank: Column) -> DataFrame:
@@ -150,9 +151,10 @@ def read(symbols: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def unresolved(references: DataFrame, symbols: DataFrame) -> DataFrame:
-    """references: (ref_id, name).  Diagnostics: no candidate, or several at the best kind rank."""
-    met = references.join(symbols.select("base_name", F.col("symbol_id"), E.kind_rank("node_kind").alias("r")), F.col("name") == F.col("base_name"), "left")
-    w = Window.partitionBy("ref_id")
-    best = met.withColumn("top", F.max("r").over(w)).filter("symbol_id IS NULL OR r = top")
-    n = F.count("symbol_id")
-    return best.groupBy("ref_id").agg(n.alias("candidates"), F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous").alias("status"))
+    """references: (ref_id, name), one row per reference.  Diagnostics: no candidate, or several at the best kind rank.
+    Declarations are counted by name first, so a name with many of them is one row in the join."""
+    counted = symbols.groupBy("base_name", E.kind_rank("node_kind").alias("r")).agg(F.count("symbol_id").alias("n"))
+    best = counted.groupBy(F.col("base_name").alias("name")).agg(F.max_by("n", "r").alias("n"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    status = F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous")
+    return references.join(best, "name", "left").select("ref_id", n.alias("candidates"), status.alias("status"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.functions import expr as E
+from symloom.operators.skew import salted_join
+from symloom.sources.scratch import materialize
 
 
 def by_name(references: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -39,15 +41,51 @@ def unique_best(candidates: DataFrame, rank: Column) -> DataFrame:
     return one.filter("n = 1").select("src", "dst").distinct()
 
 
+def _levels(declared: DataFrame, keys: list[str]) -> DataFrame:
+    """declared: (*keys, rank, dst), distinct.  One row per key: levels, from the best kind rank down, with the number of
+    symbols, the least and the greatest; they are enough to tell whether one alone is left without a given symbol."""
+    stats = declared.groupBy(*keys, "rank").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("lo"), F.max("dst").alias("hi"))
+    level = F.struct((-F.col("rank")).alias("order"), "n", "lo", "hi")
+    return stats.groupBy(*keys).agg(F.array_sort(F.collect_list(level)).alias("levels"))
+
+
+def _answer(levels: Column, src: Column) -> Column:
+    """(found, dst) of the best level that has a symbol besides src; dst is null where it has several."""
+    besides = lambda v: v["n"] - F.when((v["lo"] == src) | (v["hi"] == src), 1).otherwise(0)
+    best = F.get(F.filter(levels, lambda v: besides(v) > 0), F.lit(0))
+    alone = F.when(besides(best) == 1, F.when(best["lo"] == src, best["hi"]).otherwise(best["lo"]))
+    return F.struct(best.isNotNull().alias("found"), alone.alias("dst"))
+
+
 def edges(references: DataFrame, symbols: DataFrame, imports: DataFrame | None = None) -> DataFrame:
-    """The generic rule: kind rank, the caller's own file before others, imported files before the rest."""
-    met = by_name(references, symbols)
-    rank = E.kind_rank("node_kind") + F.when(F.col("src_file") == F.col("dst_file"), 1000).otherwise(0)
+    """The generic rule: a reference (src, src_file, family, name) goes to the symbol with the best kind rank in its own file,
+    else in the files that it imports, else anywhere; where several share that place there is no edge.
+
+    References never meet the declarations of a name one by one: these are aggregated to a row per name first, by file and
+    over all files, so a name that is declared and used everywhere costs one row there and no product."""
+    declared = symbols.select(F.col("family"), F.col("base_name").alias("base"), F.col("file_path").alias("file"), E.kind_rank("node_kind").alias("rank"), F.col("symbol_id").alias("dst")).distinct()
+    asked = references.select("src", "src_file", "family", "name", E.reference_base("name").alias("base")).distinct()
+    here = _levels(declared, ["family", "base", "file"]).withColumnRenamed("file", "src_file")
+    met = asked.join(here, ["family", "base", "src_file"], "left")
+    met = materialize(met.withColumn("a", _answer(F.col("levels"), F.col("src"))).drop("levels"), "own-file")
+    own = met.filter("a.found").select("src", F.col("a.dst").alias("dst"))
+    rest = met.filter("NOT a.found").drop("a")
+    found = own
     if imports is not None:
-        seen = imports.select(F.col("importer").alias("src_file"), F.col("imported").alias("dst_file")).distinct().withColumn("imported", F.lit(True))
-        met = met.join(seen, ["src_file", "dst_file"], "left")
-        rank = rank + F.when(F.col("imported"), 200).otherwise(0)
-    return unique_best(met, rank)
+        seen = imports.select(F.col("importer").alias("src_file"), F.col("imported").alias("file")).filter("src_file <> file").distinct()
+        near = rest.join(seen, "src_file").join(declared, ["family", "base", "file"]).filter("src <> dst")
+        near = near.select("src", "name", "rank", "dst").distinct()
+        near = near.groupBy("src", "name", "rank").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst"))
+        near = near.groupBy("src", "name").agg(F.max_by(F.struct("n", "dst"), "rank").alias("best"))
+        near = materialize(near.select("src", "name", F.when(F.col("best.n") == 1, F.col("best.dst")).alias("dst")), "imported")
+        found = found.unionByName(near.select("src", "dst"))
+        rest = rest.join(near.select("src", "name"), ["src", "name"], "left_anti")
+    everywhere = _levels(declared.drop("file").distinct(), ["family", "base"])
+    used = rest.groupBy("family", "base").agg(F.count(F.lit(1)).alias("uses"))
+    facts = materialize(everywhere.join(used, ["family", "base"]), "names")
+    last = salted_join(rest, facts, ["family", "base"], "uses", F.xxhash64("src"))
+    last = last.withColumn("a", _answer(F.col("levels"), F.col("src"))).filter("a.found").select("src", F.col("a.dst").alias("dst"))
+    return found.unionByName(last).filter("dst IS NOT NULL").distinct()
 
 
 def unique_imports(imports: DataFrame) -> DataFrame:
@@ -111,10 +149,16 @@ def python_candidates(imports: DataFrame) -> DataFrame:
     return rows.select("import_id", F.concat("base", "end").alias("candidate"), (F.col("up") * 4 + F.col("e")).alias("ordinal"))
 
 
+# Extensions that a module name without one may stand for, in order.
+SCRIPT_EXTENSIONS = ("js", "jsx", "mjs", "cjs", "ts", "mts", "cts", "tsx")
+
+
 def javascript_candidates(imports: DataFrame) -> DataFrame:
-    """imports: (import_id, file_path, module).  Relative names only: as given, with each extension, then the index files."""
-    rows = imports.filter("module LIKE './%' OR module LIKE '../%'")
+    """imports: (import_id, file_path, module).  Relative names only.  A name with an extension is that file; any other one is
+    tried with each extension, then as a folder with an index file of each."""
+    rows = imports.filter("module IN ('.', '..') OR module LIKE './%' OR module LIKE '../%'")
     folder = F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1)
     base = E.normalized_path(F.concat(folder, F.lit("/"), F.col("module")))
-    ends = F.array(*[F.lit(e) for e in ("", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", "/index.js", "/index.ts", "/index.tsx")])
+    named = F.regexp_extract(base, r"([^/]*)$", 1).rlike(r"^.+\.[^.]*$")
+    ends = F.when(named, F.array(F.lit(""))).otherwise(F.array(*[F.lit(f"{at}.{e}") for at in ("", "/index") for e in SCRIPT_EXTENSIONS]))
     return rows.select("import_id", base.alias("base"), F.posexplode(ends).alias("ordinal", "end")).select("import_id", F.concat("base", "end").alias("candidate"), "ordinal")

@@ -13,7 +13,10 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 # SQL fragments
-KIND = "CASE WHEN {k} IN ('function_definition','class_definition','function_item','function_declaration','struct_specifier','union_specifier','class_specifier') THEN 3 WHEN {k} IN ('enum_specifier','enumerator','type_definition','struct_item','enum_item','trait_item','type_item','const_item','static_item','mod_item') THEN 2 WHEN {k} IN ('declaration','field_declaration','function_signature_item') THEN 1 ELSE 0 END"
+KIND = """CASE WHEN {k} IN ('function_definition', 'function_item', 'function_signature_item', 'class_definition') THEN 3
+ WHEN {k} IN ('alias_declaration', 'class_specifier', 'concept_definition', 'enum_specifier', 'enumerator', 'namespace_alias_definition', 'struct_specifier', 'template_instantiation', 'type_definition', 'union_specifier',
+   'using_declaration', 'const_item', 'enum_item', 'mod_item', 'static_item', 'struct_item', 'trait_item', 'type_item') THEN 2
+ WHEN {k} IN ('declaration', 'field_declaration') THEN 1 ELSE 0 END"""
 RANK = KIND.format(k="node_kind")
 KEY = "symbol_id || '|' || file_path || '|' || node_kind || '|' || {o} || '|' || start_byte || '..' || end_byte || '|' || coalesce(signature, '')"
 
@@ -28,14 +31,6 @@ def registered(sql: str | None = None, catalog: bool = True):
     return put
 
 
-def without(sql: str, *conditions: str) -> str:
-    """The SQL of the same query over all rows."""
-    for c in conditions:
-        assert c in sql, c
-        sql = sql.replace(c, "")
-    return sql
-
-
 def n(c: str = "n"):
     return F.count(F.lit(1)).alias(c)
 
@@ -129,66 +124,54 @@ def kind_rank_best(spark, sf):
     return query.best_of(C.symbols(spark, sf), ["scope_path"], E.kind_rank("node_kind")).select("scope_path", "symbol_id", "rank")
 
 
+KINDS = (
+    "function_definition class_definition function_item function_signature_item alias_declaration class_specifier concept_definition enum_specifier enumerator namespace_alias_definition struct_specifier "
+    "template_instantiation type_definition union_specifier using_declaration const_item enum_item mod_item static_item struct_item trait_item type_item declaration field_declaration function_declaration method_definition other"
+).split()
+BY_KIND = f"""kinds AS (SELECT p_name AS name, p_partkey AS start_byte, [{", ".join(f"'{k}'" for k in KINDS)}][p_partkey % {len(KINDS)} + 1] AS node_kind FROM part)"""
+
+
+@registered(BY_KIND + f" SELECT name, node_kind, {RANK} AS rank, start_byte FROM kinds QUALIFY row_number() OVER (PARTITION BY name ORDER BY {RANK} DESC, start_byte) = 1")
+def kind_ranks(spark, sf):
+    """The best of every name where candidates have all kinds, those that tools confuse included."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("p_partkey") % len(KINDS) + 1).cast("int"))
+    c = C.read(spark, sf, "part").select(F.col("p_name").alias("name"), kind.alias("node_kind"), F.lit("f").alias("file_path"), F.col("p_partkey").alias("start_byte"), F.lit(0).alias("end_byte"), F.lit("s").alias("symbol_id"))
+    return query.best_of(c, ["name"], E.kind_rank("node_kind")).select("name", "node_kind", "rank", "start_byte")
+
+
+# The callers whose key is divisible by 20, as a query set against all symbols.
 CONTEXT = f"""ctx AS (SELECT p.symbol_id AS caller, p.file_path AS ctx_file, p.scope_path AS ctx_scope, s.*, s.start_byte % 30 = 0 AS included, s.start_byte % 70 = 0 AS companion
-  FROM symbols p JOIN symbols s ON s.base_name = p.base_name WHERE p.node_kind = 'declaration' AND p.start_byte % 50 = 0),
+  FROM symbols p JOIN symbols s ON s.base_name = p.base_name WHERE p.node_kind IN ('declaration', 'function_item') AND p.start_byte % 200 = 0),
 ranked AS (SELECT *, CASE WHEN file_path <> ctx_file AND contains(semantic_path, '::') THEN greatest({RANK} - 100, 0) ELSE {RANK} END + CASE WHEN file_path = ctx_file THEN 1000 ELSE 0 END
-  + CASE WHEN included THEN 200 ELSE 0 END + CASE WHEN companion THEN 300 ELSE 0 END AS r FROM ctx)
+  + CASE WHEN included THEN 200 ELSE 0 END + CASE WHEN companion THEN 300 ELSE 0 END AS r, CASE WHEN scope_path = ctx_scope AND ctx_file LIKE '%.cpp' THEN 500 ELSE 0 END AS same FROM ctx)
 """
 
 
-def _contexts(spark, sf, callers="start_byte % 50 = 0"):
+def _contexts(spark, sf):
+    """The callers whose key is divisible by 20, each with all symbols of its base name."""
     s = C.symbols(spark, sf)
-    p = s.filter("node_kind = 'declaration'").filter(callers).select(F.col("symbol_id").alias("caller"), F.col("file_path").alias("ctx_file"), F.col("scope_path").alias("ctx_scope"), "base_name")
+    p = s.filter("node_kind IN ('declaration', 'function_item') AND start_byte % 200 = 0").select(F.col("symbol_id").alias("caller"), F.col("file_path").alias("ctx_file"), F.col("scope_path").alias("ctx_scope"), "base_name")
     met = p.join(s, "base_name")
     return met.withColumns({"included": F.col("start_byte") % 30 == 0, "companion": F.col("start_byte") % 70 == 0})
 
 
 @registered(CONTEXT + "SELECT caller, symbol_id, r AS rank FROM ranked QUALIFY row_number() OVER (PARTITION BY caller ORDER BY r DESC, file_path, start_byte, end_byte, symbol_id) = 1")
 def context_rank_best(spark, sf):
-    """For a set of callers, against all symbols; ``context_rank_best_all`` takes every caller."""
-    return _context_best(_contexts(spark, sf))
-
-
-def _context_best(contexts):
     rank = query.context_rank(F.col("ctx_file"), F.col("included"), F.col("companion"))
-    return query.best_of(contexts, ["caller"], rank).select("caller", "symbol_id", "rank")
-
-
-@registered(without(ORACLE["context_rank_best"], " AND p.start_byte % 50 = 0"), False)
-def context_rank_best_all(spark, sf):
-    return _context_best(_contexts(spark, sf, "true"))
+    return query.best_of(_contexts(spark, sf), ["caller"], rank).select("caller", "symbol_id", "rank")
 
 
-@registered(CONTEXT + "SELECT caller, symbol_id, r + CASE WHEN scope_path = ctx_scope THEN 500 ELSE 0 END AS rank FROM ranked QUALIFY row_number() OVER (PARTITION BY caller ORDER BY r + CASE WHEN scope_path = ctx_scope THEN 500 ELSE 0 END DESC, file_path, start_byte, end_byte, symbol_id) = 1")
+@registered(CONTEXT + "SELECT caller, symbol_id, r + same AS rank FROM ranked QUALIFY row_number() OVER (PARTITION BY caller ORDER BY r + same DESC, file_path, start_byte, end_byte, symbol_id) = 1")
 def resolver_rank_best(spark, sf):
-    """For a set of callers, against all symbols; ``resolver_rank_best_all`` takes every caller."""
-    return _resolver_best(_contexts(spark, sf))
-
-
-def _resolver_best(contexts):
+    """A shared scope counts for C++ callers; the other callers here are of Python files."""
     rank = query.resolver_rank(F.col("ctx_file"), F.col("included"), F.col("companion"), F.col("ctx_scope"))
-    return query.best_of(contexts, ["caller"], rank).select("caller", "symbol_id", "rank")
-
-
-@registered(without(ORACLE["resolver_rank_best"], " AND p.start_byte % 50 = 0"), False)
-def resolver_rank_best_all(spark, sf):
-    return _resolver_best(_contexts(spark, sf, "true"))
+    return query.best_of(_contexts(spark, sf), ["caller"], rank).select("caller", "symbol_id", "rank")
 
 
 @registered(CONTEXT + ", t AS (SELECT *, max(r) OVER (PARTITION BY caller) AS m FROM ranked) SELECT caller, count(*) AS candidate_count, min(symbol_id) AS first_candidate FROM t WHERE r = m GROUP BY caller")
 def all_at_best_rank(spark, sf):
-    """For a set of callers, against all symbols; ``all_at_best_rank_all`` takes every caller."""
-    return _at_best(_contexts(spark, sf))
-
-
-def _at_best(contexts):
     rank = query.context_rank(F.col("ctx_file"), F.col("included"), F.col("companion"))
-    return query.all_best(contexts, ["caller"], rank).groupBy("caller").agg(F.max("candidate_count").alias("candidate_count"), F.min("symbol_id").alias("first_candidate"))
-
-
-@registered(without(ORACLE["all_at_best_rank"], " AND p.start_byte % 50 = 0"), False)
-def all_at_best_rank_all(spark, sf):
-    return _at_best(_contexts(spark, sf, "true"))
+    return query.all_best(_contexts(spark, sf), ["caller"], rank).groupBy("caller").agg(F.max("candidate_count").alias("candidate_count"), F.min("symbol_id").alias("first_candidate"))
 
 
 # ---- identity ---------------------------------------------------------------------------------------------------
@@ -259,13 +242,13 @@ def edge_reciprocity(spark, sf):
     return graph.reciprocity(broken).select("kind", "src", "dst")
 
 
-ROOTS = "roots AS (SELECT symbol_id AS root_id FROM symbols WHERE node_kind IN ('class_definition', 'function_definition') AND start_byte % 130 = 0)"
+ROOTS = "roots AS (SELECT symbol_id AS root_id FROM symbols WHERE node_kind IN ('class_definition', 'function_definition') AND start_byte % 200 = 0)"
 
 
 def _roots(spark, sf):
-    """The query set of traces and neighbourhoods: every 13th class or function by place.  Each root is answered from all
+    """The query set of traces and neighbourhoods: classes and functions whose key is divisible by 20.  Each root is answered from all
     symbols and edges."""
-    return C.symbols(spark, sf).filter("node_kind IN ('class_definition', 'function_definition') AND start_byte % 130 = 0").select(F.col("symbol_id").alias("root_id"))
+    return C.symbols(spark, sf).filter("node_kind IN ('class_definition', 'function_definition') AND start_byte % 200 = 0").select(F.col("symbol_id").alias("root_id"))
 
 
 def _trace_sql(roles: str) -> str:
@@ -299,7 +282,15 @@ def neighborhood_callees(spark, sf):
     return nodes.select("root_id", "id", "depth")
 
 
-@registered()
+@registered(ROOTS + """, st AS (SELECT dst AS at_, src AS to_, 0 AS side FROM edges UNION SELECT src, dst, 1 FROM edges),
+l1 AS (SELECT root_id, to_, min(side) AS side FROM roots JOIN st ON at_ = root_id GROUP BY ALL),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY side, to_) AS ordinal FROM l1),
+a1 AS (SELECT root_id, root_id AS id, 0 AS ordinal, 0 AS depth FROM roots UNION ALL SELECT root_id, to_, ordinal, 1 FROM r1 WHERE ordinal < 40),
+l2 AS (SELECT a.root_id, s.to_, min({'o': a.ordinal, 's': s.side}) AS way FROM a1 a JOIN st s ON s.at_ = a.id WHERE a.depth = 1 AND NOT EXISTS (SELECT 1 FROM a1 x WHERE x.root_id = a.root_id AND x.id = s.to_) GROUP BY ALL),
+r2 AS (SELECT l2.root_id, to_, (SELECT count(*) FROM a1 WHERE a1.root_id = l2.root_id) + row_number() OVER (PARTITION BY l2.root_id ORDER BY way.o, way.s, to_) - 1 AS ordinal FROM l2),
+every AS (SELECT * FROM a1 UNION ALL SELECT root_id, to_, ordinal, 2 FROM r2 WHERE ordinal < 40),
+cut AS (SELECT root_id FROM r1 WHERE ordinal >= 40 UNION SELECT root_id FROM r2 WHERE ordinal >= 40)
+SELECT root_id, id, ordinal::BIGINT AS ordinal, depth, root_id IN (SELECT root_id FROM cut) AS truncated FROM every""")
 def neighborhood_truncated(spark, sf):
     nodes, _ = graph.neighborhood(C.symbols(spark, sf), C.edges(spark, sf), _roots(spark, sf), "both", 2, 40)
     return nodes.select("root_id", "id", "ordinal", "depth", "truncated")
@@ -347,56 +338,52 @@ def include_closure(spark, sf):
     return graph.closure(starts, C.file_deps(spark, sf).select(F.col("importer").alias("src"), F.col("imported").alias("dst")))
 
 
-@registered("""m AS (SELECT o_orderkey AS id, 'm' || (o_custkey % 40) AS module, 'x' || (o_orderkey % 25) AS name FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey < 4000),
+@registered("""m AS (SELECT o_orderkey AS id, 'm' || o_custkey AS module, 'x' || (o_orderkey % 25) AS name FROM orders),
 direct AS (SELECT DISTINCT module, name, module || '.' || name AS definer FROM m WHERE id % 2 = 0),
-named AS (SELECT DISTINCT module, name, 'm' || (id % 41) AS target, name AS target_name FROM m WHERE id % 2 = 1),
-star AS (SELECT DISTINCT module, 'm' || (id % 37) AS target FROM m WHERE id % 4 = 1 AND id % 5 = 0),
+named AS (SELECT DISTINCT module, name, 'm' || (id * 7 % 1499) AS target, name AS target_name FROM m WHERE id % 2 = 1),
+star AS (SELECT DISTINCT module, 'm' || (id * 11 % 1499) AS target FROM m WHERE id % 40 = 1),
 own AS (SELECT module, name FROM direct UNION SELECT module, name FROM named),
 walk(module, name, definer) AS (SELECT * FROM direct UNION
   (SELECT x.module, x.name, w.definer FROM walk w JOIN (SELECT module, name, target, target_name FROM named UNION ALL
      SELECT s.module, a.name, s.target, a.name FROM star s, (SELECT DISTINCT name FROM own) a WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.module = s.module AND o.name = a.name)) x ON x.target = w.module AND x.target_name = w.name))
 SELECT module, name, min(definer) AS definer FROM walk GROUP BY ALL HAVING count(DISTINCT definer) = 1""")
 def re_export_closure(spark, sf):
-    """Over a subset of the orders, as its SQL says; ``re_export_closure_all`` takes them all."""
-    return _re_exported(C.read(spark, sf, "orders").filter("o_orderkey % 3 = 0 AND o_orderkey < 4000"))
-
-
-def _re_exported(orders):
-    m = orders.selectExpr("o_orderkey AS id", "concat('m', o_custkey % 40) AS module", "concat('x', o_orderkey % 25) AS name")
+    m = C.read(spark, sf, "orders").selectExpr("o_orderkey AS id", "concat('m', o_custkey) AS module", "concat('x', o_orderkey % 25) AS name")
     direct = m.filter("id % 2 = 0").selectExpr("module", "name", "concat(module, '.', name) AS definer").distinct()
-    named = m.filter("id % 2 = 1").selectExpr("module", "name", "concat('m', id % 41) AS target", "name AS target_name").distinct()
-    star = m.filter("id % 4 = 1 AND id % 5 = 0").selectExpr("module", "concat('m', id % 37) AS target").distinct()
+    named = m.filter("id % 2 = 1").selectExpr("module", "name", "concat('m', id * 7 % 1499) AS target", "name AS target_name").distinct()
+    star = m.filter("id % 40 = 1").selectExpr("module", "concat('m', id * 11 % 1499) AS target").distinct()
     return graph.re_exports(direct, named, star)
 
 
-@registered(without(ORACLE["re_export_closure"], " WHERE o_orderkey % 3 = 0 AND o_orderkey < 4000"), False)
-def re_export_closure_all(spark, sf):
-    return _re_exported(C.read(spark, sf, "orders"))
-
-
 # ---- resolution -------------------------------------------------------------------------------------------------
 
-REFS = """refs AS (SELECT s.symbol_id AS src, s.file_path AS src_file, 'x' AS family, p_name AS name FROM symbols s JOIN part ON p_partkey = (s.start_byte // 10) WHERE s.node_kind = 'declaration' AND s.start_byte % 40 = 0),
+REFS = """refs AS (SELECT s.symbol_id AS src, s.file_path AS src_file, 'x' AS family, p_name AS name FROM symbols s JOIN part ON p_partkey = (s.start_byte // 10) WHERE s.node_kind = 'declaration'),
 met AS (SELECT r.*, d.symbol_id AS dst, d.file_path AS dst_file, """ + KIND.format(k="d.node_kind") + """ + CASE WHEN d.file_path = r.src_file THEN 1000 ELSE 0 END AS r FROM refs r JOIN symbols d ON d.base_name = r.name WHERE d.symbol_id <> r.src),
 top AS (SELECT * FROM met QUALIFY r = max(r) OVER (PARTITION BY src, name))
 """
 
 
-def _refs(spark, sf, which="start_byte % 40 = 0"):
+def _refs(spark, sf):
     s = C.symbols(spark, sf)
     p = C.read(spark, sf, "part")
-    return s.filter("node_kind = 'declaration'").filter(which).join(p, F.col("p_partkey") == F.expr("start_byte div 10")).select(F.col("symbol_id").alias("src"), F.col("file_path").alias("src_file"), F.lit("x").alias("family"), F.col("p_name").alias("name"))
+    return s.filter("node_kind = 'declaration'").join(p, F.col("p_partkey") == F.expr("start_byte div 10")).select(F.col("symbol_id").alias("src"), F.col("file_path").alias("src_file"), F.lit("x").alias("family"), F.col("p_name").alias("name"))
 
 
 @registered(REFS + "SELECT DISTINCT src, min(dst) AS dst FROM top GROUP BY src, name HAVING count(DISTINCT dst) = 1")
 def resolve_edges(spark, sf):
-    """A quarter of the references, as its SQL says; ``resolve_edges_all`` resolves them all."""
     return resolve.edges(_refs(spark, sf), C.symbols(spark, sf).withColumn("family", F.lit("x")))
 
 
-@registered(without(ORACLE["resolve_edges"], " AND s.start_byte % 40 = 0"), False)
-def resolve_edges_all(spark, sf):
-    return resolve.edges(_refs(spark, sf, "true"), C.symbols(spark, sf).withColumn("family", F.lit("x")))
+IMPORTED = REFS.replace("ELSE 0 END AS r FROM refs r JOIN symbols d ON d.base_name = r.name", "WHEN i.a IS NOT NULL THEN 200 ELSE 0 END AS r FROM refs r JOIN symbols d ON d.base_name = r.name LEFT JOIN inc i ON i.a = r.src_file AND i.b = d.file_path").replace(
+    "refs AS", "inc AS (SELECT DISTINCT '/ws/parts/' || p_brand || '.cpp' AS a, '/ws/parts/Brand#' || (p_size % 5 + 1) || (p_size % 3 + 1) || '.cpp' AS b FROM part WHERE p_size % 7 = 0),\nrefs AS", 1
+)
+
+
+@registered(IMPORTED + "SELECT DISTINCT src, min(dst) AS dst FROM top GROUP BY src, name HAVING count(DISTINCT dst) = 1")
+def resolve_imported(spark, sf):
+    """Own file first, then imported files, then the rest."""
+    imports = C.read(spark, sf, "part").filter("p_size % 7 = 0").selectExpr("concat('/ws/parts/', p_brand, '.cpp') AS importer", "concat('/ws/parts/Brand#', p_size % 5 + 1, p_size % 3 + 1, '.cpp') AS imported")
+    return resolve.edges(_refs(spark, sf), C.symbols(spark, sf).withColumn("family", F.lit("x")), imports)
 
 
 @registered("""names AS (SELECT p_name AS name, min(p_partkey) AS ref_id FROM part GROUP BY p_name UNION ALL SELECT 'no ' || r_name, -r_regionkey - 1 FROM region UNION ALL SELECT n_name, -100 - n_nationkey FROM nation),
@@ -408,45 +395,26 @@ def reference_diagnostics(spark, sf):
     return query.unresolved(names, C.symbols(spark, sf))
 
 
-@registered("""refs AS (SELECT p_partkey AS ref_id, CASE WHEN p_partkey % 3 = 0 THEN p_brand || '::' || p_name ELSE p_brand || '::' || p_name || '<' || p_type || '<int>>' END AS name FROM part WHERE p_partkey % 5 = 0),
+@registered("""refs AS (SELECT p_partkey AS ref_id, CASE WHEN p_partkey % 3 = 0 THEN p_brand || '::' || p_name ELSE p_brand || '::' || p_name || '<' || p_type || '<int>>' END AS name FROM part),
 exact AS (SELECT ref_id, symbol_id, 'exact' AS step FROM refs JOIN symbols ON semantic_path = name)
 SELECT * FROM exact UNION ALL SELECT ref_id, symbol_id, 'template' FROM refs JOIN symbols ON semantic_path = regexp_replace(name, '<.*>$', '') WHERE contains(name, '<') AND ref_id NOT IN (SELECT ref_id FROM exact)""")
 def template_fallback(spark, sf):
-    """A fifth of the references, as its SQL says; ``template_fallback_all`` resolves them all."""
-    return _by_path(C.read(spark, sf, "part").filter("p_partkey % 5 = 0"), C.symbols(spark, sf))
-
-
-def _by_path(parts, symbols):
-    refs = parts.selectExpr("p_partkey AS ref_id", "CASE WHEN p_partkey % 3 = 0 THEN concat(p_brand, '::', p_name) ELSE concat(p_brand, '::', p_name, '<', p_type, '<int>>') END AS name")
-    return resolve.by_path(refs, symbols).select("ref_id", F.col("dst").alias("symbol_id"), "step")
-
+    refs = C.read(spark, sf, "part").selectExpr("p_partkey AS ref_id", "CASE WHEN p_partkey % 3 = 0 THEN concat(p_brand, '::', p_name) ELSE concat(p_brand, '::', p_name, '<', p_type, '<int>>') END AS name")
+    return resolve.by_path(refs, C.symbols(spark, sf)).select("ref_id", F.col("dst").alias("symbol_id"), "step")
 
-@registered(without(ORACLE["template_fallback"], " WHERE p_partkey % 5 = 0"), False)
-def template_fallback_all(spark, sf):
-    return _by_path(C.read(spark, sf, "part"), C.symbols(spark, sf))
 
-
-@registered("""cand AS (SELECT a.symbol_id AS src, a.file_path AS src_file, a.start_byte AS at_byte, b.symbol_id AS dst, b.file_path AS dst_file, b.start_byte FROM symbols a JOIN symbols b USING (base_name) WHERE a.node_kind = 'declaration' AND a.start_byte % 60 = 0 AND a.symbol_id <> b.symbol_id),
-inc AS (SELECT DISTINCT '/ws/parts/' || p_brand || '.cpp' AS src_file, '/ws/parts/Brand#' || (p_size % 5 + 1) || (p_size % 3 + 1) || '.cpp' AS dst_file FROM part WHERE p_partkey % 20 = 0)
+@registered("""cand AS (SELECT a.symbol_id AS src, a.file_path AS src_file, a.start_byte AS at_byte, b.symbol_id AS dst, b.file_path AS dst_file, b.start_byte FROM symbols a JOIN symbols b USING (base_name) WHERE a.node_kind = 'declaration' AND a.start_byte % 200 = 0 AND a.symbol_id <> b.symbol_id),
+inc AS (SELECT DISTINCT '/ws/parts/' || p_brand || '.cpp' AS src_file, '/ws/parts/Brand#' || (p_size % 5 + 1) || (p_size % 3 + 1) || '.cpp' AS dst_file FROM part)
 SELECT src, dst, i.src_file IS NOT NULL AS included FROM cand c LEFT JOIN inc i USING (src_file, dst_file) WHERE (c.src_file = c.dst_file AND start_byte < at_byte) OR i.src_file IS NOT NULL""")
 def visible_before(spark, sf):
-    """Callers and includes of a subset, as its SQL says; ``visible_before_all`` takes them all."""
-    return _visible(spark, sf, "start_byte % 60 = 0", "p_partkey % 20 = 0")
-
-
-def _visible(spark, sf, callers, includes):
+    """The callers whose key is divisible by 20, against all symbols and includes."""
     s = C.symbols(spark, sf)
-    a = s.filter("node_kind = 'declaration'").filter(callers).select(F.col("symbol_id").alias("src"), F.col("file_path").alias("src_file"), F.col("start_byte").alias("at_byte"), "base_name")
+    a = s.filter("node_kind = 'declaration' AND start_byte % 200 = 0").select(F.col("symbol_id").alias("src"), F.col("file_path").alias("src_file"), F.col("start_byte").alias("at_byte"), "base_name")
     cand = a.join(s.select("base_name", F.col("symbol_id").alias("dst"), F.col("file_path").alias("dst_file"), "start_byte"), "base_name").filter("src <> dst")
-    inc = C.read(spark, sf, "part").filter(includes).selectExpr("concat('/ws/parts/', p_brand, '.cpp') AS root", "concat('/ws/parts/Brand#', p_size % 5 + 1, p_size % 3 + 1, '.cpp') AS node")
+    inc = C.read(spark, sf, "part").selectExpr("concat('/ws/parts/', p_brand, '.cpp') AS root", "concat('/ws/parts/Brand#', p_size % 5 + 1, p_size % 3 + 1, '.cpp') AS node")
     return resolve.visible_before(cand, inc).select("src", "dst", "included")
 
 
-@registered(without(ORACLE["visible_before"], " AND a.start_byte % 60 = 0", " WHERE p_partkey % 20 = 0"), False)
-def visible_before_all(spark, sf):
-    return _visible(spark, sf, "true", "true")
-
-
 @registered("""i AS (SELECT 'f' || (o_custkey % 200) AS file_path, 'n' || (o_orderkey % 60) AS local_name, o_orderpriority AS target FROM orders)
 SELECT file_path, local_name, target FROM i QUALIFY count(*) OVER (PARTITION BY file_path, local_name) = 1""", True)
 def import_unique(spark, sf):
@@ -459,21 +427,28 @@ def unique_package(spark, sf):
     return resolve.package_names(C.read(spark, sf, "part").select(F.concat("p_name", F.lit("/"), F.col("p_size").cast("string")).alias("directory"), F.col("p_brand").alias("package")))
 
 
-@registered("""c AS (SELECT p_partkey AS id, p_size % 4 AS n, CASE p_size % 5 WHEN 0 THEN ['void'] WHEN 1 THEN ['int a', 'int b = 1'] WHEN 2 THEN ['int a', '...'] WHEN 3 THEN ['int a', 'int b', 'int c'] ELSE [] END AS ps, p_size % 5 AS k FROM part)
-SELECT id, CASE k WHEN 0 THEN n = 0 WHEN 1 THEN n BETWEEN 1 AND 2 WHEN 2 THEN n >= 1 WHEN 3 THEN n = 3 ELSE n = 0 END AS accepts FROM c""")
+@registered("""c AS (SELECT p_partkey AS id, p_size % 4 AS n, p_partkey % 8 AS k FROM part)
+SELECT id, CASE k WHEN 0 THEN n = 0 WHEN 1 THEN n BETWEEN 1 AND 2 WHEN 2 THEN n >= 1 WHEN 3 THEN n = 3 WHEN 4 THEN n = 1 WHEN 5 THEN n = 1 WHEN 6 THEN n <= 1 ELSE n = 0 END AS accepts FROM c""")
 def arity_accepts(spark, sf):
-    lists = {0: ["void"], 1: ["int a", "int b = 1"], 2: ["int a", "..."], 3: ["int a", "int b", "int c"]}
-    k = F.col("p_size") % 5
+    """A pack is one parameter, ``=`` inside brackets is no default, and one after closed brackets is."""
+    lists = [["void"], ["int a", "int b = 1"], ["int a", "..."], ["int a", "int b", "int c"], ["Args... values"], ["int a[sizeof(b = 1)]"], ["F f = g(1, [x = 2]{})"], []]
+    k = F.col("p_partkey") % 8
     ps = F.array().cast("array<string>")
-    for key, v in lists.items():
-        ps = F.when(k == key, F.array(*[F.lit(x) for x in v])).otherwise(ps)
+    for key, v in enumerate(lists):
+        ps = F.when(k == key, F.array(*[F.lit(x) for x in v]).cast("array<string>")).otherwise(ps)
     return C.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), E.accepts_arity(ps, F.col("p_size") % 4).alias("accepts"))
 
 
-@registered("""SELECT DISTINCT p_brand || '<' || p_type || '>::' || p_name AS path, p_brand || '::' || p_name AS base, p_name AS name, p_brand || '<' || p_type || '>' AS parent FROM part""", False)
+@registered("""SELECT DISTINCT p_brand || '<' || p_type || '>::' || p_name AS path, p_brand || '::' || p_name AS base, p_name AS name, p_brand || '<' || p_type || '>' AS parent FROM part
+UNION ALL SELECT n_name || '<(1 > 0)>', n_name, n_name, NULL FROM nation UNION ALL SELECT n_name || '(a<b)', n_name || 'a<b', n_name || 'a<b', NULL FROM nation
+UNION ALL SELECT n_name || '<a > b>', NULL, n_name || '<a > b>', NULL FROM nation WHERE n_nationkey < 0 UNION ALL SELECT n_name || '<x', NULL, n_name || '<x', NULL FROM nation UNION ALL SELECT n_name, NULL, n_name, NULL FROM nation""", False)
 def template_base(spark, sf):
+    """Angle brackets inside others stay, other brackets go, and what is left open has no base."""
     path = F.concat("p_brand", F.lit("<"), "p_type", F.lit(">::"), "p_name")
     p = C.read(spark, sf, "part").select(path.alias("path")).distinct()
+    n = C.read(spark, sf, "nation")
+    for end in ("<(1 > 0)>", "(a<b)", "<x", ""):
+        p = p.unionAll(n.select(F.concat("n_name", F.lit(end))))
     return p.select("path", E.template_base("path").alias("base"), E.reference_base("path").alias("name"), E.parent_path("path").alias("parent"))
 
 
@@ -563,17 +538,17 @@ def locate_rows(spark, sf):
     return query.locate(C.symbols(spark, sf), w).select("want_id", "symbol_id")
 
 
-PATHS = """paths AS (SELECT page_id AS id, '/ws/' || CASE page_id % 6 WHEN 0 THEN 'src' WHEN 1 THEN 'Node_Modules/a' WHEN 2 THEN 'a/.git' WHEN 3 THEN 'b/target' WHEN 4 THEN 'lib' ELSE '../out' END || '/f' || page_id || CASE page_id % 9 WHEN 0 THEN '.PY' WHEN 1 THEN '.cpp' WHEN 2 THEN '_test.go' WHEN 3 THEN '.tsx' WHEN 4 THEN '.H' WHEN 5 THEN '.txt' WHEN 6 THEN '.go' WHEN 7 THEN '.kts' ELSE '' END AS path FROM pages)"""
+PATHS = """paths AS (SELECT page_id AS id, '/ws/' || CASE page_id % 10 WHEN 0 THEN 'src' WHEN 1 THEN 'Node_Modules/a' WHEN 2 THEN 'a/.git' WHEN 3 THEN 'b/target' WHEN 4 THEN 'a/.ruff_cache' WHEN 5 THEN '.tox' WHEN 6 THEN '.hg' WHEN 7 THEN '.svn/b' WHEN 8 THEN 'lib' ELSE '../out' END || '/f' || page_id || CASE page_id % 9 WHEN 0 THEN '.PY' WHEN 1 THEN '.cpp' WHEN 2 THEN '_test.go' WHEN 3 THEN '.tsx' WHEN 4 THEN '.H' WHEN 5 THEN '.txt' WHEN 6 THEN '.go' WHEN 7 THEN '.kts' ELSE '' END AS path FROM pages)"""
 
 
 def _paths(spark, sf):
-    mid = "CASE page_id % 6 WHEN 0 THEN 'src' WHEN 1 THEN 'Node_Modules/a' WHEN 2 THEN 'a/.git' WHEN 3 THEN 'b/target' WHEN 4 THEN 'lib' ELSE '../out' END"
+    mid = "CASE page_id % 10 WHEN 0 THEN 'src' WHEN 1 THEN 'Node_Modules/a' WHEN 2 THEN 'a/.git' WHEN 3 THEN 'b/target' WHEN 4 THEN 'a/.ruff_cache' WHEN 5 THEN '.tox' WHEN 6 THEN '.hg' WHEN 7 THEN '.svn/b' WHEN 8 THEN 'lib' ELSE '../out' END"
     end = "CASE page_id % 9 WHEN 0 THEN '.PY' WHEN 1 THEN '.cpp' WHEN 2 THEN '_test.go' WHEN 3 THEN '.tsx' WHEN 4 THEN '.H' WHEN 5 THEN '.txt' WHEN 6 THEN '.go' WHEN 7 THEN '.kts' ELSE '' END"
     return C.read(spark, sf, "pages").selectExpr("page_id AS id", f"concat('/ws/', {mid}, '/f', page_id, {end}) AS path")
 
 
-@registered(PATHS + """ SELECT id, CASE id % 9 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp' WHEN 2 THEN 'go' WHEN 3 THEN 'tsx' WHEN 4 THEN 'c' WHEN 6 THEN 'go' WHEN 7 THEN 'kotlin' END AS language, id % 6 IN (1, 2, 3) AS skipped,
-  id % 9 = 4 AS header, id % 9 = 6 AS production_go, id % 6 <> 5 AS inside, CASE WHEN id % 6 = 5 THEN replace(path, '/ws/..', '') ELSE path END AS normal FROM paths""")
+@registered(PATHS + """ SELECT id, CASE id % 9 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp' WHEN 2 THEN 'go' WHEN 3 THEN 'tsx' WHEN 4 THEN 'c' WHEN 6 THEN 'go' WHEN 7 THEN 'kotlin' END AS language, id % 10 IN (1, 2, 3, 4, 5) AS skipped,
+  id % 9 = 4 AS header, id % 9 = 6 AS production_go, id % 10 <> 9 AS inside, CASE WHEN id % 10 = 9 THEN replace(path, '/ws/..', '') ELSE path END AS normal FROM paths""")
 def scan_predicates(spark, sf):
     p = _paths(spark, sf)
     relative = F.substr("path", F.lit(5))
@@ -583,15 +558,9 @@ def scan_predicates(spark, sf):
     )
 
 
-@registered("SELECT file_path FROM files UNION SELECT file_path || '.new' FROM overlay ORDER BY file_path LIMIT 300")
+@registered("SELECT file_path FROM files UNION SELECT file_path || '.new' FROM overlay ORDER BY file_path")
 def path_union_sorted(spark, sf):
-    """The first 300 in order, as its SQL says; ``path_union_all`` returns them all."""
-    return path_union_all(spark, sf).orderBy("file_path").limit(300)
-
-
-@registered(without(ORACLE["path_union_sorted"], " ORDER BY file_path LIMIT 300"), False)
-def path_union_all(spark, sf):
-    return C.files(spark, sf).select("file_path").union(C.overlay(spark, sf).select(F.concat("file_path", F.lit(".new")))).distinct()
+    return C.files(spark, sf).select("file_path").union(C.overlay(spark, sf).select(F.concat("file_path", F.lit(".new")))).distinct().orderBy("file_path")
 
 
 @registered("""i AS (SELECT doc_id AS import_id, '/ws/' || source || '/' || lang || '/' || doc_id || '.py' AS file_path, CASE doc_id % 3 WHEN 0 THEN '.m' || (doc_id % 7) WHEN 1 THEN '..pkg' ELSE 'm' || (doc_id % 5) END AS module, source, lang FROM documents),
@@ -699,7 +668,7 @@ cn AS (SELECT patch_id, name, count(*) AS n, min(candidate) AS candidate FROM be
 dec AS (SELECT rf.patch_id, rf.name, coalesce(n, 0) AS candidates, CASE WHEN coalesce(n, 0) = 0 THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN candidate END AS selected FROM rf LEFT JOIN cn USING (patch_id, name)),
 gc AS (SELECT patch_id, count(*) FILTER (WHERE status = 'ambiguous') AS amb, count(*) FILTER (WHERE status = 'unresolved') AS unr FROM dec GROUP BY patch_id),
 gate AS (SELECT patch_id, bypass, CASE WHEN syntax_errors > 0 THEN 'syntax' WHEN coalesce(amb, 0) > 0 THEN 'ambiguous' WHEN coalesce(unr, 0) > 0 THEN 'unresolved' END AS reason FROM pt LEFT JOIN gc USING (patch_id)),
-gated AS (SELECT patch_id, bypass, CASE WHEN reason IS NULL THEN 'allowed' WHEN bypass AND reason <> 'syntax' THEN 'allowed_with_bypass' ELSE 'rejected' END AS gate, reason FROM gate)
+gated AS (SELECT patch_id, bypass, CASE WHEN reason IS NULL THEN 'allowed' WHEN bypass THEN 'allowed_with_bypass' ELSE 'rejected' END AS gate, reason FROM gate)
 """
 
 
@@ -731,7 +700,7 @@ def commit_gate(spark, sf):
 
 
 REPLAY = """st AS (SELECT l_orderkey AS patch_id, CASE WHEN l_shipdate IS NULL OR l_linenumber = 7 THEN 'failed' WHEN l_linestatus = 'F' AND l_returnflag = 'A' THEN 'blocked' WHEN l_partkey % 50 = 0 THEN 'missing' ELSE 'matched' END AS status FROM lineitem),
-rs AS (SELECT patch_id, CASE max(CASE status WHEN 'failed' THEN 3 WHEN 'missing' THEN 2 WHEN 'blocked' THEN 1 ELSE 0 END) WHEN 3 THEN 'failed' WHEN 2 THEN 'missing' WHEN 1 THEN 'blocked' ELSE 'matched' END AS status, count(*) FILTER (WHERE status = 'matched') AS matched, count(*) FILTER (WHERE status = 'blocked') AS blocked, bool_and(status = 'matched') AS consistent FROM st GROUP BY patch_id)
+rs AS (SELECT patch_id, CASE max(CASE status WHEN 'failed' THEN 3 WHEN 'missing' THEN 2 WHEN 'blocked' THEN 1 ELSE 0 END) WHEN 3 THEN 'failed' WHEN 2 THEN 'missing' WHEN 1 THEN 'blocked' ELSE 'matched' END AS status, count(*) FILTER (WHERE status = 'matched') AS matched, count(*) FILTER (WHERE status = 'blocked') AS blocked, bool_and(status IN ('matched', 'blocked')) AS consistent FROM st GROUP BY patch_id)
 """
 
 
@@ -745,23 +714,25 @@ def replay_status(spark, sf):
     return _replayed(spark, sf)
 
 
-@registered(PATCH.rstrip() + ", " + REPLAY + "SELECT g.patch_id, CASE WHEN gate = 'rejected' THEN 'rejected_by_patch_gate' WHEN status IN ('missing', 'failed') THEN 'rejected_by_trace_replay' WHEN status = 'blocked' AND NOT bypass THEN 'rejected' ELSE 'allowed' END AS decision FROM gated g LEFT JOIN rs USING (patch_id)")
+@registered(PATCH.rstrip() + ", " + REPLAY + "SELECT g.patch_id, CASE WHEN gate = 'rejected' THEN 'rejected_by_patch_gate' WHEN status IN ('missing', 'failed') OR (status = 'blocked' AND gate <> 'allowed_with_bypass') THEN 'rejected_by_trace_replay' ELSE gate END AS decision FROM gated g LEFT JOIN rs USING (patch_id)")
 def commit_decision(spark, sf):
     return patch.commit_decision(_gated(spark, sf), _replayed(spark, sf))
 
 
-@registered(ROOTS + f""", tr AS (SELECT root_id AS patch_id, 'caller' AS role, src AS symbol_id FROM roots JOIN edges ON dst = root_id UNION SELECT root_id, 'callee', dst FROM roots JOIN edges ON src = root_id),
-keyed AS (SELECT patch_id, role, {KEY.format(o='role')} AS k, {KEY.format(o="'moved'")} AS moved, symbol_id || '|' || file_path || '|' || node_kind || '|' || start_byte || '..' || end_byte || '|' || coalesce(signature, '') AS bare, start_byte FROM tr JOIN symbols USING (symbol_id)),
-ev AS (SELECT patch_id, CASE WHEN start_byte % 3 = 0 THEN moved WHEN start_byte % 7 = 0 THEN k || '?' ELSE k END AS evidence_key, start_byte % 3 = 0 AS m, start_byte % 7 = 0 AND start_byte % 3 <> 0 AS lost, role, bare FROM keyed)
-SELECT patch_id, evidence_key, CASE WHEN lost THEN CASE WHEN start_even THEN 'patch' END ELSE role END AS found_in FROM (SELECT DISTINCT patch_id, evidence_key, lost, role, length(evidence_key) % 2 = 0 AS start_even FROM ev)""")
+@registered(ROOTS + f""", tr AS (SELECT root_id AS patch_id, 'caller' AS role, src AS symbol_id FROM roots JOIN edges ON dst = root_id UNION SELECT root_id, 'callee', dst FROM roots JOIN edges ON src = root_id UNION SELECT root_id, 'trace_root', root_id FROM roots),
+keyed AS (SELECT patch_id, symbol_id, CASE role WHEN 'callee' THEN 'callees' WHEN 'caller' THEN 'callers' ELSE 'symbol' END AS scope, {KEY.format(o='role')} AS k, {KEY.format(o="'moved'")} AS moved, {KEY.format(o="'local_scope'")} AS own, start_byte FROM tr JOIN symbols USING (symbol_id)),
+ev AS (SELECT patch_id, symbol_id, CASE WHEN start_byte % 30 = 0 THEN moved WHEN start_byte % 70 = 0 THEN k || '?' WHEN start_byte % 110 = 0 THEN own || '?' WHEN start_byte % 130 = 0 THEN 'short|' || symbol_id WHEN start_byte % 170 = 0 THEN NULL ELSE k END AS evidence_key,
+  CASE WHEN start_byte % 30 = 0 THEN scope WHEN start_byte % 70 = 0 THEN 'none' WHEN start_byte % 110 = 0 THEN 'patch_scope' WHEN start_byte % 130 = 0 OR start_byte % 170 = 0 THEN 'none' ELSE scope END AS scope,
+  CASE WHEN length(symbol_id) % 5 = 0 THEN 'blocked' WHEN length(symbol_id) % 7 = 0 THEN 'failed' ELSE 'passed' END AS invariant FROM keyed)
+SELECT patch_id, symbol_id AS name, evidence_key, scope, CASE invariant WHEN 'passed' THEN CASE WHEN scope = 'none' THEN 'missing' ELSE 'matched' END ELSE invariant END AS status FROM ev""")
 def evidence_replay(spark, sf):
-    t = graph.trace(C.symbols(spark, sf), C.edges(spark, sf), _roots(spark, sf)).filter("role <> 'trace_root'").withColumnRenamed("root_id", "patch_id")
+    t = graph.trace(C.symbols(spark, sf), C.edges(spark, sf), _roots(spark, sf)).withColumnRenamed("root_id", "patch_id")
     key = lambda o: E.evidence_key("symbol_id", "file_path", "node_kind", o, "start_byte", "end_byte", "signature")
-    trace = t.select("patch_id", "role", key(F.col("role")).alias("evidence_key"))
-    moved, k = key(F.lit("moved")), key(F.col("role"))
-    ev = t.select("patch_id", F.when(F.col("start_byte") % 3 == 0, moved).when(F.col("start_byte") % 7 == 0, F.concat(k, F.lit("?"))).otherwise(k).alias("evidence_key")).distinct()
-    scope = ev.filter("length(evidence_key) % 2 = 0 AND endswith(evidence_key, '?')")
-    return patch.replay(ev, trace, scope)
+    by = lambda k: F.col("start_byte") % k == 0
+    k, lost = key(F.col("role")), F.lit("?")
+    chosen = F.when(by(30), key(F.lit("moved"))).when(by(70), F.concat(k, lost)).when(by(110), F.concat(key(F.lit("local_scope")), lost)).when(by(130), F.concat(F.lit("short|"), "symbol_id")).when(~by(170), k)
+    invariant = F.when(F.length("symbol_id") % 5 == 0, "blocked").when(F.length("symbol_id") % 7 == 0, "failed").otherwise("passed")
+    return patch.replay(t.select("patch_id", F.col("symbol_id").alias("name"), chosen.alias("evidence_key"), invariant.alias("invariant")), t.select("patch_id", "role", k.alias("evidence_key")))
 
 
 @registered(SPANS + " SELECT doc_id, md5(source[1:a] || '<new é>' || source[b + 1:]) AS digest FROM spans")
@@ -780,20 +751,30 @@ def position_edit_batch(spark, sf):
     return s.select("doc_id", F.md5(patch.position_edits(F.col("source"), edits)).alias("digest"))
 
 
-@registered("""l AS (SELECT doc_id, source, string_split(source, chr(10)) AS a FROM files), m AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN a ELSE list_concat(a[1:1], ['added'], a[3:]) END AS b FROM l)
-SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN len(a) = 1 THEN '@@ -1,0 +2,1 @@' || chr(10) || '+added' ELSE '@@ -2,1 +2,1 @@' || chr(10) || '-' || a[2] || chr(10) || '+added' END AS hunk FROM m""")
+@registered("""l AS (SELECT doc_id, source, string_split(source, chr(10)) AS s0 FROM files),
+v AS (SELECT doc_id, source, CASE doc_id % 5 WHEN 0 THEN source WHEN 1 THEN source || chr(10) || 'tail' WHEN 2 THEN 'head' || chr(13) || chr(10) || source WHEN 3 THEN '' ELSE array_to_string(list_concat(s0[1:1], ['added'], s0[3:]), chr(10)) END AS after FROM l),
+c AS (SELECT *, CASE WHEN source = '' OR source LIKE '%' || chr(10) THEN string_split(source, chr(10))[:-2] ELSE string_split(source, chr(10)) END AS a0, CASE WHEN after = '' OR after LIKE '%' || chr(10) THEN string_split(after, chr(10))[:-2] ELSE string_split(after, chr(10)) END AS b0 FROM v),
+m AS (SELECT doc_id, source, after, list_transform(a0, lambda x, i: CASE WHEN x LIKE '%' || chr(13) AND (i < len(a0) OR source LIKE '%' || chr(10)) THEN x[:-2] ELSE x END) AS a, list_transform(b0, lambda x, i: CASE WHEN x LIKE '%' || chr(13) AND (i < len(b0) OR after LIKE '%' || chr(10)) THEN x[:-2] ELSE x END) AS b FROM c),
+h AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS head FROM m),
+t AS (SELECT *, least(coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[len(a) + 1 - i] <> b[len(b) + 1 - i])) - 1, least(len(a), len(b))), least(len(a), len(b)) - head) AS tail FROM h)
+SELECT doc_id, CASE WHEN source = after THEN '' ELSE '--- a/ws/f' || doc_id || '.py' || chr(10) || '+++ b/ws/f' || doc_id || '.py' || chr(10) || '@@ -' || (head + 1) || ',' || (len(a) - head - tail) || ' +' || (head + 1) || ',' || (len(b) - head - tail) || ' @@' || chr(10)
+  || coalesce(array_to_string(list_transform(a[head + 1:len(a) - tail], lambda x: '-' || x || chr(10)), ''), '') || coalesce(array_to_string(list_transform(b[head + 1:len(b) - tail], lambda x: '+' || x || chr(10)), ''), '') END AS diff FROM t""")
 def unified_diff(spark, sf):
-    f = C.files(spark, sf).withColumn("a", F.split("source", "\n"))
-    b = F.when(F.col("doc_id") % 5 == 0, F.col("source")).otherwise(F.array_join(F.concat(F.slice("a", 1, 1), F.array(F.lit("added")), F.slice("a", F.lit(3), F.size("a"))), "\n"))
-    return f.select("doc_id", patch.diff_hunk(F.col("source"), b).alias("hunk"))
-
-
-@registered("""l AS (SELECT 'f' || c_nationkey AS file_path, c_custkey AS row, CASE c_custkey % 5 WHEN 0 THEN 'if x:' WHEN 1 THEN '  y' WHEN 2 THEN '' WHEN 3 THEN '  for z:' ELSE '  w' END AS line FROM customer),
-c AS (SELECT *, length(line) - length(ltrim(line)) AS indent, lag(line) OVER (PARTITION BY file_path ORDER BY row) AS prev FROM l WHERE trim(line) <> '')
-SELECT file_path, row, indent, length(prev) - length(ltrim(prev)) AS header FROM c WHERE prev LIKE '%:' AND indent <= length(prev) - length(ltrim(prev))""")
+    """Lines added at the end and the start, a text made empty, a line replaced, and no change."""
+    f, k = C.files(spark, sf).withColumn("a", F.split("source", "\n")), F.col("doc_id") % 5
+    replaced = F.array_join(F.concat(F.slice("a", 1, 1), F.array(F.lit("added")), F.slice("a", F.lit(3), F.size("a"))), "\n")
+    after = F.when(k == 0, F.col("source")).when(k == 1, F.concat("source", F.lit("\ntail"))).when(k == 2, F.concat(F.lit("head\r\n"), "source")).when(k == 3, "").otherwise(replaced)
+    return f.select("doc_id", patch.unified_diff(F.concat(F.lit("/ws/f"), F.col("doc_id").cast("string"), F.lit(".py")), F.col("source"), after).alias("diff"))
+
+
+@registered("""l AS (SELECT 'f' || c_nationkey AS file_path, c_custkey AS row, CASE c_custkey % 9 WHEN 0 THEN 'if x:  ' WHEN 1 THEN '# note' WHEN 2 THEN '' WHEN 3 THEN 'flat' WHEN 4 THEN '  for z:' WHEN 5 THEN '  w' WHEN 6 THEN '    deep' WHEN 7 THEN '  # y:' ELSE 'else:' END AS line FROM customer),
+c AS (SELECT file_path, row, length(line) - length(ltrim(line)) AS indent, rtrim(line) LIKE '%:' AS opens, row_number() OVER (PARTITION BY file_path ORDER BY row) AS k FROM l WHERE trim(line) <> '' AND ltrim(line) NOT LIKE '#%'),
+st(file_path, k, row, indent, header, waits) AS (SELECT file_path, k, row, indent, NULL::BIGINT, CASE WHEN opens THEN indent END FROM c WHERE k = 1
+  UNION ALL SELECT c.file_path, c.k, c.row, c.indent, CASE WHEN c.indent <= st.waits THEN st.waits END, CASE WHEN c.opens THEN c.indent WHEN c.indent <= st.waits THEN st.waits END FROM st JOIN c ON c.file_path = st.file_path AND c.k = st.k + 1)
+SELECT file_path, row, indent, header FROM st WHERE header IS NOT NULL""")
 def indentation_issues(spark, sf):
-    lines = C.read(spark, sf, "customer").selectExpr("concat('f', c_nationkey) AS file_path", "c_custkey AS row", "CASE c_custkey % 5 WHEN 0 THEN 'if x:' WHEN 1 THEN '  y' WHEN 2 THEN '' WHEN 3 THEN '  for z:' ELSE '  w' END AS line")
-    out = patch.indentation_issues(lines)
+    line = "CASE c_custkey % 9 WHEN 0 THEN 'if x:  ' WHEN 1 THEN '# note' WHEN 2 THEN '' WHEN 3 THEN 'flat' WHEN 4 THEN '  for z:' WHEN 5 THEN '  w' WHEN 6 THEN '    deep' WHEN 7 THEN '  # y:' ELSE 'else:' END AS line"
+    out = patch.indentation_issues(C.read(spark, sf, "customer").selectExpr("concat('f', c_nationkey) AS file_path", "c_custkey AS row", line))
     return out.select("file_path", "row", F.col("indent").cast("long").alias("indent"), F.col("header").cast("long").alias("header"))
 
 

@@ -40,14 +40,14 @@ def alias_closure(spark, sf):
 chain AS (SELECT node, min(parent) AS parent FROM par GROUP BY node HAVING count(DISTINCT parent) = 1),
 prov AS (SELECT p_partkey AS node, 'm' || (p_size % 4) AS name, 's' || p_partkey AS symbol_id FROM part WHERE p_partkey % 5 <> 2 UNION ALL SELECT p_partkey, 'm' || (p_size % 4), 't' || p_partkey FROM part WHERE p_partkey % 13 = 0),
 offer AS (SELECT node, name, count(DISTINCT symbol_id) AS n, min(symbol_id) AS symbol_id FROM prov GROUP BY ALL),
-walk(call_id, node, name, hops) AS (SELECT p_partkey, p_partkey, 'm' || (p_partkey % 4), 0 FROM part WHERE p_partkey % 3 = 0
+walk(call_id, node, name, hops) AS (SELECT p_partkey, p_partkey, 'm' || (p_partkey % 4), 0 FROM part
   UNION ALL SELECT w.call_id, c.parent, w.name, w.hops + 1 FROM walk w JOIN chain c ON c.node = w.node WHERE NOT EXISTS (SELECT 1 FROM offer o WHERE o.node = w.node AND o.name = w.name))
 SELECT call_id, symbol_id, hops FROM walk JOIN offer USING (node, name) WHERE n = 1""", False)
 def superclass_members(spark, sf):
     p = C.read(spark, sf, "part")
     par = p.filter("p_partkey > 0").selectExpr("p_partkey AS node", "p_partkey div 2 AS parent").unionAll(p.filter("p_partkey % 11 = 0 AND p_partkey > 0").selectExpr("p_partkey", "p_partkey div 3"))
     prov = p.filter("p_partkey % 5 <> 2").selectExpr("p_partkey AS node", "concat('m', p_size % 4) AS name", "concat('s', p_partkey) AS symbol_id").unionAll(p.filter("p_partkey % 13 = 0").selectExpr("p_partkey", "concat('m', p_size % 4)", "concat('t', p_partkey)"))
-    return graph.inherited(p.filter("p_partkey % 3 = 0").selectExpr("p_partkey AS call_id", "p_partkey AS node", "concat('m', p_partkey % 4) AS name"), par, prov)
+    return graph.inherited(p.selectExpr("p_partkey AS call_id", "p_partkey AS node", "concat('m', p_partkey % 4) AS name"), par, prov)
 
 
 @registered("""WITH RECURSIVE par AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 50 = 7 THEN c_custkey + 1 WHEN c_custkey % 50 = 8 THEN c_custkey - 1 ELSE c_custkey // 3 END AS parent FROM customer WHERE c_custkey > 0),
@@ -59,72 +59,43 @@ def module_chains(spark, sf):
     return graph.module_chains(par)
 
 
-@registered("""WITH RECURSIVE m AS (SELECT o_orderkey AS id, 'm' || (o_custkey % 60) AS module, 'x' || (o_orderkey % 20) AS name FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey < 3000),
+@registered("""WITH RECURSIVE m AS (SELECT o_orderkey AS id, 'm' || (o_custkey % 60) AS module, 'x' || (o_orderkey % 20) AS name FROM orders),
 direct AS (SELECT DISTINCT module, name, module || '.' || name AS definer FROM m WHERE id % 2 = 0), named AS (SELECT DISTINCT module, 'y' || (id % 9) AS name, 'm' || (id % 61) AS target, name AS target_name FROM m WHERE id % 2 = 1),
 walk(module, name, definer) AS (SELECT * FROM direct UNION SELECT n.module, n.name, w.definer FROM walk w JOIN named n ON n.target = w.module AND n.target_name = w.name)
 SELECT module, name, min(definer) AS definer FROM walk GROUP BY ALL HAVING count(DISTINCT definer) = 1""", False)
 def import_chains(spark, sf):
-    """Over a subset of the orders, as its SQL says; ``import_chains_all`` takes them all."""
-    return _chained(C.read(spark, sf, "orders").filter("o_orderkey % 7 = 0 AND o_orderkey < 3000"))
-
-
-def _chained(orders):
-    m = orders.selectExpr("o_orderkey AS id", "concat('m', o_custkey % 60) AS module", "concat('x', o_orderkey % 20) AS name")
+    m = C.read(spark, sf, "orders").selectExpr("o_orderkey AS id", "concat('m', o_custkey % 60) AS module", "concat('x', o_orderkey % 20) AS name")
     direct = m.filter("id % 2 = 0").selectExpr("module", "name", "concat(module, '.', name) AS definer").distinct()
     named = m.filter("id % 2 = 1").selectExpr("module", "concat('y', id % 9) AS name", "concat('m', id % 61) AS target", "name AS target_name").distinct()
     return graph.re_exports(direct, named, named.select("module", "target").limit(0))
 
 
-@registered(B.without(ORACLE["import_chains"], " WHERE o_orderkey % 7 = 0 AND o_orderkey < 3000"), False)
-def import_chains_all(spark, sf):
-    return _chained(C.read(spark, sf, "orders"))
-
-
 # ---- resolution -------------------------------------------------------------------------------------------------
 
 
 @registered(B.REFS + "SELECT DISTINCT src, min(dst) AS dst FROM top GROUP BY src, name HAVING count(DISTINCT dst) = 1")
 def partial_resolution(spark, sf):
-    """Stored edges of untouched callers and new ones of impacted callers: equal to a full rebuild.  A quarter of the
-    references, as its SQL says; ``partial_resolution_all`` takes them all."""
-    return _partly(spark, sf, B._refs(spark, sf))
-
-
-def _partly(spark, sf, refs):
+    """Stored edges of untouched callers and new ones of impacted callers: equal to a full rebuild."""
+    refs = B._refs(spark, sf)
     symbols = C.symbols(spark, sf).withColumn("family", F.lit("x"))
     stored = materialize(resolve.edges(refs, symbols), "stored-edges")
     impacted = refs.filter("length(src) % 2 = 0").select("src").distinct()
     return stored.join(impacted, "src", "left_anti").unionByName(resolve.edges(refs.join(impacted, "src", "left_semi"), symbols))
 
 
-@registered(B.without(ORACLE["partial_resolution"], " AND s.start_byte % 40 = 0"), False)
-def partial_resolution_all(spark, sf):
-    return _partly(spark, sf, B._refs(spark, sf, "true"))
-
-
 @registered("SELECT l_orderkey AS symbol, 'f' || (l_linenumber % 3) AS name, string_agg(DISTINCT n::VARCHAR, ',' ORDER BY n::VARCHAR) AS arities FROM (SELECT *, CAST(floor(l_quantity) AS BIGINT) % 4 AS n FROM lineitem) GROUP BY ALL", False)
 def call_arities(spark, sf):
     li = C.read(spark, sf, "lineitem").selectExpr("l_orderkey AS symbol", "concat('f', l_linenumber % 3) AS name", "cast(floor(l_quantity) AS bigint) % 4 AS n")
     return li.groupBy("symbol", "name").agg(F.array_join(F.array_sort(F.collect_set("n")), ",").alias("arities"))
 
 
-@registered("""c AS (SELECT p_partkey AS call_id, p_name AS name, p_size % 3 AS n FROM part WHERE p_partkey % 4 = 0),
-f AS (SELECT symbol_id, base_name, (start_byte // 10) % 3 AS k FROM symbols WHERE node_kind = 'declaration' AND start_byte % 170 = 0)
-SELECT call_id, min(symbol_id) AS symbol_id FROM c JOIN f ON name = base_name AND k = n GROUP BY call_id HAVING count(DISTINCT symbol_id) = 1""")
+@registered("""WITH c AS (SELECT p_partkey AS call_id, p_name || p_size AS name, p_partkey % 3 AS n FROM part), f AS (SELECT 's' || p_partkey AS symbol_id, p_name || p_size AS base_name, p_partkey % 4 AS k FROM part)
+SELECT call_id, min(symbol_id) AS symbol_id FROM c JOIN f ON name = base_name AND (k = n OR (k = 3 AND n >= 1)) GROUP BY call_id HAVING count(DISTINCT symbol_id) = 1""", False)
 def arity_resolution(spark, sf):
-    """Calls and declarations of a subset, as its SQL says; ``arity_resolution_all`` takes them all."""
-    return _by_arity(spark, sf, "start_byte % 170 = 0", "p_partkey % 4 = 0")
-
-
-def _by_arity(spark, sf, declarations, calls):
-    f = C.symbols(spark, sf).filter("node_kind = 'declaration'").filter(declarations).withColumn("parameters", F.transform(F.expr("slice(array('int a', 'int b'), 1, cast((start_byte div 10) % 3 AS int))"), lambda x: x))
-    c = C.read(spark, sf, "part").filter(calls).selectExpr("p_partkey AS call_id", "p_name AS name", "p_size % 3 AS n")
-    return resolve.by_arity(c, f.select("symbol_id", "base_name", "parameters"))
-
-
-@registered(B.without(ORACLE["arity_resolution"], " WHERE p_partkey % 4 = 0", " AND start_byte % 170 = 0"), False)
-def arity_resolution_all(spark, sf):
-    return _by_arity(spark, sf, "true", "true")
+    """Callables of none, one and two parameters, and variadic ones."""
+    p = C.read(spark, sf, "part")
+    f = p.selectExpr("concat('s', p_partkey) AS symbol_id", "concat(p_name, p_size) AS base_name", "CASE WHEN p_partkey % 4 = 3 THEN array('int a', '...') ELSE slice(array('int a', 'int b'), 1, cast(p_partkey % 4 AS int)) END AS parameters")
+    return resolve.by_arity(p.selectExpr("p_partkey AS call_id", "concat(p_name, p_size) AS name", "p_partkey % 3 AS n"), f)
 
 
 @registered("SELECT l_partkey AS src, l_suppkey AS dst, min(l_orderkey * 10 + l_linenumber) AS ordinal FROM lineitem GROUP BY ALL", False)
@@ -133,16 +104,20 @@ def first_edge_wins(spark, sf):
 
 
 @registered("""d AS (SELECT doc_id, '/ws/' || source AS root, lang FROM documents),
-i AS (SELECT doc_id AS import_id, CASE doc_id % 4 WHEN 0 THEN root || '/' || lang || '/x' || (doc_id % 6) WHEN 1 THEN root || '/y' WHEN 2 THEN root || '/' || lang || '/z.js' END AS base FROM d),
-have AS (SELECT DISTINCT root || '/' || lang || '/x' || (doc_id % 6) || CASE WHEN doc_id % 2 = 0 THEN '.ts' ELSE '.js' END AS p FROM d WHERE doc_id % 3 = 0 UNION SELECT root || '/y/index.ts' FROM d WHERE doc_id % 7 = 0 UNION SELECT root || '/' || lang || '/z.js' FROM d WHERE doc_id % 5 = 0),
-e AS (SELECT import_id, base || x.ext AS p, x.k FROM i, (VALUES ('', 0), ('.js', 1), ('.jsx', 2), ('.mjs', 3), ('.cjs', 4), ('.ts', 5), ('.tsx', 6), ('/index.js', 7), ('/index.ts', 8), ('/index.tsx', 9)) x(ext, k) WHERE base IS NOT NULL)
+i AS (SELECT doc_id AS import_id, CASE doc_id % 5 WHEN 0 THEN root || '/' || lang || '/x' || (doc_id % 6) WHEN 1 THEN root || '/y' WHEN 2 THEN root || '/' || lang || '/z.js' WHEN 3 THEN root || '/' || lang END AS base FROM d),
+e0 AS (SELECT unnest(['js', 'jsx', 'mjs', 'cjs', 'ts', 'mts', 'cts', 'tsx']) AS x, unnest(range(8)) AS k),
+have AS (SELECT DISTINCT root || '/' || lang || '/x' || (doc_id % 6) || CASE doc_id % 3 WHEN 0 THEN '.tsx' WHEN 1 THEN '.mts' ELSE '.cts' END AS p FROM d WHERE doc_id % 7 < 5 UNION SELECT root || '/y/index.cjs' FROM d WHERE doc_id % 7 = 0 UNION SELECT root || '/y/index.mts' FROM d UNION SELECT root || '/' || lang || '/z.js' FROM d WHERE doc_id % 5 = 0
+  UNION SELECT root || '/' || lang || '/z.js.ts' FROM d UNION SELECT root || '/' || lang || '/index.jsx' FROM d WHERE doc_id % 3 = 0),
+e AS (SELECT import_id, base AS p, 0 AS k FROM i WHERE base LIKE '%.js' UNION ALL SELECT import_id, base || '.' || x, k FROM i, e0 WHERE base NOT LIKE '%.js' UNION ALL SELECT import_id, base || '/index.' || x, 8 + k FROM i, e0 WHERE base NOT LIKE '%.js')
 SELECT import_id, arg_min(p, k) AS resolved FROM e JOIN have USING (p) GROUP BY import_id""")
 def javascript_modules(spark, sf):
+    """All eight extensions, then index files of each; a name with an extension is only itself."""
     d = C.read(spark, sf, "documents").selectExpr("doc_id", "concat('/ws/', source) AS root", "lang")
-    i = d.selectExpr("doc_id AS import_id", "concat(root, '/', lang, '/f', doc_id, '.js') AS file_path", "CASE doc_id % 4 WHEN 0 THEN concat('./x', doc_id % 6) WHEN 1 THEN '../y' WHEN 2 THEN './a/../z.js' ELSE 'package' END AS module")
-    have = d.filter("doc_id % 3 = 0").selectExpr("concat(root, '/', lang, '/x', doc_id % 6, CASE WHEN doc_id % 2 = 0 THEN '.ts' ELSE '.js' END) AS file_path")
-    have = have.union(d.filter("doc_id % 7 = 0").selectExpr("concat(root, '/y/index.ts')")).union(d.filter("doc_id % 5 = 0").selectExpr("concat(root, '/', lang, '/z.js')")).distinct()
-    return resolve.first_existing(resolve.javascript_candidates(i), have)
+    i = d.selectExpr("doc_id AS import_id", "concat(root, '/', lang, '/f', doc_id, '.js') AS file_path", "CASE doc_id % 5 WHEN 0 THEN concat('./x', doc_id % 6) WHEN 1 THEN '../y' WHEN 2 THEN './a/../z.js' WHEN 3 THEN '.' ELSE 'package' END AS module")
+    have = d.filter("doc_id % 7 < 5").selectExpr("concat(root, '/', lang, '/x', doc_id % 6, CASE doc_id % 3 WHEN 0 THEN '.tsx' WHEN 1 THEN '.mts' ELSE '.cts' END) AS file_path")
+    for more in (d.filter("doc_id % 7 = 0").selectExpr("concat(root, '/y/index.cjs')"), d.selectExpr("concat(root, '/y/index.mts')"), d.filter("doc_id % 5 = 0").selectExpr("concat(root, '/', lang, '/z.js')"), d.selectExpr("concat(root, '/', lang, '/z.js.ts')"), d.filter("doc_id % 3 = 0").selectExpr("concat(root, '/', lang, '/index.jsx')")):
+        have = have.union(more)
+    return resolve.first_existing(resolve.javascript_candidates(i), have.distinct())
 
 
 # ---- trees, owners, contexts ------------------------------------------------------------------------------------
@@ -186,9 +161,14 @@ def discovery_context(spark, sf):
 # ---- text rules, stores, streams --------------------------------------------------------------------------------
 
 
-@registered("SELECT doc_id, 'file://' || replace(url_encode('/ws/' || source || ' é%/' || doc_id || '~.txt'), '%2F', '/') AS uri FROM documents", False)
+@registered("""WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '/ws/' || source || ' é%/' || doc_id || '~.txt' WHEN 1 THEN 'c:\\w s\\' || doc_id WHEN 2 THEN '/c:/a+' || doc_id ELSE '\\\\host\\d' || doc_id END AS path FROM documents),
+q AS (SELECT doc_id, replace(path, '\\', '/') AS p FROM p), r AS (SELECT doc_id, replace(replace(url_encode(CASE WHEN p LIKE '/%' THEN p ELSE '/' || p END), '%2F', '/'), '%3A', ':') AS u FROM q)
+SELECT doc_id, CASE WHEN u LIKE '//%' THEN 'file:' ELSE 'file://' END || u AS uri FROM r""", False)
 def path_uris(spark, sf):
-    path = F.concat(F.lit("/ws/"), "source", F.lit(" é%/"), F.col("doc_id").cast("string"), F.lit("~.txt"))
+    """Paths with other characters, without a first slash, with a drive and with a host."""
+    n = F.col("doc_id").cast("string")
+    path = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("/ws/"), "source", F.lit(" é%/"), n, F.lit("~.txt"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("c:\\w s\\"), n))
+    path = path.when(F.col("doc_id") % 4 == 2, F.concat(F.lit("/c:/a+"), n)).otherwise(F.concat(F.lit("\\\\host\\d"), n))
     return C.read(spark, sf, "documents").select("doc_id", E.path_uri(path).alias("uri"))
 
 
@@ -198,22 +178,23 @@ def callable_qualifiers(spark, sf):
     return C.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), E.qualifiers(sig).alias("q"))
 
 
-@registered("SELECT count(*) AS n, true AS equal FROM symbols")
+@registered("SELECT symbol_id, parameter, start_byte % 1000 AS k, CASE WHEN parameter IS NULL THEN 1 ELSE 2 END AS size FROM symbols")
 def json_round_trip(spark, sf):
     """Lists and maps through their JSON text and back."""
     s = C.symbols(spark, sf).select(F.array_compact(F.array("symbol_id", "parameter")).alias("l"), F.create_map(F.lit("k"), F.array((F.col("start_byte") % 1000).cast("int"))).alias("m"))
-    back = s.select("l", "m", F.from_json(F.to_json("l"), "array<string>").alias("l2"), F.from_json(F.to_json("m"), "map<string,array<int>>").alias("m2"))
-    return back.agg(F.count(F.lit(1)).alias("n"), F.min((F.col("l") == F.col("l2")) & (F.map_entries("m") == F.map_entries("m2"))).alias("equal"))
+    back = s.select(F.from_json(F.to_json("l"), "array<string>").alias("l"), F.from_json(F.to_json("m"), "map<string,array<int>>").alias("m"))
+    return back.select(F.get("l", F.lit(0)).alias("symbol_id"), F.get("l", F.lit(1)).alias("parameter"), F.get(F.col("m")["k"], F.lit(0)).cast("long").alias("k"), F.size("l").alias("size"))
 
 
-@registered("SELECT 'symbols' AS name, count(*) AS n FROM symbols UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'file_state', count(*) FROM file_state")
+@registered("""SELECT 'symbols' AS name, symbol_id AS a, file_path || start_byte AS b FROM symbols UNION ALL SELECT 'edges', src, dst FROM edges UNION ALL SELECT 'file_state', file_path, fingerprint FROM file_state""")
 def index_round_trip(spark, sf):
-    """A version of the index written, named by its manifest, and read again."""
+    """Two versions of the index are written; the rows of the one that the newest manifest names are read again."""
     store = index.Store(spark, path_for(spark, "store"))
+    store.write(symbols=C.symbols(spark, sf).limit(0), edges=C.edges(spark, sf).limit(0), file_state=C.file_state(spark, sf).limit(0))
     store.write(symbols=C.symbols(spark, sf), edges=C.edges(spark, sf), file_state=C.file_state(spark, sf))
     got = store.read()
-    parts = [got[k].agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("name"), "n") for k in store.TABLES]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    out = got["symbols"].select(F.lit("symbols").alias("name"), F.col("symbol_id").alias("a"), F.concat("file_path", F.col("start_byte").cast("string")).alias("b"))
+    return out.unionAll(got["edges"].select(F.lit("edges"), "src", "dst")).unionAll(got["file_state"].select(F.lit("file_state"), "file_path", "fingerprint"))
 
 
 @registered("a AS (SELECT l_orderkey AS k, list(DISTINCT l_partkey) AS ps FROM lineitem GROUP BY 1) SELECT k, len(list_filter(ps, lambda x: x % 10 = 0)) > 0 AS coupled FROM a")
@@ -225,22 +206,40 @@ def name_coupling(spark, sf):
     return li.select(F.col("l_orderkey").alias("k")).distinct().join(hit, "k", "left").select("k", F.coalesce("c", F.lit(False)).alias("coupled"))
 
 
-@registered()
+@registered(B.PATCH.rstrip() + """, iss AS (SELECT patch_id, 0 AS ordinal, 'syntax.error' AS rule, 'error' AS level, 'bad syntax' AS message, patch_id % 7 AS r, patch_id % 11 AS c FROM pt WHERE syntax_errors > 0
+  UNION ALL SELECT patch_id, 1 + substr(name, 2)::INT, 'binding.' || status, CASE status WHEN 'unresolved' THEN 'error' ELSE 'warning' END, name || ': ' || candidates || ' candidates', NULL, NULL FROM dec WHERE status <> 'resolved'
+  UNION ALL SELECT patch_id, 100, 'patch-gate', CASE gate WHEN 'rejected' THEN 'error' ELSE 'warning' END, reason, NULL, NULL FROM gated WHERE gate <> 'allowed'),
+told AS (SELECT *, '{"ruleId":"symloom.' || rule || '","level":"' || level || '","message":{"text":"' || message || '"}' || CASE WHEN r IS NULL THEN '' ELSE ',"locations":[{"physicalLocation":{"artifactLocation":{"uri":"file:///ws/' || patch_id || '.py"},"region":{"startLine":' || (r + 1) || ',"startColumn":' || (c + 1) || ',"endLine":' || (r + 1) || ',"endColumn":' || (c + 3) || '}}}]' END || '}' AS res,
+  '{"id":"symloom.' || rule || '","name":"' || CASE WHEN rule LIKE 'syntax%' THEN 'syntax-error' WHEN rule LIKE 'binding%' THEN 'binding-validation' ELSE 'patch-commit-gate' END || '","shortDescription":{"text":"' || CASE WHEN rule LIKE 'syntax%' THEN 'A syntax error.' WHEN rule LIKE 'binding%' THEN 'A reference of a patch that can''t be bound safely.' ELSE 'The decision of the patch gate.' END || '"}}' AS rl FROM iss),
+agg AS (SELECT patch_id, string_agg(res, ',' ORDER BY ordinal) AS results, array_to_string(list_sort(list(DISTINCT rl)), ',') AS rules FROM told GROUP BY patch_id)
+SELECT patch_id, '{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":{"name":"symloom","rules":[' || coalesce(rules, '') || ']}},"columnKind":"utf8CodeUnits","results":[' || coalesce(results, '') || ']}]}' AS sarif FROM pt LEFT JOIN agg USING (patch_id)""")
 def patch_sarif(spark, sf):
+    """A report for every patch: syntax errors with their place, bindings, and what the gate said."""
+    none = F.lit(None).cast("long")
+    patches = C.read(spark, sf, "orders").selectExpr("o_orderkey AS patch_id", "o_orderkey % 23 = 0 AS broken")
+    at = lambda r, c, c2: (r.alias("start_row"), c.alias("start_column"), r.alias("end_row"), c2.alias("end_column"))
+    row = lambda df, ordinal, rule, level, message, *place: df.select("patch_id", ordinal.cast("int").alias("ordinal"), rule.alias("rule"), level.alias("level"), message.alias("message"), F.concat(F.lit("/ws/"), F.col("patch_id").cast("string"), F.lit(".py")).alias("file_path"), *place)
+    r, c = (F.col("patch_id") % 7).cast("long"), (F.col("patch_id") % 11).cast("long")
+    issues = row(patches.filter("broken"), F.lit(0), F.lit("syntax.error"), F.lit("error"), F.lit("bad syntax"), *at(r, c, c + 2))
     d = B._decided(spark, sf).filter("status <> 'resolved'")
-    issues = d.select("patch_id", F.concat(F.lit("binding-"), "status").alias("rule"), F.when(F.col("status") == "unresolved", "error").otherwise("warning").alias("level"), F.col("name").alias("message"), F.concat(F.lit("/ws/"), F.col("patch_id").cast("string"), F.lit(".py")).alias("file_path"))
-    return patch.sarif(issues.select("patch_id").distinct(), issues)
+    message = F.concat("name", F.lit(": "), F.col("candidates").cast("string"), F.lit(" candidates"))
+    issues = issues.unionByName(row(d, F.expr("1 + cast(substr(name, 2) AS int)"), F.concat(F.lit("binding."), "status"), F.when(F.col("status") == "unresolved", "error").otherwise("warning"), message, *at(none, none, none)))
+    g = B._gated(spark, sf).filter("gate <> 'allowed'")
+    issues = issues.unionByName(row(g, F.lit(100), F.lit("patch-gate"), F.when(F.col("gate") == "rejected", "error").otherwise("warning"), F.col("reason"), *at(none, none, none)))
+    return patch.sarif(patches, issues)
 
 
-@registered()
+@registered("SELECT conv_id::VARCHAR AS path, max(turn)::BIGINT AS version, count(DISTINCT turn) AS accepted, count(*) - count(DISTINCT turn) AS refused, arg_max(md5(text), turn) AS digest FROM conversations GROUP BY conv_id", False)
 def buffer_stream(spark, sf):
     """Conversation turns as a stream of buffer versions, kept as state per path."""
     from symloom.streaming import buffers
 
     schema = C.read(spark, sf, "conversations").schema
     log = spark.readStream.schema(schema).parquet(f"{sf}/conversations.parquet*").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").cast("long").alias("version"), F.col("text").alias("source"))
-    name, where = "symloom_buffers", path_for(spark, "stream")
-    run = buffers.streamed(log.select("path", "version")).writeStream.outputMode("update").option("checkpointLocation", where)
     out = path_for(spark, "stream-out")
-    run.queryName(name).trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("append").parquet(out)).start().awaitTermination()
-    return spark.read.parquet(out).groupBy("path").agg(F.max("version").alias("version"), F.sum("accepted").alias("accepted"), F.sum("refused").alias("refused"))
+    run = buffers.streamed(log).writeStream.outputMode("update").option("checkpointLocation", path_for(spark, "stream"))
+    # a batch that is tried again replaces what it wrote before
+    put = lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    run.trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    got = spark.read.parquet(out).groupBy("path").agg(F.max("version").alias("version"), F.sum("accepted").alias("accepted"), F.sum("refused").alias("refused"), F.max_by("digest", "version").alias("digest"))
+    return got

@@ -9,12 +9,34 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.functions.expr import base_name, parent_path
+from symloom.sources.scratch import materialize
+
+#: Written symbols and edges by session, folder and the state of its files: the catalogue's index, made once.
+_WRITTEN: dict[tuple, DataFrame] = {}
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _state(spark: SparkSession, sf: str) -> tuple:
+    """Length and time of the catalogue's tables."""
+    out = []
+    for name in _TABLES:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+        status = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
+def _written(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf, name, _state(spark, sf))
+    if key not in _WRITTEN:
+        _WRITTEN[key] = materialize(make(spark, sf), f"catalogue-{name}")
+    return _WRITTEN[key]
+
+
 def _people(spark: SparkSession, sf: str) -> DataFrame:
     nation = read(spark, sf, "nation").join(F.broadcast(read(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     return nation.select("n_nationkey", "n_name", "r_name")  # 25 rows
@@ -44,16 +66,24 @@ def raw_symbols(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({"scope_path": parent_path("semantic_path"), "base_name": base_name("semantic_path")})
 
 
-def symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """With ids: a path that repeats gets ``#definition[n]`` by file and range."""
+def _symbols(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("semantic_path")
     n = F.row_number().over(w.orderBy("file_path", "start_byte", "end_byte"))
     ident = F.when(F.count(F.lit(1)).over(w) > 1, F.concat("semantic_path", F.lit("#definition["), n.cast("string"), F.lit("]"))).otherwise(F.col("semantic_path"))
     return raw_symbols(spark, sf).withColumn("symbol_id", ident)
 
 
+def symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """With ids: a path that repeats gets ``#definition[n]`` by file and range.  Written once."""
+    return _written(spark, sf, "symbols", _symbols)
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Caller to callee: nation to region, customer to nation, customer to the parts and suppliers of its orders."""
+    """Caller to callee: nation to region, customer to nation, customer to the parts and suppliers of its orders.  Written once."""
+    return _written(spark, sf, "edges", _edges)
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
     s = symbols(spark, sf).select("symbol_id", "node_kind", "start_byte")
     pick = lambda kind, shift, key: s.filter(F.col("node_kind") == kind).select(F.col("symbol_id").alias(f"{key}_id"), F.expr(f"(start_byte - {shift}) div 10").alias(key))
     cust, part, supp = pick("function_definition", 1000, "ck"), pick("declaration", 0, "pk"), pick("function_item", 5_000_000_000, "sk")

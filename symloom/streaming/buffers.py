@@ -35,21 +35,26 @@ def overrides(buffers: DataFrame) -> DataFrame:
 
 
 def streamed(log: DataFrame) -> DataFrame:
-    """A stream of full-text edits (path, version, source): the state of each path is its newest version; older and
-    repeated versions are refused.  Emits path, version, accepted, refused per batch and path."""
+    """A stream of full-text edits (path, version, source): the state of each path is its newest version with its text; older
+    and repeated versions are refused, of a version that comes twice in a batch the first text by order stays.  Emits path,
+    version, accepted, refused and the text with its digest, per batch and path."""
+    import hashlib
+
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def advance(key, frames, state):
-        version, accepted, refused = (state.get[0] if state.exists else -1), 0, 0
-        for frame in frames:
-            for v in sorted(frame["version"].tolist()):
-                if v > version:
-                    version, accepted = v, accepted + 1
-                else:
-                    refused += 1
-        state.update((version,))
-        yield pd.DataFrame({"path": [key[0]], "version": [version], "accepted": [accepted], "refused": [refused]})
-
-    out = "path string, version long, accepted long, refused long"
-    return log.groupBy("path").applyInPandasWithState(advance, out, "version long", "update", GroupStateTimeout.NoTimeout)
+        version, source = state.get if state.exists else (-1, "")
+        accepted = refused = 0
+        edits = sorted((v, t or "") for f in frames for v, t in zip(f["version"].tolist(), f["source"].tolist(), strict=True))
+        for v, text in edits:
+            if v > version:
+                version, source, accepted = v, text, accepted + 1
+            else:
+                refused += 1
+        state.update((version, source))
+        digest = hashlib.md5(source.encode()).hexdigest()
+        yield pd.DataFrame({"path": [key[0]], "version": [version], "accepted": [accepted], "refused": [refused], "source": [source], "digest": [digest]})
+
+    out = "path string, version long, accepted long, refused long, source string, digest string"
+    return log.groupBy("path").applyInPandasWithState(advance, out, "version long, source string", "update", GroupStateTimeout.NoTimeout)

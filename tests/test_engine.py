@@ -146,7 +146,7 @@ def walk(adjacent, root, direction, max_depth, max_nodes):
 def test_neighborhood_equals_queue_walk(spark, seed):
     rng = random.Random(seed)
     nodes = [f"n{k}" for k in range(14)]
-    pairs = {(rng.choice(nodes), rng.choice(nodes)) for _ in range(30)}
+    pairs = {(a, b) for a, b in ((rng.choice(nodes), rng.choice(nodes)) for _ in range(30)) if a != b}
     adjacent = {n: {"callers": {a for a, b in pairs if b == n and a != b}, "callees": {b for a, b in pairs if a == n and a != b}} for n in nodes}
     symbols, edges = spark.createDataFrame([(n,) for n in nodes], "symbol_id string"), spark.createDataFrame(sorted(pairs), "src string, dst string")
     direction, depth, budget = rng.choice(["callers", "callees", "both"]), rng.randint(1, 3), rng.randint(1, 9)
@@ -158,6 +158,12 @@ def test_neighborhood_equals_queue_walk(spark, seed):
         assert [(r.id, r.depth) for r in own] == want and own[0].truncated == truncated
 
 
+def test_neighborhood_refuses_loops(spark):
+    symbols, edges = spark.createDataFrame([("a",), ("b",)], "symbol_id string"), spark.createDataFrame([("a", "b"), ("b", "b")], "src string, dst string")
+    with pytest.raises(Exception, match="own neighbour"):
+        graph.neighborhood(symbols, edges, spark.createDataFrame([("a",)], "root_id string"))
+
+
 def test_python_extraction():
     rows = {r["semantic_path"]: r for r in python_ast.declarations("import m\nfrom p.q import z as y\n\ndef f(a, b=1, *c) -> int:\n    x = T()\n    a()\n    g(1, 2)\n    x.run()\n    return [k for k in m.w(y)]\n")}
     assert rows["f"]["reference_names"] == ["T", "T.run", "g", "m.w", "p.q.z"] and rows["f"]["reference_call_arities"]["g"] == [2]
