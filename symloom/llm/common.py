@@ -18,10 +18,11 @@ import logging
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.operators.skew import salted_join
 from symloom.sources.scratch import delete_now, forget, materialize
 from symloom.sources.scratch import path_for as scratch_path
 
-__all__ = ["delete_now", "forget", "materialize", "scratch_path"]
+__all__ = ["delete_now", "forget", "materialize", "salted_join", "scratch_path"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,8 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Rows of text that go to a Python worker at once.  Spark's own default, 10,000, is some 30 MB of short documents and
 #: far more of long ones, and both sides keep buffers of the largest batch.
 BATCH_ROWS, _BATCH_CONF = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Keys with over 1/HOT of all rows are dealt to several tasks: at most HOT keys, so their list may be broadcast.
-HOT = 256
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -47,20 +46,6 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, salt: Column) -> DataFrame:
-    """rows joined with facts, which are cheap to read, have one row per key (never null) and say in ``n`` how many of rows have
-    it.  A key with over 1/HOT of these rows is split by ``salt`` into as many parts as it has such shares, and its fact is
-    repeated for each part: at most 2 HOT more rows, whatever the input.  The columns of both."""
-    total = facts.agg(F.sum(n)).first()[0] or 0
-    share = max(1, total // HOT)
-    parts = F.when(F.col(n) > share, F.ceil(F.col(n) / share)).otherwise(1).cast("int")
-    hot = facts.filter(F.col(n) > share).select(*keys, parts.alias("_parts"))
-    left = rows.join(F.broadcast(hot), keys, "left")
-    left = left.withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(salt, F.col("_parts"))).cast("int")).drop("_parts")
-    right = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return left.join(right.hint("merge"), [*keys, "_part"]).drop("_part")
-
-
 def one_of_each(docs: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """``row``, a struct of all columns of docs, and the keys, given in terms of ``row``: one row per key, whichever comes
     first.  Repeats go before the shuffle already, so a key that many rows share costs one row per task."""
