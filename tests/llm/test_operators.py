@@ -434,9 +434,12 @@ def test_toxicity_learns(spark, empty):
 # ---- op7
 
 
-def test_context_tree_brute(spark, empty):
+@pytest.mark.parametrize("chunk, at_once", [(1 << 20, 1 << 19), (10, 3)])
+def test_context_tree_brute(spark, empty, monkeypatch, chunk, at_once):
+    monkeypatch.setattr(context_tree, "CHUNK", chunk)
+    monkeypatch.setattr(context_tree, "AT_ONCE", at_once)
     tiny = ["abab abba", "abcab ab", "äb ab", "", "abababab", None]
-    got = {r["doc_id"]: r for r in listed(context_tree.decisions(spark.createDataFrame(list(enumerate(tiny)), "doc_id long, text string"), 10))}
+    got = {r["doc_id"]: r for r in listed(context_tree.decisions(spark.createDataFrame(list(enumerate(tiny)), "doc_id long, text string")))}
     depth = context_tree.DEPTH
     learn = [s for i, s in enumerate(tiny) if zlib.crc32(str(i).encode()) % 7 != 2]
     count, kids = defaultdict(lambda: [0, 0]), defaultdict(set)
@@ -483,14 +486,32 @@ def test_context_tree_brute(spark, empty):
     assert context_tree.decisions(empty).count() == 0
 
 
-def test_context_tree_chunks_and_slices_agree(docs, monkeypatch):
-    one = {(r["doc_id"], r["n_tokens"]): r["score"] for r in listed(context_tree.decisions(docs))}
-    many = {(r["doc_id"], r["n_tokens"]): r["score"] for r in listed(context_tree.decisions(docs, 2000))}
-    assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k], rel=1e-5) for k in one)
+def test_context_tree_slices_agree(monkeypatch):
     raw = bytes(random.Random(1).randrange(97, 100) for _ in range(5000))
-    whole = context_tree.grams(raw)
-    parts = []
+    texts, learn = [raw, b"", raw[:50], b"xyz"], [True, True, False, False]
+    whole = context_tree.counted_strings(texts, learn)
     monkeypatch.setattr(context_tree, "SLICE", 700)
-    for at in range(0, len(raw) + 1, 700):
-        parts.append(context_tree.grams(raw[max(0, at - context_tree.DEPTH) : at + 700])[min(at, context_tree.DEPTH) : None if at + 700 > len(raw) else -1])
-    assert np.array_equal(np.concatenate(parts), whole)
+    many = list(context_tree.segments(texts))
+    assert len(many) > 6
+    codes = np.concatenate([context_tree.strings([p for _, p in held]) for held in many])
+    assert len(codes) == sum(len(t) + 1 for t in texts)
+    assert [int(codes[0]), int(codes[1])] == [raw[0], (raw[0] << 56) | raw[1]]
+    assert int(codes[10]).to_bytes(8, "big") == raw[3:10][::-1] + raw[10:11]
+    assert all(np.array_equal(a, b) for a, b in zip(whole, context_tree.counted_strings(texts, learn), strict=True))
+
+
+def test_context_tree_blobs():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
+    assert np.array_equal(context_tree.unsqueeze_sorted(context_tree.squeeze_sorted(keys)), keys)
+    x = rng.standard_normal(77).astype(np.float32)
+    assert np.array_equal(context_tree.unsqueeze(context_tree.squeeze(x), np.float32), x)
+    assert [bytes(p) for p in context_tree.unpack(context_tree.pack(b"", b"ab", b"c"))] == [b"", b"ab", b"c"]
+
+
+def test_context_tree_rows(docs):
+    """Repeated rows agree, every row has its result, and scores are log probabilities."""
+    got = listed(context_tree.decisions(docs))
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows_of())
+    assert all(r["score"] < 0 and r["base_score"] < 0 and 0 < r["bits_per_byte"] for r in got)
+    assert len({(r["score"], r["base_score"]) for r in got if r["doc_id"] == 67}) == 1

@@ -99,17 +99,21 @@ def test_license_pieces():
 
 
 def test_contexts_of_seven_bytes(monkeypatch):
-    """What follows depends on the seventh byte before, and taking strings apart by that byte changes nothing."""
+    """What follows depends on the seventh byte before, and weighing the strings of a suffix at a time changes nothing."""
     rng = random.Random(3)
     raw = b"".join((b"a" if (x := rng.random() < 0.5) else b"b") + b"______" + (b"1" if x else b"2") for _ in range(4000))
-    code, n = np.unique(context_tree.grams(raw), return_counts=True)
-    own = code[((code >> 8) & 0xFFFF) == int.from_bytes(b"__", "big")], n[((code >> 8) & 0xFFFF) == int.from_bytes(b"__", "big")]
-    mixed, nodes = context_tree.subtree(*own)
-    after = [i for i, c in enumerate(own[0]) if (int(c) & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") in (b"a______1", b"b______2")]
-    assert len(after) == 2
-    assert (mixed[after].prod(axis=1) > 0.9).all()
+    keys, n = context_tree.counted_strings([raw], [True])
+
+    def scored():
+        trees = [context_tree.Trees(keys[a:b], n[a:b]) for a, b in context_tree.cuts(keys)]
+        name, *sums = (np.concatenate(c) for c in zip(*(t.nodes() for t in trees), strict=True))
+        name, at = np.unique(name, return_inverse=True)
+        top = context_tree.Top(name, *(np.bincount(at, x, len(name)) for x in sums))
+        return len(trees), np.concatenate([t.values(top) for t in trees])
+
+    one, whole = scored()
+    by = {int(k).to_bytes(8, "big"): v for k, v in zip(keys, whole, strict=True)}
+    assert by[b"______a1"] > np.log10(0.9) and by[b"______b2"] > np.log10(0.9)
     monkeypatch.setattr(context_tree, "AT_ONCE", 2)
-    apart, same = context_tree.subtree(*own)
-    assert np.allclose(mixed, apart, rtol=1e-5)
-    order = np.argsort(nodes[0])
-    assert all(np.allclose(a[order], b[np.argsort(same[0])]) for a, b in zip(nodes, same, strict=True))
+    many, apart = scored()
+    assert one == 1 < many and np.allclose(whole, apart)
