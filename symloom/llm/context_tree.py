@@ -46,7 +46,7 @@ from symloom.llm.common import bounded_batches, id_bucket, materialize, text_of
 #: Seven bytes before and the byte itself fill the 64-bit key.
 DEPTH, FOLDS, HELD_OUT = 7, 7, 2
 #: Bytes of text that a chunk has about, that are sorted at once, and that a part is meant for.
-CHUNK, SLICE, PART = 32_000_000, 8_000_000, 12_000_000
+CHUNK, SLICE, PART = 12_000_000, 4_000_000, 12_000_000
 #: Strings that are weighed at once; classes of the third byte; bytes of places that a row of a slice carries about.
 AT_ONCE, CLASSES, CARRIED = 1 << 19, 16, 8_000_000
 END_MARK = b"\xff"
@@ -114,18 +114,15 @@ def segments(texts: list[bytes]):
 
 def strings(parts: list[bytes]) -> np.ndarray:
     """For each byte after the first DEPTH of every part: the bytes before, the nearest first, and the byte itself."""
-    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
+    joined = b"".join([b"\0", *parts])
     size = np.array([len(p) for p in parts])
     ends = np.cumsum(size)
-    own = np.ones(len(data), bool)
+    own = np.ones(len(joined) - 1, bool)
     own[((ends - size)[:, None] + np.arange(DEPTH)).ravel()] = False
-    n = len(data) - DEPTH
-    code = data[DEPTH - 1 : DEPTH - 1 + n].copy()
-    for k in range(2, DEPTH + 1):
-        code <<= np.uint64(8)
-        code |= data[DEPTH - k : DEPTH - k + n]
-    code <<= np.uint64(8)
-    code |= data[DEPTH:]
+    # the eight bytes before each byte, read as a little-endian number, have the nearest on top; the eighth gives way to the byte
+    code = np.ndarray(len(joined) - 1 - DEPTH, "<u8", joined, strides=(1,)).copy()
+    code &= np.uint64(0xFFFFFFFFFFFFFF00)
+    code |= np.frombuffer(joined, np.uint8, offset=DEPTH + 1)
     return code[own[DEPTH:]]
 
 
