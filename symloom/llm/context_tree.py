@@ -34,6 +34,7 @@ import os
 import struct
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ from symloom.llm.common import bounded_batches, id_bucket, materialize, text_of
 DEPTH, FOLDS, HELD_OUT = 7, 7, 2
 #: Bytes of text that a chunk has about, that are sorted at once, and that a part is meant for.
 CHUNK, SLICE, PART = 12_000_000, 4_000_000, 12_000_000
+#: Partitions of a shuffle at most.
+TASKS = 20_000
 #: Strings that are weighed at once; classes of the third byte; bytes of places that a row of a slice carries about.
 AT_ONCE, CLASSES, CARRIED = 1 << 19, 16, 8_000_000
 END_MARK = b"\xff"
@@ -509,6 +512,21 @@ def _scores(parts: int, n: int, v: int, learned: int):
         data = [x.as_buffer() for x in table.column("data")]
         where = list(zip(table.column("part").to_pylist(), table.column("slice").to_pylist(), strict=True))
         ids, learn, texts = opened(data[kind.index(TEXT)])
+        # words: a value and whether it is known by its number, then sums by text
+        said = [t.lower().split() for t in texts]
+        words = word_parts(set(chain.from_iterable(said)), parts)
+        number: dict[bytes, int] = {}
+        counts = []
+        for r, k in enumerate(kind):
+            if k == WORD:
+                for w in words[where[r][0]]:
+                    number[w] = len(number)
+                counts.append(unsqueeze(data[r], np.uint64))
+        count = np.concatenate(counts) if counts else np.empty(0, np.uint64)
+        log, known = np.log10(count.astype(float) + 1) - math.log10(n + v + 1), count > 0
+        own = [np.fromiter(map(number.__getitem__, s), np.int32, len(s)) for s in said]
+        base = [(len(x), int(known[x].sum()), float(log[x].sum())) for x in own]
+        del said, words, number, own
         # strings: each slice's distinct ones, then the chunk's, in the order in which they were dealt
         held = []
         for some in segments(texts):
@@ -520,30 +538,23 @@ def _scores(parts: int, n: int, v: int, learned: int):
             at[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.r_[first, len(order)]))
             held.append(([i for i, _ in some], np.array([len(p) - DEPTH for _, p in some]), ordered[first], at))
             del code, order, ordered
-        keys = summed([(k, np.zeros(len(k), np.int8)) for _, _, k, _ in held])[0]
+        keys = held[0][2] if len(held) == 1 else np.sort(np.concatenate([k for _, _, k, _ in held]))
+        keys = keys[runs(keys)]
         part = part_of(keys, parts)
         order = np.argsort(part, kind="stable")
         got = sorted((*where[r], r) for r, k in enumerate(kind) if k == GRAM)
-        value = np.empty(len(keys))
+        value = np.empty(len(keys), np.float32)
         value[order] = np.concatenate([unsqueeze(data[r], np.float32) for _, _, r in got])
         total = np.zeros(len(texts))
-        for numbers, size, own, at in held:
-            sums = np.add.reduceat(value[np.searchsorted(keys, own)][at], np.cumsum(size) - size)
+        for numbers, size, mine, at in held:
+            sums = np.add.reduceat(value[np.searchsorted(keys, mine)][at], np.cumsum(size) - size, dtype=float)
             np.add.at(total, numbers, sums)
         del held, keys, value
-        base = math.log10(n + v + 1)
-        log, known = {}, {}
-        words = word_parts({w for t in texts for w in t.lower().split()}, parts)
-        for r, k in enumerate(kind):
-            if k == WORD:
-                for w, c in zip(words[where[r][0]], unsqueeze(data[r], np.uint64).tolist(), strict=True):
-                    log[w], known[w] = math.log10(c + 1) - base, c > 0
-        end = math.log10(learned + 1) - base
+        end = math.log10(learned + 1) - math.log10(n + v + 1)
         rows = []
-        for i, own, raw, s in zip(ids, learn, texts, total.tolist(), strict=True):
-            said = raw.lower().split()
+        for i, learn_, raw, s, (m, k, b) in zip(ids, learn, texts, total.tolist(), base, strict=True):
             bits = -s / math.log10(2) / (len(raw) + 1)
-            rows.append((i, not own, len(said) + 1, sum(map(known.__getitem__, said)) + (learned > 0), n, sum(map(log.__getitem__, said)) + end, s, len(raw), bits))
+            rows.append((i, not learn_, m + 1, k + (learned > 0), n, b + end, s, len(raw), bits))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return score
@@ -554,10 +565,10 @@ def decisions(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (id_bucket("doc_id", FOLDS) != HELD_OUT).alias("learn"), text_of().alias("text"))
     chunks = materialize(rows.mapInArrow(_chunks, "chunk long, size long, learned long, data binary"), "chunks")
-    sizes = chunks.agg(F.sum("size").alias("size"), F.sum("learned").alias("learned")).first()
+    sizes = chunks.agg(F.sum("size").alias("size"), F.sum("learned").alias("learned"), F.count(F.lit(1)).alias("chunks")).first()
     learned, parts = sizes["learned"] or 0, -(-(sizes["size"] or 0) // PART) or 1
     dealt = chunks.select("chunk", "data").mapInArrow(_dealt(parts), "kind byte, part int, chunk long, data binary")
-    merged = materialize(dealt.groupBy("kind", "part").applyInArrow(_merge, MERGED), "context-trees")
+    merged = materialize(dealt.repartition(min(2 * parts, TASKS), "kind", "part").groupBy("kind", "part").applyInArrow(_merge, MERGED), "context-trees")
     words = merged.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = (words["n"] or 0) + learned, (words["v"] or 0) + (learned > 0)
     nodes = merged.filter(F.col("kind") == NODES).select("data").mapInArrow(_nodes, "node long, zeros double, ones double, below double")
@@ -566,4 +577,5 @@ def decisions(docs: DataFrame) -> DataFrame:
     answers = merged.filter(F.col("kind") == GRAM).select("part", "slice", "data").mapInArrow(_answers(sent), ANSWER)
     counts = merged.filter(F.col("kind") == WORD).select("chunk", "kind", "part", "slice", "data")
     texts = chunks.select("chunk", F.lit(TEXT).cast("byte").alias("kind"), F.lit(0).alias("part"), F.lit(0).alias("slice"), "data")
-    return texts.unionAll(counts).unionAll(answers).groupBy("chunk").applyInArrow(_scores(parts, n, v, learned), RESULT)
+    # as many partitions as chunks, whatever the session's number is; beyond TASKS a task has several, one after the other
+    return texts.unionAll(counts).unionAll(answers).repartition(min(max(1, sizes["chunks"]), TASKS), "chunk").groupBy("chunk").applyInArrow(_scores(parts, n, v, learned), RESULT)

@@ -47,3 +47,28 @@ def test_stages(spark, tmp_path):
     assert out["best_fit_packing"].selectExpr("count(distinct doc_id) n").first().n == mixed.select("doc_id").distinct().count()
     assert cp.run(spark, folder).count() == out["best_fit_packing"].count()
     assert cp.ORACLE_SQL is None
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, `row` string, `digest` string, taken long, salt int"
+
+
+def run_on(spark, folder, rows, marks):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return cp.run(spark, folder).collect()
+
+
+def test_empty_tables(spark, tmp_path):
+    assert run_on(spark, f"file://{tmp_path}/sf", [], []) == []
+
+
+def test_clashing_columns_nulls_and_repeats(spark, tmp_path):
+    rng = random.Random(9)
+    more = (0.5, True, "r", "d", 7, 3)
+    rows = [(i, " ".join(rng.choice(SYLLABLES) + rng.choice(SYLLABLES) for _ in range(50)), "en", "s", 1, *more) for i in range(40)]
+    rows += [rows[3]] * 5 + [(None, None, None, None, None, *more)] * 4 + [(70, "", "en", None, 0, *more), (71, rows[5][1].upper(), "en", "s", 1, *more), (72, " ".join(SYLLABLES * 3000), "en", "s", 1, *more)]
+    got = run_on(spark, f"file://{tmp_path}/sf", rows, [])
+    placed = {(r["sequence_id"], r["offset"]) for r in got}
+    ids = {r["doc_id"] for r in got}
+    assert len(placed) == len(got) and {i for i in range(40) if i != 5} | {71, 72} <= ids and 5 not in ids
+    assert all(r["length"] <= 2048 for r in got)
