@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symloom.llm import context_tree, exact_dedup, license_scan, mixing, packing, pii, quality_model, quality_rules, simhash, toxicity
+from symloom.llm import base_queries, context_tree, exact_dedup, license_scan, mixing, packing, pii, quality_model, quality_rules, simhash, toxicity
 from symloom.llm.common import table
 
 
@@ -47,8 +47,8 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op")}
+    return {k: f for k, f in globals().items() if k.startswith("op")} | base_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op6_quality_rules": quality_rules.SQL, "op10_exact_dedup": exact_dedup.SQL} | base_queries.ORACLE
