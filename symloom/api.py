@@ -8,22 +8,26 @@ of the request and returned as plain dictionaries.
 from __future__ import annotations
 
 import builtins
-import difflib
 import textwrap
 import threading
 from contextlib import contextmanager
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom import schema as S
-from symloom.extract import lexical, python_ast
+from symloom.extract import lexical, nodes, python_ast
 from symloom.functions import expr as E
-from symloom.operators import graph, index, query
+from symloom.operators import graph, identity, index, query, tree
+from symloom.operators.patch import SARIF_RULES, SARIF_SCHEMA, SCOPES
 from symloom.sources import workspace as W
+from symloom.sources.scratch import forget, materialize
 
 SUMMARY = ("symbol_id", "semantic_path", "scope_path", "file_path", "node_kind", "start_byte", "end_byte", "signature", "return_type", "docstring")
 _BUILTINS = frozenset(dir(builtins))
+#: Catalogues that an engine keeps: the workspace's own and the overlays of an edit under way.
+KEPT = 4
 
 
 def _rows(df: DataFrame) -> list[dict]:
@@ -44,7 +48,7 @@ class Engine:
         self.spark, self.root, self.rows = spark, root, dict(files or {})
         self.buffers: dict[str, Buffer] = {}
         self.indexes: dict[str, str] = {}
-        self._kept: tuple | None = None
+        self._kept: dict[tuple, tuple] = {}
 
     # ---- catalogue
 
@@ -53,27 +57,38 @@ class Engine:
         return W.scan(self.spark, root) if root else W.from_rows(self.spark, self.rows)
 
     def catalog(self, index_path: str | None = None, file_path: str | None = None, source: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """files, symbols, edges.  An overlay or a dirty buffer replaces its file before ids and edges are made."""
+        """files, symbols, edges.  An overlay or a dirty buffer replaces its file before ids and edges are made.
+
+        Catalogues are written once and kept by the fingerprint of their files; another one takes the symbols of equal files from
+        those that are kept, so that only files that differ are extracted again."""
         if (file_path is None) != (source is None):
             raise S.RequestError("file_path and source go together")
         over = {p: b.source for p, b in self.buffers.items() if b.dirty} | ({file_path: source} if file_path else {})
-        key = (index_path, self.root, tuple(sorted(over.items())), tuple(sorted(self.rows.items())))
-        if self._kept and self._kept[0] == key and not self.root:
-            return self._kept[1]
         files = self.files()
+        if over:
+            files = index.overlaid(files, W.from_rows(self.spark, over)).withColumn("language", E.language("file_path"))
+        state = W.fingerprints(files)
+        mark = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("file_path", "fingerprint").cast("decimal(38,0)")).alias("sum")).first()
+        key = (index_path, mark["n"], mark["sum"])
+        if key in self._kept:
+            self._kept[key] = self._kept.pop(key)  # the newest last
+            return self._kept[key][:3]
         if index_path and not over:
             stored = index.Store(self.spark, index_path).read()
-            bad = index.freshness(W.fingerprints(files), stored["file_state"]).filter("status <> 'fresh'").limit(1).collect()
+            bad = index.freshness(state, stored["file_state"]).filter("status <> 'fresh'").limit(1).collect()
             if bad:
                 raise index.IndexError_(f"the index is stale: {bad[0]['file_path']} is {bad[0]['status']}")
-            made = (files, stored["symbols"], stored["edges"])
+            made = (files, stored["symbols"], stored["edges"], None)
         else:
-            if over:
-                files = index.overlaid(files, W.from_rows(self.spark, over)).withColumn("language", E.language("file_path"))
-            symbols = W.symbols(files).cache()
-            made = (files, symbols, W.edges(files, symbols).cache())
-        self._kept = (key, made)
-        return made
+            files, state = materialize(files, "files"), materialize(state, "state")
+            known = next((k for k in reversed(self._kept.values()) if k[3] is not None), None)
+            raw = W.refreshed(known[1], known[3], files) if known else W.raw_symbols(files)
+            symbols = materialize(identity.assigned(materialize(raw, "raw")), "symbols")
+            made = (files, symbols, materialize(W.edges(files, symbols), "edges"), state)
+        while len(self._kept) >= KEPT:
+            forget(*self._kept.pop(next(iter(self._kept))))
+        self._kept[key] = made
+        return made[:3]
 
     @contextmanager
     def deadline(self, timeout_ms: int | None):
@@ -111,9 +126,10 @@ class Engine:
         got = _rows(query.select(symbols, self.spark.createDataFrame([(S.nonblank("symbol_path", symbol_path),)], "selector string")))
         if not got:
             raise S.RequestError(f"no symbol {symbol_path!r}")
-        if got[0]["candidates"] > 1 and got[0]["family"] == "python":
-            names = [r["symbol_id"] for r in symbols.filter(F.col("semantic_path") == symbol_path).select("symbol_id").limit(50).collect()]
-            raise S.RequestError(f"{symbol_path!r} is ambiguous: {sorted(names)}")
+        if got[0]["family"] == "python":
+            names = {r["symbol_id"] for r in symbols.filter((F.col("semantic_path") == symbol_path) & (F.col("family") == "python")).select("symbol_id").limit(50).collect()}
+            if len(names) > 1:
+                raise S.RequestError(f"{symbol_path!r} is ambiguous: {sorted(names)}")
         return got[0]
 
     def _at(self, files: DataFrame, symbols: DataFrame, file_path: str, row: int, column: int) -> dict:
@@ -129,17 +145,32 @@ class Engine:
         wanted = symbols.filter(F.col("symbol_id").isin(ids))
         return {r["symbol_id"]: r for r in _rows(query.read(wanted.select(*SUMMARY), files))}
 
-    def _trace(self, symbols: DataFrame, edges: DataFrame, root: str, direction: str) -> dict:
-        got = _rows(graph.trace(symbols, edges, self.spark.createDataFrame([(root,)], "root_id string")))
-        for r in got:
+    def _traces(self, symbols: DataFrame, edges: DataFrame, roots: DataFrame, direction: str) -> dict[str, dict]:
+        got: dict[str, list[dict]] = {}
+        for r in _rows(graph.trace(symbols, edges, roots)):
             r["evidence_key"] = "|".join([r["symbol_id"], r["file_path"], r["node_kind"], r["role"], f"{r['start_byte']}..{r['end_byte']}", r["signature"] or ""])
-        side = lambda role, on: sorted(({k: r[k] for k in (*SUMMARY, "evidence_key")} for r in got if r["role"] == role), key=lambda r: r["symbol_id"]) if direction in (on, "both") else []
-        return {"root": next(r for r in got if r["role"] == "trace_root"), "callers": side("caller", "callers"), "callees": side("callee", "callees")}
+            got.setdefault(r["root_id"], []).append(r)
+        out = {}
+        for root, rows in got.items():
+            side = lambda role, on: sorted(({k: r[k] for k in (*SUMMARY, "evidence_key")} for r in rows if r["role"] == role), key=lambda r: r["symbol_id"]) if direction in (on, "both") else []  # noqa: E731, B023
+            out[root] = {"root": next(r for r in rows if r["role"] == "trace_root"), "callers": side("caller", "callers"), "callees": side("callee", "callees")}
+        return out
+
+    def _trace(self, symbols: DataFrame, edges: DataFrame, root: str, direction: str) -> dict:
+        return self._traces(symbols, edges, self.spark.createDataFrame([(root,)], "root_id string"), direction)[root]
+
+    def _arounds(self, symbols: DataFrame, edges: DataFrame, roots: DataFrame, direction: str = "both", max_depth: int = S.DEFAULT_DEPTH, max_nodes: int = S.DEFAULT_NODES) -> dict[str, dict]:
+        nodes_, links = graph.neighborhood(symbols, edges, roots, direction, max_depth, max_nodes)
+        out: dict[str, dict] = {}
+        for r in sorted(_rows(nodes_), key=lambda r: r["ordinal"]):
+            one = out.setdefault(r["root_id"], {"neighborhood": {"nodes": [], "edges": [], "truncated": r["truncated"]}})["neighborhood"]
+            one["nodes"].append({k: r[k] for k in ("id", "ordinal", "depth")})
+        for r in sorted(_rows(links), key=str):
+            out[r["root_id"]]["neighborhood"]["edges"].append({"src": r["src"], "dst": r["dst"]})
+        return out
 
     def _around(self, symbols: DataFrame, edges: DataFrame, root: str, direction: str, max_depth: int, max_nodes: int) -> dict:
-        nodes, links = graph.neighborhood(symbols, edges, self.spark.createDataFrame([(root,)], "root_id string"), direction, max_depth, max_nodes)
-        rows = sorted(_rows(nodes), key=lambda r: r["ordinal"])
-        return {"nodes": [{k: r[k] for k in ("id", "ordinal", "depth")} for r in rows], "edges": sorted(_rows(links.select("src", "dst")), key=str), "truncated": any(r["truncated"] for r in rows)}
+        return self._arounds(symbols, edges, self.spark.createDataFrame([(root,)], "root_id string"), direction, max_depth, max_nodes)[root]["neighborhood"]
 
     def _context(self, kind: str, catalog, root: str, direction: str = "both", max_depth: int = S.DEFAULT_DEPTH, max_nodes: int = S.DEFAULT_NODES) -> dict:
         files, symbols, edges = catalog
@@ -160,11 +191,26 @@ class Engine:
         return self._context(kind, catalog, root["symbol_id"], **graph_args)
 
     def _each(self, kind: str, page: dict, graph_args: dict, backend: dict) -> dict:
-        catalog = self.catalog(**backend)
+        """The contexts of all matches, each relation asked once for all of them."""
+        files, symbols, edges = self.catalog(**backend)
+        ids = [m["symbol_id"] for m in page["matches"]]
+        if not ids:
+            return page | ({"reads": []} if kind == "context" else {"contexts": []})
+        texts = self._read(files, symbols, ids)
         if kind == "context":
-            texts = self._read(catalog[0], catalog[1], [m["symbol_id"] for m in page["matches"]])
-            return page | {"reads": [texts.get(m["symbol_id"]) for m in page["matches"]]}
-        return page | {"contexts": [self._context(kind, catalog, m["symbol_id"], **graph_args) for m in page["matches"]]}
+            return page | {"reads": [texts.get(i) for i in ids]}
+        roots = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "root_id string")
+        around = self._arounds(symbols, edges, roots, **graph_args)
+        reads = self._read(files, symbols, sorted({n["id"] for a in around.values() for n in a["neighborhood"]["nodes"]} if kind in ("neighborhood", "discovery") else set(ids)))
+        traces = self._traces(symbols, edges, roots, graph_args["direction"]) if kind == "discovery" else {}
+        out = []
+        for i in ids:
+            one = dict(around[i])
+            one["reads"] = {n["id"]: reads[n["id"]] for n in one["neighborhood"]["nodes"] if n["id"] in reads}
+            if kind == "discovery":
+                one |= {"read": texts[i], "trace": traces[i]}
+            out.append(one)
+        return page | {"contexts": out}
 
     # ---- source tools
 
@@ -201,16 +247,30 @@ class Engine:
                 parts.append(f"{d['signature']} ...")
         return {"file_path": file_path, "skeleton": "\n\n".join(parts)}
 
-    def execute_tree_query(self, file_path: str, kind: str, source: str | None = None, name: str | None = None, max_captures: int = S.DEFAULT_CAPTURES) -> list[dict]:
-        """A small pattern: declarations of a kind, by name if given, each with its owner.  More than max_captures is an error."""
+    def execute_tree_query(self, file_path: str, query: str, source: str | None = None, max_captures: int = S.DEFAULT_CAPTURES) -> list[dict]:
+        """The captures of an S-expression pattern, in source order, with their owners.  More than max_captures is an error."""
         S.within("max_captures", max_captures, 1, S.MAX_CAPTURES)
+        tree.parse(query)
         text = self._source(file_path, source)
-        rows = self._declared(file_path, text)
-        hits = [d for d in rows if d["node_kind"] == kind and (name is None or d["semantic_path"].replace("::", ".").split(".")[-1] == name)]
-        if len(hits) > max_captures:
+        lang = E.EXTENSION_LANGUAGE.get(file_path.rpartition(".")[2].lower())
+        if lang is None:
+            raise S.RequestError(f"no language for {file_path!r}")
+        schema = "file_path string, node_id int, parent_id int, field string, kind string, start_byte int, end_byte int, text string"
+        frame = self.spark.createDataFrame([(file_path, *n) for n in nodes.nodes(text, lang)], schema)
+        got = sorted(_rows(tree.match(frame, query).limit(max_captures + 1)), key=lambda r: (r["start_byte"], -r["end_byte"], r["capture"]))
+        if len(got) > max_captures:
             raise S.RequestError(f"over {max_captures} captures")
-        raw = text.encode()
-        return [{"capture": kind, "text": raw[d["start_byte"] : d["end_byte"]].decode(), "start_byte": d["start_byte"], "end_byte": d["end_byte"], "owner": d["scope_path"]} for d in hits]
+        declared, raw = self._declared(file_path, text), text.encode()
+        point = lambda at: {"row": raw.count(b"\n", 0, at), "column": at - (raw.rfind(b"\n", 0, at) + 1)}
+        out = []
+        for r in got:
+            around = [d for d in declared if d["start_byte"] <= r["start_byte"] and r["end_byte"] <= d["end_byte"]]
+            owner = min(around, key=lambda d: (d["end_byte"] - d["start_byte"], d["start_byte"]), default=None) if lang in ("python", "c", "cpp") else None
+            out.append({
+                "capture": r["capture"], "node_kind": r["kind"], "text": r["text"], "start_byte": r["start_byte"], "end_byte": r["end_byte"], "start_point": point(r["start_byte"]), "end_point": point(r["end_byte"]),
+                "owner": owner and owner["semantic_path"], "owner_scope": owner and owner["scope_path"],
+            })
+        return out
 
     # ---- patches
 
@@ -237,22 +297,46 @@ class Engine:
         decided = []
         if not issues:
             declared = {d["semantic_path"]: d for d in self._declared(file_path, after)}
-            names = declared.get(target["semantic_path"], {"reference_names": []})["reference_names"]
-            names = [n for n in names if n not in _BUILTINS]
-            _, symbols, _ = self.catalog(file_path=file_path, source=after)
-            bases = {n: n.replace("::", ".").rpartition(".")[2] for n in names}
-            known: dict[str, list[str]] = {}
-            for r in symbols.filter(F.col("base_name").isin(sorted(set(bases.values())))).select("base_name", "symbol_id", "file_path").collect() if bases else ():
-                known.setdefault(r["base_name"], []).append((r["file_path"] != file_path, r["symbol_id"]))
-            for n in names:
-                near = [i for far, i in known.get(bases[n], []) if not far] or [i for _, i in known.get(bases[n], [])]
-                decided.append({"name": n, "candidates": sorted(near), "status": "unresolved" if not near else "resolved" if len(near) == 1 else "ambiguous"})
-        reason = "syntax" if issues else next((s for s in ("ambiguous", "unresolved") if any(d["status"] == s for d in decided)), None)
-        if bypass_reason is not None and not 0 < len(bypass_reason.encode()) <= S.MAX_REASON:
-            raise S.RequestError("bypass_reason is blank or too long")
-        gate = "allowed" if reason is None else "allowed_with_bypass" if bypass_reason and reason != "syntax" else "rejected"
-        diff = "\n".join(difflib.unified_diff(before.split("\n"), after.split("\n"), file_path, file_path, n=0, lineterm=""))
-        return {"file_path": file_path, "syntax_issues": issues, "decisions": decided, "gate": gate, "reason": reason, "diff": diff, "updated_source": after}
+            decided = self._bound(file_path, after, lang, declared.get(target["semantic_path"], {"reference_names": [], "calls": []}))
+        for d in decided:
+            d["invariant"] = "blocked" if d["status"] in ("ambiguous", "unresolved") else "passed" if d["status"] == "resolved" and len(d["candidates"]) == 1 and d["selected"] else "failed"
+        reason = "syntax" if issues else next((s for s in ("ambiguous", "unresolved") if any(d["status"] == s for d in decided)), "invariant" if any(d["invariant"] == "failed" for d in decided) else None)
+        if bypass_reason is not None and len(bypass_reason.encode()) > S.MAX_REASON:
+            raise S.RequestError("bypass_reason is too long")
+        gate = "allowed" if reason is None else "allowed_with_bypass" if bypass_reason and bypass_reason.strip() else "rejected"
+        return {"file_path": file_path, "syntax_issues": issues, "decisions": decided, "gate": gate, "reason": reason, "diff": unified_diff(file_path, before, after), "updated_source": after}
+
+    def _bound(self, file_path: str, after: str, lang: str, target: dict) -> list[dict]:
+        """What each reference of a patched symbol may mean: in Python and C any symbol of the name, the file's own before others;
+        elsewhere the targets of its calls by the scopes of the language."""
+        _, symbols, edges = self.catalog(file_path=file_path, source=after)
+        key = lambda r, origin: "|".join([r["symbol_id"], r["file_path"], r["node_kind"], origin, f"{r['start_byte']}..{r['end_byte']}", r["signature"] or ""])
+        wanted = SUMMARY + ("base_name",)
+        names = [n for n in target["reference_names"] if n not in _BUILTINS]
+        if lang not in ("python", "c"):
+            bound = {c["name"] for c in target["calls"] if c["kind"] == "value" and not c["paths"]}
+            names = [n for n in names if n not in bound]
+        bases = {n: n.replace("::", ".").rpartition(".")[2] for n in names}
+        if not bases:
+            return []
+        known: dict[str, list[dict]] = {}
+        for r in _rows(symbols.filter(F.col("base_name").isin(sorted(set(bases.values())))).select(*wanted)):
+            known.setdefault(r["base_name"], []).append(r)
+        reached = None
+        if lang not in ("python", "c"):
+            at = [r["symbol_id"] for r in _rows(symbols.filter((F.col("file_path") == file_path) & (F.col("semantic_path") == target.get("semantic_path"))).select("symbol_id"))]
+            reached = {r["dst"] for r in _rows(edges.filter(F.col("src").isin(at)).select("dst"))} | set(at)
+        out = []
+        for n in names:
+            found = known.get(bases[n], [])
+            if reached is not None:
+                found = [r for r in found if r["symbol_id"] in reached] or ([] if len(found) < 2 else found)
+            own = [r for r in found if r["file_path"] == file_path] or found
+            candidates = [{"symbol_id": r["symbol_id"], "evidence_key": key(r, "module_scope" if r["file_path"] == file_path else "workspace")} for r in sorted(own, key=lambda r: r["symbol_id"])]
+            status = "unresolved" if not candidates else "resolved" if len(candidates) == 1 else "ambiguous"
+            why = {"unresolved": "no candidate", "ambiguous": f"{len(candidates)} candidates", "resolved": "one candidate"}[status]
+            out.append({"name": n, "candidates": candidates, "status": status, "reason": why, "selected": candidates[0] if status == "resolved" else None})
+        return out
 
     def apply_patch(self, file_path: str, semantic_path: str, new_code: str, bypass_reason: str | None = None) -> dict:
         """As the preview; if the gate lets it through, the buffer of the file takes the new source."""
@@ -272,12 +356,13 @@ class Engine:
         old = self._trace(before[1], before[2], root, direction)
         after = self.catalog(file_path=file_path, source=out["patch"]["updated_source"])
         new = self._trace(after[1], after[2], root, direction)
+        verdict = self.validate_patch_commit(out["patch"], new)
         impact = {}
         for role in ("callers", "callees"):
             a, b = ({r["symbol_id"] for r in t[role]} for t in (old, new))
             impact |= {f"added_{role}": sorted(b - a), f"removed_{role}": sorted(a - b)}
         impact["affected"] = len(set().union(*impact.values()))
-        return out | {"decision": "allowed", "impact": impact, "context": self._context(kind, after, root, direction, **graph_args)}
+        return out | {"decision": verdict["decision"], "replay": verdict["replay"], "impact": impact, "context": self._context(kind, after, root, direction, **graph_args)}
 
     def preview_workspace_position_edits(self, files: list[dict]) -> list[dict]:
         """files: file_path, edits of (start_row, start_col, end_row, end_col, new_text) each, all or nothing."""
@@ -288,7 +373,7 @@ class Engine:
         for f in files:
             before = self._source(f["file_path"], f.get("source"))
             after = _positioned(before, f["edits"])
-            out.append({"file_path": f["file_path"], "source": after, "diff": "\n".join(difflib.unified_diff(before.split("\n"), after.split("\n"), n=0, lineterm=""))})
+            out.append({"file_path": f["file_path"], "source": after, "diff": unified_diff(f["file_path"], before, after)})
         return out
 
     # ---- buffers
@@ -360,27 +445,45 @@ class Engine:
     # ---- indexes
 
     def rebuild_symbol_index(self, workspace_root: str | None, db_path: str) -> dict:
-        files = self.files(workspace_root)
+        files = materialize(self.files(workspace_root), "files")
         store = index.Store(self.spark, db_path)
         state = W.fingerprints(files)
-        if store.manifest():
-            old = store.read(strict=False)
+        plan = store.plan()
+        if plan == "manual":
+            raise index.IndexError_("this index has to be looked at by hand")
+        if plan == "none":
+            old = store.read()
             raw = W.refreshed(old["symbols"], old["file_state"], files)
             stats = _rows(index.refresh_stats(state, old["file_state"]))[0]
         else:
-            raw, stats = W.raw_symbols(files), None
-        from symloom.operators import identity
-
-        symbols = identity.assigned(raw.cache())
-        stats = stats or {"indexed": files.count(), "reused": 0}
-        store.write(symbols=symbols, edges=W.edges(files, symbols), file_state=state)
+            raw, stats = W.raw_symbols(files), {"indexed": files.count(), "reused": 0}
+        symbols = materialize(identity.assigned(materialize(raw, "raw")), "symbols")
+        said = materialize(W.facts(files), "facts")
+        store.write(symbols=symbols, edges=W.edges(files, symbols, said), file_state=state, facts=said)
         return stats | {"rebuilt": stats["indexed"] - stats["reused"]}
 
     refresh_symbol_index = rebuild_symbol_index
 
     def refresh_symbol_index_for_file(self, workspace_root: str | None, db_path: str, file_path: str) -> dict:
-        """Ids and edges are global, so a changed file is refreshed by the reuse path over all files."""
-        return self.rebuild_symbol_index(workspace_root, db_path) | {"file_path": file_path}
+        """One file is read again: its rows are replaced, ids are assigned over the whole, and the references of callers that the
+        change can touch are resolved anew; all other edges stay.  A file that is gone loses its rows.  The result is
+        that of a rebuild."""
+        store = index.Store(self.spark, db_path)
+        if store.plan() != "none" or "facts" not in store.read():
+            return self.rebuild_symbol_index(workspace_root, db_path) | {"file_path": file_path}
+        old = store.read()
+        files = materialize(self.files(workspace_root), "files")
+        one = files.filter(F.col("file_path") == file_path)
+        fresh = materialize(W.raw_symbols(one), "raw")
+        kept = old["symbols"].filter(F.col("file_path") != file_path)
+        symbols = materialize(identity.assigned(kept.select(*fresh.columns).unionByName(fresh)), "symbols")
+        said = materialize(old["facts"].filter(F.col("file_path") != file_path).unionByName(W.facts(one)), "facts")
+        callers = materialize(W.touched(old, symbols, said, files, file_path), "touched")
+        again = W.edges(files, symbols, said, callers)
+        stay = old["edges"].join(callers.select(F.col("symbol_id").alias("src")), "src", "left_anti").join(symbols.select(F.col("symbol_id").alias("src")).distinct(), "src", "left_semi").join(symbols.select(F.col("symbol_id").alias("dst")).distinct(), "dst", "left_semi")
+        state = index.replaced(old["file_state"], self.spark.createDataFrame([(file_path,)], "file_path string"), W.fingerprints(one))
+        store.write(symbols=symbols, edges=stay.select("src", "dst").unionByName(again).distinct(), file_state=state, facts=said)
+        return {"file_path": file_path, "symbols": fresh.count(), "callers": callers.count()}
 
     def inspect_symbol_index(self, db_path: str) -> dict:
         store = index.Store(self.spark, db_path)
@@ -391,10 +494,16 @@ class Engine:
         return {"exists": True} | _rows(index.health(W.fingerprints(self.files()), got["file_state"]))[0] | {"symbols": got["symbols"].count()}
 
     def migrate_symbol_index(self, db_path: str, workspace_root: str | None = None) -> dict:
-        if index.Store(self.spark, db_path).plan() == "manual":
+        """An older schema is brought to the current one in place; then, and for an index that can't be used, it is rebuilt."""
+        store = index.Store(self.spark, db_path)
+        plan = store.plan()
+        if plan == "manual":
             raise index.IndexError_("this index has to be looked at by hand")
-        self.rebuild_symbol_index(workspace_root, db_path)
-        return self.inspect_symbol_index(db_path)
+        if plan == "migrate":
+            store.migrate()
+        if plan != "none":
+            self.rebuild_symbol_index(workspace_root, db_path)
+        return {"migrated_from": plan} | self.inspect_symbol_index(db_path)
 
     def register_symbol_index(self, workspace_root: str, db_path: str) -> dict:
         self.rebuild_symbol_index(workspace_root if self.root else None, db_path)
@@ -412,19 +521,49 @@ class Engine:
 
     # ---- evidence
 
-    def replay_patch_evidence(self, keys: list[str], trace: dict) -> dict:
-        where = {r["evidence_key"]: role for role in ("callees", "callers") for r in reversed(trace[role])}
-        bare = {_bare(k): role for k, role in where.items()}
-        found = {k: where.get(k) or bare.get(_bare(k)) for k in keys}
-        return {"found": found, "matched": sum(v is not None for v in found.values()), "status": "matched" if all(found.values()) else "missing"}
+    def replay_patch_evidence(self, patch: dict, trace: dict) -> dict:
+        """Where the evidence of a patch's decisions is found in a trace: items with their scope and status, the worst status, and
+        whether all of them are matched or blocked."""
+        exact: dict[str, str] = {}
+        for role, rows in (("callee", trace["callees"]), ("caller", trace["callers"]), ("trace_root", [trace["root"]])):
+            for r in rows:
+                exact.setdefault(r["evidence_key"], SCOPES[role])
+        loose: dict[str, str] = {}
+        for k, scope in exact.items():
+            if _bare(k):
+                loose.setdefault(_bare(k), scope)
+        items = []
+        for d in patch["decisions"]:
+            key = d["selected"]["evidence_key"] if d["selected"] else None
+            own = key is not None and key.split("|")[3:4] in (["local_scope"], ["module_scope"])
+            scope = "none" if key is None else exact.get(key) or loose.get(_bare(key)) or ("patch_scope" if own else "none")
+            status = ("matched" if scope != "none" else "missing") if d["invariant"] == "passed" else "blocked" if d["invariant"] == "blocked" else "failed"
+            items.append({"name": d["name"], "status": status, "selected_evidence_key": key, "matched_in_trace": scope != "none", "trace_match_scope": scope})
+        worst = next((s for s in ("failed", "missing", "blocked") if any(i["status"] == s for i in items)), "matched")
+        count = lambda s: sum(i["status"] == s for i in items)
+        return {"items": items, "status": worst, "matched_items": count("matched"), "blocked_items": count("blocked"), "consistent": worst in ("matched", "blocked")}
+
+    def validate_patch_commit(self, patch: dict, trace: dict) -> dict:
+        """Whether a patch may be written: its gate first, then what the trace says of its evidence."""
+        replay = self.replay_patch_evidence(patch, trace)
+        lost = replay["status"] in ("missing", "failed") or (replay["status"] == "blocked" and patch["gate"] != "allowed_with_bypass")
+        decision = "rejected_by_patch_gate" if patch["gate"] == "rejected" else "rejected_by_trace_replay" if lost else patch["gate"]
+        return {"allowed": decision == patch["gate"], "decision": decision, "patch_gate_status": patch["gate"], "replay_status": replay["status"], "replay": replay}
 
     def export_patch_diagnostics_sarif(self, patch: dict) -> dict:
-        results = [{"ruleId": "syntax-error", "level": "error", "message": {"text": i["message"]}} for i in patch["syntax_issues"]]
+        uri = _uri(patch["file_path"])
+        results = []
+        for i in patch["syntax_issues"]:
+            region = {"startLine": i["row"] + 1, "startColumn": i["column_no"] + 1, "endLine": i["row"] + 1, "endColumn": i["column_no"] + 1}
+            place = {"physicalLocation": {"artifactLocation": {"uri": uri}, "region": region}}
+            results.append({"ruleId": f"symloom.syntax.{i['kind']}", "level": "error", "message": {"text": i["message"]}, "locations": [place]})
         level = {"unresolved": "error", "ambiguous": "warning"}
-        results += [{"ruleId": f"binding-{d['status']}", "level": level[d["status"]], "message": {"text": d["name"]}} for d in patch["decisions"] if d["status"] in level]
-        if patch["gate"] == "rejected":
-            results.append({"ruleId": "commit-gate", "level": "error", "message": {"text": patch["reason"]}})
-        return {"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "symloom", "rules": [{"id": r} for r in sorted({x["ruleId"] for x in results})]}}, "results": results}]}
+        results += [{"ruleId": f"symloom.binding.{d['status']}", "level": level[d["status"]], "message": {"text": f"{d['name']}: {d['reason']}"}} for d in patch["decisions"] if d["status"] in level]
+        if patch["gate"] != "allowed":
+            results.append({"ruleId": "symloom.patch-gate", "level": "error" if patch["gate"] == "rejected" else "warning", "message": {"text": patch["reason"]}})
+        told = lambda r: SARIF_RULES[r.split(".")[1]]
+        rules = [{"id": r, "name": told(r)[0], "shortDescription": {"text": told(r)[1]}} for r in sorted({x["ruleId"] for x in results})]
+        return {"version": "2.1.0", "$schema": SARIF_SCHEMA, "runs": [{"tool": {"driver": {"name": "symloom", "rules": rules}}, "columnKind": "utf8CodeUnits", "results": results}]}
 
     def batch(self, calls: list[tuple[str, dict]], timeout_ms: int | None = None) -> list:
         """Up to 32 reading tools in order under one deadline, all or nothing."""
@@ -472,18 +611,68 @@ class Engine:
         for name, kind in (("trace", "trace"), ("graph", "around"), ("neighborhood", "neighborhood"), ("discovery", "discovery")):
             tool = lambda kind=kind, **a: self.validate_patch(kind=kind, **a)
             out[f"validate_patch_with_{name}_context"], out[f"validate_patch_with_{name}_context_at_position"] = tool, at(tool)
-        out["replay_patch_evidence_against_trace"] = out["validate_patch_commit_with_trace"] = self.replay_patch_evidence
-        for name in (
-            "batch get_semantic_skeleton execute_tree_query export_patch_diagnostics_sarif preview_workspace_position_edits did_open did_change did_close list_virtual_files read_virtual_file apply_buffer_edit commit_virtual_file "
-            "discard_virtual_file rebuild_symbol_index refresh_symbol_index refresh_symbol_index_for_file inspect_symbol_index migrate_symbol_index register_symbol_index unregister_symbol_index list_symbol_indexes refresh_registered_symbol_indexes"
-        ).split():
+        out["replay_patch_evidence_against_trace"], out["validate_patch_commit_with_trace"] = self.replay_patch_evidence, self.validate_patch_commit
+        for name in OWN_TOOLS:
             out[name] = getattr(self, name)
         return out
 
 
-def _bare(key: str) -> str:
+# Tools that are methods of the same name.
+OWN_TOOLS = (
+    "batch",
+    "get_semantic_skeleton",
+    "execute_tree_query",
+    "export_patch_diagnostics_sarif",
+    "preview_workspace_position_edits",
+    "did_open",
+    "did_change",
+    "did_close",
+    "list_virtual_files",
+    "read_virtual_file",
+    "apply_buffer_edit",
+    "commit_virtual_file",
+    "discard_virtual_file",
+    "rebuild_symbol_index",
+    "refresh_symbol_index",
+    "refresh_symbol_index_for_file",
+    "inspect_symbol_index",
+    "migrate_symbol_index",
+    "register_symbol_index",
+    "unregister_symbol_index",
+    "list_symbol_indexes",
+    "refresh_registered_symbol_indexes",
+)
+
+
+def _bare(key: str) -> str | None:
     parts = key.split("|", 5)
-    return "|".join(parts[:3] + parts[4:])
+    return "|".join(parts[:3] + parts[4:]) if len(parts) == 6 else None
+
+
+def _uri(path: str) -> str:
+    path = path.replace("\\", "/")
+    path = quote(path if path.startswith("/") else f"/{path}", safe="/:~")
+    return ("file:" if path.startswith("//") else "file://") + path
+
+
+def unified_diff(path: str, before: str, after: str) -> str:
+    """As ``operators.patch.unified_diff``, for two texts."""
+    if before == after:
+        return ""
+
+    def lines(text: str) -> list[str]:
+        parts = text.split("\n")
+        ended = parts[-1] == ""
+        parts = parts[:-1] if ended else parts
+        return [p[:-1] if p.endswith("\r") and (ended or k < len(parts) - 1) else p for k, p in enumerate(parts)]
+
+    a, b = lines(before), lines(after)
+    head = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    room = min(len(a), len(b)) - head
+    tail = next((k for k, (x, y) in enumerate(zip(a[::-1], b[::-1], strict=False)) if x != y or k == room), room)
+    old, new, name = a[head : len(a) - tail], b[head : len(b) - tail], path.lstrip("/")
+    top = [f"--- a/{name}", f"+++ b/{name}", f"@@ -{head + 1},{len(old)} +{head + 1},{len(new)} @@"]
+    return "\n".join([*top, *(f"-{x}" for x in old), *(f"+{x}" for x in new), ""])
 
 
 def _positioned(text: str, edits: list) -> str:

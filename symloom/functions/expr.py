@@ -107,6 +107,24 @@ def template_base(path: Column | str) -> Column:
     return F.when(end != p, end)
 
 
+def strip_generics(path: Column | str) -> Column:
+    """A type path without its balanced <...> groups; null where they don't balance, are empty, or text follows one at once."""
+    p = col(path)
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("shut"), F.lit(False).alias("full"), F.lit(True).alias("ok"))
+
+    def step(a: Column, c: Column) -> Column:
+        opens, shuts = c == "<", c == ">"
+        outside = ~opens & ~shuts & (a["depth"] == 0)
+        wrong = (opens & a["shut"]) | (shuts & ((a["depth"] == 0) | ~a["full"])) | (outside & a["shut"] & c.rlike("[A-Za-z0-9_]"))
+        return F.struct(
+            F.when(outside, F.concat(a["out"], c)).otherwise(a["out"]).alias("out"), (a["depth"] + F.when(opens, 1).when(shuts & (a["depth"] > 0), -1).otherwise(0)).alias("depth"),
+            F.when(shuts & (a["depth"] == 1), True).when(outside & (c == "."), False).otherwise(a["shut"]).alias("shut"), F.when(opens, False).when(shuts, True).when(~outside & (F.trim(c) != ""), True).otherwise(a["full"]).alias("full"), (a["ok"] & ~wrong).alias("ok"),
+        )
+
+    letters = F.filter(F.split(p, ""), lambda c: c != "")
+    return F.aggregate(letters, start, step, lambda a: F.when(a["ok"] & (a["depth"] == 0), a["out"]))
+
+
 def reference_base(name: Column | str) -> Column:
     n = col(name)
     return base_name(F.coalesce(template_base(n), n))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from symloom.functions import expr as E
 from symloom.operators.skew import salted_join
 from symloom.sources.scratch import materialize
 
 # Kinds that count as callables in the families with overloads.
-CALLABLES = ("method_declaration", "constructor_declaration", "function_declaration", "method_definition", "function_definition")
+CALLABLES = ("method_declaration", "constructor_declaration", "function_declaration")
+CPP_CALLABLES = ("function_definition", "declaration", "field_declaration")
 ORDER = ("file_path", "start_byte", "end_byte")
 
 
@@ -55,10 +57,42 @@ def numbered_ids(symbols: DataFrame, overloads: bool) -> DataFrame:
     return _repeated(symbols).withColumn("symbol_id", F.coalesce(_single(symbols), F.concat(filed, tag))).drop("_all", "_here")
 
 
-def cpp_ids(symbols: DataFrame) -> DataFrame:
-    """Callables: path(types) and qualifiers; parameter texts come without names."""
-    text = F.concat("semantic_path", F.lit("("), F.array_join("parameters", ","), F.lit(")"), F.coalesce("qualifiers", F.lit("")))
-    return symbols.withColumn("symbol_id", F.when(F.col("parameters").isNotNull(), text).otherwise(F.col("semantic_path")))
+def parameter_type(parameter: F.Column) -> F.Column:
+    """A C++ parameter without its default and name, spaces compacted: ``const T & x = 1`` is ``const T&``."""
+    bare = F.trim(F.regexp_replace(parameter, r"\s*=.*$", ""))
+    one = F.regexp_replace(bare, r"\s+", " ")
+    # the last word is the name if a type stands before it
+    named = F.regexp_extract(one, r"^(.*[\w>&*\]])\s*(?<=[\s&*])([A-Za-z_]\w*)((?:\[[^\]]*\])*)$", 1)
+    array = F.regexp_extract(one, r"((?:\[[^\]]*\])*)$", 1)
+    words = F.regexp_extract(one, r"([A-Za-z_]\w*)(?:\[[^\]]*\])*$", 1)
+    builtin = words.isin("int", "char", "long", "short", "bool", "double", "float", "unsigned", "signed", "void", "auto", "const", "volatile")
+    kept = F.when((named != "") & ~builtin, F.concat(F.trim(named), array)).otherwise(one)
+    kept = F.regexp_replace(F.regexp_replace(kept, r"\s*([<>,&*()\[\]]|::)\s*", "$1"), r"\s+", " ")
+    return F.when(bare == "void", "").otherwise(kept)
+
+
+def member_qualifiers(signature: F.Column) -> F.Column:
+    """const, volatile and reference qualifiers behind the parameter list, each after a space."""
+    tail = F.regexp_extract(signature, r"\)([^)]*)$", 1)
+    words = F.regexp_extract_all(tail, F.lit(r"\b(const|volatile)\b|(&&?)"), F.lit(0))
+    return F.coalesce(F.array_join(F.transform(words, lambda w: F.concat(F.lit(" "), w)), ""), F.lit(""))
+
+
+def c_family_ids(symbols: DataFrame) -> DataFrame:
+    """C and C++.  Callables of C++ are path(types) and qualifiers; a qualified path is the id; a bare name goes after its
+    anchor: its header, for a source file the header with its stem in its folder, else the file itself - always the file for
+    what is static there."""
+    cpp = F.col("language") == "cpp"
+    types = F.array_join(F.transform("parameters", parameter_type), ",")
+    callable_ = F.concat("semantic_path", F.lit("("), types, F.lit(")"), member_qualifiers(F.col("signature")))
+    header = E.extension("file_path").isin(*E.HEADER_EXTENSIONS)
+    stem = F.regexp_replace("file_path", r"\.[^./]*$", "")
+    headers = symbols.filter(header).select(stem.alias("_stem"), F.col("file_path").alias("_header")).groupBy("_stem").agg(F.min("_header").alias("_header"))
+    met = symbols.withColumn("_stem", stem).join(headers, "_stem", "left")
+    static = F.coalesce(F.col("signature").rlike(r"^static\b"), F.lit(False))
+    anchor = F.when(header | static, F.col("file_path")).otherwise(F.coalesce("_header", "file_path"))
+    ident = F.when(cpp & F.col("node_kind").isin(*CPP_CALLABLES), callable_).when(F.col("semantic_path").contains("::"), F.col("semantic_path")).otherwise(F.concat(anchor, F.lit("::"), "base_name"))
+    return met.withColumn("symbol_id", ident).drop("_stem", "_header")
 
 
 def assigned(symbols: DataFrame) -> DataFrame:
@@ -67,8 +101,10 @@ def assigned(symbols: DataFrame) -> DataFrame:
         python_ids(symbols.filter("family = 'python'")),
         numbered_ids(symbols.filter("family = 'javascript'"), False),
         numbered_ids(symbols.filter("family IN ('java', 'kotlin', 'csharp')"), True),
-        symbols.filter("family NOT IN ('python', 'javascript', 'java', 'kotlin', 'csharp')").withColumn("symbol_id", F.col("semantic_path")),
+        symbols.filter("family NOT IN ('python', 'javascript', 'java', 'kotlin', 'csharp', 'c')").withColumn("symbol_id", F.col("semantic_path")),
     ]
+    if "language" in symbols.columns:
+        parts.append(c_family_ids(symbols.filter("family = 'c'")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION, PROVENANCE = 6, "symloom-lexical-1"
+from symloom.schema import RAW_SYMBOLS
+
+SCHEMA_VERSION, PROVENANCE = 6, "symloom-scoped-2"
 
 
 class IndexError_(RuntimeError):
@@ -78,6 +80,22 @@ def violations(symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def migrated(symbols: DataFrame) -> DataFrame:
+    """Symbol rows of schema 1 to 5 as rows of the current one: a blank id is the path, lists and maps that older schemas don't
+    have are empty, and facts are made from names and arities."""
+    kinds = {f.name: f.dataType for f in RAW_SYMBOLS.fields}
+    for name, kind in kinds.items():
+        if name not in symbols.columns:
+            symbols = symbols.withColumn(name, F.lit(None).cast(kind))
+    empty = lambda c, text: F.coalesce(c, F.from_json(F.lit(text), kinds[c].simpleString()))
+    out = symbols.withColumns({
+        "symbol_id": F.coalesce(F.when(F.col("symbol_id") != "", F.col("symbol_id")), F.col("semantic_path")),
+        **{c: empty(c, "[]") for c in ("parameters", "reference_names", "calls", "bases")}, "reference_call_arities": empty("reference_call_arities", "{}"), "is_overload": F.coalesce("is_overload", F.lit(False)),
+    })
+    made = F.transform("reference_names", lambda x: F.struct(x.alias("spelling"), F.coalesce(F.try_element_at(F.col("reference_call_arities"), x), F.array().cast("array<int>")).alias("call_arities"), F.create_map().cast("map<string,string>").alias("details")))
+    return out.withColumn("reference_facts", F.coalesce("reference_facts", made))
+
+
 def health(files: DataFrame, state: DataFrame) -> DataFrame:
     """One row: counts of each class, whether all is well and what to do."""
     f = freshness(files, state).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("fresh", "stale", "missing", "unindexed")])
@@ -91,7 +109,7 @@ class Store:
     reader sees the old version or the new one, and a job that dies leaves the old one standing.  All but the newest
     ``keep`` versions go once a new one counts."""
 
-    TABLES = ("symbols", "edges", "file_state")
+    TABLES, MORE = ("symbols", "edges", "file_state"), ("facts",)
 
     def __init__(self, spark: SparkSession, root: str, keep: int = 2):
         self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
@@ -116,9 +134,10 @@ class Store:
         if before and self._json(before[-1][1]).get("format") != "symloom":
             raise IndexError_(f"{self.root} holds something else")
         version = uuid.uuid4().hex
-        for name in self.TABLES:
+        names = [*self.TABLES, *(n for n in self.MORE if n in tables)]
+        for name in names:
             tables[name].write.parquet(f"{self.root}/{version}/{name}")
-        made = {"format": "symloom", "schema_version": SCHEMA_VERSION, "provenance": PROVENANCE, "version": version}
+        made = {"format": "symloom", "schema_version": SCHEMA_VERSION, "provenance": PROVENANCE, "version": version, "tables": names}
         number = before[-1][0] + 1 if before else 1
         fs, p = self._fs(f"{self.root}/MANIFEST.{number:08d}.json")
         _, fresh = self._fs(f"{self.root}/_MANIFEST.{version}")
@@ -140,7 +159,14 @@ class Store:
             raise IndexError_(f"no index at {self.root}")
         if strict and (m["schema_version"], m["provenance"]) != (SCHEMA_VERSION, PROVENANCE):
             raise IndexError_(f"index of schema {m['schema_version']}, {m['provenance']}")
-        return {n: self.spark.read.parquet(f"{self.root}/{m['version']}/{n}") for n in self.TABLES}
+        return {n: self.spark.read.parquet(f"{self.root}/{m['version']}/{n}") for n in m.get("tables", self.TABLES)}
+
+    def migrate(self) -> dict:
+        """An index of an older schema becomes one of the current schema; its files count as not indexed until they are read."""
+        if self.plan() != "migrate":
+            raise IndexError_(f"nothing to migrate: {self.plan()}")
+        old = self.read(strict=False)
+        return self.write(symbols=migrated(old["symbols"]), edges=old["edges"], file_state=old["file_state"].limit(0))
 
     def plan(self) -> str:
         """none, migrate (an older schema), rebuild (none there or other provenance) or manual (a newer or foreign one)."""

@@ -62,15 +62,17 @@ def edges(references: DataFrame, symbols: DataFrame, imports: DataFrame | None =
     else in the files that it imports, else anywhere; where several share that place there is no edge.
 
     References never meet the declarations of a name one by one: these are aggregated to a row per name first, by file and
-    over all files, so a name that is declared and used everywhere costs one row there and no product."""
-    declared = symbols.select(F.col("family"), F.col("base_name").alias("base"), F.col("file_path").alias("file"), E.kind_rank("node_kind").alias("rank"), F.col("symbol_id").alias("dst")).distinct()
+    over all files, so a name that is declared and used everywhere costs one row there and no product.  Symbols whose
+    ``file_local`` is true, if there is such a column, are known in their own file only."""
+    local = F.col("file_local") if "file_local" in symbols.columns else F.lit(False)
+    declared = symbols.select(F.col("family"), F.col("base_name").alias("base"), F.col("file_path").alias("file"), E.kind_rank("node_kind").alias("rank"), F.col("symbol_id").alias("dst"), local.alias("local")).distinct()
     asked = references.select("src", "src_file", "family", "name", E.reference_base("name").alias("base")).distinct()
-    here = _levels(declared, ["family", "base", "file"]).withColumnRenamed("file", "src_file")
+    here = _levels(declared.drop("local"), ["family", "base", "file"]).withColumnRenamed("file", "src_file")
     met = asked.join(here, ["family", "base", "src_file"], "left")
     met = materialize(met.withColumn("a", _answer(F.col("levels"), F.col("src"))).drop("levels"), "own-file")
     own = met.filter("a.found").select("src", F.col("a.dst").alias("dst"))
     rest = met.filter("NOT a.found").drop("a")
-    found = own
+    found, declared = own, declared.filter("NOT local").drop("local")
     if imports is not None:
         seen = imports.select(F.col("importer").alias("src_file"), F.col("imported").alias("file")).filter("src_file <> file").distinct()
         near = rest.join(seen, "src_file").join(declared, ["family", "base", "file"]).filter("src <> dst")

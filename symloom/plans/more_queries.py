@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from symloom.functions import expr as E
-from symloom.operators import graph, index, patch, query, resolve
+from symloom.operators import graph, identity, index, patch, query, resolve, scoped, tree
 from symloom.plans import catalog_queries as B
 from symloom.sources import testcat as C
 from symloom.sources.scratch import materialize, path_for
@@ -158,6 +158,68 @@ def discovery_context(spark, sf):
     return t.join(near, "root_id")
 
 
+@registered("""WITH t AS (SELECT r_name, n_name, c_name, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 10 = 7),
+c AS (SELECT 'owner' AS capture, n_name AS text, r_name AS file_path FROM t UNION SELECT 'f', c_name, r_name FROM t) SELECT file_path, capture, text FROM c""", False)
+def tree_query(spark, sf):
+    """A pattern with a field, a nested node and a predicate, over trees of regions, nations and customers."""
+    people, c = C._people(spark, sf), C.read(spark, sf, "customer")
+    node = lambda df, file, i, up, field, kind, text: df.select(file.alias("file_path"), i.cast("long").alias("node_id"), up.cast("long").alias("parent_id"), F.lit(field).cast("string").alias("field"), F.lit(kind).alias("kind"), F.lit(0).alias("start_byte"), F.lit(0).alias("end_byte"), text.alias("text"))
+    r, n, f = F.col("r_name"), F.col("n_nationkey") * 2 + 10, F.col("c_custkey") * 2 + 1000
+    met = c.join(F.broadcast(people), F.col("c_nationkey") == F.col("n_nationkey"))
+    nodes = node(C.read(spark, sf, "region"), r, F.lit(0), F.lit(None), None, "module", r).unionAll(node(people, r, n, F.lit(0), "body", "class_definition", F.lit("")))
+    nodes = nodes.unionAll(node(people, r, n + 1, n, "name", "identifier", F.col("n_name"))).unionAll(node(met, r, f, n, "body", "function_definition", F.lit(""))).unionAll(node(met, r, f + 1, f, "name", "identifier", F.col("c_name")))
+    pattern = '(module (class_definition name: (identifier) @owner (function_definition name: (_) @f (#match? @f "7$"))))'
+    return tree.match(nodes, pattern).select("file_path", "capture", "text")
+
+
+@registered("""asked AS (SELECT c_custkey AS ref_id, r_name || '::' || n_name AS scope, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN n_name || '::' || c_name ELSE 'none' END AS name, c_custkey % 4 AS arity FROM customer JOIN people ON c_nationkey = n_nationkey),
+paths AS (SELECT ref_id, arity, unnest([scope || '::' || name, string_split(scope, '::')[1] || '::' || name, name]) AS path, unnest([0, 1, 2]) AS ordinal FROM asked),
+met AS (SELECT ref_id, arity, symbol_id, (start_byte // 10) % 3 AS n FROM paths JOIN symbols ON semantic_path = path WHERE node_kind = 'function_definition' QUALIFY ordinal = min(ordinal) OVER (PARTITION BY ref_id))
+SELECT ref_id, count(DISTINCT CASE WHEN n = arity THEN symbol_id END) AS fits, min(CASE WHEN n = arity THEN symbol_id END) AS first FROM met GROUP BY ref_id""")
+def nearest_scope(spark, sf):
+    """Calls with their candidate paths, innermost first; the first that is declared decides, and arguments must match."""
+    c = C.read(spark, sf, "customer").join(F.broadcast(C._people(spark, sf)), F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).when(F.col("c_custkey") % 3 == 1, F.concat("n_name", F.lit("::"), "c_name")).otherwise("none")
+    sep = F.lit("::")
+    paths = F.array(F.concat("r_name", sep, "n_name", sep, name), F.concat("r_name", sep, name), name)
+    asked = c.select(F.col("c_custkey").alias("ref_id"), F.lit("").alias("src"), F.lit("bare").alias("kind"), F.lit("java").alias("language"), (F.col("c_custkey") % 4).cast("int").alias("arity"), F.posexplode(paths).alias("ordinal", "key"))
+    parameters = F.expr("slice(array('int a', 'int b'), 1, cast((start_byte div 10) % 3 AS int))")
+    targets = C.symbols(spark, sf).select(F.col("semantic_path").alias("key"), F.col("symbol_id").alias("dst"), "node_kind", parameters.alias("parameters"))
+    return scoped.nearest(asked, targets).select("ref_id", F.size("fit").cast("long").alias("fits"), F.get("fit", F.lit(0)).alias("first"))
+
+
+CPP_PARAMETERS = (
+    (["const  T & x = 1", "int"], "const T&,int"), (["void"], ""), (["std::vector<int > v", "..."], "std::vector<int>,..."), (["char *s", "unsigned n"], "char*,unsigned"),
+    (["Args && args"], "Args&&"), ([], ""), (["int values[3]"], "int[3]"),
+)
+
+
+@registered(f"""SELECT p_partkey AS id, p_brand || '::' || p_name || '(' || [{", ".join(f"'{t}'" for _, t in CPP_PARAMETERS)}][p_partkey % {len(CPP_PARAMETERS)} + 1] || ')' || CASE p_size % 3 WHEN 0 THEN ' const' WHEN 1 THEN ' const volatile &' ELSE '' END AS symbol_id FROM part
+UNION ALL SELECT -n_nationkey - 1, CASE n_nationkey % 4 WHEN 0 THEN '/s/n' || n_nationkey || '.h::' WHEN 1 THEN '/s/n' || n_nationkey || '.c::' WHEN 2 THEN '/s/n' || n_nationkey || '.c::' ELSE '/s/n' || (n_nationkey - 3) || '.h::' END || 'f' || n_nationkey FROM nation""", False)
+def c_family_ids(spark, sf):
+    """C++ callables by their types and qualifiers; C names after their header, their file's header, or the file of static ones."""
+    lists = F.lit(None).cast("array<string>")
+    for k, (ps, _) in enumerate(CPP_PARAMETERS):
+        lists = F.when(F.col("p_partkey") % len(CPP_PARAMETERS) == k, F.array(*[F.lit(x) for x in ps]).cast("array<string>")).otherwise(lists)
+    tail = F.when(F.col("p_size") % 3 == 0, " const").when(F.col("p_size") % 3 == 1, " const  volatile &").otherwise("")
+    cpp = C.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit("cpp").alias("language"), F.concat("p_brand", F.lit("::"), "p_name").alias("semantic_path"), F.concat("p_brand", F.lit(".cpp")).alias("file_path"), F.col("p_name").alias("base_name"), F.lit("function_definition").alias("node_kind"), lists.alias("parameters"), F.concat(F.lit("int f(int (*g)(int))"), tail).alias("signature"))
+    k = F.col("n_nationkey")
+    place = F.when(k % 4 == 0, F.concat(F.lit("/s/n"), k, F.lit(".h"))).when(k % 4 == 3, F.concat(F.lit("/s/n"), k - 3, F.lit(".c"))).otherwise(F.concat(F.lit("/s/n"), k, F.lit(".c")))
+    name = F.concat(F.lit("f"), k)
+    c = C.read(spark, sf, "nation").select((-k - 1).cast("long").alias("id"), F.lit("c").alias("language"), name.alias("semantic_path"), place.alias("file_path"), name.alias("base_name"), F.lit("function_definition").alias("node_kind"), F.array().cast("array<string>").alias("parameters"), F.when(k % 4 == 2, "static int f()").otherwise("int f()").alias("signature"))
+    return identity.c_family_ids(cpp.unionByName(c)).select("id", "symbol_id")
+
+
+@registered("""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || '.Inner' WHEN 2 THEN p_brand || '.B' ELSE NULL END AS base FROM part WHERE p_partkey % 6 < 5
+UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_partkey % 6 = 5""", False)
+def generic_types(spark, sf):
+    """Type paths without their arguments; empty, unbalanced and doubled ones have none."""
+    b, k = F.col("p_brand"), F.col("p_partkey") % 6
+    text = F.when(k == 0, F.concat(b, F.lit("<"), "p_type", F.lit(">"))).when(k == 1, F.concat(b, F.lit("<A, B<C>>.Inner<D>"))).when(k == 2, F.concat(b, F.lit("<int>.B")))
+    text = text.when(k == 3, F.concat(b, F.lit("<>"))).when(k == 4, F.concat(b, F.lit("<A>B"))).otherwise(b)
+    return C.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), E.strip_generics(text).alias("base"))
+
+
 # ---- text rules, stores, streams --------------------------------------------------------------------------------
 
 

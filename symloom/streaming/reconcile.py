@@ -16,10 +16,25 @@ def check(files: DataFrame, state: DataFrame) -> dict:
     return index.health(files, state).first().asDict()
 
 
-def cycle(files: DataFrame, state: DataFrame, refresh: Callable[[DataFrame], None], dry_run: bool = False) -> dict:
-    """One poll: healthy, or refresh of stale, missing and unindexed files; a dry run only reports."""
+class ReconcileError(RuntimeError):
+    """An index that no cycle can repair."""
+
+
+def cycle(files: DataFrame, state: DataFrame, refresh: Callable[[DataFrame], None], dry_run: bool = False, plan: str = "none", migrate: Callable[[], None] | None = None) -> dict:
+    """One poll of an index whose plan is none, migrate, rebuild or manual.  healthy; or migrated, for an older schema; or
+    refreshed, after what is stale, missing or unindexed was read again; a dry run reports would_migrate or would_refresh and
+    writes nothing.  An index that has to be looked at by hand is an error."""
+    if plan == "manual":
+        raise ReconcileError("this index has to be looked at by hand")
+    if plan == "migrate":
+        if dry_run:
+            return {"event": "would_migrate", "ok": False}
+        if migrate is None:
+            raise ReconcileError("no way to migrate")
+        migrate()
+        return {"event": "migrated", "ok": False}
     report = check(files, state)
-    if report["ok"]:
+    if report["ok"] and plan == "none":
         return report | {"event": "healthy"}
     if dry_run:
         return report | {"event": "would_refresh"}

@@ -65,7 +65,7 @@ def test_overlay_and_patch(engine):
     assert t["preview_patch_ast_node"](file_path="/ws/b.py", semantic_path="leaf", new_code="def leaf(:")["reason"] == "syntax"
     lost = t["preview_patch_ast_node"](file_path="/ws/b.py", semantic_path="leaf", new_code="def leaf():\n    return nowhere()", bypass_reason="later")
     assert (lost["reason"], lost["gate"]) == ("unresolved", "allowed_with_bypass")
-    assert t["export_patch_diagnostics_sarif"](patch=lost)["runs"][0]["results"][0]["ruleId"] == "binding-unresolved"
+    assert t["export_patch_diagnostics_sarif"](patch=lost)["runs"][0]["results"][0]["ruleId"] == "symloom.binding.unresolved"
     full = t["validate_patch_with_trace_context"](file_path="/ws/b.py", semantic_path="helper", new_code="def helper(x):\n    return 3")
     assert full["impact"]["removed_callees"] == ["leaf"] and full["impact"]["affected"] == 1
 
@@ -112,7 +112,7 @@ def test_skeleton_and_tree_query(engine):
     assert engine.get_semantic_skeleton("/ws/b.py", 1)["skeleton"] == "def helper(x) ...\n\ndef leaf() ...\n\nclass Greeter ..."
     full = engine.get_semantic_skeleton("/ws/b.py", 1, expand_nodes=("Greeter",))["skeleton"]
     assert full.endswith("        return leaf()")
-    assert [c["owner"] for c in engine.execute_tree_query("/ws/b.py", "function_definition", name="greet")] == ["Greeter"]
+    assert [c["owner"] for c in engine.execute_tree_query("/ws/b.py", '(function_definition name: (identifier) @n (#eq? @n "greet"))')] == ["Greeter.greet"]
     with pytest.raises(RequestError):
         engine.execute_tree_query("/ws/b.py", "function_definition", max_captures=1)
 
