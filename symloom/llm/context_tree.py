@@ -161,7 +161,8 @@ def counted_strings(texts: list[bytes], learn: list[bool]) -> tuple[np.ndarray,
 
 
 def counted_words(texts: list[bytes], learn: list[bool]) -> Counter:
-    """bytes.lower and bytes.split know ASCII only, as asked.  Words of held-out texts alone count zero."""
+    """bytes.lower and bytes.split know ASCII only, as asked.  Words of held-out texts alone count zero.  In the order in which
+    they are met, those of learned texts first."""
     out: Counter = Counter()
     for raw, own in zip(texts, learn, strict=True):
         if own:
@@ -180,9 +181,9 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def word_parts(words, parts: int) -> dict[int, list[bytes]]:
-    """Words by part, sorted: the same from the same words."""
+    """Words by part, in the order in which they come."""
     out: dict[int, list[bytes]] = {}
-    for w in sorted(words):
+    for w in words:
         out.setdefault(zlib.crc32(w) % parts, []).append(w)
     return out
 
@@ -514,7 +515,8 @@ def _scores(parts: int, n: int, v: int, learned: int):
         ids, learn, texts = opened(data[kind.index(TEXT)])
         # words: a value and whether it is known by its number, then sums by text
         said = [t.lower().split() for t in texts]
-        words = word_parts(set(chain.from_iterable(said)), parts)
+        first_met = [*(s for s, own in zip(said, learn, strict=True) if own), *(s for s, own in zip(said, learn, strict=True) if not own)]
+        words = word_parts(dict.fromkeys(chain.from_iterable(first_met)), parts)  # as they were dealt
         number: dict[bytes, int] = {}
         counts = []
         for r, k in enumerate(kind):
@@ -526,7 +528,7 @@ def _scores(parts: int, n: int, v: int, learned: int):
         log, known = np.log10(count.astype(float) + 1) - math.log10(n + v + 1), count > 0
         own = [np.fromiter(map(number.__getitem__, s), np.int32, len(s)) for s in said]
         base = [(len(x), int(known[x].sum()), float(log[x].sum())) for x in own]
-        del said, words, number, own
+        del said, first_met, words, number, own
         # strings: each slice's distinct ones, then the chunk's, in the order in which they were dealt
         held = []
         for some in segments(texts):
