@@ -47,7 +47,7 @@ from symloom.llm.common import bounded_batches, id_bucket, materialize, text_of
 #: Seven bytes before and the byte itself fill the 64-bit key.
 DEPTH, FOLDS, HELD_OUT = 7, 7, 2
 #: Bytes of text that a chunk has about, that are sorted at once, and that a part is meant for.
-CHUNK, SLICE, PART = 12_000_000, 4_000_000, 12_000_000
+CHUNK, SLICE, PART = 8_000_000, 4_000_000, 12_000_000
 #: Partitions of a shuffle at most.
 TASKS = 20_000
 #: Strings that are weighed at once; classes of the third byte; bytes of places that a row of a slice carries about.
