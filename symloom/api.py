@@ -8,7 +8,8 @@ of the request and returned as plain dictionaries.
 from __future__ import annotations
 
 import builtins
-import textwrap
+import os
+import re
 import threading
 from contextlib import contextmanager
 from urllib.parse import quote
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom import schema as S
-from symloom.extract import lexical, nodes, python_ast
+from symloom.extract import lexical, nodes, python_ast, replacement
 from symloom.functions import expr as E
 from symloom.operators import graph, identity, index, query, tree
 from symloom.operators.patch import SARIF_RULES, SARIF_SCHEMA, SCOPES
@@ -63,6 +64,8 @@ class Engine:
         those that are kept, so that only files that differ are extracted again."""
         if (file_path is None) != (source is None):
             raise S.RequestError("file_path and source go together")
+        if file_path is not None:
+            self._overlay(file_path, source)
         over = {p: b.source for p, b in self.buffers.items() if b.dirty} | ({file_path: source} if file_path else {})
         files = self.files()
         if over:
@@ -78,6 +81,11 @@ class Engine:
             bad = index.freshness(state, stored["file_state"]).filter("status <> 'fresh'").limit(1).collect()
             if bad:
                 raise index.IndexError_(f"the index is stale: {bad[0]['file_path']} is {bad[0]['status']}")
+            broken = [r["rule"] for r in _rows(index.violations(stored["symbols"], files)) if r["n"]]
+            ids = stored["symbols"].select("symbol_id")
+            loose = stored["edges"].select(F.explode(F.array("src", "dst")).alias("symbol_id")).join(ids, "symbol_id", "left_anti").limit(1).collect()
+            if broken or loose:
+                raise index.IndexError_(f"the index is damaged: {broken or loose[0]['symbol_id']}")
             made = (files, stored["symbols"], stored["edges"], None)
         else:
             files, state = materialize(files, "files"), materialize(state, "state")
@@ -90,6 +98,18 @@ class Engine:
         self._kept[key] = made
         return made[:3]
 
+    def _overlay(self, file_path: str, source: str) -> None:
+        """An overlay must be a file of a known language inside the workspace, in no skipped folder, of a bounded size."""
+        if file_path.rpartition(".")[2].lower() not in E.EXTENSION_LANGUAGE:
+            raise S.RequestError(f"no language for {file_path!r}")
+        if len(source.encode()) > S.MAX_FILE_BYTES:
+            raise S.RequestError("the source is too long")
+        if self.root:
+            root = os.path.realpath(self.root.removeprefix("file://"))
+            at = os.path.realpath(file_path)
+            if not at.startswith(root + os.sep) or any(p.lower() in E.SKIP_DIRECTORIES for p in at[len(root) + 1 :].split(os.sep)[:-1]):
+                raise S.RequestError(f"{file_path!r} isn't a file of the workspace")
+
     @contextmanager
     def deadline(self, timeout_ms: int | None):
         """Jobs started inside are cancelled after the time; nothing partial is returned."""
@@ -110,17 +130,25 @@ class Engine:
     # ---- search, list, selection
 
     def search_symbols(self, query_: str, limit: int = S.DEFAULT_SEARCH, file_path_contains: str | None = None, node_kind: str | None = None, **backend) -> dict:
-        _, symbols, _ = self.catalog(**backend)
-        return self._page(query.search(symbols, query_, limit, file_path_contains, node_kind), ("score", "matched_fields"))
+        files, symbols, _ = self.catalog(**backend)
+        rows, head = self._page(query.search(symbols, query_, limit, file_path_contains, node_kind), ("score", "matched_fields"))
+        out = {"query": query_.strip(), "indexed_files": self._indexed(files), "total_matches": head["total"], "truncated": head["truncated"]}
+        out["matches"] = [{k: r[k] for k in SUMMARY} for r in rows]
+        return out | {"match_details": [{k: r[k] for k in ("symbol_id", "score", "matched_fields")} for r in rows]}
 
     def list_symbols(self, limit: int = S.DEFAULT_LIST, file_path_contains: str | None = None, node_kind: str | None = None, **backend) -> dict:
-        _, symbols, _ = self.catalog(**backend)
-        return self._page(query.list_symbols(symbols, limit, file_path_contains, node_kind), ())
+        files, symbols, _ = self.catalog(**backend)
+        rows, head = self._page(query.list_symbols(symbols, limit, file_path_contains, node_kind), ())
+        return {"indexed_files": self._indexed(files), "total_symbols": head["total"], "truncated": head["truncated"], "symbols": rows}
 
-    def _page(self, df: DataFrame, more: tuple[str, ...]) -> dict:
+    @staticmethod
+    def _indexed(files: DataFrame) -> int:
+        return files.filter("language IS NOT NULL").count()
+
+    def _page(self, df: DataFrame, more: tuple[str, ...]) -> tuple[list[dict], dict]:
         rows = _rows(df.select(*SUMMARY, *more, "total_matches", "truncated"))
-        head = {"total_matches": rows[0]["total_matches"] if rows else 0, "truncated": rows[0]["truncated"] if rows else False}
-        return head | {"matches": [{k: v for k, v in r.items() if k not in head} for r in rows]}
+        head = {"total": rows[0]["total_matches"] if rows else 0, "truncated": rows[0]["truncated"] if rows else False}
+        return [{k: v for k, v in r.items() if k not in ("total_matches", "truncated")} for r in rows], head
 
     def _select(self, symbols: DataFrame, symbol_path: str) -> dict:
         got = _rows(query.select(symbols, self.spark.createDataFrame([(S.nonblank("symbol_path", symbol_path),)], "selector string")))
@@ -150,6 +178,9 @@ class Engine:
         for r in _rows(graph.trace(symbols, edges, roots)):
             r["evidence_key"] = "|".join([r["symbol_id"], r["file_path"], r["node_kind"], r["role"], f"{r['start_byte']}..{r['end_byte']}", r["signature"] or ""])
             got.setdefault(r["root_id"], []).append(r)
+        for root, rows in got.items():
+            if len({r["evidence_key"] for r in rows}) < len(rows):
+                raise S.RequestError(f"the trace of {root!r} has an evidence key twice")
         out = {}
         for root, rows in got.items():
             side = lambda role, on: sorted(({k: r[k] for k in (*SUMMARY, "evidence_key")} for r in rows if r["role"] == role), key=lambda r: r["symbol_id"]) if direction in (on, "both") else []  # noqa: E731, B023
@@ -193,7 +224,8 @@ class Engine:
     def _each(self, kind: str, page: dict, graph_args: dict, backend: dict) -> dict:
         """The contexts of all matches, each relation asked once for all of them."""
         files, symbols, edges = self.catalog(**backend)
-        ids = [m["symbol_id"] for m in page["matches"]]
+        ids = [m["symbol_id"] for m in page.get("matches", page.get("symbols"))]
+        page = {"search" if "matches" in page else "list": page}
         if not ids:
             return page | ({"reads": []} if kind == "context" else {"contexts": []})
         texts = self._read(files, symbols, ids)
@@ -235,15 +267,19 @@ class Engine:
         """Headers within the depth; expanded symbols in full, which hides what is inside them."""
         S.within("depth_limit", depth_limit, 0, S.MAX_DEPTH)
         text = self._source(file_path, source)
-        raw, parts, hidden = text.encode(), [], -1
-        for d in self._declared(file_path, text):
-            depth = len(d["semantic_path"].replace("::", ".").split("."))
+        raw, parts, hidden, around = text.encode(), [], -1, []
+        declared = self._declared(file_path, text)
+        for node in expand_nodes:
+            if sum(d["semantic_path"] == node for d in declared) > 1:
+                raise S.RequestError(f"{node!r} is ambiguous")
+        for d in declared:
+            around = [end for end in around if end > d["start_byte"]] + [d["end_byte"]]
             if d["start_byte"] < hidden:
                 continue
             if d["semantic_path"] in expand_nodes:
                 parts.append(raw[d["start_byte"] : d["end_byte"]].decode())
                 hidden = d["end_byte"]
-            elif depth <= depth_limit:
+            elif len(around) <= depth_limit:
                 parts.append(f"{d['signature']} ...")
         return {"file_path": file_path, "skeleton": "\n\n".join(parts)}
 
@@ -274,26 +310,36 @@ class Engine:
 
     # ---- patches
 
-    def _patched(self, file_path: str, semantic_path: str, new_code: str, source: str | None) -> tuple[str, str, dict]:
+    def _target(self, file_path: str, text: str, selector: str) -> dict:
+        """The declaration of a file that a symbol id, a path with the file before it, or a path alone names; several are an error."""
+        rows = self._declared(file_path, text)
+        ids = local_ids(file_path, rows)
+        local = selector.removeprefix(f"{file_path}::")
+        named = [d for i, d in zip(ids, rows, strict=True) if i == selector]
+        named = named or [d for d in rows if d["semantic_path"] == local] or [d for d in rows if d["semantic_path"] == re.sub(r"(\(.*|#.*)$", "", local)]
+        if len(named) != 1:
+            found = [i for i, d in zip(ids, rows, strict=True) if d in named]
+            raise S.RequestError(f"{selector!r} names {len(named)} declarations: {found}")
+        return named[0]
+
+    def _patched(self, file_path: str, semantic_path: str, new_code: str, source: str | None) -> tuple[str, str, dict, list[dict]]:
         if len(new_code.encode()) > S.MAX_REPLACEMENT:
             raise S.RequestError("the replacement is too long")
         text = self._source(file_path, source)
-        local = semantic_path.removeprefix(f"{file_path}::").partition("#")[0]
-        hits = [d for d in self._declared(file_path, text) if d["semantic_path"] == local]
-        if len(hits) != 1:
-            raise S.RequestError(f"{semantic_path!r} names {len(hits)} declarations")
-        raw, d = text.encode(), hits[0]
+        d = self._target(file_path, text, semantic_path)
+        raw, guard = text.encode(), []
         if file_path.endswith((".py", ".pyi")):
-            line = raw[: d["start_byte"]].rpartition(b"\n")[2].decode()
-            indent = line if not line.strip() else ""
-            new_code = textwrap.indent(textwrap.dedent(new_code).strip("\n"), indent)[len(indent) :]
-        return text, (raw[: d["start_byte"]] + new_code.encode() + raw[d["end_byte"] :]).decode(), d
+            if raw[d["start_byte"] : d["start_byte"] + 1] == b"@" and not replacement.decorated(new_code):
+                row = raw.count(b"\n", 0, d["start_byte"])
+                guard = [{"kind": "decorator_guard", "row": row, "column_no": 0, "message": "the replacement would drop decorators; give them, or a bypass reason"}]
+            new_code = replacement.normalized(text, d["start_byte"], d["end_byte"], new_code)
+        return text, (raw[: d["start_byte"]] + new_code.encode() + raw[d["end_byte"] :]).decode(), d, guard
 
     def preview_patch(self, file_path: str, semantic_path: str, new_code: str, source: str | None = None, bypass_reason: str | None = None) -> dict:
         """Syntax issues, binding decisions, gate and diff of a replacement; nothing is written."""
-        before, after, target = self._patched(file_path, semantic_path, new_code, source)
+        before, after, target, guard = self._patched(file_path, semantic_path, new_code, source)
         lang = E.EXTENSION_LANGUAGE[file_path.rpartition(".")[2].lower()]
-        issues = python_ast.issues(after) if lang == "python" else lexical.issues(after)
+        issues = python_ast.issues(after) + replacement.indentation_issues(after) + replacement.decorator_issues(after) + guard if lang == "python" else lexical.issues(after)
         decided = []
         if not issues:
             declared = {d["semantic_path"]: d for d in self._declared(file_path, after)}
@@ -433,7 +479,8 @@ class Engine:
             self.rows[file_path] = b.source
         b.disk, b.pending = b.source, bool(self.indexes)
         for root, path in self.indexes.items():
-            self.rebuild_symbol_index(root, path)
+            if not self.root or _inside(file_path, root):
+                self.refresh_symbol_index_for_file(root if self.root else None, path, file_path)
         b.pending = False
         return self._snapshot(file_path)
 
@@ -644,11 +691,38 @@ OWN_TOOLS = (
 )
 
 
+def local_ids(file_path: str, rows: list[dict]) -> list[str]:
+    """Ids of a file's declarations among themselves: the path, numbered with the file before it where it repeats."""
+    python = file_path.endswith((".py", ".pyi"))
+    group: dict[str, list[dict]] = {}
+    for d in rows:
+        group.setdefault(d["semantic_path"], []).append(d)
+    out = []
+    for d in rows:
+        own = group[d["semantic_path"]]
+        if len(own) == 1:
+            out.append(d["semantic_path"])
+            continue
+        if python:
+            same = [o for o in own if o["is_overload"] == d["is_overload"]]
+            word = "overload" if d["is_overload"] else "implementation" if any(o["is_overload"] for o in own) else "definition"
+            number = "" if word == "implementation" and len(same) == 1 else f"[{same.index(d) + 1}]"
+        else:
+            word = "overload" if all(o["node_kind"] in identity.CALLABLES for o in own) else "definition"
+            number = f"[{own.index(d) + 1}]"
+        out.append(f"{file_path}::{d['semantic_path']}#{word}{number}")
+    return out
+
+
 def _bare(key: str) -> str | None:
     parts = key.split("|", 5)
     return "|".join(parts[:3] + parts[4:]) if len(parts) == 6 else None
 
 
+def _inside(path: str, root: str) -> bool:
+    return os.path.realpath(path).startswith(os.path.realpath(root.removeprefix("file://")) + os.sep)
+
+
 def _uri(path: str) -> str:
     path = path.replace("\\", "/")
     path = quote(path if path.startswith("/") else f"/{path}", safe="/:~")

@@ -115,13 +115,54 @@ def _references(node: ast.AST, imports: dict[str, str]) -> tuple[list[str], dict
     return sorted(found - own), {k: sorted(v) for k, v in sorted(arities.items())}
 
 
-def _is_overload(node: ast.AST, imports: dict[str, str]) -> bool:
-    for d in getattr(node, "decorator_list", ()):
-        text = ast.unparse(d)
-        root, _, rest = text.partition(".")
-        if (imports.get(root, root) + ("." + rest if rest else "")) in ("typing.overload", "typing_extensions.overload"):
-            return True
-    return False
+_TYPING = ("typing", "typing_extensions")
+
+
+def _overloads(tree: ast.Module) -> set[int]:
+    """ids of the nodes that an overload decorator stands on.  Names for it are followed in source order: imports and
+    assignments make one, any other binding of the name ends it; inner scopes see what was so far."""
+    found: set[int] = set()
+
+    def meaning(x: ast.AST, env: dict[str, str]) -> str | None:
+        if isinstance(x, ast.Name):
+            return env.get(x.id)
+        if isinstance(x, ast.Attribute) and x.attr == "overload" and isinstance(x.value, ast.Name) and env.get(x.value.id) == "module":
+            return "overload"
+        return None
+
+    def bind(env: dict[str, str], name: str, sense: str | None) -> None:
+        env.pop(name, None)
+        if sense:
+            env[name] = sense
+
+    def run(body: list[ast.stmt], env: dict[str, str]) -> None:
+        for x in body:
+            if isinstance(x, DEFINITIONS):
+                if any(meaning(d, env) == "overload" for d in x.decorator_list):
+                    found.add(id(x))
+                bind(env, x.name, None)
+                inner = dict(env)
+                for name in _bound(x):
+                    inner.pop(name, None)
+                run(x.body, inner)
+            elif isinstance(x, ast.Import):
+                for a in x.names:
+                    bind(env, a.asname or a.name.split(".")[0], "module" if a.name in _TYPING else None)
+            elif isinstance(x, ast.ImportFrom):
+                for a in x.names:
+                    bind(env, a.asname or a.name, "overload" if x.module in _TYPING and not x.level and a.name == "overload" else None)
+            else:
+                sense = meaning(x.value, env) if isinstance(x, (ast.Assign, ast.AnnAssign)) and x.value else None
+                for n in ast.walk(x):
+                    if isinstance(n, ast.Name) and isinstance(n.ctx, (ast.Store, ast.Del)):
+                        bind(env, n.id, sense)
+                for field in ("body", "orelse", "finalbody"):
+                    run([c for c in getattr(x, field, []) if isinstance(c, ast.stmt)], env)
+                for part in [*getattr(x, "handlers", []), *getattr(x, "cases", [])]:
+                    run(part.body, env)
+
+    run(tree.body, {})
+    return found
 
 
 def declarations(source: str) -> list[dict]:
@@ -131,6 +172,7 @@ def declarations(source: str) -> list[dict]:
     except (SyntaxError, ValueError, RecursionError):
         return []
     at, imports, out = _Offsets(source), _imports(tree), []
+    overloads = _overloads(tree)
 
     def walk(node: ast.AST, path: list[str]) -> None:
         for x in ast.iter_child_nodes(node):
@@ -146,7 +188,7 @@ def declarations(source: str) -> list[dict]:
                     "semantic_path": ".".join(here), "scope_path": ".".join(path) or None, "node_kind": "class_definition" if is_class else "function_definition",
                     "start_byte": at(first.lineno, column), "end_byte": at(x.end_lineno, x.end_col_offset), "signature": head, "parameters": parameters,
                     "return_type": ast.unparse(x.returns) if not is_class and x.returns else None, "docstring": ast.get_docstring(x), "reference_names": names,
-                    "reference_call_arities": arities, "is_overload": _is_overload(x, imports),
+                    "reference_call_arities": arities, "is_overload": id(x) in overloads,
                 })
                 walk(x, here)
             else:

@@ -142,15 +142,21 @@ def _without_brackets(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step, lambda a: a["out"])
 
 
-def accepts_arity(parameters: Column | str, n: Column) -> Column:
-    """Whether a callable with these parameter texts takes n arguments: void is none, a last parameter ``...`` takes any more (a
-    parameter pack is an ordinary parameter), and a ``=`` outside brackets makes its parameter optional."""
+def arity_range(parameters: Column | str) -> Column:
+    """(least, most) arguments that a callable with these parameter texts takes: void is none, a last parameter ``...`` takes any
+    more (most is null; a parameter pack is an ordinary parameter), and a ``=`` outside brackets makes its parameter optional."""
     p = F.transform(col(parameters), lambda x: F.trim(x))
     p = F.when((F.size(p) == 1) & (F.element_at(p, 1) == "void"), F.array().cast("array<string>")).otherwise(p)
     variadic = (F.size(p) > 0) & (F.try_element_at(p, F.lit(-1)) == "...")
     fixed = F.when(variadic, F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p)
-    required = F.size(F.filter(fixed, lambda x: ~_without_brackets(x).contains("=")))
-    return (n >= required) & (variadic | (n <= F.size(fixed)))
+    least = F.size(F.filter(fixed, lambda x: ~_without_brackets(x).contains("=")))
+    return F.struct(least.alias("least"), F.when(~variadic, F.size(fixed)).alias("most"))
+
+
+def accepts_arity(parameters: Column | str, n: Column) -> Column:
+    """Whether a callable with these parameter texts takes n arguments."""
+    r = arity_range(parameters)
+    return (n >= r["least"]) & (r["most"].isNull() | (n <= r["most"]))
 
 
 def qualifiers(signature: Column | str) -> Column:
@@ -197,7 +203,8 @@ def in_skipped_directory(relative: Column | str) -> Column:
 
 
 def inside(path: Column | str, root: str) -> Column:
-    return col(path).startswith(root.rstrip("/") + "/")
+    """Whether a path lies below root once its ``.`` and ``..`` parts are worked out."""
+    return normalized_path(path).startswith(root.rstrip("/") + "/")
 
 
 def stem(path: Column | str) -> Column:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.functions.expr import LANGUAGES
 from symloom.schema import RAW_SYMBOLS
 
-SCHEMA_VERSION, PROVENANCE = 6, "symloom-scoped-2"
+#: Revisions of the extractors; an index of other ones, of other extensions or other facts is made anew.
+REVISIONS = {lang: 3 if lang == "python" else 2 for lang in LANGUAGES}
+SCHEMA_VERSION = 6
+PROVENANCE = {"revisions": REVISIONS, "extensions": hashlib.md5(json.dumps(LANGUAGES).encode()).hexdigest(), "facts": hashlib.md5(RAW_SYMBOLS.json().encode()).hexdigest()}
 
 
 class IndexError_(RuntimeError):
@@ -18,10 +23,11 @@ class IndexError_(RuntimeError):
 
 
 def freshness(files: DataFrame, state: DataFrame) -> DataFrame:
-    """file_path, status: fresh, stale, missing (known, but gone) or unindexed."""
-    met = files.select("file_path", F.col("fingerprint").alias("now")).join(state.select("file_path", F.col("fingerprint").alias("was")), "file_path", "full")
-    status = F.when(F.col("now").isNull(), "missing").when(F.col("was").isNull(), "unindexed").when(F.col("now") == F.col("was"), "fresh").otherwise("stale")
-    return met.select("file_path", status.alias("status"))
+    """file_path, status: fresh, stale, missing (known, but gone), unreadable (there, without a fingerprint) or unindexed."""
+    now = files.select("file_path", F.col("fingerprint").alias("now"), F.lit(True).alias("here"))
+    met = now.join(state.select("file_path", F.col("fingerprint").alias("was"), F.lit(True).alias("known")), "file_path", "full")
+    status = F.when(F.col("here").isNull(), "missing").when(F.col("now").isNull(), "unreadable").when(F.col("known").isNull(), "unindexed")
+    return met.select("file_path", status.when(F.col("now") == F.col("was"), "fresh").otherwise("stale").alias("status"))
 
 
 def unindexed(files: DataFrame, state: DataFrame, overlay: DataFrame | None = None) -> DataFrame:
@@ -46,8 +52,10 @@ def overlaid(files: DataFrame, overlay: DataFrame) -> DataFrame:
     return kept.unionByName(overlay.select("file_path", "source"))
 
 
-def impacted(changed: DataFrame, references: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """changed: (symbol_id).  With them, who refers to a changed base name, and all direct neighbours."""
+def impacted(changed: DataFrame, references: DataFrame, symbols: DataFrame, edges: DataFrame, edges_before: DataFrame | None = None) -> DataFrame:
+    """changed: (symbol_id).  With them, who refers to a changed base name, and all direct neighbours, in the new graph and, if
+    given, in the one before."""
+    edges = edges if edges_before is None else edges.select("src", "dst").unionByName(edges_before.select("src", "dst")).distinct()
     names = changed.join(symbols.select("symbol_id", "base_name"), "symbol_id").select(F.col("base_name").alias("name")).distinct()
     coupled = references.join(names, "name", "left_semi").select(F.col("src").alias("symbol_id"))
     c = changed.select(F.col("symbol_id").alias("c"))
@@ -98,8 +106,8 @@ def migrated(symbols: DataFrame) -> DataFrame:
 
 def health(files: DataFrame, state: DataFrame) -> DataFrame:
     """One row: counts of each class, whether all is well and what to do."""
-    f = freshness(files, state).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("fresh", "stale", "missing", "unindexed")])
-    ok = (F.col("stale") == 0) & (F.col("missing") == 0) & (F.col("unindexed") == 0)
+    f = freshness(files, state).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("fresh", "stale", "missing", "unreadable", "unindexed")])
+    ok = (F.col("stale") == 0) & (F.col("missing") == 0) & (F.col("unreadable") == 0) & (F.col("unindexed") == 0)
     return f.withColumns({"ok": ok, "action": F.when(ok, "none").otherwise("refresh")})
 
 

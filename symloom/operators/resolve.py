@@ -10,13 +10,6 @@ from symloom.operators.skew import salted_join
 from symloom.sources.scratch import materialize
 
 
-def by_name(references: DataFrame, symbols: DataFrame) -> DataFrame:
-    """references: (src, src_file, family, name).  Declarations of the same family whose base name is the reference's."""
-    target = symbols.select(F.col("symbol_id").alias("dst"), F.col("file_path").alias("dst_file"), F.col("scope_path").alias("dst_scope"), "semantic_path", "node_kind", "start_byte", "base_name", F.col("family").alias("dst_family"))
-    met = references.join(target, (F.col("base_name") == E.reference_base("name")) & (F.col("family") == F.col("dst_family")))
-    return met.filter("src <> dst").drop("dst_family")
-
-
 def by_path(references: DataFrame, symbols: DataFrame) -> DataFrame:
     """Exact path first; a template's base path only for those that found none."""
     target = symbols.select(F.col("symbol_id").alias("dst"), F.col("semantic_path").alias("path"))
@@ -33,14 +26,6 @@ def visible_before(candidates: DataFrame, includes: DataFrame) -> DataFrame:
     return met.filter(((F.col("src_file") == F.col("dst_file")) & (F.col("start_byte") < F.col("at_byte"))) | F.col("included"))
 
 
-def unique_best(candidates: DataFrame, rank: Column) -> DataFrame:
-    """(src, dst) where one candidate alone has the best rank for (src, name)."""
-    w = Window.partitionBy("src", "name")
-    top = candidates.withColumn("_rank", rank).withColumn("_top", F.max("_rank").over(w)).filter("_rank = _top")
-    one = top.groupBy("src", "name").agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("dst"))
-    return one.filter("n = 1").select("src", "dst").distinct()
-
-
 def _levels(declared: DataFrame, keys: list[str]) -> DataFrame:
     """declared: (*keys, rank, dst), distinct.  One row per key: levels, from the best kind rank down, with the number of
     symbols, the least and the greatest; they are enough to tell whether one alone is left without a given symbol."""
@@ -57,9 +42,10 @@ def _answer(levels: Column, src: Column) -> Column:
     return F.struct(best.isNotNull().alias("found"), alone.alias("dst"))
 
 
-def edges(references: DataFrame, symbols: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+def edges(references: DataFrame, symbols: DataFrame, imports: DataFrame | list[DataFrame] | None = None) -> DataFrame:
     """The generic rule: a reference (src, src_file, family, name) goes to the symbol with the best kind rank in its own file,
-    else in the files that it imports, else anywhere; where several share that place there is no edge.
+    else in the files that it imports, else anywhere; where several share that place there is no edge.  imports: (importer,
+    imported), or several such tables, the nearer files first.
 
     References never meet the declarations of a name one by one: these are aggregated to a row per name first, by file and
     over all files, so a name that is declared and used everywhere costs one row there and no product.  Symbols whose
@@ -73,8 +59,8 @@ def edges(references: DataFrame, symbols: DataFrame, imports: DataFrame | None =
     own = met.filter("a.found").select("src", F.col("a.dst").alias("dst"))
     rest = met.filter("NOT a.found").drop("a")
     found, declared = own, declared.filter("NOT local").drop("local")
-    if imports is not None:
-        seen = imports.select(F.col("importer").alias("src_file"), F.col("imported").alias("file")).filter("src_file <> file").distinct()
+    for table in [] if imports is None else imports if isinstance(imports, list) else [imports]:
+        seen = table.select(F.col("importer").alias("src_file"), F.col("imported").alias("file")).filter("src_file <> file").distinct()
         near = rest.join(seen, "src_file").join(declared, ["family", "base", "file"]).filter("src <> dst")
         near = near.select("src", "name", "rank", "dst").distinct()
         near = near.groupBy("src", "name", "rank").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst"))
@@ -102,9 +88,12 @@ def package_names(files: DataFrame) -> DataFrame:
 
 
 def by_arity(calls: DataFrame, callables: DataFrame) -> DataFrame:
-    """calls: (call_id, name, n); callables: (symbol_id, base_name, parameters).  Those that take n arguments, if one alone does."""
-    met = calls.join(callables, F.col("name") == F.col("base_name")).filter(E.accepts_arity("parameters", F.col("n")))
-    one = met.groupBy("call_id").agg(F.count_distinct("symbol_id").alias("k"), F.min("symbol_id").alias("symbol_id"))
+    """calls: (call_id, name, n); callables: (symbol_id, base_name, parameters).  Those that take n arguments, if one alone does.
+    Callables of a name are counted by how many arguments they take before calls meet them."""
+    offers = callables.select("symbol_id", F.col("base_name").alias("name"), E.arity_range("parameters").alias("r")).distinct()
+    offers = offers.groupBy("name", F.col("r.least").alias("least"), F.col("r.most").alias("most")).agg(F.count_distinct("symbol_id").alias("k"), F.min("symbol_id").alias("symbol_id"))
+    met = calls.join(offers, "name").filter((F.col("n") >= F.col("least")) & (F.col("most").isNull() | (F.col("n") <= F.col("most"))))
+    one = met.groupBy("call_id").agg(F.sum("k").alias("k"), F.min("symbol_id").alias("symbol_id"))
     return one.filter("k = 1").drop("k")
 
 

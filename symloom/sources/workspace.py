@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import os
+import time
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.functions import expr as E
 from symloom.operators import graph, identity, index, resolve, scoped
-from symloom.schema import DEFAULT_FILES, FILES, MAX_FILE_BYTES, MAX_FILES, RAW_SYMBOLS, RequestError, within
+from symloom.schema import DEFAULT_FILES, FILES, MAX_FILE_BYTES, MAX_FILES, MAX_TIMEOUT_MS, RAW_SYMBOLS, RequestError, within
 from symloom.sources.scratch import materialize
 
 FAMILY = {"typescript": "javascript", "tsx": "javascript", "cpp": "c"}
 
 
-def scan(spark: SparkSession, root: str, max_files: int = DEFAULT_FILES, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Files of known languages below root, and go.mod files, skipped directories left out.  Too many or too large ones are an error, never
-    cut short; texts that aren't UTF-8 are an error when they are read."""
+def scan(spark: SparkSession, root: str, max_files: int = DEFAULT_FILES, max_file_bytes: int = MAX_FILE_BYTES, timeout_ms: int | None = None) -> DataFrame:
+    """Files of known languages below root, and go.mod files; skipped folders, folders that are links, and files that lead out of
+    root are left out.  Too many or too large ones are an error, never cut short, and so is a scan that takes too long; texts
+    that aren't UTF-8, or grew too large since, are an error when they are read."""
     within("max_files", max_files, 1, MAX_FILES)
+    if timeout_ms is not None:
+        within("timeout_ms", timeout_ms, 1, MAX_TIMEOUT_MS)
+    began = time.monotonic()
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.split("://")[-1].rstrip("/") if "://" in root else root.rstrip("/").removeprefix("file:")
     path = F.regexp_replace("path", r"^file:/*", "/")
@@ -28,10 +35,28 @@ def scan(spark: SparkSession, root: str, max_files: int = DEFAULT_FILES, max_fil
         raise RequestError(f"over {max_files} files")
     if (seen["most"] or 0) > max_file_bytes:
         raise RequestError(f"a file of over {max_file_bytes} bytes")
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), "file_path")))
+    if os.path.isdir(base):  # links can only be told on a local disk
+        top = os.path.realpath(base)
+        out = [r[0] for r in rows.select("file_path").collect() if not _at_home(r[0], base, top)]  # max_files at most
+        if out:
+            rows = rows.filter(~F.col("file_path").isin(out))
+    if timeout_ms is not None and (time.monotonic() - began) * 1000 > timeout_ms:
+        raise RequestError(f"the scan took over {timeout_ms} ms")
+    text = F.when(F.octet_length("content") > max_file_bytes, F.raise_error(F.concat(F.lit("too large: "), "file_path")))
+    text = text.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), "file_path")))
     return rows.select("file_path", "language", text.alias("source"), F.col("length").alias("size_bytes"))
 
 
+def _at_home(path: str, base: str, top: str) -> bool:
+    """No folder between root and the file is a link, and the file itself stays below root."""
+    folder = os.path.dirname(path)
+    while len(folder) > len(base):
+        if os.path.islink(folder):
+            return False
+        folder = os.path.dirname(folder)
+    return os.path.realpath(path).startswith(top + os.sep)
+
+
 def from_rows(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     rows = [(p, None, s, len(s.encode())) for p, s in files.items()]
     return spark.createDataFrame(rows, FILES).withColumn("language", E.language("file_path"))
@@ -118,8 +143,7 @@ def imports(files: DataFrame, said: DataFrame | None = None) -> DataFrame:
 
 
 def included(met: DataFrame) -> DataFrame:
-    """importer, imported for C and C++: everything that a file includes, directly or not, and the sources with an included
-    header's name."""
+    """importer, imported for C and C++: everything that a file includes, directly or not."""
     c = met.filter(E.language("importer").isin("c", "cpp"))
     starts = c.select(F.col("importer").alias("root"), F.col("imported").alias("node")).distinct()
     if starts.isEmpty():
@@ -128,6 +152,14 @@ def included(met: DataFrame) -> DataFrame:
     return all_.filter("importer <> imported")
 
 
+def companions(all_: DataFrame, files: DataFrame) -> DataFrame:
+    """importer, imported: the C and C++ sources that have the folder and name of a header that the importer includes."""
+    stem = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
+    sources = files.filter(F.col("language").isin("c", "cpp") & ~E.extension("file_path").isin(*E.HEADER_EXTENSIONS)).select(F.col("file_path").alias("source_file"), stem("file_path").alias("stem"))
+    headers = all_.filter(E.extension("imported").isin(*E.HEADER_EXTENSIONS)).select("importer", stem("imported").alias("stem"))
+    return headers.join(sources, "stem").filter("importer <> source_file").select("importer", F.col("source_file").alias("imported")).distinct()
+
+
 def touched(old: dict[str, DataFrame], symbols_: DataFrame, said: DataFrame, files: DataFrame, file_path: str) -> DataFrame:
     """symbol_id of the callers whose edges a change of one file can touch: the file's own and those of the files that import it,
     directly or not; who refers to a name that the file declared or declares, or whose id the change moved; and for a language
@@ -171,7 +203,8 @@ def edges(files: DataFrame, symbols_: DataFrame, said: DataFrame | None = None,
     attrs = dotted.join(hinted.select("src", "name"), ["src", "name"], "left_anti").join(types, "name").filter("src <> dst")
     typed = attrs.groupBy("src", "name").agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("dst")).filter("n = 1").select("src", "dst")
     plain = refs.join(dotted.select("src", "name"), ["src", "name"], "left_anti")
-    seen = met.filter(~E.language("importer").isin("c", "cpp")).unionByName(included(met))
+    near = materialize(included(met), "included")
+    seen = [companions(near, files), met.filter(~E.language("importer").isin("c", "cpp")).unionByName(near)]
     known = symbols_.filter(E.language("file_path").isin("python", "c")).withColumn("file_local", (E.language("file_path") == "c") & F.coalesce(F.col("signature").startswith("static "), F.lit(False)))
     scopes = scoped.edges(symbols_, files, said, callers)
     return resolve.edges(plain, known, seen).unionByName(one).unionByName(typed).unionByName(scopes).distinct()

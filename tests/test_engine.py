@@ -37,9 +37,10 @@ def test_edges_and_trace(engine):
 def test_search_list_read(engine):
     t = engine.tools()
     found = t["search_symbols"](query="helper", limit=2)
-    assert found["matches"][0]["symbol_id"] == "helper" and found["matches"][0]["score"] == 1000
-    assert t["list_symbols"](limit=3)["truncated"] and len(t["list_symbols"](limit=3)["matches"]) == 3
-    assert t["list_symbols"](limit=0) == {"total_matches": 0, "truncated": False, "matches": []}
+    assert found["matches"][0]["symbol_id"] == "helper" and found["match_details"][0] == {"symbol_id": "helper", "score": 1000, "matched_fields": ["base_name", "symbol_id", "semantic_path", "signature"]}
+    assert (found["query"], found["indexed_files"]) == ("helper", 7)
+    assert t["list_symbols"](limit=3)["truncated"] and len(t["list_symbols"](limit=3)["symbols"]) == 3
+    assert t["list_symbols"](limit=0) == {"indexed_files": 7, "total_symbols": 0, "truncated": False, "symbols": []}
     assert t["read_symbol"](symbol_path="leaf")["read"]["text"] == "def leaf():\n    return 1"
     assert t["read_symbol_at_position"](position=("/ws/b.py", 7, 9))["read"]["symbol_id"] == "Greeter.greet"
     assert t["search_symbols_context"](query="leaf")["reads"][0]["start_row"] == 3
@@ -70,6 +71,31 @@ def test_overlay_and_patch(engine):
     assert full["impact"]["removed_callees"] == ["leaf"] and full["impact"]["affected"] == 1
 
 
+def test_targets_and_replacements(spark):
+    source = "class A:\n\t@deco\n\tdef f(self):\n\t\treturn 1\n\n@overload\ndef g(x): ...\ndef g(x):\n    return x\n"
+    e = Engine(spark, {"/w/t.py": "from typing import overload\n" + source})
+    text = e.rows["/w/t.py"]
+    _, after, _, guard = e._patched("/w/t.py", "A.f", 'def f(self):\n    if x:\n        return """a\n  b"""', None)
+    assert guard[0]["kind"] == "decorator_guard" and '\tdef f(self):\n\t\tif x:\n\t\t\treturn """a\n  b"""\n' in after
+    _, after, _, guard = e._patched("/w/t.py", "/w/t.py::A.f", "@deco\ndef f(self):\n  return 2", None)
+    assert not guard and "\t@deco\n\tdef f(self):\n\t\treturn 2\n" in after
+    assert e._target("/w/t.py", text, "/w/t.py::g#implementation")["start_byte"] > e._target("/w/t.py", text, "/w/t.py::g#overload[1]")["start_byte"]
+    for bad in ("g", "nothing"):
+        with pytest.raises(RequestError):
+            e._target("/w/t.py", text, bad)
+    kinds = [i["kind"] for i in e.preview_patch("/w/t.py", "A.f", "@deco\ndef f(self):\nreturn 2")["syntax_issues"]]
+    assert kinds[:2] == ["error", "indentation"] and set(kinds[1:]) == {"indentation"}
+
+
+def test_write_is_atomic(spark, tmp_path):
+    from symloom.sources.atomic import write_text
+
+    at = tmp_path / "a.py"
+    at.write_text("old")
+    write_text(str(at), "new é")
+    assert at.read_text() == "new é" and [p.name for p in tmp_path.iterdir()] == ["a.py"]
+
+
 def test_buffers(spark):
     e = Engine(spark, FILES)
     e.did_open("/ws/n.ts")
@@ -106,6 +132,17 @@ def test_scan(spark, tmp_path):
     (tmp_path / "d.py").write_text("x")
     with pytest.raises(RequestError):
         W.scan(spark, str(tmp_path), max_files=1)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out" / "e.py").write_text("x")
+    (tmp_path / "in" / "link").symlink_to(tmp_path / "out")
+    (tmp_path / "in" / "g.py").symlink_to(tmp_path / "d.py")
+    (tmp_path / "in" / "f.py").write_text("x")
+    assert [r.file_path for r in W.scan(spark, str(tmp_path / "in")).collect()] == [f"{tmp_path}/in/f.py"]
+    with pytest.raises(RequestError, match="ms"):
+        W.scan(spark, str(tmp_path), timeout_ms=1)
+    with pytest.raises(RequestError):
+        Engine(spark, root=str(tmp_path / "in")).catalog(file_path=f"{tmp_path}/out/e.py", source="x")
 
 
 def test_skeleton_and_tree_query(engine):
@@ -171,6 +208,16 @@ def test_python_extraction():
     assert python_ast.declarations("def (") == [] and python_ast.issues("def (")[0]["kind"] == "error"
 
 
+def test_overload_names_follow_the_source():
+    def marked(source):
+        return [r["is_overload"] for r in python_ast.declarations(source)]
+
+    assert marked("from typing import overload as o\n@o\ndef f(): ...\no = None\n@o\ndef f(): ...\n") == [True, False]
+    assert marked("import typing as t\nv = t.overload\n@v\ndef f(): ...\n@t.overload\ndef f(): ...\ndef t(): ...\n@t.overload\ndef f(): ...\n") == [True, True, False, False]
+    assert marked("from typing_extensions import overload\nclass A:\n    @overload\n    def m(self): ...\n    overload = 1\n    @overload\n    def m(self): ...\n@overload\ndef g(): ...\n") == [False, True, False, True]
+    assert marked("try:\n    from typing import overload\nexcept ImportError:\n    overload = None\n@overload\ndef f(): ...\n") == [False]
+
+
 def test_lexical_extraction():
     java = lexical.declarations('class A {\n  /* } */ String s = "}";\n  int go(int x) { return run(x, f(1)); }\n}\n', "java")
     assert [(r["semantic_path"], r["reference_call_arities"]) for r in java] == [("A", {}), ("A::go", {"f": [1], "run": [2]})]
