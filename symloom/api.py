@@ -7,7 +7,6 @@ of the request and returned as plain dictionaries.
 
 from __future__ import annotations
 
-import builtins
 import os
 import re
 import threading
@@ -23,10 +22,15 @@ from symloom.functions import expr as E
 from symloom.operators import graph, identity, index, query, tree
 from symloom.operators.patch import SARIF_RULES, SARIF_SCHEMA, SCOPES
 from symloom.sources import workspace as W
-from symloom.sources.scratch import forget, materialize
+from symloom.sources.scratch import alive, forget, materialize
 
 SUMMARY = ("symbol_id", "semantic_path", "scope_path", "file_path", "node_kind", "start_byte", "end_byte", "signature", "return_type", "docstring")
-_BUILTINS = frozenset(dir(builtins))
+# Names that patch validation takes for granted in Python.
+PYTHON_BUILTINS = (
+    "ArithmeticError", "AssertionError", "AttributeError", "BaseException", "Exception", "ImportError", "IndexError", "KeyError", "LookupError", "NameError", "OSError", "RuntimeError",
+    "StopIteration", "SyntaxError", "TypeError", "ValueError", "ZeroDivisionError", "abs", "all", "any", "bool", "dict", "enumerate", "filter", "float", "int", "len", "list", "map", "max", "min",
+    "object", "open", "print", "range", "repr", "reversed", "set", "sorted", "str", "sum", "tuple", "zip",
+)
 #: Catalogues that an engine keeps: the workspace's own and the overlays of an edit under way.
 KEPT = 4
 
@@ -73,7 +77,7 @@ class Engine:
         state = W.fingerprints(files)
         mark = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("file_path", "fingerprint").cast("decimal(38,0)")).alias("sum")).first()
         key = (index_path, mark["n"], mark["sum"])
-        if key in self._kept:
+        if key in self._kept and all(map(alive, self._kept[key][1:3])):
             self._kept[key] = self._kept.pop(key)  # the newest last
             return self._kept[key][:3]
         if index_path and not over:
@@ -89,7 +93,7 @@ class Engine:
             made = (files, stored["symbols"], stored["edges"], None)
         else:
             files, state = materialize(files, "files"), materialize(state, "state")
-            known = next((k for k in reversed(self._kept.values()) if k[3] is not None), None)
+            known = next((k for k in reversed(self._kept.values()) if k[3] is not None and alive(k[1]) and alive(k[3])), None)
             raw = W.refreshed(known[1], known[3], files) if known else W.raw_symbols(files)
             symbols = materialize(identity.assigned(materialize(raw, "raw")), "symbols")
             made = (files, symbols, materialize(W.edges(files, symbols), "edges"), state)
@@ -358,7 +362,7 @@ class Engine:
         _, symbols, edges = self.catalog(file_path=file_path, source=after)
         key = lambda r, origin: "|".join([r["symbol_id"], r["file_path"], r["node_kind"], origin, f"{r['start_byte']}..{r['end_byte']}", r["signature"] or ""])
         wanted = SUMMARY + ("base_name",)
-        names = [n for n in target["reference_names"] if n not in _BUILTINS]
+        names = [n for n in target["reference_names"] if lang != "python" or n not in PYTHON_BUILTINS]
         if lang not in ("python", "c"):
             bound = {c["name"] for c in target["calls"] if c["kind"] == "value" and not c["paths"]}
             names = [n for n in names if n not in bound]

@@ -188,6 +188,28 @@ def byte_slice(source: Column, start: Column, end: Column) -> Column:
     return F.decode(F.substring(F.encode(source, "UTF-8"), (start + 1).cast("int"), (end - start).cast("int")), "UTF-8")
 
 
+def json_list(text: Column | str) -> Column:
+    """A JSON text as a list of strings; anything else, and a blank item, is an error."""
+    t = col(text)
+    items = F.from_json(t, "array<string>", {"mode": "FAILFAST"})
+    bad = items.isNull() | F.exists(items, lambda x: x.isNull() | (F.trim(x) == ""))
+    return F.when(t.isNotNull() & bad, F.raise_error(F.concat(F.lit("no list of names: "), t))).otherwise(items)
+
+
+def json_map(text: Column | str, values: str = "array<int>") -> Column:
+    """A JSON text as a map; anything else, and a key given twice, is an error."""
+    t = col(text)
+    keys = F.json_object_keys(t)
+    bad = keys.isNull() | (F.size(keys) > F.size(F.array_distinct(keys)))
+    return F.when(t.isNotNull() & bad, F.raise_error(F.concat(F.lit("no map: "), t))).otherwise(F.from_json(t, f"map<string,{values}>", {"mode": "FAILFAST"}))
+
+
+def on_boundary(source: Column, offset: Column) -> Column:
+    """Whether a byte offset begins a character or ends the text."""
+    byte = F.substring(F.encode(source, "UTF-8"), (offset + 1).cast("int"), F.lit(1))
+    return (F.hex(byte) < "80") | (F.hex(byte) > "BF") | (offset == F.octet_length(source))
+
+
 def extension(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(col(path), r"\.([^./]+)$", 1))
 

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.functions import expr as E
 from symloom.functions.expr import LANGUAGES
 from symloom.schema import RAW_SYMBOLS
 
@@ -83,8 +84,11 @@ def violations(symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
     counted = symbols.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in rules.items()])
     out = counted.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("n")) for k in rules])).alias("v")).select("v.rule", "v.n")
     if files is not None:
-        beyond = symbols.join(files.select("file_path", F.octet_length("source").alias("size")), "file_path").filter("end_byte > size")
-        out = out.unionByName(beyond.agg(F.count(F.lit(1)).alias("n")).select(F.lit("beyond_file").alias("rule"), "n"))
+        placed = symbols.select("file_path", "start_byte", "end_byte").join(files.select("file_path", "source"), "file_path")
+        beyond = F.col("end_byte") > F.octet_length("source")
+        off = ~beyond & ~(E.on_boundary(F.col("source"), F.col("start_byte")) & E.on_boundary(F.col("source"), F.col("end_byte")))
+        found = placed.agg(F.count_if(beyond).alias("beyond_file"), F.count_if(off).alias("off_boundary"))
+        out = out.unionByName(found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("n")) for k in ("beyond_file", "off_boundary")])).alias("v")).select("v.rule", "v.n"))
     return out
 
 

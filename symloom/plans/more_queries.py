@@ -220,6 +220,28 @@ def generic_types(spark, sf):
     return C.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), E.strip_generics(text).alias("base"))
 
 
+@registered("""r AS (SELECT doc_id, source, hex(encode(source)) AS h, doc_id % greatest(strlen(source), 1) AS a, doc_id * 3 % (strlen(source) + 2) AS b FROM files),
+s AS (SELECT *, CASE WHEN a < b THEN a ELSE b END AS lo, CASE WHEN a < b THEN b ELSE a END AS hi FROM r),
+t AS (SELECT hi > strlen(source) AS beyond, (substr(h, lo * 2 + 1, 2) BETWEEN '80' AND 'BF') OR (hi < strlen(source) AND substr(h, hi * 2 + 1, 2) BETWEEN '80' AND 'BF') AS off FROM s)
+SELECT 'beyond_file' AS rule, count(*) FILTER (WHERE beyond) AS n FROM t UNION ALL SELECT 'off_boundary', count(*) FILTER (WHERE NOT beyond AND off) FROM t""")
+def range_violations(spark, sf):
+    """Ranges that leave their file, or cut a character of it."""
+    f = C.files(spark, sf)
+    a, b = F.expr("doc_id % greatest(octet_length(source), 1)"), F.expr("doc_id * 3 % (octet_length(source) + 2)")
+    s = f.select("file_path", F.col("doc_id").cast("string").alias("symbol_id"), F.lit("p").alias("semantic_path"), F.lit("k").alias("node_kind"), F.lit("s").alias("signature"), F.least(a, b).alias("start_byte"), F.greatest(a, b).alias("end_byte"))
+    return index.violations(s, f.select("file_path", "source")).filter("rule IN ('beyond_file', 'off_boundary')")
+
+
+@registered("SELECT p_partkey AS id, p_name AS first, p_size % 3 + 1 AS n, p_partkey AS value FROM part", False)
+def json_strict(spark, sf):
+    """Stored lists and maps, read strictly."""
+    p = C.read(spark, sf, "part")
+    names = F.array_repeat("p_name", (F.col("p_size") % 3 + 1).cast("int"))
+    stored = p.select(F.col("p_partkey").alias("id"), F.to_json(names).alias("l"), F.to_json(F.create_map("p_name", F.array(F.col("p_partkey").cast("int")))).alias("m"), "p_name")
+    got = stored.select("id", "p_name", E.json_list("l").alias("l"), E.json_map("m").alias("m"))
+    return got.select("id", F.get("l", F.lit(0)).alias("first"), F.size("l").cast("long").alias("n"), F.get(F.col("m")[F.col("p_name")], F.lit(0)).cast("long").alias("value"))
+
+
 # ---- text rules, stores, streams --------------------------------------------------------------------------------
 
 

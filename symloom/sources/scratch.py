@@ -45,6 +45,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return written
 
 
+def alive(table: DataFrame) -> bool:
+    """Whether what materialize wrote is still there."""
+    spark, path = table.sparkSession, getattr(table, "scratch_path", None)
+    if path is None:
+        return True
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Removes what materialize wrote, where nothing reads it any more: loops keep two rounds, not all of them."""
     for t in tables:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.functions.expr import base_name, parent_path
-from symloom.sources.scratch import materialize
+from symloom.sources.scratch import alive, materialize
 
 #: Written symbols and edges by session, folder and the state of its files: the catalogue's index, made once.
 _WRITTEN: dict[tuple, DataFrame] = {}
@@ -32,7 +32,7 @@ def _state(spark: SparkSession, sf: str) -> tuple:
 
 def _written(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf, name, _state(spark, sf))
-    if key not in _WRITTEN:
+    if key not in _WRITTEN or not alive(_WRITTEN[key]):
         _WRITTEN[key] = materialize(make(spark, sf), f"catalogue-{name}")
     return _WRITTEN[key]
 

@@ -37,6 +37,17 @@ def test_positions_count_bytes(spark):
     assert one(spark, E.byte_slice(text, F.lit(0), F.lit(2))) == "é"
 
 
+@pytest.mark.parametrize("text, read", [('["a", ""]', E.json_list), ('["a", null]', E.json_list), ('{"a": 1}', E.json_list), ("[", E.json_list), ('{"a": [1], "a": [2]}', E.json_map), ("[1]", E.json_map), ('{"a": "x"}', E.json_map)])
+def test_stored_json_is_read_strictly(spark, text, read):
+    with pytest.raises(Exception):  # noqa: B017
+        one(spark, read(F.lit(text)))
+
+
+def test_stored_json(spark):
+    assert one(spark, E.json_list(F.lit('["a", "b"]'))) == ["a", "b"] and one(spark, E.json_map(F.lit('{"a": [1, 2]}'))) == {"a": [1, 2]}
+    assert one(spark, E.json_list(F.lit(None).cast("string"))) is None
+
+
 def test_paths(spark):
     assert one(spark, E.normalized_path(F.lit("/a/./b/../c\\d"))) == "/a/c/d"
     assert one(spark, E.path_uri(F.lit("/a b/é"))) == "file:///a%20b/%C3%A9"
@@ -44,6 +55,7 @@ def test_paths(spark):
     assert one(spark, E.key_without_origin(F.lit("a|b|c|d|e|f|g"))) == "a|b|c|e|f|g"
     assert one(spark, E.key_without_origin(F.lit("a|b|c|d|e"))) is None
     assert [one(spark, E.path_uri(F.lit(p))) for p in ("/c:/a", "c:\\w s", "//host/x", "\\\\host\\x")] == ["file:///c:/a", "file:///c:/w%20s", "file://host/x", "file://host/x"]
+    assert [one(spark, E.inside(F.lit(p), "/w")) for p in ("/w/a", "/w/../x", "/wx/a", "/w/a/../../y")] == [True, False, False, False]
     assert {d: one(spark, E.in_skipped_directory(F.lit(f"a/{d}/f.py"))) for d in (".ruff_cache", ".tox", ".hg", ".svn", "Build")} == {".ruff_cache": True, ".tox": True, ".hg": False, ".svn": False, "Build": True}
 
 
