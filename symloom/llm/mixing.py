@@ -17,21 +17,21 @@ nearest document total is taken, then the first in binary order over that order
 outcomes of at most LANDING + 2 documents, not a random one, so these last choices aren't strictly unbiased.
 
 Defined results: null texts have size 0 and take part with no words; a source of size 0 has target 0; repeated rows
-are documents of their own; an empty table gives an empty result; more than MAX_SOURCES sources are an error.
+are documents of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.common import bounded_batches, materialize, one_of_each, row_hash, text_of, unpacked
+from symloom.llm.common import bounded_batches, materialize, one_of_each, row_hash, salted_join, text_of, unpacked
 
 WEIGHTS, CEILING, BLOCK, LANDING, SEED = (1, 2, 3), 3, 4000, 14, 17
-#: The table of sources, a dimension, is held by the driver and broadcast: this bounds it to some 100 MB.
-MAX_SOURCES = 1_000_000
+#: Sources up to which their table, some 100 MB, is broadcast; more are joined by their keys, hot ones salted.
+BROADCAST_SOURCES = 1_000_000
 
 
 def _measure(batches):
@@ -50,21 +50,25 @@ def measured(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
     return rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
 
 
-def targets(sizes: dict[str | None, int], weights=WEIGHTS, ceiling: float = CEILING) -> dict[str | None, float]:
-    """Shares the sum of sizes by weight; who would get over ceiling times the own size gets just that."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    open_, left, got = set(order), float(sum(sizes.values())), {}
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = [s for s in order if s in open_ and left * weight[s] / total > ceiling * sizes[s]]
-        if not over:
-            return got | {s: left * weight[s] / total for s in open_}
-        for s in over:
-            got[s] = float(ceiling * sizes[s])
-        left -= sum(got[s] for s in over)
-        open_ -= set(over)
-    return got
+def targets(sizes: DataFrame, weights=WEIGHTS, ceiling: float = CEILING) -> DataFrame:
+    """sizes: (source, size, n), written, one row per source.  Adds source_no, the place by code point, null last, and target: the
+    sum of sizes shared by weight; who would get over ceiling times the own size gets just that, and the rest is shared
+    again among the others.  Rounds are aggregations of this table; each closes a source or is the last."""
+    order = Window.orderBy(F.col("source").isNull(), "source")  # one task, of as many rows as there are sources
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
+    state = sizes.withColumn("source_no", (F.row_number().over(order) - 1).cast("int")).withColumn("weight", weight).withColumn("target", F.lit(None).cast("double"))
+    state = materialize(state, "sources")
+    while True:
+        open_ = F.col("target").isNull()
+        sums = state.agg(F.sum("size").alias("all"), F.sum("target").alias("given"), F.sum(F.when(open_, F.col("weight"))).alias("weight")).first()
+        if not sums["weight"]:
+            return state.drop("weight")
+        share = F.lit(float(sums["all"] - (sums["given"] or 0.0))) * F.col("weight") / F.lit(sums["weight"])
+        over = open_ & (share > ceiling * F.col("size"))
+        closed = materialize(state.withColumn("target", F.when(over, ceiling * F.col("size").cast("double")).otherwise(F.col("target"))), "sources")
+        if closed.filter(F.col("target").isNotNull()).count() == state.filter(F.col("target").isNotNull()).count():
+            return state.withColumn("target", F.coalesce("target", share)).drop("weight")
+        state = closed
 
 
 def settle(p: list[float], size: list[int], rng: np.random.Generator, land: bool) -> list[float]:
@@ -107,6 +111,11 @@ def settle(p: list[float], size: list[int], rng: np.random.Generator, land: bool
     return p
 
 
+def _key(column: str):
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(column)), F.lit("n")).alias("key")
+
+
 def _flight(seed: int, level: int):
     def fly(table: pa.Table) -> pa.Table:
         size, mark, p = (table.column(c).to_numpy() for c in ("size", "mark", "p"))
@@ -125,26 +134,30 @@ def decisions(docs: DataFrame, weights=WEIGHTS, ceiling: float = CEILING, seed:
     """doc_id, size, source_size, target, taken, copies, source, mark for every row."""
     spark = docs.sparkSession
     rows = materialize(measured(docs, whole_rows), "sizes")
-    per = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(per) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    size = {r["source"]: r["size"] for r in per}
-    want, count = targets(size, weights, ceiling), {r["source"]: r["n"] for r in per}
-    names = sorted(size, key=lambda s: (s is None, s or ""))
-    dim = [(k, s, size[s], want[s], int(want[s] // size[s]) if size[s] else 0, want[s] % size[s] / size[s] if size[s] else 0.0) for k, s in enumerate(names)]
-    source = spark.createDataFrame(dim, "source_no int, name string, source_size long, target double, whole int, p double")
-    state = rows.join(F.broadcast(source), rows["source"].eqNullSafe(source["name"])).drop("name")
-    left, level, settled = {k: count[s] for k, s in enumerate(names)}, 0, []
+    per = materialize(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "source-sizes")
+    few = per.count() <= BROADCAST_SOURCES
+    rate = F.col("target") / F.col("size")
+    whole = F.when(F.col("size") > 0, F.floor(rate)).otherwise(0).cast("int")
+    wanted = targets(per, weights, ceiling).withColumn("whole", whole).withColumn("p", F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0))
+    source = materialize(wanted.select(_key("source"), "source_no", F.col("size").alias("source_size"), "target", "whole", "p", "n"), "targets")
+
+    def met(left: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+        if few:
+            return left.join(F.broadcast(facts.drop("n")), key)
+        return salted_join(left, facts, [key], "n", F.xxhash64("doc_id", "mark", "nth")).drop("n")
+
+    state, level, settled = met(rows.withColumn("key", _key("source")), source, "key").drop("key"), 0, []
+    left = source.select("source_no", "n")
     while True:
-        blocks = spark.createDataFrame([(k, -(-n // BLOCK)) for k, n in left.items() if n], "source_no int, blocks int")
-        state = state.join(F.broadcast(blocks), "source_no").withColumn("block", F.pmod(F.xxhash64("doc_id", "mark", "nth", F.lit(level)), F.col("blocks")).cast("int"))
+        blocks = left.select("source_no", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        state = met(state, blocks, "source_no").withColumn("block", F.pmod(F.xxhash64("doc_id", "mark", "nth", F.lit(level)), F.col("blocks")).cast("int"))
         flown = materialize(state.groupBy("source_no", "block").applyInArrow(_flight(seed, level), state.schema), "flight").drop("block", "blocks")
         between = (F.col("p") > 0) & (F.col("p") < 1)
         settled.append(flown.filter(~between))
         state = flown.filter(between)
-        left = {r["source_no"]: r["n"] for r in state.groupBy("source_no").agg(F.count(F.lit(1)).alias("n")).collect()}
+        left = materialize(state.groupBy("source_no").agg(F.count(F.lit(1)).alias("n")), "unsettled")
         level += 1
-        if not left:
+        if left.isEmpty():
             break
     out = settled[0]
     for s in settled[1:]:

@@ -113,7 +113,10 @@ def test_repeated_rows_are_packed_and_mixed(spark):
     assert Counter(r.source for r in mixed.collect())["a"] == sum(r["copies"] for r in got if r["source"] == "a")
 
 
-def test_mixing_against_plain_targets(spark):
+@pytest.mark.parametrize("few", [mixing.BROADCAST_SOURCES, 0])
+def test_mixing_against_plain_targets(spark, monkeypatch, few):
+    """With the table of sources broadcast, and joined by key."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 60))), rng.choice(["a", "b", "c", "d", None])) for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

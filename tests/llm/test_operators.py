@@ -266,7 +266,12 @@ def test_packing_plan(seed):
 # ---- op9
 
 
-def test_mixing(docs, empty):
+def targets_of(spark, sizes):
+    rows = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, size long, n long")
+    return {r.source: r.target for r in mixing.targets(rows).collect()}
+
+
+def test_mixing(spark, docs, empty):
     got = listed(mixing.decisions(docs))
     rows = len(rows_of())
     assert len(got) == rows
@@ -278,7 +283,7 @@ def test_mixing(docs, empty):
         size[r["source"]] += r["size"]
     for r in got:
         assert r["source_size"] == size[r["source"]]
-    assert math.isclose(sum(mixing.targets(dict(size)).values()), total)
+    assert math.isclose(sum(targets_of(spark, dict(size)).values()), total)
     again = listed(mixing.decisions(docs.repartition(5)))
     assert Counter(tuple(r.values()) for r in got) == Counter(tuple(r.values()) for r in again)
     mixed = mixing.mix(docs)
@@ -295,8 +300,8 @@ def test_mixing_hits_targets(spark):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 2
 
 
-def test_targets_stop_at_the_ceiling():
-    got = mixing.targets({"a": 1000, "b": 1, "c": 500, None: 10})
+def test_targets_stop_at_the_ceiling(spark):
+    got = targets_of(spark, {"a": 1000, "b": 1, "c": 500, None: 10})
     assert got["b"] == 3.0 and got[None] <= 30 and math.isclose(sum(got.values()), 1511)
 
 

@@ -41,7 +41,9 @@ def test_stages(spark, tmp_path):
     near = {r.doc_id for r in out["simhash_neardup"].collect()}
     assert near <= exact and len(near) >= 155
     mixed = out["source_mixing"]
-    want = mixing.targets({r.source: r.n for r in out["simhash_neardup"].selectExpr("source", "size(split(trim(coalesce(text, '')), ' ')) - int(coalesce(text, '') = '') n").groupBy("source").sum("n").withColumnRenamed("sum(n)", "n").collect()})
+    words = "size(split(trim(coalesce(text, '')), ' ')) - int(coalesce(text, '') = '') n"
+    per = out["simhash_neardup"].selectExpr("source", words).groupBy("source").agg({"n": "sum", "source": "count"}).selectExpr("source", "`sum(n)` size", "`count(source)` n")
+    want = {r.source: r.target for r in mixing.targets(per).collect()}
     got = {r.source: r.n for r in mixed.selectExpr("source", "size(split(trim(coalesce(text, '')), ' ')) - int(coalesce(text, '') = '') n").groupBy("source").sum("n").withColumnRenamed("sum(n)", "n").collect()}
     assert all(abs(got.get(s, 0) - v) <= 5 for s, v in want.items())
     assert out["best_fit_packing"].selectExpr("count(distinct doc_id) n").first().n == mixed.select("doc_id").distinct().count()
