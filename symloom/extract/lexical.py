@@ -24,7 +24,7 @@ HEADERS: dict[str, list[tuple[str, str]]] = {
     "c": [("struct_specifier", rf"\bstruct\s+{_N}\s*(?=\{{)"), ("union_specifier", rf"\bunion\s+{_N}\s*(?=\{{)"), ("enum_specifier", rf"\benum\s+{_N}\s*(?=\{{)"), ("function_definition", rf"(?:^|(?<=[;{{}}]))[ \t]*(?:[\w*&]+[ \t*&]+)+{_N}\s*{_A}\s*(?=\{{)")],
     "cpp": [
         ("class_specifier", rf"\bclass\s+{_N}[^;{{}}()]*(?=\{{)"), ("struct_specifier", rf"\bstruct\s+{_N}[^;{{}}()]*(?=\{{)"), ("namespace_definition", r"\bnamespace\s+(?P<name>[A-Za-z_][\w:]*)\s*(?=\{)"), ("enum_specifier", rf"\benum\s+(?:class\s+)?{_N}[^;{{}}()]*(?=\{{)"),
-        ("function_definition", rf"(?:^|(?<=[;{{}}]))[ \t]*(?:[\w:<>,*&]+[ \t*&]+)*(?P<owner>(?:[A-Za-z_]\w*::)*){_N}\s*{_A}\s*(?P<tail>(?:const|noexcept|override|final|volatile|&&?|\s)*)(?=\{{)"),
+        ("function_definition", rf"(?:^|(?<=[;{{}}]))[ \t]*(?:(?:public|private|protected)[ \t]*:\s*)?(?P<from>)(?:[\w:<>,*&]+[ \t*&]+)*(?P<owner>(?:[A-Za-z_]\w*::)*){_N}\s*{_A}\s*(?P<tail>(?:const|noexcept|override|final|volatile|&&?|\s)*)(?::(?!:)[^;{{}}]*)?(?=\{{)"),
     ],
     "javascript": [
         ("class_declaration", rf"\bclass\s+{_N}[^;{{}}]*(?=\{{)"), ("function_declaration", rf"\bfunction\s*\*?\s*{_N}\s*\((?P<args>[^{{}}]*?)\)[^;{{}}]*(?=\{{)"),
@@ -428,7 +428,8 @@ def declarations(source: str, language: str) -> list[dict]:
                 found[at] = (kind, m, blocks[at])
             elif m.group().endswith("=") or m.group().endswith("=>"):
                 found[at] = (kind, m, _expression_end(text, at))
-    rows = sorted(((m.start() + len(m.group()) - len(m.group().lstrip()), end, begin, kind, m) for begin, (kind, m, end) in found.items()), key=lambda r: (r[0], -r[1]))
+    start_of = lambda m: m.start("from") if "from" in m.groupdict() else m.start() + len(m.group()) - len(m.group().lstrip())
+    rows = sorted(((start_of(m), end, begin, kind, m) for begin, (kind, m, end) in found.items()), key=lambda r: (r[0], -r[1]))
     package = [p for p in (package_of(source, language) or "").split(".") if p]
     scopes = _Scopes(language, Names(source, language), package)
     prefix = package if language in _DOTTED else []
@@ -492,6 +493,7 @@ def declarations(source: str, language: str) -> list[dict]:
             "reference_call_arities": {k: sorted(v) for k, v in sorted(arities.items())}, "is_overload": False,
             "calls": [{"name": w, "arity": n, "kind": s, "paths": list(p), "within": t} for w, n, s, p, t in calls],
             "bases": _bases(m.group(), language, scopes, around) if kind in TYPES else [],
+            "interfaces": _interfaces(m.group(), kind, scopes, around) if language == "java" and kind in TYPES else [],
         })
     return out
 
@@ -512,6 +514,13 @@ def _bases(header: str, language: str, scopes: _Scopes, around: list[str]) -> li
     return [scopes.of_type(around, kind)] if kind else []
 
 
+def _interfaces(header: str, kind: str, scopes: _Scopes, around: list[str]) -> list[list[str]]:
+    """For each interface that a Java header names: the paths that it may mean."""
+    m = re.search(r"\b(?:extends|implements)\s+(.*)$" if kind == "interface_declaration" else r"\bimplements\s+(.*)$", " ".join(header.split()))
+    names = split_list(strip_generics(m.group(1))) if m else []
+    return [scopes.of_type(around, n.split(".")) for n in names if re.fullmatch(r"[\w.]+", n)]
+
+
 # ---- file dependencies and issues
 
 

@@ -149,13 +149,19 @@ def _overloads(tree: ast.Module) -> set[int]:
                 for a in x.names:
                     bind(env, a.asname or a.name.split(".")[0], "module" if a.name in _TYPING else None)
             elif isinstance(x, ast.ImportFrom):
+                typing = x.module in _TYPING and not x.level
                 for a in x.names:
-                    bind(env, a.asname or a.name, "overload" if x.module in _TYPING and not x.level and a.name == "overload" else None)
+                    name = "overload" if a.name == "*" else a.asname or a.name  # an unknown module may bind any name
+                    bind(env, name, "overload" if typing and a.name in ("overload", "*") else None)
             else:
                 sense = meaning(x.value, env) if isinstance(x, (ast.Assign, ast.AnnAssign)) and x.value else None
                 for n in ast.walk(x):
                     if isinstance(n, ast.Name) and isinstance(n.ctx, (ast.Store, ast.Del)):
                         bind(env, n.id, sense)
+                    elif isinstance(n, (ast.MatchAs, ast.MatchStar, ast.ExceptHandler)) and n.name:
+                        bind(env, n.name, None)
+                    elif isinstance(n, ast.MatchMapping) and n.rest:
+                        bind(env, n.rest, None)
                 for field in ("body", "orelse", "finalbody"):
                     run([c for c in getattr(x, field, []) if isinstance(c, ast.stmt)], env)
                 for part in [*getattr(x, "handlers", []), *getattr(x, "cases", [])]:

@@ -14,7 +14,7 @@ from symloom.functions.expr import LANGUAGES
 from symloom.schema import RAW_SYMBOLS
 
 #: Revisions of the extractors; an index of other ones, of other extensions or other facts is made anew.
-REVISIONS = {lang: 3 if lang == "python" else 2 for lang in LANGUAGES}
+REVISIONS = {lang: 3 for lang in LANGUAGES}
 SCHEMA_VERSION = 6
 PROVENANCE = {"revisions": REVISIONS, "extensions": hashlib.md5(json.dumps(LANGUAGES).encode()).hexdigest(), "facts": hashlib.md5(RAW_SYMBOLS.json().encode()).hexdigest()}
 
@@ -102,7 +102,7 @@ def migrated(symbols: DataFrame) -> DataFrame:
     empty = lambda c, text: F.coalesce(c, F.from_json(F.lit(text), kinds[c].simpleString()))
     out = symbols.withColumns({
         "symbol_id": F.coalesce(F.when(F.col("symbol_id") != "", F.col("symbol_id")), F.col("semantic_path")),
-        **{c: empty(c, "[]") for c in ("parameters", "reference_names", "calls", "bases")}, "reference_call_arities": empty("reference_call_arities", "{}"), "is_overload": F.coalesce("is_overload", F.lit(False)),
+        **{c: empty(c, "[]") for c in ("parameters", "reference_names", "calls", "bases", "interfaces")}, "reference_call_arities": empty("reference_call_arities", "{}"), "is_overload": F.coalesce("is_overload", F.lit(False)),
     })
     made = F.transform("reference_names", lambda x: F.struct(x.alias("spelling"), F.coalesce(F.try_element_at(F.col("reference_call_arities"), x), F.array().cast("array<int>")).alias("call_arities"), F.create_map().cast("map<string,string>").alias("details")))
     return out.withColumn("reference_facts", F.coalesce("reference_facts", made))

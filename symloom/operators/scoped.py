@@ -108,7 +108,7 @@ def edges(symbols: DataFrame, files: DataFrame, facts: DataFrame, callers: DataF
     place = every.filter(F.col("language").isin("c", *LANGUAGES)).withColumn("key", keyed(space, "semantic_path")).filter("language <> 'go' OR file_path NOT LIKE '%_test.go'")
     if units is not None:
         place = place.join(units, "file_path", "left").withColumn("key", F.when(F.col("language") == "rust", keyed(F.col("root"), F.concat("unit", "semantic_path"))).otherwise(F.col("key")))
-    targets = materialize(place.select("key", "language", "family", "file_path", F.col("symbol_id").alias("dst"), "node_kind", "parameters", "base_name", "scope_path", "semantic_path", "bases"), "call-targets")
+    targets = materialize(place.select("key", "language", "family", "file_path", F.col("symbol_id").alias("dst"), "node_kind", "parameters", "base_name", "scope_path", "semantic_path", "signature", "bases", "interfaces"), "call-targets")
     if callers is not None:
         own = own.join(callers.select("symbol_id"), "symbol_id", "left_semi")
     calls = own.select(F.col("symbol_id").alias("src"), "file_path", "language", "family", F.posexplode("calls").alias("nth", "c")).select("src", "file_path", "language", "family", "nth", "c.*")
@@ -139,20 +139,59 @@ def edges(symbols: DataFrame, files: DataFrame, facts: DataFrame, callers: DataF
         found = found.unionByName(w.select(*found.columns))
     best = materialize(nearest(found, targets), "call-scopes")
     out = best.filter("size(fit) = 1").select("src", F.get("fit", F.lit(0)).alias("dst"))
+    if "cpp" in have:
+        out = out.unionByName(_qualified(best.filter("size(fit) > 1"), calls, targets))
     lost = calls.join(best, "ref_id", "left_anti")
-    out = out.unionByName(_inherited(lost, targets))
+    climbed = materialize(_inherited(lost, targets), "inherited")
+    out = out.unionByName(climbed.select("src", "dst"))
+    if "java" in have:
+        out = out.unionByName(_defaults(lost.join(climbed, "ref_id", "left_anti"), targets))
     if "csharp" in have:
         out = out.unionByName(_open_to_all(lost, targets, facts))
     return out.filter("src <> dst").distinct()
 
 
+def _qualified(many: DataFrame, calls: DataFrame, targets: DataFrame) -> DataFrame:
+    """C++ members that differ in what stands behind their parameters.  Of a member's own scope, or for a receiver, those that are
+    const like the caller (a receiver that isn't known to be const asks for the others) come first, then those for an
+    lvalue."""
+    tail = F.regexp_extract("signature", r"\)([^)]*)$", 1)
+    ways = targets.filter("language = 'cpp'").select("dst", F.coalesce(tail.rlike(r"^\s*(?:volatile\s+)?const\b"), F.lit(False)).alias("const"), F.coalesce(tail.rlike(r"^\s*(?:(?:const|volatile)\b\s*)*&(?!&)"), F.lit(False)).alias("lvalue"), "scope_path")
+    ways = ways.groupBy("dst").agg(F.max("const").alias("const"), F.max("lvalue").alias("lvalue"), F.max("scope_path").alias("scope"))
+    asked = calls.filter("language = 'cpp'").select("ref_id", "kind").join(many, "ref_id").select("ref_id", "src", "kind", F.explode("fit").alias("dst"))
+    met = asked.join(ways, "dst").join(ways.select(F.col("dst").alias("src"), F.col("const").alias("from_const"), F.col("scope").alias("from_scope")), "src")
+    own = (F.col("kind") == "value") | F.col("scope").eqNullSafe(F.col("from_scope"))
+    good = own & (F.col("const") == ((F.col("kind") != "value") & F.col("from_const")))
+    row = F.struct("dst", good.alias("good"), (own & F.col("lvalue")).alias("lvalue"))
+    first = lambda rows, name: F.when(F.exists(rows, lambda r: r[name]), F.filter(rows, lambda r: r[name])).otherwise(rows)
+    left = met.groupBy("ref_id", "src").agg(F.collect_set(row).alias("rows")).withColumn("rows", first(F.col("rows"), "good")).withColumn("rows", first(F.col("rows"), "lvalue"))
+    return left.filter("size(rows) = 1").select("src", F.col("rows")[0]["dst"].alias("dst"))
+
+
+def _defaults(lost: DataFrame, targets: DataFrame) -> DataFrame:
+    """Java calls inside a type that no class answers: the one default method of all its interfaces, if no other one of them
+    declares the name."""
+    types = targets.filter("language = 'java'").filter(F.col("node_kind").isin("class_declaration", "interface_declaration", "enum_declaration"))
+    if types.filter("size(interfaces) > 0").isEmpty():
+        return targets.select(F.col("dst").alias("src"), "dst").limit(0)
+    asked = types.select(F.col("key").alias("node"), "family", F.posexplode("interfaces").alias("b", "paths")).select("node", "family", "b", F.posexplode("paths").alias("ordinal", "path"))
+    met = asked.withColumn("key", keyed(F.col("family"), "path")).join(types.select("key"), "key").filter("node <> key")
+    links = met.groupBy("node", "b").agg(F.min_by("key", "ordinal").alias("dst")).select(F.col("node").alias("src"), "dst")
+    inside = lost.filter("language = 'java' AND kind IN ('bare', 'this') AND within <> ''").select("ref_id", "src", "arity", keyed(F.col("family"), "within").alias("node"), E.base_name("name").alias("name"))
+    above = graph.closure(inside.select(F.col("node").alias("root"), "node").distinct(), links)
+    methods = targets.filter("language = 'java' AND node_kind = 'method_declaration'").select(keyed(F.col("family"), "scope_path").alias("owner"), F.col("base_name").alias("name"), "dst", "parameters", F.col("signature").rlike(r"(^|\s)default\s").alias("has_body"))
+    found = inside.join(above.filter("root <> node").select("root", F.col("node").alias("owner")), F.col("node") == F.col("root")).join(methods, ["owner", "name"])
+    fits = F.col("has_body") & takes(F.lit("java"), F.col("parameters"), F.col("arity"))
+    return found.groupBy("ref_id", "src").agg(F.count_distinct("owner").alias("owners"), F.collect_set(F.when(fits, F.col("dst"))).alias("fit")).filter("owners = 1 AND size(fit) = 1").select("src", F.get("fit", F.lit(0)).alias("dst"))
+
+
 def _inherited(lost: DataFrame, targets: DataFrame) -> DataFrame:
-    """Calls on a type, or inside one, up the unique chain of base classes to the first that declares the name."""
+    """ref_id, src, dst: calls on a type, or inside one, up the unique chain of base classes to the first that declares the name."""
     kinds = ("class_declaration", "class_specifier", "struct_specifier", "interface_declaration", "struct_declaration", "object_declaration")
     types = targets.filter(F.col("node_kind").isin(*kinds))
     based = types.filter("size(bases) > 0")
     if based.isEmpty():
-        return targets.select(F.col("dst").alias("src"), "dst").limit(0)
+        return targets.select(F.lit("").alias("ref_id"), F.col("dst").alias("src"), "dst").limit(0)
     names = types.select("key", F.col("key").alias("parent"))
     asked = based.select(F.col("key").alias("node"), "family", "file_path", F.posexplode("bases").alias("b", "paths")).select("node", "family", "file_path", "b", F.posexplode("paths").alias("ordinal", "path"))
     full = F.when(F.col("path").startswith("@file::"), keyed(F.col("file_path"), F.regexp_replace("path", "^@file::", ""))).otherwise(keyed(F.col("family"), "path"))
@@ -170,11 +209,11 @@ def _inherited(lost: DataFrame, targets: DataFrame) -> DataFrame:
     on = on.groupBy("ref_id", "src", "arity", "language", "name").agg(F.min_by("key", "ordinal").alias("node")).select("ref_id", "src", "arity", "language", "node", "name")
     open_ = materialize(inside.unionByName(above).unionByName(on), "inherited-calls")
     if open_.isEmpty():
-        return targets.select(F.col("dst").alias("src"), "dst").limit(0)
+        return targets.select(F.lit("").alias("ref_id"), F.col("dst").alias("src"), "dst").limit(0)
     at = graph.inherited(open_.withColumnRenamed("ref_id", "call_id"), parents, methods.select("node", F.col("base_name").alias("name"), F.col("node").alias("symbol_id")))
     met = open_.drop("node").join(at.select(F.col("call_id").alias("ref_id"), F.col("symbol_id").alias("node")), "ref_id").join(methods.select("node", F.col("base_name").alias("name"), "dst", "parameters"), ["node", "name"])
     fit = met.filter(F.col("arity").isNull() | takes(F.col("language"), F.col("parameters"), F.col("arity")))
-    return fit.groupBy("ref_id", "src").agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("dst")).filter("n = 1").select("src", "dst")
+    return fit.groupBy("ref_id", "src").agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("dst")).filter("n = 1").select("ref_id", "src", "dst")
 
 
 def _open_to_all(lost: DataFrame, targets: DataFrame, facts: DataFrame) -> DataFrame:

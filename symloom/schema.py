@@ -19,7 +19,7 @@ RAW_SYMBOLS = (
     .add("start_byte", _L).add("end_byte", _L).add("signature", _S).add("parameters", _LIST).add("return_type", _S)
     .add("docstring", _S).add("extension_receiver", _S).add("reference_names", _LIST)
     .add("reference_call_arities", T.MapType(_S, T.ArrayType(T.IntegerType()))).add("reference_facts", T.ArrayType(FACT))
-    .add("is_overload", T.BooleanType()).add("calls", T.ArrayType(CALL)).add("bases", T.ArrayType(_LIST))
+    .add("is_overload", T.BooleanType()).add("calls", T.ArrayType(CALL)).add("bases", T.ArrayType(_LIST)).add("interfaces", T.ArrayType(_LIST))
 )
 
 FILES = T.StructType().add("file_path", _S).add("language", _S).add("source", _S).add("size_bytes", _L)

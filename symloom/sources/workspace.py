@@ -75,7 +75,7 @@ def _extract(frames):
         for path, lang, source in zip(frame["file_path"], frame["language"], frame["source"], strict=True):
             found = python_ast.declarations(source) if lang == "python" else lexical.declarations(source, lang)
             for r in found:
-                r |= {"calls": r.get("calls", []), "bases": r.get("bases", []), "file_path": path, "symbol_id": r["semantic_path"], "extension_receiver": None, "reference_facts": [{"spelling": n, "call_arities": r["reference_call_arities"].get(n, []), "details": {}} for n in r["reference_names"]]}
+                r |= {"calls": r.get("calls", []), "bases": r.get("bases", []), "interfaces": r.get("interfaces", []), "file_path": path, "symbol_id": r["semantic_path"], "extension_receiver": None, "reference_facts": [{"spelling": n, "call_arities": r["reference_call_arities"].get(n, []), "details": {}} for n in r["reference_names"]]}
                 rows.append([r[n] for n in names])
         yield pd.DataFrame(rows, columns=names)
 
