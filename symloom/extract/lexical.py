@@ -383,6 +383,8 @@ class _Scopes:
         first, rest = parts[0], parts[1:]
         if lang == "csharp" and first == "global" and spelling.startswith("global::"):
             return "path", ["::".join(rest)]
+        if first == "this" and not rest and lang in _DOTTED:  # another constructor of the type
+            return "this", ["::".join([*types, types[-1]])] if types else []
         if first in ("this", "self", "Self") and lang != "go" and not (lang == "rust" and first == "self" and "::" in spelling):
             return ("this", ["::".join([*types, *rest])]) if types and len(rest) == 1 else ("this", [])
         if first in ("super", "base") and lang in _DOTTED:
@@ -444,6 +446,8 @@ def declarations(source: str, language: str) -> list[dict]:
         groups = m.groupdict()
         around = stack[-1][1] if stack else prefix
         name = m.group("name")
+        if kind == "method_declaration" and language in _DOTTED and around and around[-1] == name:  # a modifier looked like a type
+            kind = "constructor_declaration"
         if kind == "constructor_declaration" and (not around or around[-1] != name):
             continue
         owner = [p for p in (groups.get("owner") or "").split("::") if p]
@@ -467,6 +471,10 @@ def declarations(source: str, language: str) -> list[dict]:
             self_name = groups.get("self") or None
             hits = [(c.group(1), c.end(), None) for c in _CALL.finditer(text, begin, end)]
             hits += [(f"{c.group(1)}.{c.group(2)}", c.end(), c.group(1)) for c in _MADE.finditer(text, begin, end) if language == "go" or text[c.start() : c.start() + 4] == "new "]
+            if kind == "constructor_declaration" and (c := re.search(r":\s*(this|base)\s*(?=\()", text[start:begin])):  # C# names it in the header
+                word, at = c.group(1), start + c.end()
+                sort, paths = scopes.of_call(word, False, scope, type_path, bound, known, None)
+                calls[(word, _arguments(text, at, begin), sort, tuple(paths), "::".join(type_path))] = None
             for spelled, at, of in hits:
                 made = spelled.startswith("new ")
                 word = strip_generics(re.sub(r"^new\s+", "", spelled))

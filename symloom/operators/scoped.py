@@ -111,8 +111,8 @@ def edges(symbols: DataFrame, files: DataFrame, facts: DataFrame, callers: DataF
     targets = materialize(place.select("key", "language", "family", "file_path", F.col("symbol_id").alias("dst"), "node_kind", "parameters", "base_name", "scope_path", "semantic_path", "signature", "bases", "interfaces"), "call-targets")
     if callers is not None:
         own = own.join(callers.select("symbol_id"), "symbol_id", "left_semi")
-    calls = own.select(F.col("symbol_id").alias("src"), "file_path", "language", "family", F.posexplode("calls").alias("nth", "c")).select("src", "file_path", "language", "family", "nth", "c.*")
-    calls = materialize(calls.withColumn("ref_id", F.concat_ws(SEP, "src", "file_path", F.col("nth").cast("string"))), "calls")
+    calls = own.select(F.col("symbol_id").alias("src"), "file_path", "language", "family", F.posexplode("calls").alias("nth", "c"), "start_byte").select("src", "file_path", "language", "family", "start_byte", "nth", "c.*")
+    calls = materialize(calls.withColumn("ref_id", F.concat_ws(SEP, "src", "file_path", F.col("start_byte").cast("string"), F.col("nth").cast("string"))), "calls")
     asked = calls.select("ref_id", "src", "file_path", "language", "family", "arity", "kind", F.posexplode("paths").alias("ordinal", "path"))
     rest = lambda mark: F.substr("path", F.lit(len(mark) + 1))
     ways = [asked.filter("NOT startswith(path, '@')").withColumn("key", keyed(F.col("family"), "path")), asked.filter("startswith(path, '@file::')").withColumn("key", keyed(F.col("file_path"), rest("@file::")))]
@@ -201,8 +201,10 @@ def _inherited(lost: DataFrame, targets: DataFrame) -> DataFrame:
     methods = targets.filter(F.col("node_kind").isin(*CALLABLES) & F.col("scope_path").isNotNull()).withColumn("node", keyed(space, "scope_path"))
     name = E.base_name("name")
     inside = lost.filter("kind IN ('bare', 'this') AND within <> '' AND (kind = 'this' OR NOT contains(name, '.'))").select("ref_id", "src", "arity", "language", keyed(space, "within").alias("node"), name.alias("name"))
-    above = lost.filter("kind = 'super' AND within <> ''").select("ref_id", "src", "arity", "language", keyed(space, "within").alias("below"), name.alias("name")).filter("name NOT IN ('super', 'base')")
-    above = above.join(graph.unique_parents(parents), F.col("below") == F.col("node")).select("ref_id", "src", "arity", "language", F.col("parent").alias("node"), "name")
+    above = lost.filter("kind = 'super' AND within <> ''").select("ref_id", "src", "arity", "language", keyed(space, "within").alias("below"), name.alias("name"))
+    # super(...) and base(...) mean the constructor of the parent, which has its name
+    called = F.when(F.col("name").isin("super", "base"), F.regexp_extract("parent", rf"([^:{SEP}]*)$", 1)).otherwise(F.col("name"))
+    above = above.join(graph.unique_parents(parents), F.col("below") == F.col("node")).select("ref_id", "src", "arity", "language", F.col("parent").alias("node"), called.alias("name"))
     on = lost.filter("kind IN ('value', 'path')").select("ref_id", "src", "arity", "language", "family", "file_path", name.alias("name"), F.posexplode("paths").alias("ordinal", "path"))
     on = on.withColumn("type", F.regexp_extract("path", r"^(.*)::[^:]*$", 1)).filter("type <> '' AND NOT startswith(type, '@js')")
     on = on.withColumn("key", F.when(F.col("type").startswith("@file::"), keyed(F.col("file_path"), F.regexp_replace("type", "^@file::", ""))).otherwise(keyed(F.col("family"), "type"))).join(types.select("key"), "key")

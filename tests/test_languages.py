@@ -12,6 +12,8 @@ FILES = {
     "/w/q.cpp": "class Q { public: Q(int a) : v(a) { init(); } int at() { return 1; } int at() const { return 2; } int mine() { return at(); } int fixed() const { return this->at(); } void init() { } int v; };\nint far(Q q) { return q.at(); }\n",
     "/w/a.h": "struct Base { int run(int a) { return a; } };\n",
     "/w/x/A.java": "package com.x;\nimport com.y.B;\nimport static com.y.B.stat;\npublic class A extends B {\n  public A(int v) { }\n  int own(int a) { return twice(a) + stat(1); }\n  int twice(int a) { return a; }\n  int twice(int a, int b) { return a; }\n  int inh() { return up(3); }\n  int sup() { return super.up(4); }\n  int rec(B b) { return b.up(1); }\n  int wrong() { return up(); }\n  static int far() { return B.stat(2) + Peer.hi(); }\n}\n",
+    "/w/x/Made.java": "package com.x;\nclass Made extends Base1 { Made(int a, int b) { super(a); } Made(int a) { this(a, 1); } }\nclass Base1 { Base1(int a) { } }\n",
+    "/w/c/Made.cs": "namespace M { class B1 { public B1(int a) { } } class D1 : B1 { public D1(int a, int b) : base(a) { } public D1(int a) : this(a, 1) { } } }\n",
     "/w/x/Peer.java": "package com.x;\nclass Peer { static int hi() { return 1; } int two(int a) { return a; } int two(String a) { return 1; } int both() { return two(1); } }\n",
     "/w/x/I.java": "package com.x;\ninterface I extends J { default int dft(int a) { return a; } }\ninterface J { default int low() { return 1; } default int two() { return 1; } }\ninterface K { default int two() { return 2; } }\nclass Impl implements I, K { int a() { return dft(1) + this.low(); } int b() { return two(); } }\n",
     "/w/y/B.java": "package com.y;\npublic class B {\n  int up(int a) { return a; }\n  public static int stat(int a) { return a; }\n}\n",
@@ -42,8 +44,8 @@ FILES = {
 
 WANT = {
     "cpp": {("app::go(int)", "app::inner::leaf(int,int,int)"), ("app::Box::get() const", "Base::run"), ("app::Box::put(int)", "app::Box::get() const"), ("app::use(Box)", "app::Box::get() const"), ("main2()", "app::go(int)"), ("Q::Q(int)", "Q::init()"), ("Q::mine()", "Q::at()"), ("Q::fixed() const", "Q::at() const"), ("far(Q)", "Q::at()")},
-    "java": {("own", "twice#overload[1]"), ("own", "stat"), ("inh", "up"), ("sup", "up"), ("rec", "up"), ("far", "stat"), ("far", "hi"), ("a", "dft"), ("a", "low")},
-    "csharp": {("M", x) for x in ("Up", "Own", "Twice", "Far", "Do")},
+    "java": {("own", "twice#overload[1]"), ("own", "stat"), ("inh", "up"), ("sup", "up"), ("rec", "up"), ("far", "stat"), ("far", "hi"), ("a", "dft"), ("a", "low"), ("Made#overload[1]", "Base1"), ("Made#overload[2]", "Made#overload[1]")},
+    "csharp": {("M", x) for x in ("Up", "Own", "Twice", "Far", "Do")} | {("D1#overload[1]", "B1"), ("D1#overload[2]", "D1#overload[1]")},
     "kotlin": {("m", "near"), ("m", "far"), ("m", "own"), ("t", "own")},
     "go": {("g.F", "utilx.Up"), ("g.F", "g.G"), ("g.T::M", "g.T::N"), ("g.T::M", "g.F"), ("g.Mk", "g.T::M"), ("g.Lit", "g.T::N")},
     "rust": {("main", "dial"), ("main", "get"), ("main", "local"), ("main", "T::mk"), ("T::mk", "local"), ("T::mk", "T::both"), ("inl::a", "local"), ("inl::a", "inl::b"), ("dial", "local"), ("dial", "get"), ("get", "dial"), ("get", "local")},
