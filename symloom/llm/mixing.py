@@ -5,7 +5,8 @@ document, and the rest is an inclusion probability.  The cube method settles the
 of documents of one source, vectors in the null space of the two balancing constraints (number of documents and
 number of words) move the probabilities until all but two at most are 0 or 1.  What blocks leave over forms
 the blocks of the next level, until one block per source is left.  There ``LANDING`` documents, short and long, stay out of the flight; the
-landing takes the outcome of these few that comes nearest to the word total, and then to the document total.
+landing takes the outcome of these few that comes nearest to the word total, and then to the document total.  Documents too long
+for the landing to make up for are drawn before that flight, and the others' probabilities make up for them.
 No task has more than about ``BLOCK`` rows.
 
 Sizes are numbers of words ``[^\x20\x09-\x0D]+``.  Sources are sorted by code point, null last, with weights 1, 2, 3
@@ -71,9 +72,43 @@ def targets(sizes: DataFrame, weights=WEIGHTS, ceiling: float = CEILING) -> Data
         state = closed
 
 
+def _giants_first(p: list[float], size: list[int], rng: np.random.Generator) -> list[float]:
+    """Documents so long that the landing couldn't make up for them are drawn before the flight, by their probability; the others'
+    probabilities take over the words that this gives or leaves, each by its size and by how open it is.  A draw that they
+    couldn't make up for is turned round."""
+    split = [i for i, v in enumerate(p) if 0 < v < 1]
+    sizes = sorted(size[i] for i in split if size[i])
+    if len(sizes) <= LANDING:
+        return p
+    limit = sizes[len(sizes) // 2] * LANDING / 2
+    giants, rest = [i for i in split if size[i] > limit], [i for i in split if size[i] <= limit]
+    if not giants:
+        return p
+    p, owed = list(p), 0.0
+    q, s = np.array([p[i] for i in rest]), np.array([size[i] for i in rest], float)
+    more, less = 0.9 * float((s * (1 - q)).sum()), 0.9 * float((s * q).sum())
+    for i in giants:
+        took = float(rng.random() < p[i])
+        if not -less <= owed + size[i] * (p[i] - took) <= more:
+            took = 1 - took
+        owed += size[i] * (p[i] - took)
+        p[i] = took
+    for _ in range(100):
+        open_ = s * q * (1 - q)
+        total = float((s * open_).sum())
+        if abs(owed) < 1e-6 or total <= 0:
+            break
+        moved = np.clip(q + owed * open_ / total, 0.0, 1.0)
+        owed -= float((s * (moved - q)).sum())
+        q = moved
+    for i, v in zip(rest, q.tolist(), strict=True):
+        p[i] = v
+    return p
+
+
 def settle(p: list[float], size: list[int], rng: np.random.Generator, land: bool) -> list[float]:
     """Flight over units in their order: at most two probabilities stay between 0 and 1, none if land."""
-    p, tiny = list(p), 1e-9
+    p, tiny = _giants_first(p, size, rng) if land else list(p), 1e-9
     split = [i for i, v in enumerate(p) if 0 < v < 1]
     apart = set(split[round(k * (len(split) - 1) / (LANDING - 1))] for k in range(LANDING)) if land and len(split) > LANDING else set(split if land else [])
     draws, used = rng.random(len(p) + 8), 0

@@ -300,6 +300,15 @@ def test_mixing_hits_targets(spark):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 2
 
 
+def test_mixing_makes_up_for_very_long_documents(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randint(50, 600)), "ab"[i % 2]) for i in range(400)] + [(1000, "w " * 20000, "a"), (1001, "w " * 9000, "a")]
+    got = listed(mixing.decisions(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5 and all(r["taken"] <= 3 * r["size"] for r in own)
+
+
 def test_targets_stop_at_the_ceiling(spark):
     got = targets_of(spark, {"a": 1000, "b": 1, "c": 500, None: 10})
     assert got["b"] == 3.0 and got[None] <= 30 and math.isclose(sum(got.values()), 1511)
