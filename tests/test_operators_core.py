@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symloom.functions import expr as E
-from symloom.operators import index, patch, resolve
+from symloom.operators import index, patch, query, resolve
 from symloom.streaming import buffers, reconcile
 
 
@@ -175,3 +175,19 @@ def test_buffers(spark):
     got = {r.path: (r.source, r.version, r.dirty) for r in buffers.folded(log, F.lit("")).collect()}
     assert got == {"p": ("aé", 2, True), "q": ("", 1, False)}
     assert [r.path for r in buffers.status(buffers.folded(log, F.lit("")), True).collect()] == ["p"]
+
+
+def broadcasts(df):
+    return "BroadcastExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def nested_symbols(spark):
+    d = spark.range(2000).selectExpr("concat('s', id) symbol_id", "'f' file_path", "id * 10 start_byte", "id * 10 + 9 end_byte")
+    return d.unionAll(spark.range(1).selectExpr("'all'", "'f'", "0L", "10000000000L"))
+
+
+def test_owners_send_no_spans_to_the_driver(spark):
+    spans = spark.range(3000).selectExpr("id point_id", "'f' point_file", "id * 10 from_byte", "id * 10 + 3 to_byte")
+    got = query.containing(nested_symbols(spark), spans).select("point_id", "symbol_id")
+    assert not broadcasts(got)
+    assert dict(got.collect()) == {i: f"s{i}" if i < 2000 else "all" for i in range(3000)}
