@@ -191,3 +191,11 @@ def test_owners_send_no_spans_to_the_driver(spark):
     got = query.containing(nested_symbols(spark), spans).select("point_id", "symbol_id")
     assert not broadcasts(got)
     assert dict(got.collect()) == {i: f"s{i}" if i < 2000 else "all" for i in range(3000)}
+
+
+def test_positions_send_no_points_to_the_driver(spark):
+    points = spark.range(3000).selectExpr("id point_id", "'f' point_file", "id * 10 + id % 12 offset")
+    got = query.at_positions(nested_symbols(spark), points).select("point_id", "symbol_id")
+    assert not broadcasts(got)
+    at = {i: (i * 10 + i % 12) // 10 for i in range(3000)}
+    assert dict(got.collect()) == {i: f"s{k}" if k < 2000 else "all" for i, k in at.items()}
