@@ -133,10 +133,17 @@ def containing(symbols: DataFrame, spans: DataFrame, block: int = 1 << 12) -> Da
 
 
 def locate(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: (want_id, want_file, want_start, want_end, want_symbol).  The same range first, else the same file, by id or path."""
-    named = wanted.join(symbols, (F.col("want_file") == F.col("file_path")) & ((F.col("want_symbol") == F.col("symbol_id")) | (F.col("want_symbol") == F.col("semantic_path"))))
-    exact = (F.col("want_start") == F.col("start_byte")) & (F.col("want_end") == F.col("end_byte"))
-    return best_of(named, ["want_id"], F.when(exact, 10).otherwise(0) + E.kind_rank("node_kind")).drop("rank")
+    """wanted: (want_id, want_file, want_start, want_end, want_symbol).  The same range first, else the same file, by id or path.
+
+    A symbol goes by its id and its path.  Of those that share file, name and range, and of those that share file and name, only the best
+    one meets what is wanted: a path that is declared and wanted many times makes no product."""
+    kind = E.kind_rank("node_kind")
+    named = symbols.withColumn("_name", F.explode(F.array_distinct(F.array("symbol_id", "semantic_path"))))
+    ranged, any_ = best_of(named, ["file_path", "_name", "start_byte", "end_byte"], kind + 10), best_of(named, ["file_path", "_name"], kind)
+    here = (F.col("want_file") == F.col("file_path")) & (F.col("want_symbol") == F.col("_name"))
+    there = here & (F.col("want_start") == F.col("start_byte")) & (F.col("want_end") == F.col("end_byte"))
+    met = wanted.join(ranged.hint("merge"), there).unionByName(wanted.join(any_.hint("merge"), here)).drop("_name")
+    return best_of(met.withColumnRenamed("rank", "_met"), ["want_id"], F.col("_met")).drop("rank", "_met")
 
 
 def read(symbols: DataFrame, files: DataFrame) -> DataFrame:

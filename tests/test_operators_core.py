@@ -199,3 +199,19 @@ def test_positions_send_no_points_to_the_driver(spark):
     assert not broadcasts(got)
     at = {i: (i * 10 + i % 12) // 10 for i in range(3000)}
     assert dict(got.collect()) == {i: f"s{k}" if k < 2000 else "all" for i, k in at.items()}
+
+
+def test_locate_makes_no_product(spark):
+    """Three thousand symbols share file and path, and as many are wanted by it: by range, else the first of the best kind."""
+    import re
+
+    kinds = "CASE WHEN id % 1000 = 999 THEN 'struct_item' WHEN id % 7 = 0 THEN 'other' ELSE 'declaration' END node_kind"
+    symbols = spark.range(3000).selectExpr("concat('p#definition[', id, ']') symbol_id", "'p' semantic_path", "'f' file_path", "id * 10 start_byte", "id * 10 + 9 end_byte", kinds)
+    symbols = symbols.unionAll(spark.createDataFrame([("p", "q", "f", 10, 19, "declaration"), ("p", "p", "g", 0, 9, "struct_item")], symbols.schema))
+    wanted = spark.range(3000).selectExpr("id want_id", "'f' want_file", "id * 10 + id % 2 want_start", "id * 10 + 9 want_end", "CASE WHEN id % 5 = 0 THEN concat('p#definition[', id, ']') WHEN id = 3 THEN 'none' ELSE 'p' END want_symbol")
+    got = query.locate(symbols, wanted).select("want_id", "symbol_id")
+    rows = dict(got.collect())
+    want = {i: f"p#definition[{i}]" if i % 5 == 0 or i % 2 == 0 else "p#definition[999]" for i in range(3000) if i != 3}
+    assert rows == want and not broadcasts(got)
+    joins = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert joins and all(re.search(r"_name", line) for line in joins)
