@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from symloom.functions import expr as E
 from symloom.operators.query import best_of, context_rank
 from symloom.schema import MAX_DEPTH, MAX_NODES, RequestError, within
-from symloom.sources.scratch import forget, materialize
+from symloom.sources.scratch import forget, materialize, release
 
 
 def inverted(edges: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def _steps(edges: DataFrame, direction: str) -> DataFrame:
     if direction not in ("callers", "callees", "both"):
         raise RequestError(f"direction {direction!r}")
     loop = F.raise_error(F.concat(F.lit("a symbol can't be its own neighbour: "), "src"))
-    edges = edges.withColumn("dst", F.when(F.col("src") == F.col("dst"), loop).otherwise(F.col("dst"))).distinct()
+    edges = edges.select(*[F.when(F.col("src") == F.col("dst"), loop).otherwise(F.col(c)).alias(c) for c in ("src", "dst")])
     views = []
     if direction in ("callers", "both"):
         views.append(edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(0).alias("side")))
@@ -63,29 +63,55 @@ def _steps(edges: DataFrame, direction: str) -> DataFrame:
     return views[0] if len(views) == 1 else views[0].unionByName(views[1])
 
 
+#: Bits of the filter for the neighbours of a frontier.
+BITS = 1 << 22
+
+
+def _around(steps: DataFrame, ids: DataFrame) -> DataFrame:
+    """The steps from ids and a few others: those whose hash has its bit set in a table of BITS bits, so that the rest aren't shuffled.  Of
+    more ids than bits nearly all may pass; who asks joins ids exactly."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    one = ids.select(place("id").alias("p")).distinct().selectExpr("p div 64 AS w", "shiftleft(1L, cast(p % 64 AS int)) AS b")
+    bits = [0] * (BITS // 64)
+    for w, b in one.groupBy("w").agg(F.bit_or("b")).collect():  # BITS / 64 rows at most
+        bits[w] = b
+    row = steps.sparkSession.createDataFrame([(bits,)], "bits array<long>")
+    held = steps.withColumn("_p", place("at"))
+    return held.join(F.broadcast(row), F.expr("getbit(bits[cast(_p div 64 AS int)], cast(_p % 64 AS int)) = 1"), "left_semi").drop("_p")
+
+
 def neighborhood(symbols: DataFrame, edges: DataFrame, roots: DataFrame, direction: str = "both", max_depth: int = 2, max_nodes: int = 64) -> tuple[DataFrame, DataFrame]:
     """Breadth-first from each root at once.  Returns nodes (root_id, id, ordinal, depth, truncated) and edges (root_id,
     src, dst).  A level is one join of the frontier with the neighbour lists; within a level nodes are accepted in the
     order of (parent's ordinal, callers first, neighbour id) until max_nodes.  Per root at most max_nodes rows are kept, so
-    the state is bounded by the number of roots."""
+    the state is bounded by the number of roots.
+
+    Only steps from the frontier are shuffled.  A root that has been cut is done.  Of a node's list the first 2 * max_nodes + 1 count: of those
+    before the last node that matters to a root (one beyond max_nodes new ones at most), at most max_nodes are new and as many had been accepted."""
     within("max_depth", max_depth, 0, MAX_DEPTH)
     within("max_nodes", max_nodes, 1, MAX_NODES)
     known = symbols.select(F.col("symbol_id").alias("to")).distinct()
-    steps = materialize(_steps(edges, direction).join(known, "to", "left_semi"), "steps")
+    steps = _steps(edges, direction)
     accepted = roots.join(known.withColumnRenamed("to", "root_id"), "root_id", "left_semi").distinct()
-    accepted = accepted.select("root_id", F.col("root_id").alias("id"), F.lit(0).cast("long").alias("ordinal"), F.lit(0).alias("depth"))
+    accepted = materialize(accepted.select("root_id", F.col("root_id").alias("id"), F.lit(0).cast("long").alias("ordinal"), F.lit(0).alias("depth")), "accepted")
     cut = None
     for depth in range(max_depth):
         frontier = accepted.filter(F.col("depth") == depth)
+        if cut is not None:
+            frontier = materialize(frontier.join(cut.distinct(), "root_id", "left_anti"), "open")
+        lists = _around(steps, frontier).groupBy("at", "to").agg(F.min("side").alias("side")).join(known, "to", "left_semi")
+        nth = F.row_number().over(Window.partitionBy("at").orderBy("side", "to"))
+        lists = lists.withColumn("_nth", nth).filter(F.col("_nth") <= 2 * max_nodes + 1).drop("_nth")
         # per node and root the first way to it; then the first max_nodes new nodes of a root
-        reached = frontier.join(steps, F.col("id") == F.col("at")).select("root_id", "to", F.struct("ordinal", "side", "to").alias("way"))
+        reached = frontier.join(lists.hint("merge"), F.col("id") == F.col("at")).select("root_id", "to", F.struct("ordinal", "side", "to").alias("way"))
         fresh = reached.groupBy("root_id", "to").agg(F.min("way").alias("way"))
-        fresh = fresh.join(accepted.select("root_id", F.col("id").alias("to")), ["root_id", "to"], "left_anti")
+        fresh = fresh.join(accepted.select("root_id", F.col("id").alias("to")).hint("merge"), ["root_id", "to"], "left_anti")
         have = accepted.groupBy("root_id").agg(F.count(F.lit(1)).alias("have"))
         w = Window.partitionBy("root_id").orderBy("way")
-        ranked = fresh.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max_nodes + 1).join(have, "root_id")
+        ranked = fresh.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max_nodes + 1).join(have.hint("merge"), "root_id")
         ranked = ranked.withColumn("ordinal", F.col("have") + F.col("_n") - 1)
         ranked = materialize(ranked.select("root_id", F.col("to").alias("id"), "ordinal"), "frontier")
+        release(ranked.sparkSession)
         over = ranked.filter(F.col("ordinal") >= max_nodes).select("root_id")
         cut = over if cut is None else cut.unionAll(over)
         new = ranked.filter(F.col("ordinal") < max_nodes).withColumn("depth", F.lit(depth + 1))

@@ -215,3 +215,27 @@ def test_locate_makes_no_product(spark):
     assert rows == want and not broadcasts(got)
     joins = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
     assert joins and all(re.search(r"_name", line) for line in joins)
+
+
+def test_neighbourhoods_write_no_far_edges(spark, monkeypatch):
+    """Of a long ring only what is near the roots is written; hubs with more neighbours than a root may have are cut as before."""
+    from symloom.operators import graph
+
+    written = []
+    keep = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, tag: written.append(keep(df, tag)) or written[-1])
+    n = 5000
+    ring = spark.range(n).selectExpr("concat('n', id) src", f"concat('n', (id + 1) % {n}) dst")
+    hub = spark.range(300).selectExpr("concat('n', id + 2000) src", "'hub' dst").unionAll(spark.range(300).selectExpr("'hub'", "concat('n', id + 2000)"))
+    symbols = spark.range(n).selectExpr("concat('n', id) symbol_id").unionAll(spark.range(1).selectExpr("'hub'"))
+    roots = spark.createDataFrame([("n10",), ("hub",), ("n2003",)], "root_id string")
+    nodes, links = graph.neighborhood(symbols, ring.unionAll(hub), roots, "both", 2, 20)
+    assert sum(t.count() for t in written) < 500
+    found = {}
+    for r in nodes.orderBy("root_id", "ordinal").collect():
+        found.setdefault(r["root_id"], []).append((r["id"], r["depth"], r["truncated"]))
+    assert found["n10"] == [("n10", 0, False), ("n9", 1, False), ("n11", 1, False), ("n8", 2, False), ("n12", 2, False)]
+    assert found["hub"] == [("hub", 0, True)] + [(f"n{2000 + i}", 1, True) for i in range(19)]
+    first = ["n2003", "hub", "n2002", "n2004"]
+    assert [i for i, _, _ in found["n2003"]] == first + [f"n{2000 + i}" for i in range(300) if i not in (2, 3, 4)][:16]
+    assert links.filter("root_id = 'n10'").count() == 4
