@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import bounded_batches, id_bucket, text_of
+from symloom.llm.common import bounded_batches, id_bucket, materialize, text_of
 
 #: Rows whose crc32(doc_id as text) mod FOLDS is 0 are held out.
 FOLDS = 5
@@ -64,6 +64,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, per_class:
     return sorted(got.mapInArrow(run, schema).collect(), key=lambda r: (r["doc_id"], r["x"]))
 
 
+def every(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, lang, y, text (as bytes) of all rows that may be learned from, as sample defines them, written once."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("y").alias("y"))
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = bounded_batches(docs).filter(F.col("doc_id").isNotNull() & ~held_out())
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_of().alias("text"))
+    return materialize(rows.join(known.hint("merge"), "doc_id").select("doc_id", "lang", "y", "text"), "labelled")
+
+
 def within_bytes(found: list, most_bytes: int) -> list[tuple[int, int]]:
     """(doc_id, y) of those whole texts that fit, both classes in turn, each by place."""
     order = [sorted((r for r in found if r["y"] == c), key=lambda r: (r["place"], r["doc_id"])) for c in (0, 1)]

@@ -222,3 +222,20 @@ def test_license_base_by_plain_search(spark):
         r = got[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(places), min(places, default=None), max(places, default=None))
         assert r["base_labels"] == ",".join(sorted(labels)) and labels <= set(r["labels"].split(",")) | (set() if labels else {""})
+
+
+def test_toxicity_learns_from_rows_beyond_its_start(spark):
+    """Of 300 toxic texts those that start the model say vile, all others nasty, which only a pass over all rows can learn."""
+    rng = np.random.default_rng(4)
+    text = lambda word: " ".join([*rng.choice(WORDS, 20), word])
+    marks = spark.createDataFrame([(i, int(i % 2)) for i in range(800)], "doc_id long, toxic int")
+    plain = spark.createDataFrame([(i, "x") for i in range(800)], "doc_id long, text string")
+    start = {r["doc_id"] for r in labelled.sample(plain, marks, "toxic", 30, True, lambda raw: [1.0], "array<float>")}
+    word = lambda i: "" if i % 2 == 0 else "vile" if i in start else "nasty"
+    docs = spark.createDataFrame([(i, text(word(i)), "a" if i % 3 else "b") for i in range(800)], "doc_id long, text string, lang string")
+    net = toxicity.fit(docs, marks, 30)
+    seen = {w: np.mean([net.score(toxicity.word_ids(text(w).encode())) for _ in range(20)]) for w in ("", "vile", "nasty")}
+    assert seen["nasty"] > 0.5 > seen[""] and seen["vile"] > 0.5, seen
+    assert set(net.thresholds) == {"a", "b"}
+    again = toxicity.fit(docs, marks, 30)
+    assert (again.words == net.words).all() and (again.flat() == net.flat()).all()
