@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import bounded_batches, id_bucket, materialize, text_of
+from symloom.llm.common import bounded_batches, id_bucket, text_of
+from symloom.sources.scratch import materialize_parts
 
 #: Rows whose crc32(doc_id as text) mod FOLDS is 0 are held out.
 FOLDS = 5
 SPARE, RANGE = 1.5, 1 << 40
 #: Bytes of text that a sample has at most.
 MOST_BYTES = 48 << 20
+#: Labelled rows are written in so many pieces.
+PIECES = 4
 
 
 def held_out(column: str = "doc_id"):
@@ -65,13 +68,20 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, per_class:
 
 
 def every(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, lang, y, text (as bytes) of all rows that may be learned from, as sample defines them, written once."""
+    """doc_id, lang, y, text (as bytes) of all rows that may be learned from, as sample defines them, written once, in PIECES by a hash of
+    the id: texts are shuffled to meet their labels, and the disk holds the shuffle of one piece at a time."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("y").alias("y"))
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "y")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = bounded_batches(docs).filter(F.col("doc_id").isNotNull() & ~held_out())
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_of().alias("text"))
-    return materialize(rows.join(known.hint("merge"), "doc_id").select("doc_id", "lang", "y", "text"), "labelled")
+
+    def piece(k: int) -> DataFrame:
+        own = F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)) == k
+        marks = known.filter(own).groupBy("doc_id").agg(F.max("y").alias("y"))
+        return rows.filter(own).join(marks.hint("merge"), "doc_id").select("doc_id", "lang", "y", "text")
+
+    return materialize_parts([piece(k) for k in range(PIECES)], "labelled")
 
 
 def within_bytes(found: list, most_bytes: int) -> list[tuple[int, int]]:

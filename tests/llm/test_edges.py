@@ -2,12 +2,15 @@
 
 import random
 import re
+import time
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from symloom.llm import common, components, exact_dedup, labelled, license_scan, mixing, packing, quality_model, simhash, toxicity
+from symloom.sources.scratch import release
 
 WORDS = "the of and to in a is that for it was with as on be by at from or an this which have not are but had his they she".split()
 
@@ -239,3 +242,27 @@ def test_toxicity_learns_from_rows_beyond_its_start(spark):
     assert set(net.thresholds) == {"a", "b"}
     again = toxicity.fit(docs, marks, 30)
     assert (again.words == net.words).all() and (again.flat() == net.flat()).all()
+
+
+def test_labelled_rows_leave_no_shuffle_behind(spark):
+    """Texts are shuffled to meet their labels in pieces, and what was shuffled goes before the classifier passes over the rows."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle"))
+
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i, rng.bytes(10_000).hex(), "a") for i in range(400)], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, int(i % 2)) for i in range(0, 400, 2)] + [(2, 1), (6, None), (1000, 1)], "doc_id long, toxic int")
+    release(spark)
+    time.sleep(2)
+    before = shuffled()
+    got = labelled.every(docs, marks, "toxic")
+    ends = time.monotonic() + 10
+    while shuffled() - before > 500_000 and time.monotonic() < ends:
+        time.sleep(0.2)
+    assert shuffled() - before <= 500_000
+    held = {i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert {(r["doc_id"], r["y"]) for r in got.collect()} == {(i, int(i == 2)) for i in range(0, 400, 2) if i not in held}
+    assert got.count() == len({i for i in range(0, 400, 2)} - held)
