@@ -114,7 +114,8 @@ def at_positions(symbols: DataFrame, points: DataFrame) -> DataFrame:
 def containing(symbols: DataFrame, spans: DataFrame, block: int = 1 << 12) -> DataFrame:
     """spans: (point_id, point_file, from_byte, to_byte).  The narrowest symbol that contains each span.  Levels of
     blocks grow by 16, and a symbol is filed once, at the level where it touches two blocks at most: a span looks
-    in one block per level.  Neither side is broadcast, however small Spark takes it to be: the spans are eight times what they were."""
+    in one block of each level that has symbols.  Neither side is broadcast, however small Spark takes it to be: the spans are up to eight times
+    what they were."""
     levels = 8
     size = lambda k: block * 16**k
     width = F.col("end_byte") - F.col("start_byte")
@@ -123,8 +124,9 @@ def containing(symbols: DataFrame, spans: DataFrame, block: int = 1 << 12) -> Da
         level = F.when(width <= size(k), k).otherwise(level)
     unit = F.element_at(F.array(*[F.lit(size(k)) for k in range(levels)]), F.col("level") + 1)
     filed = symbols.withColumn("level", level).withColumn("unit", unit)
+    used = filed.select(F.collect_set("level")).scalar()
     filed = filed.withColumn("block", F.explode(F.sequence(F.expr("start_byte div unit"), F.expr("end_byte div unit")))).drop("unit")
-    asked = spans.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("unit", unit)
+    asked = spans.withColumn("level", F.explode(used)).withColumn("unit", unit)
     asked = asked.withColumn("block", F.expr("from_byte div unit")).drop("unit")
     near = asked.join(filed.hint("merge"), (F.col("point_file") == F.col("file_path")) & (asked["level"] == filed["level"]) & (asked["block"] == filed["block"]))
     inside = near.filter("start_byte <= from_byte AND end_byte >= to_byte").drop("level", "block")

@@ -239,3 +239,21 @@ def test_neighbourhoods_write_no_far_edges(spark, monkeypatch):
     first = ["n2003", "hub", "n2002", "n2004"]
     assert [i for i, _, _ in found["n2003"]] == first + [f"n{2000 + i}" for i in range(300) if i not in (2, 3, 4)][:16]
     assert links.filter("root_id = 'n10'").count() == 4
+
+
+def made(plan, kind):
+    """Rows that nodes of a kind made in a plan that has run."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+        return made(plan.executedPlan() if name[0] == "A" else plan.plan(), kind)
+    own = plan.metrics().apply("numOutputRows").value() if name == kind else 0
+    return own + sum(made(plan.children().apply(i), kind) for i in range(plan.children().size()))
+
+
+def test_positions_are_looked_up_only_at_levels_that_have_symbols(spark):
+    points = spark.range(3000).selectExpr("id point_id", "'f' point_file", "id * 10 + id % 12 offset")
+    got = query.at_positions(nested_symbols(spark), points).select("point_id", "symbol_id")
+    assert len(got.collect()) == 3000
+    assert 2 * 3000 < made(got._jdf.queryExecution().executedPlan(), "GenerateExec") < 4 * 3000  # two levels, and the symbols' blocks
+    none = query.at_positions(nested_symbols(spark).filter("false"), points)
+    assert none.collect() == []
